@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import sharding, simhash
+from trellis.llm import decontamination, linededup, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,50 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
+    "op7_linededup": op7_linededup,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+lens AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+         FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM lens)),
+places AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+           FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+hits AS (SELECT r, p.n, i, item_id FROM places p JOIN wins USING (win, n)),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT r, item_id::varchar AS id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op7_linededup": """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i, trim(ls[i]) || chr(10) || trim(ls[i + 1]) || chr(10) || trim(ls[i + 2]) AS win
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM w
+          WHERE replace(win, chr(10), '') <> '') WHERE nth > 1),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM later) GROUP BY doc_id)
+SELECT doc_id, len(ls)::bigint AS n_lines, coalesce(len(ks), 0)::bigint AS n_removed,
+       CASE WHEN ks IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda k: NOT list_contains(ks, k)), lambda k: ls[k]), chr(10)), '') END AS text
+FROM d LEFT JOIN gone USING (doc_id)""",
+}
