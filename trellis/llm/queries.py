@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontamination, linededup, sharding, simhash
+from trellis.llm import decontamination, licenses, linededup, secrets, sharding, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.detect(_table(spark, sf_dir, "documents")))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = [k.name for k in secrets.BASE]
+    listed = "transform({}, x -> concat(x.kind, ':', x.start, ':', x.stop))"
+    count = "coalesce(size(filter(spans, x -> x.kind = '{}')), 0)"
+    return found.select(
+        "doc_id", *(F.expr(count.format(k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(F.coalesce(F.expr(f"array_join({listed.format(f'filter(spans, x -> x.nth < {len(base)})')}, ',')"), F.lit("")).cast("binary"), 256).alias("base_sha256"),
+        F.coalesce(F.expr(f"array_join({listed.format('spans')}, ',')"), F.lit("")).alias("spans"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
@@ -36,16 +51,98 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+#: The rules of the registered query (fixed values).
+URL_RULES = [
+    urlfilter.UrlRule("block", "com", "/en/"),
+    urlfilter.UrlRule("allow", "example.com", "/en/7"),
+    urlfilter.UrlRule("allow", "net", "/de/"),
+    urlfilter.UrlRule("block", "example.net", "/de/8"),
+    urlfilter.UrlRule("block", "org", "/es/"),
+]
+
+
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rules_frame(spark, URL_RULES))
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
+    "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
     "op7_linededup": op7_linededup,
+    "op9_urlfilter": op9_urlfilter,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_oracle() -> str:
+    rules = ", ".join(
+        f"({i}, {_sql(r.label)}, {_sql(r.regex)}, [{', '.join(map(_sql, r.keywords))}], {r.priority}, {r.confidence}::double, {str(r.base).lower()})"
+        for i, r in enumerate(licenses.default_rules()))
+    return f"""
+WITH rules(nth, label, re, keys, priority, conf, base) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+norm AS (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS norm FROM d WHERE len(w) > 0),
+cut AS (SELECT r, rules.*, string_split_regex(norm, re) AS s, regexp_extract_all(norm, re) AS m FROM norm, rules
+        WHERE len(list_filter(keys, lambda k: NOT contains(norm, k))) = 0 AND regexp_matches(norm, re)),
+n AS (SELECT *, list_transform(s, lambda x: len(regexp_replace(x, '[^ ]', '', 'g')) // 2) AS sn,
+             list_transform(m, lambda x: len(regexp_replace(x, '[^ ]', '', 'g')) // 2) AS mn, unnest(range(1, len(m) + 1)) AS i FROM cut),
+hit AS (SELECT r, nth, label, priority, conf, base,
+               (list_sum(sn[1:i]) + coalesce(list_sum(mn[1:i - 1]), 0))::bigint AS a, mn[i] AS len FROM n),
+kept AS (SELECT * FROM hit h WHERE base OR NOT EXISTS (SELECT 1 FROM hit e WHERE e.r = h.r AND e.a <= h.a AND e.a + e.len >= h.a + h.len
+         AND (e.priority > h.priority OR e.priority = h.priority AND e.len > h.len))),
+per AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+        max(conf) AS score FROM kept GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::double AS score
+FROM d LEFT JOIN per USING (r)"""
+
+
+def _secret_oracle() -> str:
+    kinds = secrets.BASE + secrets.MORE
+    parts = " UNION ALL ".join(
+        f"SELECT r, {i} AS nth, {_sql(k.name)} AS kind, {k.least} AS least, string_split_regex(t, {_sql(k.regex)}) AS s, "
+        f"regexp_extract_all(t, {_sql(k.regex)}) AS m, regexp_extract_all(t, {_sql(k.regex)}, {k.group}) AS g FROM d" for i, k in enumerate(kinds))
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = {_sql(k.name)}), 0)::bigint AS n_{k.name}" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS ({parts}),
+one AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0),
+span AS (SELECT r, nth, kind, (list_sum(list_transform(s[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))::bigint AS a,
+                len(m[i]) AS n FROM one WHERE len(g[i]) >= least),
+per AS (SELECT r, {counts},
+               string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) FILTER (nth < {len(secrets.BASE)}) AS base,
+               string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) AS spans FROM span GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in secrets.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""
+
+
+def _url_oracle() -> str:
+    rules = ", ".join(f"({_sql(r.verdict)}, {_sql(r.host)}, {_sql(r.path)})" for r in URL_RULES)
+    return f"""
+WITH rules(verdict, rhost, rpath) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT r, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY len(rhost || rpath) DESC, len(rhost) DESC, verdict DESC) AS nth
+      FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE nth = 1) USING (r)"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_licenses": _license_oracle(),
+    "op2_secrets": _secret_oracle(),
+    "op9_urlfilter": _url_oracle(),
     "op3_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
