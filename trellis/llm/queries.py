@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontamination, licenses, linededup, secrets, sharding, simhash, urlfilter
+from trellis.llm import decontamination, licenses, linededup, packing, secrets, sharding, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = simhash.with_smallest_id(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
     return members.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_linededup": op7_linededup,
     "op9_urlfilter": op9_urlfilter,
