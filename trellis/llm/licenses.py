@@ -109,8 +109,8 @@ def rules_array(rules: list[Rule]) -> str:
         f"'priority', {r.priority}, 'conf', {r.confidence}D, 'base', {str(r.base).lower()})" for i, r in enumerate(rules)) + ")"
 
 
-#: Occurrences of the expression r.re in ``norm``: an array of (start, stop) in words, from 0.
-_PLACES = """transform(array(named_struct('s', split(norm, r.re, -1), 'm', regexp_extract_all(norm, r.re, 0))), x ->
+#: Occurrences of the expression r.re in ``__words``: an array of (start, stop) in words, from 0.
+_PLACES = """transform(array(named_struct('s', split(__words, r.re, -1), 'm', regexp_extract_all(__words, r.re, 0))), x ->
   aggregate(sequence(0, size(x.m) - 1), named_struct('upto', 0L, 'out', cast(array() as array<struct<start:int,stop:int>>)),
     (a, i) -> named_struct(
       'upto', a.upto + length(regexp_replace(x.s[i], '[^ ]', '')) div 2 + length(regexp_replace(x.m[i], '[^ ]', '')) div 2,
@@ -125,7 +125,8 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
 
     A detection is (start, stop, label, priority, conf, base), words from 0, stop exclusive, in
     order of start.  Base rules' detections always stay.  Case is folded for A-Z only.  A null or
-    empty text has no words.  One projection of the scan: nothing is shuffled or collected.
+    empty text has no words.  Columns of the added
+    names are replaced.  One projection of the scan: nothing is shuffled or collected.
     """
     rules = default_rules() if rules is None else rules
     low = docs.withColumn("__low", F.lower(whole(text)))
@@ -136,14 +137,14 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
     low = low.withColumn("__norm", F.when(near, F.concat(F.lit(" "), F.regexp_replace(
         F.translate(whole(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP, "  "), F.lit(" "))))
     # Every word between two spaces of its own, whatever stood at the ends of the text.
-    low = low.withColumn("norm", F.when(F.col("__norm").isNotNull(), F.concat(F.lit(" "), F.trim("__norm"), F.lit(" "))))
-    tried = f"filter({rules_array(rules)}, r -> forall(r.keys, k -> contains(norm, k)) and norm rlike r.re)"
+    low = low.withColumn("__words", F.when(F.col("__norm").isNotNull(), F.concat(F.lit(" "), F.trim("__norm"), F.lit(" "))))
+    tried = f"filter({rules_array(rules)}, r -> forall(r.keys, k -> contains(__words, k)) and __words rlike r.re)"
     found = f"""flatten(transform({tried}, r -> transform({_PLACES}, p -> named_struct(
         'start', p.start, 'stop', p.stop, 'nth', r.nth, 'label', r.label, 'priority', r.priority, 'conf', r.conf, 'base', r.base))))"""
-    low = low.withColumn("__all", F.expr(f"case when norm is not null and norm <> '  ' then array_sort({found}) end"))
+    low = low.withColumn("__all", F.expr(f"case when __words is not null and __words <> '  ' then array_sort({found}) end"))
     kept = """filter(__all, d -> d.base or not exists(__all, e -> e.start <= d.start and e.stop >= d.stop and
         (e.priority > d.priority or e.priority = d.priority and e.stop - e.start > d.stop - d.start)))"""
-    return low.select(*docs.columns, F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("n_words"),
+    return low.select(*(c for c in docs.columns if c not in ("n_words", "detections")), F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("n_words"),
                       F.expr(f"coalesce({kept}, filter(__all, d -> false))").alias("detections"))
 
 

@@ -48,16 +48,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines end at a line feed.  A document of fewer than three lines holds no window and stays as
     it is; a null text has one empty line and stays null.  A document whose lines all go keeps
-    its row, with an empty text.  Other columns pass through.
+    its row, with an empty text.  Other columns pass through; ones of the added names are replaced.
     """
-    gone = cut(covered_lines(docs)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "starts")
+    gone = cut(covered_lines(docs)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
     rows = docs.withColumn("__h", text_hash("text"))
     both = rows.join(gone, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    both = both.withColumn("__ls", _lines()).withColumn("n_lines", F.size("__ls").cast("long"))
-    reach = ", ".join(f"transform(starts, s -> s + {k})" for k in range(SPAN))
+    both = both.withColumn("__ls", _lines())
+    reach = ", ".join(f"transform(__starts, s -> s + {k})" for k in range(SPAN))
     both = both.withColumn("__left", F.expr(
-        f"case when starts is not null then array_except(sequence(0, size(__ls) - 1), concat({reach})) end"))
+        f"case when __starts is not null then array_except(sequence(0, size(__ls) - 1), concat({reach})) end"))
     text = F.expr("array_join(transform(__left, i -> __ls[i]), '\n')")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return both.select(
-        *(F.when(F.col("starts").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        "n_lines", F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("__ls") - F.size("__left")).cast("long").alias("n_removed"))
+        *(F.when(F.col("__starts").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in kept),
+        F.size("__ls").cast("long").alias("n_lines"), F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size("__ls") - F.size("__left")).cast("long").alias("n_removed"))

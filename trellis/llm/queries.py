@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontamination, licenses, linededup, neighbours, packing, secrets, sharding, simhash, urlfilter
+from trellis.llm import decontamination, licenses, linededup, neighbours, packing, quality, secrets, sharding, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.col("__n").alias("n_characters"), F.col("__perplexity").alias("perplexity"),
+                       F.col("__limit").alias("perplexity_limit"), F.col("__good").alias("keep"))
+
+
 #: The rules of the registered query (fixed values).
 URL_RULES = [
     urlfilter.UrlRule("block", "com", "/en/"),
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_linededup": op7_linededup,
+    "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
     "op10_neighbours": op10_neighbours,
 }

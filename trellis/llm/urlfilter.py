@@ -43,7 +43,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     host), and block wins a tie.  Each different URL is expanded once into its host's suffixes
     times its path's prefixes, of the lengths that rules have; an expression meets the rules on
     the first four bytes of its SHA-256, and the full digest confirms.  A URL without a rule gets
-    ``default``; a null or malformed one has no host and path.  Repeated rows stay.
+    ``default``; a null or malformed one has no host and path.  Repeated rows stay;
+    columns of the added names are replaced.
     """
     table = cut(rules.where("host is not null and verdict is not null").select(
         "verdict", F.concat("host", F.coalesce("path", F.lit(""))).alias("rule"), F.length("host").alias("host_len"),
@@ -63,8 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     wide = wide.select("u", _digest(F.col("x")).alias("d")).withColumn("prefix", F.substring("d", 1, 8))
     near = wide.join(F.broadcast(table) if table.count() <= MAX_BROADCAST else table, "prefix").where("d = digest")
     best = cut(near.groupBy("u").agg(F.max(F.struct(
-        F.length("rule").alias("n"), F.col("host_len").alias("hn"), (F.col("verdict") == "block").alias("blocks"), F.col("rule"), F.col("verdict"))).alias("best")))
+        F.length("rule").alias("n"), F.col("host_len").alias("hn"), (F.col("verdict") == "block").alias("blocks"), F.col("rule"), F.col("verdict"))).alias("__best")).withColumnRenamed("u", "__u"))
     host, path = split_url(F.col(url))
-    return pages.join(best, F.col(url) == F.col("u"), "left").select(
-        *pages.columns, host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return pages.join(best, F.col(url) == F.col("__u"), "left").select(
+        *(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")), host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
