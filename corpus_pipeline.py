@@ -1,23 +1,54 @@
-"""A corpus cleaned and packed in stages, each of which calls one operator of ``trellis.llm``."""
+"""A corpus cleaned and packed in stages, each of which calls one operator of ``trellis.llm``.
+
+Every stage works on all documents that the one before kept.  Null ids and texts pass as the
+operators say; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trellis.llm import simhash
+from trellis.llm import decontamination, linededup, packing, quality, simhash
 from trellis.plans.lineage import cut
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is beyond their language's limit go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages go; so do documents of which nothing is left."""
+    left = linededup.dedup_lines(docs)
+    left = left.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of at most 4096 tokens."""
+    return packing.pack(packing.pieces(docs))
+
+
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
     ("near dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", best_fit_packing),
 ]
 
-#: Fingerprints and the language model have no SQL form.
+#: The language model, fingerprints and packing have no SQL form.
 ORACLE_SQL = None
 
 
