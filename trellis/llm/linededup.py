@@ -51,6 +51,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     its row, with an empty text.  Other columns pass through; ones of the added names are replaced.
     """
     gone = cut(covered_lines(docs)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
+    gone = gone.hint("merge")  # one plan at every size: what is gone grows with the documents
     rows = docs.withColumn("__h", text_hash("text"))
     both = rows.join(gone, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     both = both.withColumn("__ls", _lines())
