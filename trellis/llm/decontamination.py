@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.text import WORD, ascii_lower, text_hash, whole, words
+from trellis.llm.text import LOWER, UPPER, WORD, ascii_lower, held, text_hash, whole, words
 from trellis.plans.lineage import cut
 
 #: Hashes that travel inside the plan at most; beyond, candidates are found by a shuffled join.
@@ -44,20 +44,22 @@ def _grams(wins: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _grid(n: int) -> str:
-    """SQL for the hashes at the grid positions of the array ``w``."""
+    """SQL for the hashes at the grid positions of the array ``__w``."""
     g, stride = _shape(n)
-    return f"transform(sequence(1, size(w) - {g} + 1, {stride}), i -> xxhash64(slice(w, i, {g})))"
+    return f"transform(sequence(1, size(__w) - {g} + 1, {stride}), i -> xxhash64(slice(__w, i, {g})))"
 
 
 def _listed(hashes: list[int]) -> str:
     return ", ".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in hashes)
 
 
-def _marked(docs: DataFrame, wins: DataFrame, lengths: list[int], max_broadcast: int) -> DataFrame:
-    """``docs`` with ``w`` (lower-cased words) and ``at``: the places (pos from 1, len) to verify."""
-    split = docs.withColumn("w", words(F.lower(whole("text"))))
+def _marked(docs: DataFrame, wins: DataFrame, lengths: list[int], max_broadcast: int) -> tuple[DataFrame, bool]:
+    """``docs`` with ``__w`` (lower-cased words) and ``__at``: the places (pos from 1, len) to verify;
+    and whether the hashes travelled in the plan."""
+    split = held(docs, "__w", words(F.lower(whole("text"))))
     grams = _grams(wins, lengths)
-    if grams.count() <= max_broadcast:
+    sent = grams.count() <= max_broadcast
+    if sent:
         by: dict[int, list[int]] = {n: [] for n in lengths}
         for n, h in grams.collect():
             by[n].append(h)
@@ -67,19 +69,20 @@ def _marked(docs: DataFrame, wins: DataFrame, lengths: list[int], max_broadcast:
         parts = []
         for n in lengths:
             g, stride = _shape(n)
-            meets = f"exists(sequence(1, size(w) - {g} + 1, {stride}), i -> xxhash64(slice(w, i, {g})) in ({_listed(by[n])}))"
-            found = f"filter(sequence(1, size(w) - {n} + 1), i -> xxhash64(slice(w, i, {n})) in ({_listed(full[n])}))"
-            parts.append(f"case when size(w) >= {n} then case when {meets} then transform({found}, i -> struct(i as pos, {n} as len)) end end")
+            meets = f"exists(sequence(1, size(__w) - {g} + 1, {stride}), i -> xxhash64(slice(__w, i, {g})) in ({_listed(by[n])}))"
+            found = f"filter(sequence(1, size(__w) - {n} + 1), i -> xxhash64(slice(__w, i, {n})) in ({_listed(full[n])}))"
+            parts.append(f"case when size(__w) >= {n} then case when {meets} then transform({found}, i -> struct(i as pos, {n} as len)) end end")
     else:
+        split = split.withColumn("__th", text_hash("text"))
         cells = None
         for n in lengths:
-            own = split.where(F.size("w") >= n).select(F.col("th"), F.lit(n).alias("length"), F.explode(F.expr(_grid(n))).alias("h"))
+            own = split.where(F.size("__w") >= n).select("__th", F.lit(n).alias("length"), F.explode(F.expr(_grid(n))).alias("h"))
             cells = own if cells is None else cells.unionAll(own)
-        hot = cut(cells.join(cut(grams), ["length", "h"], "left_semi").select("th").distinct().withColumn("meets", F.lit(True)))
-        split = split.join(hot, "th", "left")
-        parts = [f"case when meets and size(w) >= {n} then transform(sequence(1, size(w) - {n} + 1), i -> struct(i as pos, {n} as len)) end" for n in lengths]
+        hot = cut(cells.join(cut(grams), ["length", "h"], "left_semi").select(F.col("__th").alias("__hot")).distinct()).hint("merge")
+        split = split.join(hot, F.col("__th") == F.col("__hot"), "left")
+        parts = [f"case when __hot is not null and size(__w) >= {n} then transform(sequence(1, size(__w) - {n} + 1), i -> struct(i as pos, {n} as len)) end" for n in lengths]
     empty = "cast(array() as array<struct<pos:int,len:int>>)"
-    return split.withColumn("at", F.expr("concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + f", {empty})"))
+    return held(split, "__at", F.expr("concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + f", {empty})")), sent
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -94,13 +97,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_broadcast:
     wins = cut(windows(benchmark, width))
     lengths = sorted(r[0] for r in wins.select("length").distinct().collect())
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", text_hash("text").alias("th"))
-    marked = _marked(rows, wins, lengths, max_broadcast)
+    marked, sent = _marked(rows, wins, lengths, max_broadcast)
     exact = words(ascii_lower(whole("text")))
-    tried = marked.select("row", "doc_id", "th", F.size("w").cast("long").alias("n_words"), "at", F.when(F.size("at") > 0, exact).alias("e"))
+    tried = marked.select("row", "doc_id", "th", F.size("__w").cast("long").alias("n_words"), "__at", F.when(F.size("__at") > 0, exact).alias("e"))
     tried = tried.select("row", "doc_id", "th", "n_words", F.explode_outer(F.expr(
-        "transform(at, a -> struct(a.pos as pos, a.len as len, array_join(slice(e, a.pos, a.len), ' ') as win))")).alias("x"))
+        "transform(__at, a -> struct(a.pos as pos, a.len as len, array_join(slice(e, a.pos, a.len), ' ') as win))")).alias("x"))
     key = F.col("x.win") == wins.win
-    sure = tried.join(F.broadcast(wins) if wins.count() <= max_broadcast else wins, key, "left")
+    sure = tried.join(F.broadcast(wins) if sent else wins, key, "left")
     met = F.col("win").isNotNull()
     grouped = sure.groupBy("row", "doc_id", "th", "n_words").agg(
         F.array_sort(F.collect_list(F.when(met, F.struct(F.col("x.pos").alias("pos"), F.col("x.len").alias("len"))))).alias("spans"),
@@ -110,22 +113,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_broadcast:
     return grouped.select("row", "doc_id", "th", "n_words", F.expr(fold).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.0, width: int = 10) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.0, width: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``docs`` without benchmark passages; columns stay.
 
     A document whose share of hit words exceeds ``drop_share`` goes; in others the hit words are
-    cut from the text, each with the gap behind it.  With 0 every hit document goes.  Rows that
-    repeat an id and its text have one fate.
+    cut from the text, each with the gap behind it.  With 0 every hit document goes.  While the
+    windows travel in the plan, each row is judged where it is read, and hits are verified against
+    the words of the windows; nothing is shuffled.
     """
-    bad = scan(docs.select("doc_id", "text"), benchmark, width).where("n_hit > 0")
-    bad = cut(bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "n_words", "n_hit", "spans").dropDuplicates(["__id", "__h"]))
-    rows = docs.withColumn("__th", text_hash("text"))
-    same = (F.col("__th") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    wins = cut(windows(benchmark, width))
+    lengths = sorted(r[0] for r in wins.select("length").distinct().collect())
+    marked, sent = _marked(docs, wins, lengths, max_broadcast)
+    marked = held(marked, "__words", F.when(F.size("__at") > 0, words(whole("text"))))
+    said = f"translate(array_join(slice(__words, a.pos, a.len), ' '), '{UPPER}', '{LOWER}')"
+    if sent:
+        known = ", ".join(f"'{r[0]}'" for r in wins.select("win").collect()) or "''"  # words hold no quotes
+        marked = held(marked, "__hits", F.expr(f"filter(__at, a -> {said} in ({known}))"))
+    else:
+        marked = marked.withColumn("__row", F.monotonically_increasing_id())
+        marked = cut(marked)
+        tried = marked.select("__row", F.explode("__at").alias("a"), F.col("__words")).select("__row", "a", F.expr(said).alias("win"))
+        hits = tried.join(wins, "win", "left_semi").groupBy(F.col("__row").alias("__of")).agg(F.collect_set("a").alias("__hits"))
+        marked = marked.join(cut(hits).hint("merge"), F.col("__row") == F.col("__of"), "left")
+    hit = F.coalesce(F.size("__hits") > 0, F.lit(False))
     if drop_share <= 0:
-        return rows.join(bad, same, "left_anti").select(*docs.columns)
-    both = rows.join(bad, same, "left").where(F.col("__h").isNull() | (F.col("n_hit") <= drop_share * F.col("n_words")))
-    both = both.withColumn("__words", F.when(F.col("__h").isNotNull(), words(whole("text"))))
-    both = both.withColumn("__gaps", F.when(F.col("__h").isNotNull(), F.split(whole("text"), WORD)))
-    left = "array_except(sequence(1, size(__words)), flatten(transform(spans, s -> sequence(s.pos, s.pos + s.len - 1))))"
-    text = F.expr(f"concat(__gaps[0], array_join(transform({left}, i -> concat(__words[i - 1], __gaps[i])), ''))")
-    return both.withColumn("text", F.when(F.col("__h").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+        return marked.where(~hit).select(*docs.columns)
+    covered = "flatten(transform(__hits, s -> sequence(s.pos, s.pos + s.len - 1)))"
+    marked = marked.withColumn("__left", F.when(hit, F.expr(f"array_except(sequence(1, size(__words)), {covered})")))
+    marked = marked.withColumn("__gaps", F.when(hit, F.split(whole("text"), WORD)))
+    kept = marked.where(~hit | (F.size("__words") - F.size("__left") <= drop_share * F.size("__words")))
+    text = F.expr("concat(__gaps[0], array_join(transform(__left, i -> concat(__words[i - 1], __gaps[i])), ''))")
+    return kept.withColumn("text", F.when(hit, text).otherwise(F.col("text"))).select(*docs.columns)

@@ -130,7 +130,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     first = near_duplicates(docs).groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("k"))
-    first = cut(first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th")))
+    first = cut(first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))).hint("merge")
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = rows.join(first, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates(["__h", "doc_id"]).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,3 +29,12 @@ def whole(text: Column | str) -> Column:
 
 def text_hash(text: Column | str) -> Column:
     return F.xxhash64(whole(text))
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row.
+
+    A plain alias may be copied into the filters and lambdas that read it, and then be computed for
+    every element; a generator's output may not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
