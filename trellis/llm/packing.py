@@ -9,7 +9,9 @@ its block.  A block whose packing reaches the lower bound is finished and does n
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,32 +34,70 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_MARK = re.compile("[\u0300-\u036f\u1ab0-\u20ff]")
+
+
+def _fold(text: str) -> str:
+    """A-Z lower-cased, as the vocabulary does itself; not where a mark may join the letter first."""
+    return text.lower() if text.isascii() else text if _MARK.search(text) else text.encode().lower().decode()
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by a vocabulary file.
 
-    The vocabulary's splitter never joins what a space or line feed parts, so texts are encoded
-    part by part and parts are remembered.  A part that holds a special token's opening is encoded
-    together with its whole text.  The memory is emptied when it holds ``room`` parts.
+    The vocabulary's splitter never joins what a space or line feed parts, nor a run of letters
+    with the stop or comma behind it, so texts are encoded part by part and parts are remembered.
+    A text that holds a special token's opening is encoded whole.  The older half of the memory is
+    dropped when it holds ``room`` parts.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, room: int = 1_200_000):
+        import os
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        from tokenizers import Tokenizer
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        fresh = [p for p in dict.fromkeys(parts) if p not in known]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
+        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {"": b""}
+        self.marks = {m: self._whole(m) for m in ".,"}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Add parts to the memory, with one call for all that must be encoded."""
+        known, marks = self.known, self.marks
+        ended = [p for p in fresh if p[-1] in marks and p[:-1].isalpha()]
+        plain = set(fresh).difference(ended)
+        plain.update(c for c in (p[:-1] for p in ended) if c not in known)
+        plain = list(plain)
+        for part, code in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            known[part] = array("I", code.ids).tobytes()
+        for part in ended:
+            known[part] = known[part[:-1]] + marks[part[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.room:
+            for part in list(self.known)[1 : len(self.known) // 2]:
+                del self.known[part]
+        get = self.known.get
+        split = [None if "<|" in text else _fold(text).replace("\n", " ").split(" ") for text in texts]
+        found = [None if parts is None else list(map(get, parts)) for parts in split]
+        fresh = {p for parts, codes in zip(split, found) if parts is not None and None in codes for p, c in zip(parts, codes) if c is None}
         if fresh:
-            if len(known) + len(fresh) > self.room:
-                known.clear()
-                fresh = list(dict.fromkeys(parts))
-            for part, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[part] = np.array(code.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+            self._learn(list(fresh))
+        return [self._whole(text) if parts is None else b"".join(map(get, parts) if None in codes else codes)
+                for text, parts, codes in zip(texts, split, found)]
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps its memory between tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_trellis_encoders", types.ModuleType("_trellis_encoders"))
+    if path not in kept.__dict__:
+        kept.__dict__[path] = Encoder(path)
+    return kept.__dict__[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -72,15 +112,16 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
     end, full = int(end_id).to_bytes(4, "little"), 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = _encoder(path)
         for batch in batches:
             at, out = [], []
-            for i, body in enumerate(batch.column(1)):
-                ids = encode(body.as_py()) + end
-                for k, lo in enumerate(range(0, len(ids), full)):
-                    part = ids[lo : lo + full]
-                    at.append(i)
-                    out.append((k, lo // 4, len(part) // 4, zlib.crc32(part)))
+            for first in range(0, len(batch), 128):
+                for i, ids in enumerate(encode(batch.column(1)[first : first + 128].to_pylist()), first):
+                    ids += end
+                    for k, lo in enumerate(range(0, len(ids), full)):
+                        part = ids[lo : lo + full]
+                        at.append(i)
+                        out.append((k, lo // 4, len(part) // 4, zlib.crc32(part)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
