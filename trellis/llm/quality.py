@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,7 +197,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lan
     if not _fits(model, max_broadcast):
         return _score_by_join(rows, model, keep)
     spark = docs.sparkSession
-    arrays = lambda t: tuple(t.toPandas().iloc[:, i].to_numpy() for i in (0, 1))
+    arrays = lambda t: tuple(c.to_numpy() for c in t.toArrow().columns)
     sent = spark.sparkContext.broadcast(([arrays(t) for t in model.grams], [arrays(t) for t in model.contexts]))
     order, floor = model.order, model.floor
 
