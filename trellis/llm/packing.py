@@ -9,7 +9,6 @@ its block.  A block whose packing reaches the lower bound is finished and does n
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +34,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_MARK = re.compile("[\u0300-\u036f\u1ab0-\u20ff]")
-
-
-def _fold(text: str) -> str:
-    """A-Z lower-cased, as the vocabulary does itself; not where a mark may join the letter first."""
-    return text.lower() if text.isascii() else text if _MARK.search(text) else text.encode().lower().decode()
+#: Marks that may join the letter before them into one character (fixed values).
+MARKS = "[\u0300-\u036f\u1ab0-\u20ff\u3099\u309a]"
 
 
 class Encoder:
@@ -47,11 +43,12 @@ class Encoder:
 
     The vocabulary's splitter never joins what a space or line feed parts, nor a run of letters
     with the stop or comma behind it, so texts are encoded part by part and parts are remembered.
-    A text that holds a special token's opening is encoded whole.  The older half of the memory is
-    dropped when it holds ``room`` parts.
+    Words are numbered by Arrow and only different ones are looked up.  A text that holds a special
+    token's opening is encoded whole.  The older half of the memory is dropped when it holds
+    ``room`` parts.
     """
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 900_000):
         import os
 
         from tokenizers import Tokenizer
@@ -75,18 +72,37 @@ class Encoder:
         for part in ended:
             known[part] = known[part[:-1]] + marks[part[-1]]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, and where each text's begin and end (one more than texts)."""
+        # A-Z are lower-cased first, as the vocabulary does itself; not where a mark may join the letter.
+        folded = pc.if_else(pc.match_substring_regex(texts, MARKS), texts, pc.ascii_lower(texts))
+        special = pc.match_substring(texts, "<|")
+        folded = pc.if_else(special, "", pc.replace_substring(folded, "\n", " "))
+        split = pc.split_pattern(folded, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > self.room:
             for part in list(self.known)[1 : len(self.known) // 2]:
                 del self.known[part]
-        get = self.known.get
-        split = [None if "<|" in text else _fold(text).replace("\n", " ").split(" ") for text in texts]
-        found = [None if parts is None else list(map(get, parts)) for parts in split]
-        fresh = {p for parts, codes in zip(split, found) if parts is not None and None in codes for p, c in zip(parts, codes) if c is None}
-        if fresh:
-            self._learn(list(fresh))
-        return [self._whole(text) if parts is None else b"".join(map(get, parts) if None in codes else codes)
-                for text, parts, codes in zip(texts, split, found)]
+        codes = list(map(self.known.get, words))
+        missing = [i for i, c in enumerate(codes) if c is None]
+        if missing:
+            self._learn([words[i] for i in missing])
+            for i in missing:
+                codes[i] = self.known[words[i]]
+        every = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        length = sizes[at]
+        stop = np.cumsum(length)
+        ids = every[np.repeat((np.cumsum(sizes) - sizes)[at] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+        bounds = np.concatenate([[0], stop])[np.asarray(split.offsets)]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            own = np.frombuffer(self._whole(texts[i].as_py()), "<u4")
+            a, b = int(bounds[i]), int(bounds[i + 1])
+            ids = np.concatenate([ids[:a], own, ids[b:]])
+            bounds[i + 1 :] += len(own) - (b - a)
+        return ids, bounds
 
 
 def _encoder(path: str) -> Encoder:
@@ -100,6 +116,16 @@ def _encoder(path: str) -> Encoder:
     return kept.__dict__[path]
 
 
+def _slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together, or of one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, most + (ends[first - 1] if first else 0), "right")))
+        yield first, last
+        first = last
+
+
 def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = 1, text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: every document's ids and ``end_id``, cut at ``max_tokens``.
 
@@ -115,9 +141,11 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
         encode = _encoder(path)
         for batch in batches:
             at, out = [], []
-            for first in range(0, len(batch), 128):
-                for i, ids in enumerate(encode(batch.column(1)[first : first + 128].to_pylist()), first):
-                    ids += end
+            for first, last in _slices(batch.column(1)):
+                every, bounds = encode(batch.column(1)[first:last])
+                held = every.tobytes()
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), first):
+                    ids = held[4 * a : 4 * b] + end
                     for k, lo in enumerate(range(0, len(ids), full)):
                         part = ids[lo : lo + full]
                         at.append(i)
