@@ -14,13 +14,14 @@ from trellis.plans.lineage import cut
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``nth, line`` of one text file, from 0.
+    """``nth, line`` of a text file, or of the part files of a folder in order of name, from 0.
 
-    The file is read in one piece per partition, and partitions follow each other in the file's
-    order, so a line's number is its place within its partition plus the lines before.
+    A line's number is its place within the block of the file that was read, plus the lines of
+    the blocks before; there is one row for each block in the sums.
     """
-    read = spark.read.text(path).select(F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("at"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    read = cut(read)
+    read = cut(spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
     order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = read.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("low")).select("block", "low", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
     return read.join(F.broadcast(counts), "block").select((F.col("offset") + F.col("at") - F.col("low")).alias("nth"), "line")
@@ -50,11 +51,11 @@ def read_tagged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     text = cut(lines(spark, path))
     nodes = _between(text, "$Nodes", "$EndNodes").where("k > 0")
-    coords = nodes.select(F.col("w")[0].cast("long").alias("id"), *(F.col("w")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")))
+    coords = nodes.select(F.get("w", F.lit(0)).try_cast("long").alias("id"), *(F.get("w", F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate("xyz")))
     named = cut(renumber(coords, "id"))
     elements = _between(text, "$Elements", "$EndElements").where("k > 0")
-    cells = elements.select("k", F.col("w")[1].cast("int").alias("kind"), F.col("w")[2].cast("int").alias("tags"), F.col("w")[3].cast("int").alias("tag"), "w")
-    cells = cells.select((F.col("k") - 1).alias("elem"), "kind", F.when(F.col("tags") > 0, F.col("tag")).alias("tag"), F.expr("transform(slice(w, 4 + tags, size(w)), x -> cast(x as bigint))").alias("ids"))
+    cells = elements.select("k", F.get("w", F.lit(1)).try_cast("int").alias("kind"), F.get("w", F.lit(2)).try_cast("int").alias("tags"), F.get("w", F.lit(3)).try_cast("int").alias("tag"), "w")
+    cells = cells.select((F.col("k") - 1).alias("elem"), "kind", F.when(F.col("tags") > 0, F.col("tag")).alias("tag"), F.expr("transform(slice(w, 4 + tags, size(w)), x -> try_cast(x as bigint))").alias("ids"))
     placed = cells.select("elem", "kind", "tag", F.posexplode("ids").alias("pos", "old")).join(named, "old")
     rows = placed.groupBy("elem", "kind", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("nodes"))
     return rows, coords.join(named, F.col("id") == F.col("old")).select(F.col("new").alias("node"), "x", "y", "z")
@@ -90,9 +91,9 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     head = text.where(F.lower(F.trim("line")).startswith("mesh")).orderBy("nth").first().line
     size = int(head.lower().split("nnode")[1].split()[0])
     coords = _between(text, "Coordinates", "End Coordinates")
-    coords = coords.select(F.col("w")[0].cast("long").alias("id"), F.col("w")[1].cast("double").alias("x"), F.col("w")[2].cast("double").alias("y"), F.coalesce(F.try_element_at("w", F.lit(4)).cast("double"), F.lit(0.0)).alias("z"))
+    coords = coords.select(F.get("w", F.lit(0)).try_cast("long").alias("id"), F.get("w", F.lit(1)).try_cast("double").alias("x"), F.get("w", F.lit(2)).try_cast("double").alias("y"), F.coalesce(F.try_element_at("w", F.lit(4)).try_cast("double"), F.lit(0.0)).alias("z"))
     named = cut(renumber(coords, "id"))
-    cells = _between(text, "Elements", "End Elements").select(F.col("k").alias("elem"), F.try_element_at("w", F.lit(size + 2)).cast("int").alias("tag"), F.transform(F.slice("w", 2, size), lambda x: x.cast("long")).alias("ids"))
+    cells = _between(text, "Elements", "End Elements").select(F.col("k").alias("elem"), F.try_element_at("w", F.lit(size + 2)).try_cast("int").alias("tag"), F.transform(F.slice("w", 2, size), lambda x: x.try_cast("long")).alias("ids"))
     placed = cells.select("elem", "tag", F.posexplode("ids").alias("pos", "old")).join(named, "old")
     rows = placed.groupBy("elem", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("nodes"))
     return rows, coords.join(named, F.col("id") == F.col("old")).select(F.col("new").alias("node"), "x", "y", "z")
@@ -144,8 +145,8 @@ def read_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     head = text.orderBy("nth").first().line.lower()
     body = text.where(~F.col("line").startswith("%") & (F.trim("line") != "")).select("nth", F.split(F.trim("line"), r"\s+").alias("w"))
     first = body.orderBy("nth").first()
-    v = F.lit(None).cast("double") if "pattern" in head else F.col("w")[2].cast("double")
-    cells = body.where(F.col("nth") > first.nth).select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), v.alias("v"))
+    v = F.lit(None).cast("double") if "pattern" in head else F.get("w", F.lit(2)).try_cast("double")
+    cells = body.where(F.col("nth") > first.nth).select((F.get("w", F.lit(0)).try_cast("long") - 1).alias("i"), (F.get("w", F.lit(1)).try_cast("long") - 1).alias("j"), v.alias("v"))
     if "symmetric" in head:
         cells = cells.unionAll(cells.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     return cells, int(first.w[0]), int(first.w[1])
