@@ -24,7 +24,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 
     Lines are compared without the spaces around them; a window of blank lines is none.
     """
-    rows = docs.select("doc_id", text_hash("text").alias("th"), F.transform(_lines(), F.trim).alias("ls")).where(F.size("ls") >= SPAN)
+    rows = docs.select("doc_id", text_hash("text").alias("th"), F.transform(_lines(), lambda x: F.trim(x)).alias("ls")).where(F.size("ls") >= SPAN)
     each = rows.select("doc_id", "th", F.posexplode(F.expr(
         f"transform(sequence(1, size(ls) - {SPAN} + 1), i -> struct(xxhash64(slice(ls, i, {SPAN})) as h1, "
         f"xxhash64('window', slice(ls, i, {SPAN})) as h2, array_join(slice(ls, i, {SPAN}), '') = '' as blank))")).alias("pos", "w"))
