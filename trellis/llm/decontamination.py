@@ -57,6 +57,9 @@ def _marked(docs: DataFrame, wins: DataFrame, lengths: list[int], max_broadcast:
     """``docs`` with ``__w`` (lower-cased words) and ``__at``: the places (pos from 1, len) to verify;
     and whether the hashes travelled in the plan."""
     split = held(docs, "__w", words(F.lower(whole("text"))))
+    empty = "cast(array() as array<struct<pos:int,len:int>>)"
+    if not lengths:
+        return held(split, "__at", F.expr(empty)), True
     grams = _grams(wins, lengths)
     sent = grams.count() <= max_broadcast
     if sent:
@@ -81,7 +84,6 @@ def _marked(docs: DataFrame, wins: DataFrame, lengths: list[int], max_broadcast:
         hot = cut(cells.join(cut(grams), ["length", "h"], "left_semi").select(F.col("__th").alias("__hot")).distinct()).hint("merge")
         split = split.join(hot, F.col("__th") == F.col("__hot"), "left")
         parts = [f"case when __hot is not null and size(__w) >= {n} then transform(sequence(1, size(__w) - {n} + 1), i -> struct(i as pos, {n} as len)) end" for n in lengths]
-    empty = "cast(array() as array<struct<pos:int,len:int>>)"
     return held(split, "__at", F.expr("concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + f", {empty})")), sent
 
 
