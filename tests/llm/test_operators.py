@@ -389,6 +389,17 @@ def test_kneser_ney_by_definition(spark):
         assert abs(got - brute_kn(texts, quality.ORDER, probe)) < 1e-6
 
 
+def test_long_texts_come_in_runs():
+    texts = ["abc" * 50, "", "hello", "x" * 7, "🙂 " * 30]
+    whole = [quality.keys_of([t])[0] for t in texts]
+    for most in (4, 9, 60, 1000):
+        got = [[] for _ in texts]
+        for at, lengths, keys in quality.key_runs(pa.array(texts), most=most):
+            for i, part in zip(at, np.split(keys, np.cumsum(lengths)[:-1])):
+                got[i].append(part)
+        assert all(np.array_equal(np.concatenate([*g, np.zeros(0, np.int64)]), w) for g, w in zip(got, whole))
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["__good"] for r in quality.classify(docs(spark, ODD), none).collect())

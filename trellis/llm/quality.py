@@ -52,6 +52,31 @@ def keys_of(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return keys[own], lengths
 
 
+def key_runs(texts: pa.Array, order: int = ORDER, most: int = 1 << 19) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Texts' places, their numbers of characters and their keys, about ``most`` characters at a time.
+
+    A longer text comes in several runs, each of which knows the characters before it.
+    """
+    at, held, size = [], [], 0
+    for i, value in enumerate(texts):
+        text = value.as_py()
+        if len(text) > most:
+            for lo in range(0, len(text), most):
+                back = min(lo, order - 1)
+                keys, _ = keys_of([text[lo - back : lo + most]], order)
+                yield [i], np.array([len(keys) - back]), keys[back:]
+            continue
+        at.append(i), held.append(text)
+        size += len(text)
+        if size >= most:
+            keys, lengths = keys_of(held, order)
+            yield at, lengths, keys
+            at, held, size = [], [], 0
+    if held:
+        keys, lengths = keys_of(held, order)
+        yield at, lengths, keys
+
+
 def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``(g, c)``: how often each n-gram stands in the texts of ``docs``."""
 
@@ -63,13 +88,16 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             return every, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
 
         for batch in batches:
-            g, c = np.unique(keys_of(batch.column(0).to_pylist(), order)[0], return_counts=True)
-            held.append(g), counts.append(c)
-            size += len(g)
-            if size > 3_000_000:
-                g, c = drain()
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
-                held, counts, size = [], [], 0
+            for _, _, keys in key_runs(batch.column(0), order):
+                g, c = np.unique(keys, return_counts=True)
+                held.append(g), counts.append(c)
+                size += len(g)
+                if size > 1_500_000:
+                    g, c = drain()
+                    held, counts, size = [g], [c], len(g)
+                    if size > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
+                        held, counts, size = [], [], 0
         if held:
             g, c = drain()
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
@@ -206,11 +234,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lan
         for batch in batches:
             texts = batch.column(len(keep))
             n, lp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for lo in range(0, len(texts), 256):
-                keys, n[lo : lo + 256] = keys_of(texts[lo : lo + 256].to_pylist(), order)
-                sums = np.concatenate([[0.0], np.cumsum(scorer.log_probs(keys))])
-                ends = np.cumsum(n[lo : lo + 256])
-                lp[lo : lo + 256] = sums[ends] - sums[ends - n[lo : lo + 256]]
+            for at, lengths, keys in key_runs(texts, order):
+                sums, ends = np.concatenate([[0.0], np.cumsum(scorer.log_probs(keys))]), np.cumsum(lengths)
+                n[at] += lengths
+                lp[at] += sums[ends] - sums[ends - lengths]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(lp)], names=[*keep, "__n", "__lp"])
 
     return rows.mapInArrow(run, schema)
