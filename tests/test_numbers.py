@@ -106,3 +106,26 @@ def test_oscillator(spark):
     out = solvers.integrate(one, none, one, start, lambda t: zero, 0.1, 2)
     for r in out.collect():
         assert abs(r.u - math.cos(0.1 * r.step)) < 1e-3
+
+
+def test_powers_and_small_matrices(spark):
+    a = np.array([[1.0, 2], [0.5, 3]])
+    m = matrix(spark, a)
+    assert np.allclose(full(m.power(5)), np.linalg.matrix_power(a, 5)) and np.allclose(full(m.symmetric_part()), (a + a.T) / 2)
+    assert not m.is_symmetric() and m.symmetric_part().is_symmetric()
+    rows = spark.createDataFrame([(0, a.ravel().tolist()), (1, None), (2, [1.0, 2.0, 2.0, 4.0])], "id long, m array<double>")
+    read = lambda op: [r.out for r in dense.batched(rows, op, 2).orderBy("id").collect()]
+    assert np.allclose(read("determinant")[0], np.linalg.det(a)) and read("determinant")[1] is None
+    assert np.allclose(read("inverse")[0], np.linalg.inv(a).ravel()) and read("inverse")[2] is None
+    values, vectors = np.linalg.eig(a)
+    assert np.allclose(read("exponential")[0], (vectors @ np.diag(np.exp(values)) @ np.linalg.inv(vectors)).real.ravel())
+    assert np.allclose(read("singular_values")[2], [5, 0])
+
+
+def test_curves(spark):
+    curve = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 3.0, 4.0, 0.0), (0, 2, 3.0, 4.0, 5.0)], "curve int, seq int, x double, y double, z double")
+    got = [(r.k, r.x, r.y, r.z) for r in mesh.resample(curve, 5).orderBy("k").collect()]
+    assert np.allclose(got, [(0, 0, 0, 0), (1, 1.5, 2, 0), (2, 3, 4, 0), (3, 3, 4, 2.5), (4, 3, 4, 5)])
+    rows, _ = mesh.rectangle(spark, 3, 2)
+    loop = [r.node for r in mesh.boundary_loops(rows).orderBy("loop", "seq").collect()]
+    assert loop == [0, 1, 2, 3, 7, 11, 10, 9, 8, 4]

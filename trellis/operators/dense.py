@@ -132,3 +132,55 @@ def norm(column: str = "v"):
 def inner(a: str, b: str):
     """Inner product of two array columns."""
     return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def batched(matrices: DataFrame, operation: str, size: int, column: str = "m") -> DataFrame:
+    """One result for each row's own ``size`` by ``size`` matrix (row by row in an array column).
+
+    ``determinant`` gives ``out DOUBLE``; ``inverse``, ``symmetric_eigenvalues``, ``singular_values`` and
+    ``exponential`` give ``out ARRAY<DOUBLE>``.  Whole batches go through one call; a singular
+    matrix's inverse is null, as is the result of a null matrix.  Other columns stay.
+    """
+    names = [*matrices.columns, "out"]
+    at = matrices.columns.index(column)
+    rows = matrices.withColumn(column, F.col(column).cast("array<double>"))
+    scalar = operation == "determinant"
+
+    def compute(x: np.ndarray) -> np.ndarray:
+        if operation == "determinant":
+            return np.linalg.det(x)
+        if operation == "inverse":
+            return np.linalg.inv(x).reshape(len(x), -1)
+        if operation == "symmetric_eigenvalues":
+            return np.linalg.eigvalsh(x)
+        if operation == "singular_values":
+            return np.linalg.svd(x, compute_uv=False)
+        if operation == "exponential":  # by halving, a short series, and squaring
+            halvings = max(0, int(np.ceil(np.log2(max(1e-300, np.abs(x).sum(2).max())))) + 2)
+            y = x / 2.0**halvings
+            term = out = np.broadcast_to(np.eye(size), x.shape)
+            for k in range(1, 20):
+                term = term @ y / k
+                out = out + term
+            for _ in range(halvings):
+                out = out @ out
+            return out.reshape(len(x), -1)
+        raise ValueError(operation)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(at)
+            live = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+            x = given.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, size, size)
+            if operation == "inverse":
+                fine = np.abs(np.linalg.det(x)) > 0
+                live, x = live[fine], x[fine]
+            out = np.full(len(given), None, object)
+            for i, r in zip(live.tolist(), compute(x) if len(x) else []):
+                out[i] = float(r) if scalar else r.tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.tolist(), pa.float64() if scalar else pa.list_(pa.float64()))], names=names)
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("out", T.DoubleType() if scalar else T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as g
+from trellis.operators.components import connected_components
 from trellis.operators.query import node_neighbours
 from trellis.operators.relation import incidences, pairs, renumber
 from trellis.operators.topology import boundary_nodes
@@ -214,3 +215,42 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0
     p, a, b = (g.point(k, space=False) for k in ("p", "a", "b"))
     crossed = met.where(g.edge_crosses_ray(p, a, b)).groupBy("point", "loop").agg(F.count("*").alias("n"))
     return crossed.where("n % 2 = 1").select("point", "loop")
+
+
+def boundary_loops(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``loop, seq, node``: the closed boundary curves of consistently turned triangles.
+
+    A boundary edge runs as its triangle does, and each boundary node has one edge out.  A loop is
+    named by its smallest node, from which ``seq`` counts.  Places are found by doubling: each round
+    every node learns where the next 2^k steps lead, so long curves need few rounds.
+    """
+    local = F.array(*(F.array(F.col("nodes")[i], F.col("nodes")[j]) for i, j in TRIANGLE_EDGES))
+    directed = rows.where("size(nodes) = 3").select(F.explode(local).alias("e")).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
+    back = directed.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    step = cut(directed.join(back, ["a", "b"], "left_anti"))
+    named = cut(connected_components(step))
+    # Distance to the loop's smallest node along the edges, with that node as the end.
+    now = cut(step.join(named.select(F.col("node").alias("a"), F.col("component").alias("loop")), "a").select(
+        "a", "loop", F.when(F.col("a") == F.col("loop"), F.col("a")).otherwise(F.col("b")).alias("to"), F.when(F.col("a") == F.col("loop"), 0).otherwise(1).cast("long").alias("d")))
+    for _ in range(max_rounds):
+        if now.where("to <> loop").isEmpty():
+            break
+        far = now.select(F.col("a").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
+        now = cut(now.join(far, "to").select("a", "loop", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d")))
+    size = now.groupBy("loop").agg(F.count("*").alias("n"))
+    return now.join(size, "loop").select("loop", ((F.col("n") - F.col("d")) % F.col("n")).alias("seq"), F.col("a").alias("node"))
+
+
+def resample(curves: DataFrame, points: int) -> DataFrame:
+    """``curve, k, x, y, z``: ``points`` places evenly spaced along each open curve (curve, seq, x, y, z)."""
+    along = curves.join(arc_length(curves), ["curve", "seq"])
+    order = Window.partitionBy("curve").orderBy("seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    legs = along.select("curve", "s", F.lead("s").over(order).alias("s2"), F.last("s").over(whole).alias("total"), *(c for c in "xyz"), *(F.lead(c).over(order).alias(c + "2") for c in "xyz"), (F.row_number().over(order) == 1).alias("first"))
+    step = F.col("total") / (points - 1)
+    # A leg carries the places in (s, s2], the first one also its start.
+    low = F.when(F.col("first"), F.lit(0)).otherwise(F.floor(F.col("s") / step + 1e-9) + 1)
+    high = F.least(F.floor(F.col("s2") / step + 1e-9), F.lit(points - 1))
+    legs = legs.where("s2 > s and total > 0").withColumn("k", F.explode(F.when(high >= low, F.sequence(low.cast("int"), high.cast("int")))))
+    t = (F.col("k") * step - F.col("s")) / (F.col("s2") - F.col("s"))
+    return legs.select("curve", "k", *((F.col(c) + t * (F.col(c + "2") - F.col(c))).alias(c) for c in "xyz"))

@@ -78,6 +78,27 @@ class Matrix:
         moved = self.cells.join(r, "i").join(c, "j").select(F.col("i2").alias("i"), F.col("j2").alias("j"), "v")
         return self._with(moved, row_ids.count(), column_ids.count())
 
+    def symmetric_part(self) -> Matrix:
+        """Half of this plus its transpose."""
+        return self.add(self.transpose()).scale(0.5)
+
+    def power(self, n: int) -> Matrix:
+        """The n-th power, n at least 1, by squaring; every product is written."""
+        out, base = None, self
+        while n:
+            if n & 1:
+                out = base if out is None else out.times(base)
+                out = out._with(cut(out.cells))
+            n >>= 1
+            if n:
+                base = base.times(base)
+                base = base._with(cut(base.cells))
+        return out
+
+    def is_symmetric(self, tolerance: float = 0.0) -> bool:
+        """Whether no cell differs from its mirror by more than the tolerance; missing cells are zero."""
+        return self.rows == self.columns and self.add(self.transpose(), -1.0).cells.where(F.abs("v") > tolerance).isEmpty()
+
     def diagonal(self) -> DataFrame:
         return self.cells.where("i = j").select("i", "v")
 
