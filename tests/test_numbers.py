@@ -129,3 +129,13 @@ def test_curves(spark):
     rows, _ = mesh.rectangle(spark, 3, 2)
     loop = [r.node for r in mesh.boundary_loops(rows).orderBy("loop", "seq").collect()]
     assert loop == [0, 1, 2, 3, 7, 11, 10, 9, 8, 4]
+
+
+def test_newton_and_inverse_iteration(spark):
+    start = spark.createDataFrame([(0, 2.3), (1, 3.2)], "i long, v double")
+    target = spark.createDataFrame([(0, 4.0), (1, 9.0)], "i long, t double")
+    residual = lambda x: x.join(target, "i").select("i", (F.col("v") * F.col("v") - F.col("t")).alias("v"))
+    jacobian = lambda x: sparse.Matrix(x.select("i", F.col("i").alias("j"), (2 * F.col("v")).alias("v")), 2, 2)
+    assert np.allclose([r.v for r in solvers.newton(residual, jacobian, start, 1e-2, radius=0.3).orderBy("i").collect()], [2, 3], atol=1e-2)
+    value, _ = solvers.smallest_eigenvalue(matrix(spark, [[2.0, 1.0], [1.0, 3.0]]), start, 0.1)
+    assert abs(value - np.linalg.eigvalsh([[2.0, 1.0], [1.0, 3.0]])[0]) < 0.1

@@ -82,3 +82,16 @@ def test_shared_counts_and_products(spark):
     assert sorted(map(tuple, q.neighbours(pairs).collect())) == [(0, 1), (1, 0)]
     turned = pairs.select(F.col("node").alias("elem"), F.col("elem").alias("node"))
     assert sorted(map(tuple, rel.product(pairs, turned).collect())) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_cliques_lookups_and_find(spark):
+    from trellis.operators import symmetry
+
+    rows = frame(spark, {0: [5, 6], 1: [6, 7]})
+    got = {tuple(r)[:3]: r.slot for r in rel.clique_indices(rel.incidences(rows)).collect()}
+    assert got == {(0, 0, 0): 0, (0, 0, 1): 1, (0, 1, 0): 0, (0, 1, 1): 1, (1, 0, 0): 1, (1, 0, 1): 2, (1, 1, 0): 0, (1, 1, 1): 1}
+    assert read(rel.nodes_of(rows, spark.createDataFrame([(1,), (9,)], "elem long"))) == {1: [6, 7]}
+    assert sorted(map(tuple, rel.elements_at(rel.pairs(rel.incidences(rows)), spark.createDataFrame([(6,)], "node long")).collect())) == [(6, 0), (6, 1)]
+    assert rel.dangling(rel.incidences(rows), spark.createDataFrame([(5,), (6,)], "node long")).collect() == [(1, 1, 7)]
+    probes = spark.createDataFrame([(0, [6, 5]), (1, [5, 7])], "probe long, nodes array<long>")
+    assert dict(map(tuple, symmetry.find(rows, probes, symmetry.full(2)).collect())) == {0: 0, 1: None}

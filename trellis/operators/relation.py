@@ -198,3 +198,32 @@ def random_relation(spark: SparkSession, elements: int, nodes: int, degree: int,
     """Rows of up to ``degree`` different nodes drawn at random, the same for the same seed."""
     drawn = F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), k), F.lit(nodes)))
     return spark.range(elements).select(F.col("id").alias("elem"), F.array_sort(F.array_distinct(drawn)).alias("nodes"))
+
+
+def clique_indices(incidence: DataFrame) -> DataFrame:
+    """``elem, i, j, slot``: for each ordered pair of places of an element, where the second place's node
+    stands among the different nodes that the first one's node meets, in order of first meeting.
+
+    A node's meetings are ordered by element and place; this is the cell order of an assembled row.
+    """
+    one = incidence.select("elem", F.col("pos").alias("i"), F.col("node").alias("n1"))
+    met = one.join(incidence.select("elem", F.col("pos").alias("j"), F.col("node").alias("n2")), "elem")
+    first = met.groupBy("n1", "n2").agg(F.min(F.struct("elem", "i", "j")).alias("first"))
+    order = Window.partitionBy("n1").orderBy("first")
+    slots = first.select("n1", "n2", (F.row_number().over(order) - 1).cast("long").alias("slot"))
+    return met.join(slots, ["n1", "n2"]).select("elem", "i", "j", "slot")
+
+
+def nodes_of(rows_: DataFrame, elements: DataFrame) -> DataFrame:
+    """The rows of some elements (elem)."""
+    return rows_.join(elements.select("elem").distinct(), "elem", "left_semi")
+
+
+def elements_at(pairs_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, elem`` of some nodes (node)."""
+    return pairs_.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "elem")
+
+
+def dangling(incidence: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Places whose node is not among ``nodes`` (node)."""
+    return incidence.join(nodes.select("node"), "node", "left_anti").select("elem", "pos", "node")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.operators.sparse import Matrix, _line, solve
+from trellis.operators.sparse import Matrix, _dot, _line, solve
 from trellis.plans.lineage import cut
 
 
@@ -73,3 +73,58 @@ def integrate(mass: Matrix, damping: Matrix, stiffness: Matrix, state: DataFrame
         state = cut(every.join(u1.withColumnRenamed("v", "u"), "i", "left").join(v1, "i", "left").join(a1.withColumnRenamed("v", "a"), "i", "left").na.fill(0.0))
         out = out.unionByName(state.select(F.lit(n).alias("step"), "i", "u", "v", "a"))
     return out
+
+
+def _dogleg(jacobian: Matrix, r: DataFrame, radius: float) -> tuple[DataFrame, float]:
+    """A step within the radius: the full one if it fits, else bent from the steepest descent; and its length."""
+    whole = solve(jacobian, r).select("i", (-F.col("v")).alias("v"))
+    size = _dot(whole, whole) ** 0.5
+    if size <= radius:
+        return whole, size
+    g = cut(jacobian.transpose().apply(r))
+    jg = jacobian.apply(g)
+    slope = _dot(g, g)
+    down = _line(g.limit(0), (-slope / _dot(jg, jg), g))
+    reach = _dot(down, down) ** 0.5
+    if reach >= radius:
+        return _line(down.limit(0), (radius / reach, down)), radius
+    leg = _line(whole, (-1.0, down))
+    a, b, c = _dot(leg, leg), 2 * _dot(down, leg), reach * reach - radius * radius
+    return _line(down, ((-b + (b * b - 4 * a * c) ** 0.5) / (2 * a), leg)), radius
+
+
+def newton(residual: Callable[[DataFrame], DataFrame], jacobian: Callable[[DataFrame], Matrix], start: DataFrame, tolerance: float = 1e-10, max_rounds: int = 50, radius: float = 1.0) -> DataFrame:
+    """``i, v`` where the residual (``i, v``, as the start) vanishes, by Newton steps within a trust region.
+
+    The region grows when a step falls as the linear model said, and shrinks when not.
+    """
+    x = cut(start.select("i", "v"))
+    r = cut(residual(x))
+    size = _dot(r, r) ** 0.5
+    for _ in range(max_rounds):
+        if size <= tolerance:
+            return x
+        j = jacobian(x)
+        step, length = _dogleg(j, r, radius)
+        tried = _line(x, (1.0, step))
+        new = cut(residual(tried))
+        fell, model = size - _dot(new, new) ** 0.5, _line(r, (1.0, j.apply(step)))
+        ratio = fell / max(size - _dot(model, model) ** 0.5, 1e-300)
+        radius = radius / 4 if ratio < 0.25 else 2 * radius if ratio > 0.75 and length >= 0.99 * radius else radius
+        if ratio > 1e-4:
+            x, r, size = tried, new, size - fell
+    raise ArithmeticError(f"no root within {max_rounds} steps")
+
+
+def smallest_eigenvalue(a: Matrix, start: DataFrame, tolerance: float = 1e-10, max_rounds: int = 100) -> tuple[float, DataFrame]:
+    """The eigenvalue of a symmetric matrix nearest zero, and its vector ``i, v``, by inverse iteration."""
+    x = _line(start.limit(0), (1 / _dot(start, start) ** 0.5, start))
+    value = float("inf")
+    for _ in range(max_rounds):
+        y = cut(solve(a, x))
+        size = _dot(y, y) ** 0.5
+        x = _line(y.limit(0), (1 / size, y))
+        value, old = _dot(x, a.apply(x)), value
+        if abs(value - old) <= tolerance * abs(value):
+            return value, x
+    raise ArithmeticError(f"no eigenvalue within {max_rounds} rounds")

@@ -69,3 +69,10 @@ def unique(rows: DataFrame, group: list[tuple[int, ...]]) -> tuple[DataFrame, Da
     keyed = rows.select("elem", canonical("nodes", group).alias("nodes"))
     first = keyed.groupBy("nodes").agg(F.min("elem").alias("kept"))
     return first.select(F.col("kept").alias("elem"), "nodes"), keyed.join(first, "nodes").select("elem", "kept")
+
+
+def find(rows: DataFrame, probes: DataFrame, group: list[tuple[int, ...]]) -> DataFrame:
+    """``probe, elem``: the smallest element that equals each probe (probe, nodes) up to symmetry, or null."""
+    known = rows.select("elem", canonical("nodes", group).alias("key")).groupBy("key").agg(F.min("elem").alias("elem"))
+    asked = probes.select("probe", canonical("nodes", group).alias("key"))
+    return asked.join(known, "key", "left").select("probe", "elem")
