@@ -293,8 +293,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     Repeated rows, ids and labels count as they stand; labels of unknown ids are ignored.
     """
     trusted = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__trusted")).distinct())
-    small = trusted.count() <= max_broadcast
-    ids = F.broadcast(trusted) if small else trusted
+    ids = F.broadcast(trusted) if trusted.count() <= max_broadcast else trusted
     fold = F.pmod(F.xxhash64(whole("text")), F.lit(FOLDS))
     model = train(docs.select("doc_id", "text").where(fold > 0).join(ids, F.col("doc_id") == F.col("__trusted"), "left_semi"))
     extra = [c for c in ("doc_id", "lang") if c not in keep]
@@ -310,23 +309,23 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     rate = measured.withColumn("rate", -F.col("__lp") / F.col("__n"))
     both = lambda by: by.agg(F.percentile_approx("rate", 0.5, 10_000).alias("usual"), F.count("*").alias("of"))
     usual = cut(both(rate.groupBy("__lang")).where(F.col("of") >= LEAST).unionByName(both(rate).select(F.lit(None).cast("string").alias("__lang"), "usual", "of")))
-    calm = _with(measured, usual, small).withColumn("s", _surprise(F.col("usual")))
+    calm = _with(measured, usual).withColumn("s", _surprise(F.col("usual")))
     ends = lambda by: by.agg(F.percentile_approx("s", [0.5, QUANTILE], 10_000).alias("q"), F.count("*").alias("of"))
     limit = ends(calm.groupBy("__lang")).where(F.col("of") >= LEAST).unionByName(ends(calm).select(F.lit(None).cast("string").alias("__lang"), "q", "of"))
     limit = cut(limit.select("__lang", (F.col("q")[1] + MARGIN * (F.col("q")[1] - F.col("q")[0])).alias("limit")))
-    out = _with(_with(scored, usual, small), limit, small).withColumn("__s", F.coalesce(_surprise(F.col("usual")), F.lit(0.0)))
+    out = _with(_with(scored, usual), limit).withColumn("__s", F.coalesce(_surprise(F.col("usual")), F.lit(0.0)))
     return out.select(*keep, "__n", F.exp("__s").alias("__perplexity"), F.exp("limit").alias("__limit"),
                       (F.col("limit").isNull() | (F.col("__n") == 0) | (F.col("__s") <= F.col("limit"))).alias("__good"))
 
 
-def _with(rows: DataFrame, by_lang: DataFrame, small: bool) -> DataFrame:
-    """``rows`` with the value of their language, or else of all; the table is one row a language
-    that many trusted documents share, so it is small whenever their ids are."""
+def _with(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
+    """``rows`` with the value of their language, or else of all; the written table has one row for
+    each language that enough trusted documents share, and is sent to the tasks if those are few."""
     value = [c for c in by_lang.columns if c not in ("__lang", "of")][0]
     own = by_lang.where("__lang is not null").select(F.col("__lang").alias("__l"), F.col(value).alias("__own"))
     all_ = by_lang.where("__lang is null").select(F.col(value)).first()
     rest = F.lit(None if all_ is None else all_[0]).cast("double")
-    joined = rows.join(F.broadcast(own) if small else own, F.col("__lang") == F.col("__l"), "left")
+    joined = rows.join(F.broadcast(own) if by_lang.count() <= 100_000 else own, F.col("__lang") == F.col("__l"), "left")
     return joined.withColumn(value, F.coalesce("__own", rest)).drop("__l", "__own")
 
 
