@@ -158,32 +158,43 @@ def _line(a: DataFrame, *more: tuple[float, DataFrame]) -> DataFrame:
 def solve(a: Matrix, b: DataFrame, tolerance: float = 1e-10, max_rounds: int = 1000) -> DataFrame:
     """``i, v`` with a x = b by stabilised bi-conjugate gradients, scaled by the diagonal.
 
-    Each round is two products and a few inner products; vectors are written to the shared folder.
-    A right side of (nearly) zero gives no lines.
+    All vectors are columns of one table, which each of a round's two products extends and writes
+    to the shared folder; a round's inner products are two aggregates.  A right side of (nearly) zero
+    gives no lines.
     """
-    scale = a.diagonal().select("i", F.when(F.abs("v") > 1e-300, 1.0 / F.col("v")).otherwise(1.0).alias("v"))
-    m = Matrix(cut(a.scale_rows(scale).cells), a.rows, a.columns)
-    r = cut(b.join(scale.select("i", F.col("v").alias("w")), "i", "left").select("i", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("v")))
-    size = _dot(r, r) ** 0.5
-    x = r.limit(0)
-    if size < 1e-300:
-        return x
-    hat, p, v = r, None, None
-    rho = alpha = omega = 1.0
+    scale = a.diagonal().select("i", F.when(F.abs("v") > 1e-300, 1.0 / F.col("v")).otherwise(1.0).alias("w"))
+    m = Matrix(cut(a.cells.join(scale, "i", "left").select("i", "j", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("v"))), a.rows, a.columns)
+    every = m.cells.select("i").union(m.cells.select("j")).union(b.select("i")).distinct()
+    right = b.join(scale, "i", "left").select("i", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("b"))
+    state = cut(every.join(right, "i", "left").select("i", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r")))
+    state = state.select("i", "x", "r", F.col("r").alias("hat"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"))
+
+    def with_product(of: str, name: str) -> DataFrame:
+        made = m.apply(state.select("i", F.col(of).alias("v"))).withColumnRenamed("v", "made")
+        return cut(state.join(made, "i", "left").withColumn(name, F.coalesce("made", F.lit(0.0))).drop("made"))
+
+    def sums(*pairs: str) -> list[float]:
+        return [x or 0.0 for x in state.agg(*(F.sum(F.col(c[0]) * F.col(c[1])) for c in (q.split() for q in pairs))).first()]
+
+    rho, size2 = sums("hat r", "r r")
+    if size2 < 1e-300:
+        return b.limit(0).select("i", "v")
+    beta = omega = 0.0
+    done = tolerance * tolerance * size2
     for _ in range(max_rounds):
-        rho, old = _dot(hat, r), rho
-        if rho == 0:
+        state = state.withColumn("p", F.col("r") + beta * (F.col("p") - omega * F.col("v")))
+        state = with_product("p", "v")
+        lean, left = sums("hat v", "r r")
+        if left <= done:
+            return state.select("i", F.col("x").alias("v"))
+        if lean == 0:
             raise ArithmeticError("the iteration broke down")
-        p = r if p is None else _line(r, (rho / old * alpha / omega, _line(p, (-omega, v))))
-        v = cut(m.apply(p))
-        alpha = rho / _dot(hat, v)
-        s = _line(r, (-alpha, v))
-        if _dot(s, s) ** 0.5 <= tolerance * size:
-            return _line(x, (alpha, p))
-        t = cut(m.apply(s))
-        omega = _dot(t, s) / _dot(t, t)
-        x = _line(x, (alpha, p), (omega, s))
-        r = _line(s, (-omega, t))
-        if _dot(r, r) ** 0.5 <= tolerance * size:
-            return x
+        alpha = rho / lean
+        state = state.withColumn("s", F.col("r") - alpha * F.col("v"))
+        state = with_product("s", "t")
+        ts, tt, hs, ht = sums("t s", "t t", "hat s", "hat t")
+        omega = ts / tt if tt > 0 else 0.0
+        old, rho = rho, hs - omega * ht
+        beta = rho / old * alpha / omega if omega else 0.0
+        state = state.select("i", (F.col("x") + alpha * F.col("p") + omega * F.col("s")).alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "hat", "p", "v")
     raise ArithmeticError(f"no solution within {max_rounds} rounds")
