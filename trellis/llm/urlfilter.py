@@ -64,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     wide = wide.select("u", _digest(F.col("x")).alias("d")).withColumn("prefix", F.substring("d", 1, 8))
     near = wide.join(F.broadcast(table) if table.count() <= MAX_BROADCAST else table, "prefix").where("d = digest")
     best = cut(near.groupBy("u").agg(F.max(F.struct(
-        F.length("rule").alias("n"), F.col("host_len").alias("hn"), (F.col("verdict") == "block").alias("blocks"), F.col("rule"), F.col("verdict"))).alias("__best")).withColumnRenamed("u", "__u"))
+        F.length("rule").alias("n"), F.col("host_len").alias("hn"), (F.col("verdict") == "block").alias("blocks"), F.col("rule"), F.col("verdict"))).alias("__best")).withColumnRenamed("u", "__u")).hint("merge")  # verdicts grow with the pages
     host, path = split_url(F.col(url))
     return pages.join(best, F.col(url) == F.col("__u"), "left").select(
         *(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")), host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"),
