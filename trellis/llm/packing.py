@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import grown
+from trellis.llm.rows import grown, small_batches
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
     pieces but the last are full.
     """
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", whole(text).alias("text"))
     schema = grown(rows.select("doc_id").schema, "piece int, start long, length long, ids_crc32 long")
     end, full = int(end_id).to_bytes(4, "little"), 4 * max_tokens

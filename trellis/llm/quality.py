@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import grown
+from trellis.llm.rows import grown, small_batches
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
@@ -102,6 +102,7 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             g, c = drain()
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
 
+    small_batches(docs.sparkSession)
     return docs.select(whole("text").alias("text")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
@@ -225,6 +226,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lan
     if not _fits(model, max_broadcast):
         return _score_by_join(rows, model, keep)
     spark = docs.sparkSession
+    small_batches(spark)
     arrays = lambda t: tuple(c.to_numpy() for c in t.toArrow().columns)
     sent = spark.sparkContext.broadcast(([arrays(t) for t in model.grams], [arrays(t) for t in model.contexts]))
     order, floor = model.order, model.floor

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 
 def grown(schema: T.StructType, more: str) -> T.StructType:
     """A new schema with the fields of ``schema`` and those of the DDL string ``more``."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Have Spark hand texts to Python in batches of about ``most`` bytes, unless the session has
+    chosen a size.
+
+    A batch is held several times over (by the executor, on the way, and in Python), and texts vary
+    from a word to a book, so bytes, not rows, must bound it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's own default; a chosen value stays
+        spark.conf.set(key, f"{most}b")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import grown
+from trellis.llm.rows import grown, small_batches
 from trellis.operators.components import connected_components
 from trellis.plans.lineage import cut
 
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``fp`` of every row; a null text has no words."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = grown(rows.drop("__text").schema, "fp long")
 
