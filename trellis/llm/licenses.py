@@ -87,8 +87,8 @@ STATEMENTS = [
     ("(?:see|read|per) the {n} licen[cs]e", "licen", 50, 0.6),
 ]
 
-#: A text holds one of these, or no rule is tried.
-STEMS = ("licen", "spdx", "cc", "under the", "subject to", "governed by", "obtain a copy")
+#: A text holds one of these, or the parts of the phrase that has none, or no rule is tried.
+STEMS = ("licen", "spdx", "under", "subject", "governed", "obtain")
 
 
 def default_rules() -> list[Rule]:
@@ -133,7 +133,7 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
     near: Column = F.lit(False)
     for stem in STEMS:
         near = near | F.contains("__low", F.lit(stem))
-    near = near | F.col("__low").rlike(r"under[^a-z0-9]+the|subject[^a-z0-9]+to|governed[^a-z0-9]+by|obtain[^a-z0-9]+a[^a-z0-9]+copy")
+    near = near | (F.contains("__low", F.lit("cc")) & F.contains("__low", F.lit("by")) & F.contains("__low", F.lit("nc")))  # the base phrase without a stem
     low = low.withColumn("__norm", F.when(near, F.concat(F.lit(" "), F.regexp_replace(
         F.translate(whole(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP, "  "), F.lit(" "))))
     # Every word between two spaces of its own, whatever stood at the ends of the text.

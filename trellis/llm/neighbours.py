@@ -18,8 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.plans.lineage import cut
-
 SAMPLE = 20_000
 DATA_BLOCK, QUERY_BLOCK = 16_384, 2_048
 
