@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.text import GAP, WORD, whole
+from trellis.llm.text import GAP, whole, words
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
     low = low.withColumn("__all", F.expr(f"case when __words is not null and __words <> '  ' then array_sort({found}) end"))
     kept = """filter(__all, d -> d.base or not exists(__all, e -> e.start <= d.start and e.stop >= d.stop and
         (e.priority > d.priority or e.priority = d.priority and e.stop - e.start > d.stop - d.start)))"""
-    return low.select(*(c for c in docs.columns if c not in ("n_words", "detections")), F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("n_words"),
+    return low.select(*(c for c in docs.columns if c not in ("n_words", "detections")), F.size(words(whole(text))).cast("long").alias("n_words"),
                       F.expr(f"coalesce({kept}, filter(__all, d -> false))").alias("detections"))
 
 
