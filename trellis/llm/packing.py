@@ -44,11 +44,11 @@ class Encoder:
     The vocabulary's splitter never joins what a space or line feed parts, nor a run of letters
     with the stop or comma behind it, so texts are encoded part by part and parts are remembered.
     Words are numbered by Arrow and only different ones are looked up.  A text that holds a special
-    token's opening is encoded whole.  The older half of the memory is dropped when it holds
-    ``room`` parts.
+    token's opening is encoded whole.  Beyond ``room`` parts the half that came
+    last is dropped: common parts come early.
     """
 
-    def __init__(self, path: str, room: int = 900_000):
+    def __init__(self, path: str, room: int = 500_000):
         import os
 
         from tokenizers import Tokenizer
@@ -67,13 +67,18 @@ class Encoder:
         plain = set(fresh).difference(ended)
         plain.update(c for c in (p[:-1] for p in ended) if c not in known)
         plain = list(plain)
-        for part, code in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            known[part] = array("I", code.ids).tobytes()
+        for lo in range(0, len(plain), 4096):  # an encoding is large while it lasts
+            some = plain[lo : lo + 4096]
+            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[part] = array("I", code.ids).tobytes()
         for part in ended:
             known[part] = known[part[:-1]] + marks[part[-1]]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids end to end, and where each text's begin and end (one more than texts)."""
+        """All texts' ids end to end, and where each text's begin and end (one more than texts).
+
+        The texts hold less than two billion ids together.
+        """
         # A-Z are lower-cased first, as the vocabulary does itself; not where a mark may join the letter.
         folded = pc.if_else(pc.match_substring_regex(texts, MARKS), texts, pc.ascii_lower(texts))
         special = pc.match_substring(texts, "<|")
@@ -82,7 +87,7 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > self.room:
-            for part in list(self.known)[1 : len(self.known) // 2]:
+            for part in list(self.known)[self.room // 2 :]:
                 del self.known[part]
         codes = list(map(self.known.get, words))
         missing = [i for i, c in enumerate(codes) if c is None]
@@ -95,7 +100,9 @@ class Encoder:
         at = coded.indices.to_numpy(zero_copy_only=False)
         length = sizes[at]
         stop = np.cumsum(length)
-        ids = every[np.repeat((np.cumsum(sizes) - sizes)[at] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+        place = np.repeat(((np.cumsum(sizes) - sizes)[at] - stop + length).astype(np.int32), length)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = every[place]
         bounds = np.concatenate([[0], stop])[np.asarray(split.offsets)]
         for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
             own = np.frombuffer(self._whole(texts[i].as_py()), "<u4")

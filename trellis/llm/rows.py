@@ -21,3 +21,10 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":  # Spark's own default; a chosen value stays
         spark.conf.set(key, f"{most}b")
+
+
+def forget_encoders() -> None:
+    """Free what tokenizing tasks left in this worker process for their successors."""
+    import sys
+
+    sys.modules.pop("_trellis_encoders", None)

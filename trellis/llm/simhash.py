@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import grown, small_batches
+from trellis.llm.rows import forget_encoders, grown, small_batches
 from trellis.operators.components import connected_components
 from trellis.plans.lineage import cut
 
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = grown(rows.drop("__text").schema, "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             fps = pa.array([fingerprint(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fps], names=[*keep, "fp"])
