@@ -76,13 +76,14 @@ FAMILIES = [
     ("cc-by-nc-nd", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: \\d \\d)?", "", "cc by nc nd 4 0"),
 ]
 
-#: How a license is stated: expression, keyword, priority, confidence.  {n} is the name, {i} the identifier.
+#: How a license is stated: expression, keyword (with spaces: a whole word), priority, confidence.  {n} is the name, {i} the identifier.
 STATEMENTS = [
-    ("spdx licen[cs]e identifier {i}(?: only| or later)?", "spdx", 90, 0.99),
+    ("spdx licen[cs]e identifier {i}(?: only| or later)?", " spdx ", 90, 0.99),
     ("(?:is |are )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", "licen", 80, 0.95),
-    ("(?:released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", "under", 80, 0.9),
-    ("(?:subject to|governed by) the (?:terms of the )?{n}(?: licen[cs]e)?", "the", 75, 0.85),
-    ("you may obtain a copy of (?:the )?{n}(?: licen[cs]e)?", "obtain", 70, 0.85),
+    ("(?:released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", " under ", 80, 0.9),
+    ("subject to the (?:terms of the )?{n}(?: licen[cs]e)?", " subject ", 75, 0.85),
+    ("governed by the (?:terms of the )?{n}(?: licen[cs]e)?", " governed ", 75, 0.85),
+    ("you may obtain a copy of (?:the )?{n}(?: licen[cs]e)?", " obtain ", 70, 0.85),
     ("(?:dual|multi) licen[cs]ed under (?:the )?{n}(?: licen[cs]e)?", "licen", 85, 0.9),
     ("(?:see|read|per) the {n} licen[cs]e", "licen", 50, 0.6),
 ]
