@@ -48,7 +48,7 @@ class Encoder:
     last is dropped: common parts come early.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 650_000):
         import os
 
         from tokenizers import Tokenizer
