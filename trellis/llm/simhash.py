@@ -125,14 +125,19 @@ def with_smallest_id(members: DataFrame) -> DataFrame:
     return members.join(low, "component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest id, nulls last.
-
-    Columns and their order stay.  Rows that repeat an id and its text count as one.
-    """
-    first = near_duplicates(docs).groupBy("component").agg(
+def first_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``members`` (doc_id, th, component): the smallest id, nulls last."""
+    first = members.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("k"))
     first = cut(first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))).hint("merge")
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = rows.join(first, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates(["__h", "doc_id"]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id, nulls last.
+
+    Columns and their order stay.  Rows that repeat an id and its text count as one.
+    """
+    return first_of(docs, near_duplicates(docs))
