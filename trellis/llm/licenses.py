@@ -30,7 +30,7 @@ class Rule:
     @property
     def regex(self) -> str:
         """For texts in which every word has a space of its own on both sides."""
-        return " " + self.pattern.replace(" ", "  ") + " "
+        return " " + "(?: )?".join(self.pattern.split(" ?")).replace(" ", "  ") + " "
 
 
 #: The phrases whose places are always reported, with their labels (fixed values).
@@ -43,23 +43,23 @@ BASE = [
 #: Licenses: label, how its name is written, a word that every such name holds, and its identifier.
 FAMILIES = [
     ("mit", "(?:mit|expat|x11)", "", "mit"),
-    ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? v?1 1", "apache", "apache 1 1"),
-    ("apache-2", "apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?", "apache", "apache 2 0"),
-    ("gpl-2", "(?:gnu )?(?:general public license|gpl)(?: version)? v?2(?: 0)?", "", "gpl 2 0"),
-    ("gpl-3", "(?:gnu )?(?:general public license|gpl)(?: version)? v?3(?: 0)?", "", "gpl 3 0"),
-    ("lgpl-2.1", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? v?2 1", "", "lgpl 2 1"),
-    ("lgpl-3", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? v?3(?: 0)?", "", "lgpl 3 0"),
-    ("agpl-3", "(?:gnu )?(?:affero general public license|agpl)(?: version)? v?3(?: 0)?", "", "agpl 3 0"),
+    ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? ?v?1 1", "apache", "apache 1 1"),
+    ("apache-2", "apache(?: software)?(?: license)?(?: version)? ?v?2(?: 0)?", "apache", "apache 2 0"),
+    ("gpl-2", "(?:gnu )?(?:general public license|gpl)(?: version)? ?v?2(?: 0)?", "", "gpl 2 0"),
+    ("gpl-3", "(?:gnu )?(?:general public license|gpl)(?: version)? ?v?3(?: 0)?", "", "gpl 3 0"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? ?v?2 1", "", "lgpl 2 1"),
+    ("lgpl-3", "(?:gnu )?(?:lesser general public license|lgpl)(?: version)? ?v?3(?: 0)?", "", "lgpl 3 0"),
+    ("agpl-3", "(?:gnu )?(?:affero general public license|agpl)(?: version)? ?v?3(?: 0)?", "", "agpl 3 0"),
     ("bsd-2", "(?:(?:simplified|freebsd) bsd|(?:bsd )?2 clause(?: bsd)?)", "bsd", "bsd 2 clause"),
     ("bsd-3", "(?:(?:new|modified|revised) bsd|(?:bsd )?3 clause(?: bsd)?)", "bsd", "bsd 3 clause"),
     ("bsd-4", "(?:original bsd|(?:bsd )?4 clause(?: bsd)?)", "bsd", "bsd 4 clause"),
-    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version)? v?1 1", "", "mpl 1 1"),
-    ("mpl-2", "(?:mozilla public license|mpl)(?: version)? v?2(?: 0)?", "", "mpl 2 0"),
-    ("epl-1", "(?:eclipse public license|epl)(?: version)? v?1(?: 0)?", "", "epl 1 0"),
-    ("epl-2", "(?:eclipse public license|epl)(?: version)? v?2(?: 0)?", "", "epl 2 0"),
-    ("cddl-1", "(?:common development and distribution license|cddl)(?: version)? v?1(?: 0)?", "", "cddl 1 0"),
-    ("eupl-1.2", "(?:european union public licen[cs]e|eupl)(?: version)? v?1 2", "", "eupl 1 2"),
-    ("artistic-2", "artistic(?: license)?(?: version)? v?2(?: 0)?", "artistic", "artistic 2 0"),
+    ("mpl-1.1", "(?:mozilla public license|mpl)(?: version)? ?v?1 1", "", "mpl 1 1"),
+    ("mpl-2", "(?:mozilla public license|mpl)(?: version)? ?v?2(?: 0)?", "", "mpl 2 0"),
+    ("epl-1", "(?:eclipse public license|epl)(?: version)? ?v?1(?: 0)?", "", "epl 1 0"),
+    ("epl-2", "(?:eclipse public license|epl)(?: version)? ?v?2(?: 0)?", "", "epl 2 0"),
+    ("cddl-1", "(?:common development and distribution license|cddl)(?: version)? ?v?1(?: 0)?", "", "cddl 1 0"),
+    ("eupl-1.2", "(?:european union public licen[cs]e|eupl)(?: version)? ?v?1 2", "", "eupl 1 2"),
+    ("artistic-2", "artistic(?: license)?(?: version)? ?v?2(?: 0)?", "artistic", "artistic 2 0"),
     ("bsl-1", "boost software(?: license)?(?: version)?(?: 1(?: 0)?)?", "boost", "bsl 1 0"),
     ("isc", "(?:isc|internet (?:systems|software) consortium)", "", "isc"),
     ("zlib", "(?:zlib(?: libpng)?)", "zlib", "zlib"),
@@ -88,18 +88,27 @@ STATEMENTS = [
     ("(?:see|read|per) the {n} licen[cs]e", "licen", 50, 0.6),
 ]
 
+_PUBLISHED = "general public licen[cs]e as published by the free software foundation (?:either )?version "
+
+#: Standard notices, which name no license in one of the statements: label, expression, keywords.
+NOTICES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", (" obtaining ", " granted ")),
+    *((label, f"gnu {kind}{_PUBLISHED}{version}(?: of the licen[cs]e)?", ("licen", " published ")) for label, kind, version in [
+        ("gpl-2", "", "2(?: 0)?"), ("gpl-3", "", "3(?: 0)?"), ("lgpl-2.1", "lesser ", "2 1"), ("lgpl-3", "lesser ", "3(?: 0)?"), ("agpl-3", "affero ", "3(?: 0)?")]),
+]
+
 #: A text holds one of these, or the parts of the phrase that has none, or no rule is tried.
 STEMS = ("licen", "spdx", "under", "subject", "governed", "obtain")
 
 
 def default_rules() -> list[Rule]:
-    """The base phrases, then every statement about every license, in order."""
+    """The base phrases, then every statement about every license, then the standard notices, in order."""
     made = [
         Rule(label, words.format(n=name, i=identifier), tuple(k for k in (keyword, must if "{n}" in words else identifier.split()[0]) if k), priority, confidence)
         for words, keyword, priority, confidence in STATEMENTS
         for label, name, must, identifier in FAMILIES
     ]
-    return BASE + made
+    return BASE + made + [Rule(label, pattern, keywords, 85, 0.95) for label, pattern, keywords in NOTICES]
 
 
 def rules_array(rules: list[Rule]) -> str:
