@@ -1,14 +1,16 @@
 """Token sequences packed by a grouping genetic algorithm on islands.
 
 Documents are tokenized once, cut into pieces, and the narrow piece rows are dealt evenly into
-blocks of bounded size.  Each block is packed on several islands at once, each a task with a
-population of its own; between epochs every island sends its best packing to the next island of
-its block.  A block whose packing reaches the lower bound is finished and does no more work.
+blocks of bounded size.  Each block is packed on several islands at once, each with a population
+of its own, begun in an order of its own; between epochs every island sends its best packing to the
+next island of its block.  A block whose packing reaches the lower bound is finished and does no
+more work.  The emptiest bin of each block is opened, and what they held is packed together again.
 """
 
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import grown, small_batches
+from trellis.llm.rows import grown, kept, small_batches
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
@@ -38,6 +40,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 MARKS = "[\u0300-\u036f\u1ab0-\u20ff\u3099\u309a]"
 
 
+def _letters(part: str) -> bool:
+    """Whether a part is a run of letters as the vocabulary sees it: composed, then lower-cased.
+
+    Some letters become a letter and a mark by that, which a stop would join.
+    """
+    return part.isalpha() and (part.isascii() or all(c.lower().isalpha() for c in unicodedata.normalize("NFC", part)))
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by a vocabulary file.
 
@@ -63,7 +73,7 @@ class Encoder:
     def _learn(self, fresh: list[str]) -> None:
         """Add parts to the memory, with one call for all that must be encoded."""
         known, marks = self.known, self.marks
-        ended = [p for p in fresh if p[-1] in marks and p[:-1].isalpha()]
+        ended = [p for p in fresh if p[-1] in marks and _letters(p[:-1])]
         plain = set(fresh).difference(ended)
         plain.update(c for c in (p[:-1] for p in ended) if c not in known)
         plain = list(plain)
@@ -114,13 +124,7 @@ class Encoder:
 
 def _encoder(path: str) -> Encoder:
     """The encoder of this worker process, which keeps its memory between tasks."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_trellis_encoders", types.ModuleType("_trellis_encoders"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = Encoder(path)
-    return kept.__dict__[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
@@ -220,13 +224,16 @@ def _cross(sizes: np.ndarray, one: np.ndarray, two: np.ndarray, room: int, rng:
     return bins
 
 
-def evolve(sizes: np.ndarray, room: int, seeds: list[np.ndarray], seed: int, population: int = 6, generations: int = 12) -> list[np.ndarray]:
-    """A population after some generations, best first; it stops at the lower bound of bins."""
+def evolve(sizes: np.ndarray, room: int, seeds: list[np.ndarray], seed: int, population: int = 6, generations: int = 12, plain: bool = True) -> list[np.ndarray]:
+    """A population after some generations, best first; it stops at the lower bound of bins.
+
+    Without ``seeds`` it begins with best fit in decreasing order if ``plain``, else in an order of its own.
+    """
     rng = np.random.default_rng(seed)
     bound = -(-int(sizes.sum()) // room)
     people = list(seeds)
     if not people:
-        people = [_fresh(sizes, room, None)]
+        people = [_fresh(sizes, room, None if plain else rng)]
     score = [_fitness(sizes, p, room) for p in people]
     while len(people) < population and -max(score)[0] > bound:
         people.append(_fresh(sizes, room, rng))
@@ -248,7 +255,7 @@ def evolve(sizes: np.ndarray, room: int, seeds: list[np.ndarray], seed: int, pop
 _STATE = "block long, island int, sizes array<int>, packings array<array<int>>, bins int, bound int"
 
 
-def _epoch(state: DataFrame, room: int, epoch: int, islands: int, population: int, generations: int) -> DataFrame:
+def _epoch(state: DataFrame, room: int, epoch: int, population: int, generations: int) -> DataFrame:
     """Evolve every island that is not at its bound; a row is one island of one block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +265,7 @@ def _epoch(state: DataFrame, room: int, epoch: int, islands: int, population: in
                 sizes = np.asarray(sizes, np.int64)
                 if bins is None or bins != bins or bins > bound or not len(packings):
                     people = evolve(sizes, room, [np.asarray(p, np.int64) for p in packings],
-                                    hash((int(block), int(island), epoch)) & 0x7FFFFFFF, population, generations)
+                                    hash((int(block), int(island), epoch)) & 0x7FFFFFFF, population, generations, island == 0)
                     packings = [p.astype(np.int32) for p in people]
                     bins = -_fitness(sizes, people[0], room)[0]
                 out.append((block, island, sizes.astype(np.int32), packings, int(bins), -(-int(sizes.sum()) // room)))
@@ -274,31 +281,60 @@ def _migrate(state: DataFrame, islands: int) -> DataFrame:
     return met.select("block", "island", "sizes", F.concat(F.array("guest"), "packings").alias("packings"), "bins", "bound")
 
 
+#: Islands that share a task; more blocks make more tasks.
+ISLANDS_A_TASK = 4
+
+
+def _level(items: DataFrame, blocks: int, room: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """``u, length, block, bin`` for ``items`` (u, length, block), each block packed by itself."""
+    # At most a block's pieces in one group.
+    listed = items.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("u", F.col("length").cast("int").alias("length")))).alias("items"))
+    first = cut(listed.select("block", F.transform("items", lambda x: x["length"]).alias("sizes"), F.transform("items", lambda x: x["u"]).alias("us")))
+    tasks = -(-blocks * islands // ISLANDS_A_TASK)
+    state = first.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes").select(
+        F.col("block").cast("long"), F.col("island").cast("int"), "sizes", F.expr("cast(array() as array<array<int>>)").alias("packings"),
+        F.lit(None).cast("int").alias("bins"), F.lit(None).cast("int").alias("bound"))
+    for epoch in range(epochs):
+        state = (state if epoch == 0 else _migrate(state, islands)).repartition(tasks, "block", "island")
+        state = cut(_epoch(state, room, epoch, population, generations))
+    best = state.groupBy("block").agg(F.min_by(F.col("packings")[0], F.struct("bins", "island")).alias("bin"))
+    placed = first.join(best, "block").select("block", F.explode(F.arrays_zip("us", "sizes", "bin")).alias("x"))
+    return cut(placed.select(F.col("x.us").alias("u"), F.col("x.sizes").cast("long").alias("length"), "block", F.col("x.bin").alias("bin")))
+
+
+def _sequences(items: DataFrame, n: int, most: int, level: int, room: int, block: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """``u, sequence_id`` for the ``n`` ``items`` (u, length), in ``most`` blocks or fewer.
+
+    Every block leaves one bin that is not full.  Those bins are opened, and their items packed together
+    once more in at most half as many blocks, until a single one holds them all.  A bin holds no more
+    items than tokens, so a block never has more than twice the larger of ``block`` and ``room`` items.
+    """
+    blocks = max(1, min(round(n / block), most))
+    # Equal numbers in every block: a row's place within its partition, started at random.
+    dealt = items.select("u", "length", F.pmod(F.monotonically_increasing_id() % (1 << 33) + F.hash(F.spark_partition_id()), F.lit(blocks)).alias("block"))
+    placed = _level(cut(dealt), blocks, room, islands, epochs, population, generations)
+    # A bin number is below the number of a block's items, and levels are few.
+    named = F.lit(level << 56) + F.col("block") * (1 << 24) + F.col("bin")
+    if blocks == 1:
+        return placed.select("u", named.alias("sequence_id"))
+    fill = placed.groupBy("block", "bin").agg(F.sum("length").alias("fill")).groupBy("block").agg(F.min(F.struct("fill", "bin")).alias("least"))
+    open_ = cut(fill.select("block", F.col("least.bin").alias("bin")))
+    spare = cut(placed.join(open_, ["block", "bin"], "left_semi").select("u", "length"))
+    again = _sequences(spare, spare.count(), blocks // 2, level + 1, room, block, islands, epochs, population, generations)
+    return placed.join(open_, ["block", "bin"], "left_anti").select("u", named.alias("sequence_id")).unionAll(again)
+
+
 def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, block: int = BLOCK, islands: int = 2, epochs: int = 2,
          population: int = 6, generations: int = 12) -> DataFrame:
     """``parts`` (doc_id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``.
 
     No sequence exceeds ``max_tokens``.  Blocks hold about ``block`` pieces each, dealt without
-    regard to any key, so no value can make one of them large.  An empty table gives no rows.
+    regard to any key, so no value can make one of them large.  Every row is a piece of its own,
+    whatever its id: null and repeated ids keep all their rows.  An empty table gives no rows.
     """
-    rows = cut(parts)
+    rows = cut(parts.withColumn("u", F.monotonically_increasing_id()))
     n = rows.count()
-    blocks = max(1, round(n / block))
-    # Equal numbers in every block: a row's place within its partition, started at random.
-    dealt = rows.select("*", F.pmod(F.monotonically_increasing_id() % (1 << 33) + F.hash(F.spark_partition_id()), F.lit(blocks)).alias("block"))
-    dealt = cut(dealt.withColumn("u", F.monotonically_increasing_id()))
-    # At most a block's pieces in one group.
-    items = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("u", F.col("length").cast("int").alias("length")))).alias("items"))
-    first = items.select("block", F.transform("items", lambda x: x["length"]).alias("sizes"), F.transform("items", lambda x: x["u"]).alias("us"))
-    first = cut(first)
-    state = first.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes").repartition("block", "island").select(
-        F.col("block").cast("long"), F.col("island").cast("int"), "sizes", F.expr("cast(array() as array<array<int>>)").alias("packings"),
-        F.lit(None).cast("int").alias("bins"), F.lit(None).cast("int").alias("bound"))
-    for epoch in range(epochs):
-        state = cut(_epoch(state if epoch == 0 else _migrate(state, islands), max_tokens, epoch, islands, population, generations))
-    best = state.groupBy("block").agg(F.min_by(F.col("packings")[0], F.struct("bins", "island")).alias("bin"))
-    placed = first.join(best, "block").select("block", F.explode(F.arrays_zip("us", "bin")).alias("x")).select(F.col("block").alias("b"), F.col("x.us").alias("u"), F.col("x.bin").alias("bin"))
-    joined = dealt.join(placed, "u").select(*parts.columns, F.col("block"), "bin", "u")
-    order = Window.partitionBy("block", "bin").orderBy(F.col("length").desc(), "u").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(*parts.columns, (F.col("block").cast("long") * (1 << 20) + F.col("bin")).alias("sequence_id"),
-                         F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))
+    placed = _sequences(rows.select("u", "length"), n, n, 0, max_tokens, block, islands, epochs, population, generations)
+    joined = rows.join(placed, "u")
+    order = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "u").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(*parts.columns, F.col("sequence_id"), F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import forget_encoders, grown, small_batches
+from trellis.llm.rows import forget_kept, grown, small_batches
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
@@ -81,7 +81,7 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``(g, c)``: how often each n-gram stands in the texts of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        forget_kept()
         held, counts, size = [], [], 0
 
         def drain() -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lan
     order, floor = model.order, model.floor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        forget_kept()
         scorer = Scorer(order, floor, *sent.value)
         for batch in batches:
             texts = batch.column(len(keep))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+T_ = TypeVar("T_")
+
 
 def grown(schema: T.StructType, more: str) -> T.StructType:
     """A new schema with the fields of ``schema`` and those of the DDL string ``more``."""
@@ -23,8 +28,16 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, f"{most}b")
 
 
-def forget_encoders() -> None:
-    """Free what tokenizing tasks left in this worker process for their successors."""
-    import sys
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable[[], T_]) -> T_:
+    """What ``make`` gave when this worker process first asked for ``key``."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
 
-    sys.modules.pop("_trellis_encoders", None)
+def forget_kept() -> None:
+    """Free what tasks before left in this worker process for their successors."""
+    _KEPT.clear()
