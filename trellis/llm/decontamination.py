@@ -5,18 +5,20 @@ Every window of L words holds a gram of g = ceil(L / 2) words that starts on any
 L - g + 1, so a document is first looked up at its grid positions alone, in the hash set of all
 grams of the items.  Documents that meet it are scanned at every position in the hash set of
 windows, and each hit is verified word for word by an equi-join, which also names the items.
+The sets are hash tables of Spark's broadcast joins while they are within a checked size; the same
+joins are shuffled beyond it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.text import LOWER, UPPER, WORD, ascii_lower, held, text_hash, whole, words
+from trellis.llm.text import WORD, ascii_lower, free_name, held, text_hash, whole, words
 from trellis.plans.lineage import cut
 
-#: Hashes that travel inside the plan at most; beyond, candidates are found by a shuffled join.
-MAX_BROADCAST = 50_000
+#: Hashes (8 bytes each) that are sent to every task at most.
+MAX_BROADCAST = 4_000_000
 
 
 def windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -32,63 +34,46 @@ def _shape(length: int) -> tuple[int, int]:
     return gram, length - gram + 1
 
 
-def _grams(wins: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(length, h)``: hashes of all grams of the windows of each length, fully lower-cased."""
-    out = None
-    for n in lengths:
-        g, _ = _shape(n)
-        own = wins.where(F.col("length") == n).select(F.split(F.lower("win"), " ").alias("w"))
-        own = own.select(F.lit(n).alias("length"), F.explode(F.expr(f"transform(sequence(1, size(w) - {g} + 1), i -> xxhash64(slice(w, i, {g})))")).alias("h"))
-        out = own if out is None else out.unionAll(own)
-    return out.distinct()
+def _hashes(step: int, width: int, length: int, test: str = ">=") -> str:
+    """SQL for (pos, len, h) of every ``step``-th run of ``width`` words of the array ``w``, for windows of ``length``."""
+    return (f"case when size(w) {test} {length} then transform(sequence(1, size(w) - {width} + 1, {step}), "
+            f"i -> struct(i as pos, {length} as len, xxhash64({length}, slice(w, i, {width})) as h)) end")
 
 
-def _grid(n: int) -> str:
-    """SQL for the hashes at the grid positions of the array ``__w``."""
-    g, stride = _shape(n)
-    return f"transform(sequence(1, size(__w) - {g} + 1, {stride}), i -> xxhash64(slice(__w, i, {g})))"
+def _each(texts: DataFrame, key: str, parts: list[str]) -> DataFrame:
+    """``key, pos, len, h`` of the arrays that ``parts`` make of the words ``w``."""
+    none = "cast(array() as array<struct<pos:int,len:int,h:bigint>>)"
+    every = "concat(" + ", ".join(f"coalesce({p}, {none})" for p in parts) + f", {none})"
+    return texts.select(key, F.explode(F.expr(every)).alias("x")).select(key, "x.pos", "x.len", "x.h")
 
 
-def _listed(hashes: list[int]) -> str:
-    return ", ".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in hashes)
+def _sent(hashes: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(hashes) if hashes.count() <= most else hashes
 
 
-def _marked(docs: DataFrame, wins: DataFrame, lengths: list[int], max_broadcast: int) -> tuple[DataFrame, bool]:
-    """``docs`` with ``__w`` (lower-cased words) and ``__at``: the places (pos from 1, len) to verify;
-    and whether the hashes travelled in the plan."""
-    split = held(docs, "__w", words(F.lower(whole("text"))))
-    empty = "cast(array() as array<struct<pos:int,len:int>>)"
+def hits(docs: DataFrame, wins: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``th, pos, len, items``: where the windows ``wins`` occur in different texts of ``docs``, by text hash."""
+    lengths = sorted(r[0] for r in wins.select("length").distinct().collect())  # 1 to the width
+    text = docs.select(text_hash("text").alias("th"), whole("text").alias("t"))
     if not lengths:
-        return held(split, "__at", F.expr(empty)), True
-    grams = _grams(wins, lengths)
-    sent = grams.count() <= max_broadcast
-    if sent:
-        by: dict[int, list[int]] = {n: [] for n in lengths}
-        for n, h in grams.collect():
-            by[n].append(h)
-        full: dict[int, list[int]] = {n: [] for n in lengths}
-        for n, h in wins.select("length", F.xxhash64(F.split(F.lower("win"), " "))).collect():
-            full[n].append(h)
-        parts = []
-        for n in lengths:
-            g, stride = _shape(n)
-            meets = f"exists(sequence(1, size(__w) - {g} + 1, {stride}), i -> xxhash64(slice(__w, i, {g})) in ({_listed(by[n])}))"
-            found = f"filter(sequence(1, size(__w) - {n} + 1), i -> xxhash64(slice(__w, i, {n})) in ({_listed(full[n])}))"
-            parts.append(f"case when size(__w) >= {n} then case when {meets} then transform({found}, i -> struct(i as pos, {n} as len)) end end")
-    else:
-        split = split.withColumn("__th", text_hash("text"))
-        cells = None
-        for n in lengths:
-            own = split.where(F.size("__w") >= n).select("__th", F.lit(n).alias("length"), F.explode(F.expr(_grid(n))).alias("h"))
-            cells = own if cells is None else cells.unionAll(own)
-        hot = cut(cells.join(cut(grams), ["length", "h"], "left_semi").select(F.col("__th").alias("__hot")).distinct()).hint("merge")
-        split = split.join(hot, F.col("__th") == F.col("__hot"), "left")
-        parts = [f"case when __hot is not null and size(__w) >= {n} then transform(sequence(1, size(__w) - {n} + 1), i -> struct(i as pos, {n} as len)) end" for n in lengths]
-    return held(split, "__at", F.expr("concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + f", {empty})")), sent
+        return text.select("th", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast(wins.schema["items"].dataType).alias("items")).where("false")
+    split = lambda rows: held(rows, "w", words(ascii_lower(F.col("t")))).select("th", "w")
+    own = wins.select(F.monotonically_increasing_id().alias("n"), "length", F.split("win", " ").alias("w"))
+    grams = cut(_each(own, "n", [_hashes(1, _shape(n)[0], n, "=") for n in lengths]).select("h").distinct())
+    full = cut(_each(own, "n", [_hashes(1, n, n, "=") for n in lengths]).select("h").distinct())
+    grid = _each(split(text), "th", [_hashes(_shape(n)[1], _shape(n)[0], n) for n in lengths])
+    hot = cut(grid.join(_sent(grams, max_broadcast), "h", "left_semi").select("th").distinct())
+    every = _each(split(text.join(hot, "th", "left_semi")), "th", [_hashes(1, n, n) for n in lengths])
+    places = cut(every.join(_sent(full, max_broadcast), "h", "left_semi").groupBy("th").agg(F.collect_set(F.struct("pos", "len")).alias("at")))
+    # Copies of a text are read once here: their rows agree.
+    tried = split(text.join(places, "th", "left_semi")).join(places, "th").select("th", F.explode(F.expr(
+        "transform(at, a -> struct(a.pos as pos, a.len as len, array_join(slice(w, a.pos, a.len), ' ') as win))")).alias("x"))
+    tried = tried.select("th", "x.pos", "x.len", "x.win").distinct()
+    return tried.join(wins.select("win", "items"), "win").select("th", "pos", "len", "items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per document: ``row, doc_id, th, n_words, n_hit, n_items, items, spans``.
+    """One row per document: ``doc_id, th, n_words, n_hit, n_items, items, spans``.
 
     ``th`` is a hash of the text.  ``spans`` are the occurrences (pos from 1, len) in words, sorted; a word inside any of them
     counts in ``n_hit``; ``items`` are the ids, as sorted strings, of the items that have any.
@@ -96,53 +81,42 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_broadcast:
     no words, a null id keeps its row, repeated rows are separate documents, an empty benchmark
     hits nothing.  Other columns of ``docs`` are not read.
     """
-    wins = cut(windows(benchmark, width))
-    lengths = sorted(r[0] for r in wins.select("length").distinct().collect())
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", text_hash("text").alias("th"))
-    marked, sent = _marked(rows, wins, lengths, max_broadcast)
-    exact = words(ascii_lower(whole("text")))
-    tried = marked.select("row", "doc_id", "th", F.size("__w").cast("long").alias("n_words"), "__at", F.when(F.size("__at") > 0, exact).alias("e"))
-    tried = tried.select("row", "doc_id", "th", "n_words", F.explode_outer(F.expr(
-        "transform(__at, a -> struct(a.pos as pos, a.len as len, array_join(slice(e, a.pos, a.len), ' ') as win))")).alias("x"))
-    key = F.col("x.win") == wins.win
-    sure = tried.join(F.broadcast(wins) if sent else wins, key, "left")
-    met = F.col("win").isNotNull()
-    grouped = sure.groupBy("row", "doc_id", "th", "n_words").agg(
-        F.array_sort(F.collect_list(F.when(met, F.struct(F.col("x.pos").alias("pos"), F.col("x.len").alias("len"))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(met, F.col("items").cast("array<string>")))))).alias("items"))
+    met = hits(docs, cut(windows(benchmark, width)), max_broadcast)
+    met = met.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"),
+                                F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("items").cast("array<string>"))))).alias("items"))
     fold = """aggregate(spans, struct(0 as upto, 0L as n), (s, x) -> struct(greatest(s.upto, x.pos + x.len - 1) as upto,
               s.n + greatest(0, x.pos + x.len - 1 - greatest(s.upto, x.pos - 1)) as n), s -> s.n)"""
-    return grouped.select("row", "doc_id", "th", "n_words", F.expr(fold).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    met = cut(met.select("th", "spans", "items", F.expr(fold).alias("n_hit")))
+    rows = docs.select("doc_id", text_hash("text").alias("th"), F.size(words(whole("text"))).cast("long").alias("n_words"))
+    none = lambda c: F.coalesce(c, F.array().cast(met.schema[c].dataType)).alias(c)
+    return rows.join(met, "th", "left").select(
+        "doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), none("items"), none("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.0, width: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``docs`` without benchmark passages; columns stay.
+    """``docs`` without benchmark passages; columns stay, whatever their names.
 
     A document whose share of hit words exceeds ``drop_share`` goes; in others the hit words are
-    cut from the text, each with the gap behind it.  With 0 every hit document goes.  While the
-    windows travel in the plan, each row is judged where it is read, and hits are verified against
-    the words of the windows; nothing is shuffled.
+    cut from the text, each with the gap behind it.  With 0 every hit document goes.  Null texts, null
+    ids and repeated rows stay, unless they are hit.
     """
-    wins = cut(windows(benchmark, width))
-    lengths = sorted(r[0] for r in wins.select("length").distinct().collect())
-    marked, sent = _marked(docs, wins, lengths, max_broadcast)
-    marked = held(marked, "__words", F.when(F.size("__at") > 0, words(whole("text"))))
-    said = f"translate(array_join(slice(__words, a.pos, a.len), ' '), '{UPPER}', '{LOWER}')"
-    if sent:
-        known = ", ".join(f"'{r[0]}'" for r in wins.select("win").collect()) or "''"  # words hold no quotes
-        marked = held(marked, "__hits", F.expr(f"filter(__at, a -> {said} in ({known}))"))
-    else:
-        marked = marked.withColumn("__row", F.monotonically_increasing_id())
-        marked = cut(marked)
-        tried = marked.select("__row", F.explode("__at").alias("a"), F.col("__words")).select("__row", "a", F.expr(said).alias("win"))
-        hits = tried.join(wins, "win", "left_semi").groupBy(F.col("__row").alias("__of")).agg(F.collect_set("a").alias("__hits"))
-        marked = marked.join(cut(hits).hint("merge"), F.col("__row") == F.col("__of"), "left")
-    hit = F.coalesce(F.size("__hits") > 0, F.lit(False))
+    met = hits(docs, cut(windows(benchmark, width)), max_broadcast)
+    th, at = free_name("hit_text", docs.columns), free_name("hit_places", docs.columns)
+    met = cut(met.groupBy(F.col("th").alias(th)).agg(F.collect_set(F.struct("pos", "len")).alias(at)))
     if drop_share <= 0:
-        return marked.where(~hit).select(*docs.columns)
-    covered = "flatten(transform(__hits, s -> sequence(s.pos, s.pos + s.len - 1)))"
-    marked = marked.withColumn("__left", F.when(hit, F.expr(f"array_except(sequence(1, size(__words)), {covered})")))
-    marked = marked.withColumn("__gaps", F.when(hit, F.split(whole("text"), WORD)))
-    kept = marked.where(~hit | (F.size("__words") - F.size("__left") <= drop_share * F.size("__words")))
-    text = F.expr("concat(__gaps[0], array_join(transform(__left, i -> concat(__words[i - 1], __gaps[i])), ''))")
-    return kept.withColumn("text", F.when(hit, text).otherwise(F.col("text"))).select(*docs.columns)
+        return docs.join(met, text_hash("text") == F.col(th), "left_anti")
+    joined = docs.join(met, text_hash("text") == F.col(th), "left")
+    own, left, gaps = (free_name(n, joined.columns) for n in ("hit_words", "hit_left", "hit_gaps"))
+    hit = F.col(at).isNotNull()
+
+    def when(value: Column) -> Column:
+        return F.when(hit, value)
+
+    marked = held(joined, own, when(words(whole("text"))))
+    covered = f"flatten(transform({at}, s -> sequence(s.pos, s.pos + s.len - 1)))"
+    marked = held(marked, left, when(F.expr(f"array_except(sequence(1, size({own})), {covered})")))
+    marked = held(marked, gaps, when(F.split(whole("text"), WORD)))
+    kept = marked.where(~hit | (F.size(own) - F.size(left) <= drop_share * F.size(own)))
+    text = F.expr(f"concat({gaps}[0], array_join(transform({left}, i -> concat({own}[i - 1], {gaps}[i])), ''))")
+    return kept.select(*(F.when(hit, text).otherwise(F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -38,3 +38,11 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     every element; a generator's output may not.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that none of the columns ``taken`` has in any case of letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
