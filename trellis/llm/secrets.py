@@ -49,12 +49,16 @@ MORE = [
 ]
 
 
+def _any(text: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(text, F.lit(part))
+    return out
+
+
 def _gate(low: Column, text: Column, kinds: list[Kind]) -> Column:
     """Whether a text may hold any kind; cheap tests come first."""
-    out = F.lit(False)
-    for kind in kinds:
-        for word in kind.keywords:
-            out = out | F.contains(low, F.lit(word))
+    out = F.exists(F.array(low), lambda x: _any(x, [w for kind in kinds for w in kind.keywords]))
     for kind in kinds:
         if not kind.keywords:
             out = out | text.rlike(kind.regex)
@@ -88,7 +92,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, kinds: list[Kind] | N
 
     ``ledger`` holds ``blob`` (binary), ``version`` and ``spans``; blobs in it at this version are
     not scanned again.  The first result has ``doc_id, blob, spans`` for every row (repeated rows
-    and null ids keep theirs; a null text is the empty blob).  The second has the ledger's
+    and null ids keep theirs; a null text is the empty blob).  A blob that the ledger holds more than
+    once at a version counts once, by any of its rows.  The second has the ledger's
     columns, one row for each blob that was new, with no spans where nothing was found.
     """
     kinds = BASE + MORE if kinds is None else kinds
@@ -96,7 +101,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, kinds: list[Kind] | N
     paths = docs.select("doc_id", blob.alias("blob"))
     fresh = docs.select(blob.alias("blob"), whole("text").alias("text"))
     fresh = fresh.where(_gate(F.lower("text"), F.col("text"), kinds))
-    seen = None if ledger is None else ledger.where(F.col("version") == version)
+    seen = None if ledger is None else ledger.where(F.col("version") == version).dropDuplicates(["blob"])
     if seen is not None:
         fresh = fresh.join(seen.select("blob"), "blob", "left_anti")
     found = cut(scan_blobs(fresh.dropDuplicates(["blob"]), kinds).where(F.size("spans") > 0))
