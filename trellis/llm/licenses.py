@@ -2,23 +2,26 @@
 
 A rule is a regular expression over a text's words, a label, a priority and the keywords that a
 text must contain before the expression is tried.  Detections are intervals of words; one that
-lies inside another of higher priority, or inside a longer one of equal priority, is dropped.
+lies inside another of higher priority, or inside a longer one of equal priority, is dropped, and
+of rules that find the same interval at the same priority the first one stands.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.text import GAP, whole, words
+from trellis.llm.signatures import TEXTS
+from trellis.llm.text import ascii_lower, free_name, held, whole, words
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is a regular expression over lower-case words with one space between them; it
-    begins and ends at words.  It needs no look-around, and may use groups and choices."""
+    begins and ends at words.  It needs no look-around, and may use groups and choices.  The rule is tried
+    on texts that hold a word of each of ``keywords``, alternatives of which are parted by ``|``."""
 
     label: str
     pattern: str
@@ -35,8 +38,8 @@ class Rule:
 
 #: The phrases whose places are always reported, with their labels (fixed values).
 BASE = [
-    Rule("mit", "under the mit license", ("mit", "licen"), 1000, 1.0, True),
-    Rule("apache-2", "apache license version 2", ("apache", "licen"), 1000, 1.0, True),
+    Rule("mit", "under the mit license", ("mit", "license"), 1000, 1.0, True),
+    Rule("apache-2", "apache license version 2", ("apache", "license"), 1000, 1.0, True),
     Rule("cc-by-nc", "cc by nc", ("cc", "by", "nc"), 1000, 1.0, True),
 ]
 
@@ -76,86 +79,90 @@ FAMILIES = [
     ("cc-by-nc-nd", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: \\d \\d)?", "", "cc by nc nd 4 0"),
 ]
 
-#: How a license is stated: expression, keyword (with spaces: a whole word), priority, confidence.  {n} is the name, {i} the identifier.
+#: The forms of the word (fixed values).
+_LICENSE = "license|licence|licensed|licenced|licenses|licences|licensing"
+
+#: How a license is stated: expression, keyword, priority, confidence.  {n} is the name, {i} the identifier.
 STATEMENTS = [
-    ("spdx licen[cs]e identifier {i}(?: only| or later)?", " spdx ", 90, 0.99),
-    ("(?:is |are )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", "licen", 80, 0.95),
-    ("(?:released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", " under ", 80, 0.9),
-    ("subject to the (?:terms of the )?{n}(?: licen[cs]e)?", " subject ", 75, 0.85),
-    ("governed by the (?:terms of the )?{n}(?: licen[cs]e)?", " governed ", 75, 0.85),
-    ("you may obtain a copy of (?:the )?{n}(?: licen[cs]e)?", " obtain ", 70, 0.85),
-    ("(?:dual|multi) licen[cs]ed under (?:the )?{n}(?: licen[cs]e)?", "licen", 85, 0.9),
-    ("(?:see|read|per) the {n} licen[cs]e", "licen", 50, 0.6),
+    ("spdx licen[cs]e identifier {i}(?: only| or later)?", "spdx", 90, 0.99),
+    ("(?:is |are )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", _LICENSE, 80, 0.95),
+    ("(?:released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", "under", 80, 0.9),
+    ("subject to the (?:terms of the )?{n}(?: licen[cs]e)?", "subject", 75, 0.85),
+    ("governed by the (?:terms of the )?{n}(?: licen[cs]e)?", "governed", 75, 0.85),
+    ("you may obtain a copy of (?:the )?{n}(?: licen[cs]e)?", "obtain", 70, 0.85),
+    ("(?:dual|multi) licen[cs]ed under (?:the )?{n}(?: licen[cs]e)?", _LICENSE, 85, 0.9),
+    ("(?:see|read|per) the {n} licen[cs]e", _LICENSE, 50, 0.6),
 ]
 
 _PUBLISHED = "general public licen[cs]e as published by the free software foundation (?:either )?version "
 
 #: Standard notices, which name no license in one of the statements: label, expression, keywords.
 NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", (" obtaining ", " granted ")),
-    *((label, f"gnu {kind}{_PUBLISHED}{version}(?: of the licen[cs]e)?", ("licen", " published ")) for label, kind, version in [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("obtaining", "granted")),
+    *((label, f"gnu {kind}{_PUBLISHED}{version}(?: of the licen[cs]e)?", (_LICENSE, "published")) for label, kind, version in [
         ("gpl-2", "", "2(?: 0)?"), ("gpl-3", "", "3(?: 0)?"), ("lgpl-2.1", "lesser ", "2 1"), ("lgpl-3", "lesser ", "3(?: 0)?"), ("agpl-3", "affero ", "3(?: 0)?")]),
 ]
 
-#: A text holds one of these, or the parts of the phrase that has none, or no rule is tried.
-STEMS = ("licen", "spdx", "under", "subject", "governed", "obtain")
-
-
 def default_rules() -> list[Rule]:
-    """The base phrases, then every statement about every license, then the standard notices, in order."""
+    """The base phrases, every statement about every license, the standard notices and the signatures, in order."""
     made = [
         Rule(label, words.format(n=name, i=identifier), tuple(k for k in (keyword, must if "{n}" in words else identifier.split()[0]) if k), priority, confidence)
         for words, keyword, priority, confidence in STATEMENTS
         for label, name, must, identifier in FAMILIES
     ]
-    return BASE + made + [Rule(label, pattern, keywords, 85, 0.95) for label, pattern, keywords in NOTICES]
+    return BASE + made + [Rule(label, pattern, keywords, 85, 0.95) for label, pattern, keywords in [*NOTICES, *TEXTS]]
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def rules_array(rules: list[Rule]) -> str:
-    """SQL for the rules as an array of structs."""
-    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return "array(" + ", ".join(
-        f"named_struct('nth', {i}, 'label', {quote(r.label)}, 're', {quote(r.regex)}, 'keys', array({', '.join(map(quote, r.keywords))}), "
-        f"'priority', {r.priority}, 'conf', {r.confidence}D, 'base', {str(r.base).lower()})" for i, r in enumerate(rules)) + ")"
+def _tried(rule: Rule, nth: int, line: str, met: str) -> str:
+    """SQL for the texts around and in the matches of one rule in ``line``; null unless all keywords are in ``met``."""
+    held_ = " and ".join("(" + " or ".join(f"array_contains({met}, {_quoted(w)})" for w in k.split("|")) + ")" for k in rule.keywords) or "true"
+    re = _quoted(rule.regex)
+    return (f"case when {held_} and {line} rlike {re} then named_struct('nth', {nth}, 's', split({line}, {re}, -1), "
+            f"'m', regexp_extract_all({line}, {re}, 0)) end")
 
 
-#: Occurrences of the expression r.re in ``__words``: an array of (start, stop) in words, from 0.
-_PLACES = """transform(array(named_struct('s', split(__words, r.re, -1), 'm', regexp_extract_all(__words, r.re, 0))), x ->
-  aggregate(sequence(0, size(x.m) - 1), named_struct('upto', 0L, 'out', cast(array() as array<struct<start:int,stop:int>>)),
+#: The matches of the struct r as an array of (start, stop) in words, from 0.
+_PLACES = """aggregate(sequence(0, size(r.m) - 1), named_struct('upto', 0L, 'out', cast(array() as array<struct<start:int,stop:int>>)),
     (a, i) -> named_struct(
-      'upto', a.upto + length(regexp_replace(x.s[i], '[^ ]', '')) div 2 + length(regexp_replace(x.m[i], '[^ ]', '')) div 2,
+      'upto', a.upto + length(regexp_replace(r.s[i], '[^ ]', '')) div 2 + length(regexp_replace(r.m[i], '[^ ]', '')) div 2,
       'out', concat(a.out, array(named_struct(
-        'start', cast(a.upto + length(regexp_replace(x.s[i], '[^ ]', '')) div 2 as int),
-        'stop', cast(a.upto + length(regexp_replace(x.s[i], '[^ ]', '')) div 2 + length(regexp_replace(x.m[i], '[^ ]', '')) div 2 as int))))),
-    a -> a.out))[0]"""
+        'start', cast(a.upto + length(regexp_replace(r.s[i], '[^ ]', '')) div 2 as int),
+        'stop', cast(a.upto + length(regexp_replace(r.s[i], '[^ ]', '')) div 2 + length(regexp_replace(r.m[i], '[^ ]', '')) div 2 as int))))),
+    a -> a.out)"""
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words`` and ``detections``.
 
-    A detection is (start, stop, label, priority, conf, base), words from 0, stop exclusive, in
-    order of start.  Base rules' detections always stay.  Case is folded for A-Z only.  A null or
-    empty text has no words.  Columns of the added
-    names are replaced.  One projection of the scan: nothing is shuffled or collected.
+    A detection is (start, stop, nth, label, priority, conf, base), words from 0, stop exclusive, ``nth`` the
+    rule's place, in order of start.  Base rules' detections always stay.  Case is folded for A-Z only.  A null or
+    empty text has no words; null ids and repeated rows keep their rows, each with its own result.  Columns of the added
+    names are replaced, all others stay whatever their names.  One projection of the scan: nothing is shuffled or collected.
     """
     rules = default_rules() if rules is None else rules
-    low = docs.withColumn("__low", F.lower(whole(text)))
-    near: Column = F.lit(False)
-    for stem in STEMS:
-        near = near | F.contains("__low", F.lit(stem))
-    near = near | (F.contains("__low", F.lit("cc")) & F.contains("__low", F.lit("by")) & F.contains("__low", F.lit("nc")))  # the base phrase without a stem
-    low = low.withColumn("__norm", F.when(near, F.concat(F.lit(" "), F.regexp_replace(
-        F.translate(whole(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP, "  "), F.lit(" "))))
-    # Every word between two spaces of its own, whatever stood at the ends of the text.
-    low = low.withColumn("__words", F.when(F.col("__norm").isNotNull(), F.concat(F.lit(" "), F.trim("__norm"), F.lit(" "))))
-    tried = f"filter({rules_array(rules)}, r -> forall(r.keys, k -> contains(__words, k)) and __words rlike r.re)"
-    found = f"""flatten(transform({tried}, r -> transform({_PLACES}, p -> named_struct(
-        'start', p.start, 'stop', p.stop, 'nth', r.nth, 'label', r.label, 'priority', r.priority, 'conf', r.conf, 'base', r.base))))"""
-    low = low.withColumn("__all", F.expr(f"case when __words is not null and __words <> '  ' then array_sort({found}) end"))
-    kept = """filter(__all, d -> d.base or not exists(__all, e -> e.start <= d.start and e.stop >= d.stop and
-        (e.priority > d.priority or e.priority = d.priority and e.stop - e.start > d.stop - d.start)))"""
-    return low.select(*(c for c in docs.columns if c not in ("n_words", "detections")), F.size(words(whole(text))).cast("long").alias("n_words"),
-                      F.expr(f"coalesce({kept}, filter(__all, d -> false))").alias("detections"))
+    taken = [*docs.columns]
+    own, line, met, every = (taken.append(free_name(n, taken)) or taken[-1] for n in ("low_words", "word_line", "keywords_met", "all_found"))
+    keys = sorted({w for r in rules for k in r.keywords for w in k.split("|")})
+    listed = f"cast(array({', '.join(map(_quoted, keys))}) as array<string>)"
+    rows = held(docs, own, words(ascii_lower(whole(text))))
+    rows = held(rows, met, F.expr(f"array_intersect({own}, {listed})"))
+    always = any(not r.keywords for r in rules)
+    near = F.lit(always) | (F.size(met) > 0)
+    # Every word between two spaces of its own.
+    rows = held(rows, line, F.when(near & (F.size(own) > 0), F.concat(F.lit(" "), F.array_join(own, "  "), F.lit(" "))))
+    tried = "filter(array(" + ", ".join(_tried(r, i, line, met) for i, r in enumerate(rules)) + "), r -> r is not null)"
+    known = "array(" + ", ".join(f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'conf', {r.confidence}D, 'base', {str(r.base).lower()})" for r in rules) + ")"
+    found = f"""flatten(transform({tried}, r -> transform({_PLACES}, p -> named_struct('start', p.start, 'stop', p.stop, 'nth', r.nth,
+        'label', {known}[r.nth].label, 'priority', {known}[r.nth].priority, 'conf', {known}[r.nth].conf, 'base', {known}[r.nth].base))))"""
+    rows = held(rows, every, F.expr(f"case when {line} is not null then array_sort({found}) end"))
+    kept = f"""filter({every}, d -> d.base or not exists({every}, e -> e.start <= d.start and e.stop >= d.stop and
+        (e.priority > d.priority or e.priority = d.priority and (e.stop - e.start > d.stop - d.start or e.stop - e.start = d.stop - d.start and e.nth < d.nth))))"""
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "detections")), F.size(own).cast("long").alias("n_words"),
+                       F.expr(f"coalesce({kept}, filter({every}, d -> false))").alias("detections"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -109,15 +109,15 @@ def _license_oracle() -> str:
     return f"""
 WITH rules(nth, label, re, keys, priority, conf, base) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-norm AS (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS norm FROM d WHERE len(w) > 0),
-cut AS (SELECT r, rules.*, string_split_regex(norm, re) AS s, regexp_extract_all(norm, re) AS m FROM norm, rules
-        WHERE len(list_filter(keys, lambda k: NOT contains(norm, k))) = 0 AND regexp_matches(norm, re)),
+norm AS (SELECT r, w, ' ' || array_to_string(w, '  ') || ' ' AS norm FROM d WHERE len(w) > 0),
+cut AS (SELECT r, rules.* EXCLUDE (keys), string_split_regex(norm, re) AS s, regexp_extract_all(norm, re) AS m FROM norm, rules
+        WHERE len(list_filter(keys, lambda k: NOT list_has_any(w, string_split(k, '|')))) = 0 AND regexp_matches(norm, re)),
 n AS (SELECT *, list_transform(s, lambda x: len(regexp_replace(x, '[^ ]', '', 'g')) // 2) AS sn,
              list_transform(m, lambda x: len(regexp_replace(x, '[^ ]', '', 'g')) // 2) AS mn, unnest(range(1, len(m) + 1)) AS i FROM cut),
 hit AS (SELECT r, nth, label, priority, conf, base,
                (list_sum(sn[1:i]) + coalesce(list_sum(mn[1:i - 1]), 0))::bigint AS a, mn[i] AS len FROM n),
 kept AS (SELECT * FROM hit h WHERE base OR NOT EXISTS (SELECT 1 FROM hit e WHERE e.r = h.r AND e.a <= h.a AND e.a + e.len >= h.a + h.len
-         AND (e.priority > h.priority OR e.priority = h.priority AND e.len > h.len))),
+         AND (e.priority > h.priority OR e.priority = h.priority AND (e.len > h.len OR e.len = h.len AND e.nth < h.nth)))),
 per AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
         max(conf) AS score FROM kept GROUP BY r)
