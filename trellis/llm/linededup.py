@@ -6,10 +6,10 @@ table stays, and all lines that a later occurrence covers are removed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.text import text_hash, whole
+from trellis.llm.text import free_name, text_hash, whole
 from trellis.plans.lineage import cut
 
 SPAN = 3
@@ -34,7 +34,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 def covered_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, starts)``: for each document that holds a later occurrence of a window, the
     lines (from 0) at which one starts.  The order is by doc_id (nulls first), text hash and line.
-    Rows that repeat an id and its text are one document, with one result.
+    Rows that repeat an id and its text have one result, that of the first of them.
     """
     wins = _windows(docs)
     # Grouped with a partial minimum, so that a window that stands everywhere is one row a task.
@@ -48,18 +48,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines end at a line feed.  A document of fewer than three lines holds no window and stays as
     it is; a null text has one empty line and stays null.  A document whose lines all go keeps
-    its row, with an empty text.  Other columns pass through; ones of the added names are replaced.
+    its row, with an empty text.  Every row is a document: of rows that repeat an id (or null) and its text the
+    second and later ones lose all their windows.  Other columns pass through whatever their names; ones of the added names are replaced.
     """
-    gone = cut(covered_lines(docs)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
-    gone = gone.hint("merge")  # one plan at every size: what is gone grows with the documents
-    rows = docs.withColumn("__h", text_hash("text"))
-    both = rows.join(gone, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    both = both.withColumn("__ls", _lines())
-    reach = ", ".join(f"transform(__starts, s -> s + {k})" for k in range(SPAN))
-    both = both.withColumn("__left", F.expr(
-        f"case when __starts is not null then array_except(sequence(0, size(__ls) - 1), concat({reach})) end"))
-    text = F.expr("array_join(transform(__left, i -> __ls[i]), '\n')")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    taken = [*docs.columns, "n_lines", "n_removed"]
+    key, other, starts, lines, nth, left = (taken.append(free_name(n, taken)) or taken[-1] for n in ("of", "of_gone", "starts", "lines", "nth", "left_lines"))
+    # A struct, so that null ids are equal, and that join and numbering share one shuffle.
+    gone = cut(covered_lines(docs)).select(F.struct("th", "doc_id").alias(other), F.col("starts").alias(starts))
+    gone = gone.hint("merge")  # one plan at every size: what is gone grows with the documents
+    rows = docs.withColumn(key, F.struct(text_hash("text").alias("th"), F.col("doc_id")))
+    both = rows.join(gone, F.col(key) == F.col(other), "left").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    both = both.withColumn(lines, _lines())
+    all_ = (f"filter(sequence(0, size({lines}) - {SPAN}), i -> array_join(transform(slice({lines}, i + 1, {SPAN}), x -> trim(x)), '') <> '')")
+    both = both.withColumn(starts, F.expr(f"case when {nth} > 1 and size({lines}) >= {SPAN} then nullif({all_}, array()) else {starts} end"))
+    reach = ", ".join(f"transform({starts}, s -> s + {k})" for k in range(SPAN))
+    both = both.withColumn(left, F.expr(
+        f"case when {starts} is not null then array_except(sequence(0, size({lines}) - 1), concat({reach})) end"))
+    text = F.expr(f"array_join(transform({left}, i -> {lines}[i]), '\n')")
     return both.select(
-        *(F.when(F.col("__starts").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in kept),
-        F.size("__ls").cast("long").alias("n_lines"), F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size("__ls") - F.size("__left")).cast("long").alias("n_removed"))
+        *(F.when(F.col(starts).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept),
+        F.size(lines).cast("long").alias("n_lines"), F.when(F.col(starts).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long").alias("n_removed"))
