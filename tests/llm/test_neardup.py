@@ -51,7 +51,7 @@ def corpus(hot_copies=60, boilers=30, families=12):
     return [*texts, texts[0], texts[0].upper(), None, "", " \n", "one", "ONE", "one two", "a b c d e", "a b c d e f"]
 
 
-@pytest.mark.parametrize("sizes, how", [((), {}), ((4, 0, 1), {"max_broadcast": 0, "sample": 1, "few_pairs": 0})])
+@pytest.mark.parametrize("sizes, how", [((), {}), ((), {"few_pairs": 0, "rounds": 2}), ((), {"few_pairs": 0, "sample": 1, "rounds": 1}), ((4, 0, 1), {"max_broadcast": 0, "sample": 1, "few_pairs": 0})])
 def test_kept_documents_by_brute_force(spark, sizes, how):
     texts = corpus(*sizes)
     rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).withColumn("component", F.lit("clash"))

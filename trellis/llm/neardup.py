@@ -1,13 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles: an exact join on prefixes.
+"""Near copies: SimHash groups confirmed by the Jaccard similarity of word shingles, then all other similar pairs.
+
+SimHash fingerprints of five-word shingles that anchor-point covering finds within three bits are
+candidates; those whose texts are similar enough are linked.  Three bits find only almost equal
+texts, and the wider radius that a similarity of 4/5 needs (about ten bits of 64) has no selective
+covering, so an exact join by prefixes finds the rest.
 
 Shingles have one order for all texts, rare ones first.  Two texts of a similarity of 4/5 or more
 share that part of the shingles of each, so that the first n - ceil(4/5 n) + 1 of their n shingles
 meet in at least one.  Texts that meet are compared shingle by shingle: no pair is missed, and none
 is linked below the limit (but for equal 64-bit hashes).
 
-Many texts that meet in a shingle are not paired with each other at once.  In rounds, all are compared with
-the smallest, which then leaves; shingles whose texts are of one group by then are done.  The rest are
-paired when their pairs are no more than four times the rows at the start (or a fixed number).
+Many texts that meet in a shingle are not paired with each other.  In a few rounds, all are compared
+with the one that has fewest rarer shingles, which is nearest to what they share.  After that only
+texts outside of a shingle's largest group are compared with the others there.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import forget_encoders, small_batches
-from trellis.llm.simhash import SEED, first_of
+from trellis.llm.rows import forget_kept, small_batches
+from trellis.llm.simhash import MAX_BITS, SEED, fingerprints, first_of
+from trellis.llm.simhash import links as close_fingerprints
 from trellis.llm.text import text_hash
 from trellis.operators.components import connected_components
 from trellis.plans.lineage import cut
@@ -31,8 +37,8 @@ SIMILAR = (4, 5)
 #: Documents from which common shingles are learned, and how many are kept.  They set the order
 #: of shingles, thus the number of comparisons, never the result.
 SAMPLE, COMMON = 20_000, 100_000
-#: So many pairs are compared without further rounds.
-FEW_PAIRS = 1_000_000
+#: Rounds against a shingle's most typical text at most, and how many rows of pairs need none.
+ROUNDS, FEW_PAIRS = 3, 1_000_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -68,15 +74,15 @@ def _common(keyed: DataFrame, width: int, sample: int) -> tuple[np.ndarray, np.n
 
 
 def _postings(keyed: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(key, node, n)``: the first shingles of each text, and how many it has in all."""
+    """``(key, node, n, at)``: the first shingles of each text, how many it has in all, and how many come before."""
     told = keyed.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        forget_kept()
         known, often = told.value
         seen: set[int] = set()  # copies in a task count once
         for batch in batches:
-            out = [(np.zeros(0, np.int64),) * 3]
+            keys, nodes, sizes, places = ([np.zeros(0, np.int64)] for _ in range(4))
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if node in seen:
                     continue
@@ -87,11 +93,12 @@ def _postings(keyed: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, often[at], 0)
-                first = h[np.lexsort((h, rank))[:most]]
-                out.append((first, np.full(most, node), np.full(most, len(h))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "node", "n"])
+                keys.append(h[np.lexsort((h, rank))[:most]])
+                nodes.append(np.full(most, node)), sizes.append(np.full(most, len(h))), places.append(np.arange(most))
+            key, node, n, at = map(np.concatenate, (keys, nodes, sizes, places))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n, pa.int32()), pa.array(at, pa.int32())], names=["key", "node", "n", "at"])
 
-    return keyed.mapInArrow(run, "key long, node long, n long")
+    return keyed.mapInArrow(run, "key long, node long, n int, at int")
 
 
 def _confirmed(keyed: DataFrame, pairs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
@@ -123,7 +130,20 @@ def _confirmed(keyed: DataFrame, pairs: DataFrame, width: int, max_broadcast: in
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcast: int = 4_000_000, sample: int = SAMPLE, few_pairs: int = FEW_PAIRS) -> DataFrame:
+def _alike(keyed: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+    """Links (a, b) of texts whose SimHash fingerprints are equal or close, and that are similar enough."""
+    fps = cut(fingerprints(keyed, "__t", ("node",), width).distinct())
+    first = fps.groupBy("fp").agg(F.min("node").alias("a"))
+    same = fps.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    name = lambda side: first.select(F.col("fp").alias(f"fp_{side}"), F.col("a").alias(side))
+    # Each fingerprint is tried with the smallest one near it; what that leaves apart, the join by prefixes links.
+    near = close_fingerprints(fps, MAX_BITS).groupBy(F.col("b").alias("fp_y")).agg(F.min("a").alias("fp_x")).join(name("x"), "fp_x").join(name("y"), "fp_y")
+    pairs = same.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return cut(_confirmed(keyed, cut(pairs), width, max_broadcast))
+
+
+def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcast: int = 4_000_000, sample: int = SAMPLE,
+           few_pairs: int = FEW_PAIRS, rounds: int = ROUNDS) -> DataFrame:
     """``(node, component)`` of texts, by hash, that are linked to another one; the smallest of the group.
 
     Links are between texts whose shingles have a Jaccard similarity of 4/5 or more; texts of a
@@ -131,34 +151,41 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(text_hash(text).alias("node"), F.col(text).alias("__t"))
+    found = _alike(keyed, width, max_broadcast)
     w = Window.partitionBy("key")
     met = _postings(keyed, width, _common(keyed, width, sample)).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo < hi")
-    now = cut(met.select("key", "node", "n").distinct().withColumn("component", F.col("node")))
-    most, found, group = max(few_pairs, 4 * now.count()), None, None
-    close = F.least("m", "n") * SIMILAR[1] >= F.greatest("m", "n") * SIMILAR[0]
-    while True:
-        state = now.groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-        state = cut(state.where("lo < hi").select("key", "c", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.component").alias("other")))
-        pairs = state.agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0
+    met = cut(met.select("key", "node", "n", "at").distinct())
+    most, tried = max(few_pairs, 4 * met.count()), None
+    size = lambda a, b: F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
+    # If it is the first shingle that two texts share, no more than the rest of each can be common.
+    reach = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("before")) * sum(SIMILAR)) >= (F.col("n") + F.col("m")) * SIMILAR[0]
+    for step in range(rounds + 1):
+        group = cut(connected_components(found))
+        now = met.join(group, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+        now = now if tried is None else now.join(tried, ["key", "node"], "left_anti")
+        parts = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "node")).alias("p"))
+        keys = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("major"), F.min(F.struct("p", "component")).alias("typical"), F.count("*").alias("parts"))
+        keys = cut(keys.where("parts > 1"))
+        pairs = keys.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("major.c")))).first()[0] or 0
         if not pairs:
-            break
-        last = pairs <= most
+            return group
+        last = step == rounds or pairs <= most
+        now = cut(now.join(keys.select("key", F.col("major.component").alias("major")), "key"))
         if last:
-            left = now.join(state.select("key"), "key", "left_semi").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
+            left = now.where("component <> major").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("before"), F.col("component").alias("other"))
+            # Both of a pair may be outside of the largest group: it is taken once.
+            once = (F.col("component") == F.col("major")) | (F.col("a") < F.col("node"))
         else:
-            left = state.select("key", "a", "m", "other")
-        meet = left.join(now, "key").where((F.col("a") < F.col("node")) & (F.col("other") != F.col("component")) & close)
-        meet = meet.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("m").alias("m"))
-        if last and found is None:  # all that two texts' first shingles share is counted, and the rest of one text bounds what else they can
-            meet = meet.where((F.col("met") + F.greatest("n", "m") * SIMILAR[0] / SIMILAR[1]) * sum(SIMILAR) + 0.001 >= (F.col("n") + F.col("m")) * SIMILAR[0])
-        links = cut(_confirmed(keyed, cut(meet.select("a", "b")), width, max_broadcast))
-        found = links if found is None else found.unionAll(links)
-        group = cut(connected_components(found))
+            left = keys.select("key", F.col("typical.p.node").alias("a"), F.col("typical.p.n").alias("m"), F.col("typical.p.at").alias("before"), F.col("typical.component").alias("other"))
+            once = F.lit(True)
+        meet = left.join(now, "key").where(once & (F.col("other") != F.col("component")) & size("m", "n") & reach)
+        meet = cut(meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        found = cut(found.unionAll(_confirmed(keyed, meet, width, max_broadcast)).distinct())
         if last:
-            break
-        now = now.drop("component").join(state.select("key", "a"), "key").where("node <> a").drop("a").join(group, "node", "left")
-        now = cut(now.select("key", "node", "n", F.coalesce("component", "node").alias("component")))
-    return docs.sparkSession.createDataFrame([], "node long, component long") if group is None else group
+            return connected_components(found)
+        done = keys.select("key", F.col("typical.p.node").alias("node"))
+        tried = cut(done if tried is None else tried.unionAll(done))
+    raise AssertionError("the last round returns")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import forget_encoders, grown, small_batches
+from trellis.llm.rows import forget_kept, grown, small_batches
+from trellis.llm.text import free_name, text_hash
 from trellis.operators.components import connected_components
 from trellis.plans.lineage import cut
 
@@ -49,16 +50,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``fp`` of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = SHINGLE) -> DataFrame:
+    """``keep`` columns and ``fp`` of every row, from shingles of ``width`` words; a null text has no words."""
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = grown(rows.drop("__text").schema, "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        forget_kept()
         for batch in batches:
-            fps = pa.array([fingerprint(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
+            fps = pa.array([fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fps], names=[*keep, "fp"])
 
     return rows.mapInArrow(run, schema)
@@ -129,10 +130,11 @@ def first_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of ``members`` (doc_id, th, component): the smallest id, nulls last."""
     first = members.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("k"))
-    first = cut(first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))).hint("merge")
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(first, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__h", "doc_id"]).select(*docs.columns)
+    key, other = free_name("of", docs.columns), free_name("of_first", docs.columns)
+    # A struct, so that null ids are equal, and that the join and the choice of one row share one shuffle of texts.
+    first = cut(first.select(F.struct("k.th", "k.doc_id").alias(other))).hint("merge")
+    rows = docs.withColumn(key, F.struct(text_hash("text").alias("th"), F.col("doc_id")))
+    return rows.join(first, F.col(key) == F.col(other), "left_semi").dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
