@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trellis.llm import decontamination, licenses, linededup, packing, secrets, simhash, urlfilter
+from trellis.llm import decontamination, licenses, linededup, packing, quality, secrets, simhash, urlfilter
 from trellis.plans.lineage import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -86,6 +86,21 @@ def test_names_do_not_clash(spark):
     assert untouched(pages, judged.drop("a.b")) and sorted(r.verdict for r in judged.collect()) == ["allow", "allow", "block"]
 
 
+def test_bytes_of_different_characters_differ():
+    keys = [tuple(quality.keys_of([c.encode()])[0].tolist()) for c in map(chr, range(0xD800))]
+    assert len(set(keys)) == len(keys)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    rows = docs(spark, ["some plain words here"] * 3 + [None, ""])
+    for c in ("kept", "n", "lp", "s", "low", "high", "good", "held_out", "n_bytes", "__n", "own", "row"):
+        rows = rows.withColumn(c, F.lit(f"own {c}"))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    for bound in (quality.MAX_BROADCAST, 0):
+        out = quality.keep_good(rows, labels, bound)
+        assert out.columns == rows.columns and out.count() == 5 and out.first()["good"] == "own good"
+
+
 def test_every_row_is_a_document(spark):
     t = "a\nb\nc"
     got = linededup.dedup_lines(docs(spark, [t, t, t, t, "q\nr\ns\nt", "q\nr\ns\nt"], [None, None, 7, 7, 9, 9])).collect()

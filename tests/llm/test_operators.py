@@ -325,21 +325,25 @@ def labelled(spark, n=400):
 
 def test_quality_on_held_out_labels(spark):
     rows, labels, n = labelled(spark)
-    got = {r.doc_id: r["__good"] for r in quality.classify(clashing(rows), labels).collect()}
+    got = {r.doc_id: r["good"] for r in quality.classify(clashing(rows), labels).collect()}
     held = [i for i in got if i % 2]
     assert sum(got[i] for i in held if i < n) >= 0.98 * sum(i < n for i in held) and not any(got[i] for i in held if i >= n)
     kept = quality.keep_good(clashing(rows), labels)
     assert kept.columns == clashing(rows).columns and {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if g}
 
 
+def scored(df, model, **how):
+    return quality.score(df.select(F.struct("doc_id").alias("kept"), "text"), model, **how)
+
+
 def test_quality_joined_scores_agree(spark):
     rows, _, _ = labelled(spark, 60)
-    rows = rows.unionByName(docs(spark, [None, "", "漢字🙂 unseen"], [900, 901, None]))
+    rows = rows.unionByName(docs(spark, [None, "", "漢字🙂 unseen", "\0\0 丁 ก"], [900, 901, None, 902]))
     model = quality.train(rows.where("doc_id < 40"))
-    read = lambda df: {r.doc_id: (r["__n"], round(r["__lp"], 6)) for r in df.collect()}
-    one, two = quality.score(rows, model), quality.score(rows, model, max_broadcast=0)
+    read = lambda df: {r.kept.doc_id: (r["n"], round(r["lp"], 6)) for r in df.collect()}
+    one, two = scored(rows, model), scored(rows, model, max_broadcast=0)
     assert read(one) == read(two) and read(one)[900] == (0, 0.0)
-    # A context's next characters, seen or not, are all there is: unigram probabilities sum below one.
+    # A context's next bytes, seen or not, are all there is: unigram probabilities sum below one.
     p = [np.exp(r.lp) for r in model.grams[0].collect()]
     assert 0.9 < sum(p) < 1
 
@@ -348,7 +352,8 @@ def brute_kn(texts, order, probe):
     """Interpolated modified Kneser-Ney by its definition, with this module's discounts."""
     from collections import Counter
 
-    pad = "\0" * (order - 1)
+    codes = lambda t: tuple(b + 1 for b in t.encode())
+    texts, probe, pad = [codes(t) for t in texts], codes(probe), (0,) * (order - 1)
     top = Counter(s[i : i + order] for t in texts for s in [pad + t] for i in range(len(t)))
     levels = [top]
     for _ in range(order - 1):
@@ -384,14 +389,14 @@ def brute_kn(texts, order, probe):
 def test_kneser_ney_by_definition(spark):
     texts = [t[:150] for t in TEXTS[:6]]
     model = quality.train(docs(spark, texts))
-    for probe in (texts[0][:60], "w1 zz É", ""):
-        got = quality.score(docs(spark, [probe]), model).first()["__lp"]
+    for probe in (texts[0][:60], "w1 zz É", "丁ก\0", ""):
+        got = scored(docs(spark, [probe]), model).first()["lp"]
         assert abs(got - brute_kn(texts, quality.ORDER, probe)) < 1e-6
 
 
 def test_long_texts_come_in_runs():
     texts = ["abc" * 50, "", "hello", "x" * 7, "🙂 " * 30]
-    whole = [quality.keys_of([t])[0] for t in texts]
+    whole = [quality.keys_of([t.encode()])[0] for t in texts]
     for most in (4, 9, 60, 1000):
         got = [[] for _ in texts]
         for at, lengths, keys in quality.key_runs(pa.array(texts), most=most):
@@ -402,7 +407,7 @@ def test_long_texts_come_in_runs():
 
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert all(r["__good"] for r in quality.classify(docs(spark, ODD), none).collect())
+    assert all(r["good"] for r in quality.classify(docs(spark, ODD), none).collect())
     assert quality.keep_good(docs(spark, []), none).count() == 0
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.text import free_name, text_hash, whole
+from trellis.llm.text import free_name, row_key, text_hash, whole
 from trellis.plans.lineage import cut
 
 SPAN = 3
@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # A struct, so that null ids are equal, and that join and numbering share one shuffle.
     gone = cut(covered_lines(docs)).select(F.struct("th", "doc_id").alias(other), F.col("starts").alias(starts))
     gone = gone.hint("merge")  # one plan at every size: what is gone grows with the documents
-    rows = docs.withColumn(key, F.struct(text_hash("text").alias("th"), F.col("doc_id")))
+    rows = docs.withColumn(key, row_key())
     both = rows.join(gone, F.col(key) == F.col(other), "left").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
     both = both.withColumn(lines, _lines())
     all_ = (f"filter(sequence(0, size({lines}) - {SPAN}), i -> array_join(transform(slice({lines}, i + 1, {SPAN}), x -> trim(x)), '') <> '')")

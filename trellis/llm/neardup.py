@@ -29,6 +29,7 @@ from trellis.llm.simhash import MAX_BITS, SEED, fingerprints, first_of
 from trellis.llm.simhash import links as close_fingerprints
 from trellis.llm.text import text_hash
 from trellis.operators.components import connected_components
+from trellis.operators.query import mirrored
 from trellis.plans.lineage import cut
 
 WIDTH = 5
@@ -37,7 +38,8 @@ SIMILAR = (4, 5)
 #: Documents from which common shingles are learned, and how many are kept.  They set the order
 #: of shingles, thus the number of comparisons, never the result.
 SAMPLE, COMMON = 20_000, 100_000
-#: Rounds against a shingle's most typical text at most, and how many rows of pairs need none.
+#: Rounds against a shingle's most typical text at most, and how many pairs need none.  A round that does
+#: not halve the pairs is the last.
 ROUNDS, FEW_PAIRS = 3, 1_000_000
 
 
@@ -155,12 +157,13 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
     w = Window.partitionBy("key")
     met = _postings(keyed, width, _common(keyed, width, sample)).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo < hi")
     met = cut(met.select("key", "node", "n", "at").distinct())
-    most, tried = max(few_pairs, 4 * met.count()), None
+    most, tried, before = max(few_pairs, 4 * met.count()), None, float("inf")
     size = lambda a, b: F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
     # If it is the first shingle that two texts share, no more than the rest of each can be common.
-    reach = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("before")) * sum(SIMILAR)) >= (F.col("n") + F.col("m")) * SIMILAR[0]
+    reach = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("ahead")) * sum(SIMILAR)) >= (F.col("n") + F.col("m")) * SIMILAR[0]
     for step in range(rounds + 1):
-        group = cut(connected_components(found))
+        # Texts with the same smallest neighbour are of one group; that is enough to leave pairs out, and cheap.
+        group = mirrored(found.select(F.col("a").alias("e1"), F.col("b").alias("e2"))).groupBy(F.col("e1").alias("node")).agg(F.min(F.least("e1", "e2")).alias("component"))
         now = met.join(group, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
         now = now if tried is None else now.join(tried, ["key", "node"], "left_anti")
         parts = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "node")).alias("p"))
@@ -168,19 +171,20 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
         keys = cut(keys.where("parts > 1"))
         pairs = keys.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("major.c")))).first()[0] or 0
         if not pairs:
-            return group
-        last = step == rounds or pairs <= most
+            return connected_components(found)
+        last = step == rounds or pairs <= most or 2 * pairs > before
+        before = pairs
         now = cut(now.join(keys.select("key", F.col("major.component").alias("major")), "key"))
         if last:
-            left = now.where("component <> major").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("before"), F.col("component").alias("other"))
+            left = now.where("component <> major").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("ahead"), F.col("component").alias("other"))
             # Both of a pair may be outside of the largest group: it is taken once.
             once = (F.col("component") == F.col("major")) | (F.col("a") < F.col("node"))
         else:
-            left = keys.select("key", F.col("typical.p.node").alias("a"), F.col("typical.p.n").alias("m"), F.col("typical.p.at").alias("before"), F.col("typical.component").alias("other"))
+            left = keys.select("key", F.col("typical.p.node").alias("a"), F.col("typical.p.n").alias("m"), F.col("typical.p.at").alias("ahead"), F.col("typical.component").alias("other"))
             once = F.lit(True)
         meet = left.join(now, "key").where(once & (F.col("other") != F.col("component")) & size("m", "n") & reach)
         meet = cut(meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        found = cut(found.unionAll(_confirmed(keyed, meet, width, max_broadcast)).distinct())
+        found = cut(found.unionAll(_confirmed(keyed, meet, width, max_broadcast)))
         if last:
             return connected_components(found)
         done = keys.select("key", F.col("typical.p.node").alias("node"))

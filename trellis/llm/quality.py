@@ -1,11 +1,11 @@
-"""Document quality by the perplexity of a character n-gram model.
+"""Document quality by the perplexity of an n-gram model over bytes of UTF-8.
 
-The model is interpolated modified Kneser-Ney over the last ``ORDER`` characters.  Its counts
+The model is interpolated modified Kneser-Ney over the last ``ORDER`` bytes.  Its counts
 come from all trusted documents.  Tables of n-grams, contexts and lower orders are keyed by
 integers, sharded by key, and joined to give each n-gram's probability.  Documents are scored in
 the tasks that read them while the model is within a checked size; a larger model is met by
-joining the documents' n-gram counts with it.  A document is kept if its perplexity lies within
-bounds that come from quantiles of the trusted documents of its language.
+joining the documents' n-gram counts with it.  A document is kept if its perplexity lies between
+quantiles of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -22,44 +22,36 @@ from trellis.llm.rows import forget_kept, grown, small_batches
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
-ORDER = 5
-BITS = 12  # of a character in a key; characters that agree in their lowest bits are one
+ORDER = 6
+BITS = 9  # of a byte in a key: 1 to 256, and 0 before a text begins
 MAX_BROADCAST = 4_000_000  # n-grams and contexts of a model that travels to the tasks, and ids likewise
 
 
-def char_codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & ((1 << BITS) - 1)
+def keys_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram keys of all bytes of the texts in a row, and each text's number of bytes.
 
-
-def keys_of(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram keys of all characters of the texts in a row, and each text's number of characters.
-
-    A text begins after ``order - 1`` zeros.
+    A text begins after ``order - 1`` zeros; a byte's code is one more than the byte.
     """
-    parts, gap = [], np.zeros(order - 1, np.int64)
-    lengths = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        codes = char_codes(text)
-        lengths[i] = len(codes)
-        parts += [gap, codes]
-    line = np.concatenate([*parts, np.zeros(0, np.int64)])
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths + order - 1)
+    line, own = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64), np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    own[((ends - lengths)[:, None] - 1 - np.arange(order - 1)).ravel()] = False
+    line[own] = np.frombuffer(b"".join(texts), np.uint8)
+    line[own] += 1
     keys = line.copy()
     for k in range(1, order):
         keys[k:] |= line[:-k] << (BITS * k)
-    own = np.ones(len(line), bool)
-    starts = np.cumsum(lengths + order - 1) - (lengths + order - 1)
-    own[(starts[:, None] + np.arange(order - 1)).ravel()] = False
     return keys[own], lengths
 
 
 def key_runs(texts: pa.Array, order: int = ORDER, most: int = 1 << 19) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Texts' places, their numbers of characters and their keys, about ``most`` characters at a time.
+    """Texts' places, their numbers of bytes and their keys, about ``most`` bytes at a time.
 
-    A longer text comes in several runs, each of which knows the characters before it.
+    A longer text comes in several runs, each of which knows the bytes before it.
     """
     at, held, size = [], [], 0
     for i, value in enumerate(texts):
-        text = value.as_py()
+        text = value.as_buffer().to_pybytes()
         if len(text) > most:
             for lo in range(0, len(text), most):
                 back = min(lo, order - 1)
@@ -122,7 +114,7 @@ def _discounts(table: DataFrame) -> list[float]:
 class Model:
     """``grams[k]`` (g, lp) and ``contexts[k]`` (h, ll), k from 1 to order: log probabilities of
     seen n-grams, and log weights of what a context leaves to the next lower order.  ``floor`` is
-    the log probability of a character when nothing is known."""
+    the log probability of a byte when nothing is known."""
 
     order: int
     grams: list[DataFrame]
@@ -220,13 +212,13 @@ def _fits(model: Model, max_broadcast: int) -> bool:
     return sum(t.count() for t in [*model.grams, *model.contexts]) <= max_broadcast
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang"), max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``keep`` columns, ``__n`` (characters) and ``__lp`` (their log probability) of every row."""
-    rows = docs.select(*keep, whole("text").alias("__text"))
-    schema = grown(rows.drop("__text").schema, "__n long, __lp double")
+def score(rows: DataFrame, model: Model, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``kept, n, lp`` for ``rows`` (kept, text): a text's bytes and their log probability; ``kept`` may be anything."""
+    rows = rows.select("kept", whole("text").alias("text"))
+    schema = grown(rows.drop("text").schema, "n long, lp double")
     if not _fits(model, max_broadcast):
-        return _score_by_join(rows, model, keep)
-    spark = docs.sparkSession
+        return _score_by_join(rows, model)
+    spark = rows.sparkSession
     small_batches(spark)
     arrays = lambda t: tuple(c.to_numpy() for c in t.toArrow().columns)
     sent = spark.sparkContext.broadcast(([arrays(t) for t in model.grams], [arrays(t) for t in model.contexts]))
@@ -236,29 +228,30 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lan
         forget_kept()
         scorer = Scorer(order, floor, *sent.value)
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(1)
             n, lp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for at, lengths, keys in key_runs(texts, order):
                 sums, ends = np.concatenate([[0.0], np.cumsum(scorer.log_probs(keys))]), np.cumsum(lengths)
                 n[at] += lengths
                 lp[at] += sums[ends] - sums[ends - lengths]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(lp)], names=[*keep, "__n", "__lp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(lp)], names=["kept", "n", "lp"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _score_by_join(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
     """As ``score``, by joining each row's n-gram counts with the sharded tables of the model."""
-    rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     order = model.order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                g, c = np.unique(keys_of([text.as_py()], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), row)), pa.array(g), pa.array(c)], names=["row", "g", "c"])
+            for i, row in enumerate(batch.column(0).to_pylist()):
+                for _, _, keys in key_runs(batch.column(1).slice(i, 1), order):  # a long text in runs
+                    g, c = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), row)), pa.array(g), pa.array(c)], names=["row", "g", "c"])
 
-    grams = cut(rows.select(F.col("__row").alias("row"), F.col("__text").alias("text")).mapInArrow(count, "row long, g long, c long"))
+    grams = cut(rows.select("row", "text").mapInArrow(count, "row long, g long, c long"))
     open_, done = grams.select("g").distinct().select("g", F.lit(0.0).alias("lp")), []
     for k in range(order, 0, -1):
         own = open_.withColumn("m", F.expr(f"g & {(1 << BITS * k) - 1}L"))
@@ -270,69 +263,85 @@ def _score_by_join(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> Data
     for part in done:
         every = every.unionAll(part)
     sums = grams.join(cut(every), "g").groupBy("row").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("lp")).alias("lp"))
-    sums = sums.select(F.col("row").alias("__row"), F.col("n").alias("__n"), F.col("lp").alias("__lp"))
-    return rows.join(sums, "__row", "left").select(*keep, F.coalesce("__n", F.lit(0)).cast("long").alias("__n"), F.coalesce("__lp", F.lit(0.0)).alias("__lp"))
+    return rows.join(sums, "row", "left").select("kept", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("lp", F.lit(0.0)).alias("lp"))
 
 
-#: Characters at its language's usual rate that are added to every document, so that a few
-#: characters cannot condemn a short one.
+#: Bytes at its language's usual rate that are added to every document, so that a few
+#: bytes cannot condemn a short one.
 PRIOR = 100
-QUANTILE, MARGIN = 0.995, 0.5
+#: The shares of trusted documents that lie below the limits: all trusted ones for the lower, those
+#: that the model has not seen for the upper.
+LOW, HIGH = 0.0002, 0.999
 FOLDS, LEAST = 5, 30
+ADDED = ("n_bytes", "perplexity", "perplexity_low", "perplexity_high", "good")
 
 
 def _surprise(usual: Column) -> Column:
-    """Mean negative log probability of a character, drawn towards the usual for short texts."""
-    return (-F.col("__lp") + PRIOR * usual) / (F.col("__n") + PRIOR)
+    """Mean negative log probability of a byte, drawn towards the usual for short texts."""
+    return (-F.col("lp") + PRIOR * usual) / (F.col("n") + PRIOR)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``keep`` columns, ``__n`` (characters), ``__perplexity``, ``__limit`` and ``__good``.
+    """``keep`` columns, ``n_bytes``, ``perplexity``, its limits ``perplexity_low`` and ``perplexity_high``, and ``good``.
 
     Trusted documents are those with a label of quality 1.  Four fifths of them, by text hash so
-    that copies stay together, train the model; the other fifth sets the limits: per language,
-    the median surprise plus 1.5 times what the 0.995 quantile lies above it.  A language with
+    that copies stay together, train the model; the other fifth sets the upper limit, the 0.999 quantile
+    of their language, and all set the lower one, the 0.0002 quantile.  With n documents a limit is
+    moved away from the median by sqrt(30 / n) / 2 of its distance from it, which vanishes as n grows.  A language with
     fewer than 30 of them, and null, gets the limits of all.  Without trusted documents every
     document is good.  A null or empty text has the usual surprise of its language and is good.
-    Repeated rows, ids and labels count as they stand; labels of unknown ids are ignored.
+    Repeated rows, ids and labels count as they stand; labels of unknown ids are ignored.  Texts of any
+    length are read whole.  Columns of ``keep`` may have any names but those added.
     """
-    trusted = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__trusted")).distinct())
-    ids = F.broadcast(trusted) if trusted.count() <= max_broadcast else trusted
-    fold = F.pmod(F.xxhash64(whole("text")), F.lit(FOLDS))
-    model = train(docs.select("doc_id", "text").where(fold > 0).join(ids, F.col("doc_id") == F.col("__trusted"), "left_semi"))
-    extra = [c for c in ("doc_id", "lang") if c not in keep]
-    tagged = docs.select(*keep, *extra, *([] if "text" in keep else ["text"]), F.coalesce("lang", F.lit("")).alias("__lang"), (fold == 0).alias("__held"))
-    scored = score(tagged, model, (*keep, *extra, "__lang", "__held"), max_broadcast)
-    if "text" in keep:  # texts pass once more; not worth a written copy
-        measured = cut(score(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("__lang")).where(fold == 0).join(
-            ids, F.col("doc_id") == F.col("__trusted"), "left_semi"), model, ("__lang",), max_broadcast))
-    else:
-        scored = cut(scored)
-        measured = scored.where("__held").join(ids, F.col("doc_id") == F.col("__trusted"), "left_semi").select("__lang", "__n", "__lp")
-    measured = measured.where("__n > 0")
-    rate = measured.withColumn("rate", -F.col("__lp") / F.col("__n"))
-    both = lambda by: by.agg(F.percentile_approx("rate", 0.5, 10_000).alias("usual"), F.count("*").alias("of"))
-    usual = cut(both(rate.groupBy("__lang")).where(F.col("of") >= LEAST).unionByName(both(rate).select(F.lit(None).cast("string").alias("__lang"), "usual", "of")))
-    calm = _with(measured, usual).withColumn("s", _surprise(F.col("usual")))
-    ends = lambda by: by.agg(F.percentile_approx("s", [0.5, QUANTILE], 10_000).alias("q"), F.count("*").alias("of"))
-    limit = ends(calm.groupBy("__lang")).where(F.col("of") >= LEAST).unionByName(ends(calm).select(F.lit(None).cast("string").alias("__lang"), "q", "of"))
-    limit = cut(limit.select("__lang", (F.col("q")[1] + MARGIN * (F.col("q")[1] - F.col("q")[0])).alias("limit")))
-    out = _with(_with(scored, usual), limit).withColumn("__s", F.coalesce(_surprise(F.col("usual")), F.lit(0.0)))
-    return out.select(*keep, "__n", F.exp("__s").alias("__perplexity"), F.exp("limit").alias("__limit"),
-                      (F.col("limit").isNull() | (F.col("__n") == 0) | (F.col("__s") <= F.col("limit"))).alias("__good"))
-
-
-def _with(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
-    """``rows`` with the value of their language, or else of all; the written table has one row for
-    each language that enough trusted documents share, and is sent to the tasks if those are few."""
-    value = [c for c in by_lang.columns if c not in ("__lang", "of")][0]
-    own = by_lang.where("__lang is not null").select(F.col("__lang").alias("__l"), F.col(value).alias("__own"))
-    all_ = by_lang.where("__lang is null").select(F.col(value)).first()
-    rest = F.lit(None if all_ is None else all_[0]).cast("double")
-    joined = rows.join(F.broadcast(own) if by_lang.count() <= 100_000 else own, F.col("__lang") == F.col("__l"), "left")
-    return joined.withColumn(value, F.coalesce("__own", rest)).drop("__l", "__own")
+    return _judged(docs, labels, [c for c in keep if c not in ADDED], max_broadcast).select(
+        "kept.own.*", F.col("n").alias("n_bytes"), F.exp("s").alias("perplexity"), F.exp("low").alias("perplexity_low"), F.exp("high").alias("perplexity_high"), "good")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps; columns stay."""
-    return classify(docs, labels, tuple(docs.columns)).where("__good").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The documents that the classifier keeps; columns stay, whatever their names."""
+    return _judged(docs, labels, docs.columns, max_broadcast).where("good").select("kept.own.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], max_broadcast: int) -> DataFrame:
+    """``kept`` (a struct with ``own``, the columns ``keep``), ``n, s, low, high, good`` of every row."""
+    trusted = cut(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    ids = F.broadcast(trusted) if trusted.count() <= max_broadcast else trusted
+    held_out = F.pmod(F.xxhash64(whole("text")), F.lit(FOLDS)) == 0
+    tag = (F.coalesce("lang", F.lit("")).alias("lang"), held_out.alias("held_out"))
+    model = train(docs.select("doc_id", "text").where(~held_out).join(ids, "doc_id", "left_semi"))
+    known = score(docs.join(ids, "doc_id", "left_semi").select(F.struct(*tag).alias("kept"), "text"), model, max_broadcast)
+    known = cut(known.where("n > 0").select("kept.lang", "kept.held_out", "n", "lp"))
+    fresh = known.where("held_out").withColumn("rate", -F.col("lp") / F.col("n"))
+    usual = _by_lang(fresh, "usual", F.percentile_approx("rate", 0.5, 10_000))
+    calm = _with(known, usual, "usual").withColumn("s", _surprise(F.col("usual")))
+    high = _by_lang(calm.where("held_out"), "high", _limit(HIGH))
+    low = _by_lang(calm, "low", _limit(LOW))
+    own = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("own")
+    out = score(docs.select(F.struct(own, tag[0]).alias("kept"), "text"), model, max_broadcast).withColumn("lang", F.col("kept.lang"))
+    for table, name in ((usual, "usual"), (low, "low"), (high, "high")):
+        out = _with(out, table, name)
+    out = out.withColumn("s", F.coalesce(_surprise(F.col("usual")), F.lit(0.0)))
+    good = F.col("high").isNull() | (F.col("n") == 0) | F.col("s").between(F.col("low"), F.col("high"))
+    return out.select("kept", "n", "s", "low", "high", good.alias("good"))
+
+
+def _limit(share: float) -> Column:
+    """The quantile of ``s`` in a group, moved away from the median by what few documents leave uncertain."""
+    q = F.percentile_approx("s", [0.5, share], 10_000)
+    return q[1] + 0.5 * F.sqrt(LEAST / F.count("*")) * (q[1] - q[0])
+
+
+def _by_lang(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``lang, <name>`` of each language with enough rows, and of all rows under null."""
+    both = lambda by: by.agg(value.alias(name), F.count("*").alias("of"))
+    every = both(rows.groupBy("lang")).where(F.col("of") >= LEAST).unionByName(both(rows).select(F.lit(None).cast("string").alias("lang"), name, "of"))
+    return cut(every.select("lang", name))
+
+
+def _with(rows: DataFrame, by_lang: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the value of their language, or else of all; Spark sends the small table to the tasks."""
+    own = by_lang.where("lang is not null").select(F.col("lang").alias("of_lang"), F.col(name).alias("own_value"))
+    all_ = by_lang.where("lang is null").select(name).first()
+    rest = F.lit(None if all_ is None else all_[0]).cast("double")
+    joined = rows.join(own, F.col("lang") == F.col("of_lang"), "left")
+    return joined.withColumn(name, F.coalesce("own_value", rest)).drop("of_lang", "own_value")

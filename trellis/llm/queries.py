@@ -57,8 +57,7 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", F.col("__n").alias("n_characters"), F.col("__perplexity").alias("perplexity"),
-                       F.col("__limit").alias("perplexity_limit"), F.col("__good").alias("keep"))
+    return rows.select("doc_id", "n_bytes", "perplexity", "perplexity_low", "perplexity_high", F.col("good").alias("keep"))
 
 
 #: The rules of the registered query (fixed values).

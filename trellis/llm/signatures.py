@@ -30,7 +30,6 @@ TEXTS = [
     ("apache-1.1", "this product includes software developed by the apache software foundation", ("apache", "foundation")),
     ("apache-1.1", "the names apache and apache software foundation must not be used to endorse", ("apache", "endorse")),
     ("gpl-1", "under the terms of the gnu general public license as published by the free software foundation either version 1", ("gnu", "published")),
-    ("gpl", "gnu general public license", ("gnu", "general")),
     ("gpl", "you should have received a copy of the gnu general public license along with this program", ("gnu", "received")),
     ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ("gnu", "received")),
     ("agpl-3", "you should have received a copy of the gnu affero general public license along with this program", ("affero", "received")),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.rows import forget_kept, grown, small_batches
-from trellis.llm.text import free_name, text_hash
+from trellis.llm.text import free_name, row_key
 from trellis.operators.components import connected_components
 from trellis.plans.lineage import cut
 
@@ -132,8 +132,8 @@ def first_of(docs: DataFrame, members: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("k"))
     key, other = free_name("of", docs.columns), free_name("of_first", docs.columns)
     # A struct, so that null ids are equal, and that the join and the choice of one row share one shuffle of texts.
-    first = cut(first.select(F.struct("k.th", "k.doc_id").alias(other))).hint("merge")
-    rows = docs.withColumn(key, F.struct(text_hash("text").alias("th"), F.col("doc_id")))
+    first = cut(first.select(F.struct(F.col("k.th").alias("th"), F.col("k.doc_id").alias("doc_id")).alias(other))).hint("merge")
+    rows = docs.withColumn(key, row_key())
     return rows.join(first, F.col(key) == F.col(other), "left_semi").dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

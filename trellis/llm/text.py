@@ -31,6 +31,15 @@ def text_hash(text: Column | str) -> Column:
     return F.xxhash64(whole(text))
 
 
+def row_key(text: Column | str = "text", doc_id: str = "doc_id") -> Column:
+    """A struct of text hash and id, in which null ids are equal.
+
+    Its fields may be null, as those of a table that is read are; otherwise a join would cast the key, and
+    what follows could not use the join's shuffle.
+    """
+    return F.struct(F.nullif(text_hash(text), F.lit(None)).alias("th"), F.col(doc_id).alias("doc_id"))
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once a row.
 
