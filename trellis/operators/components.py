@@ -1,7 +1,7 @@
 """Connected components of an edge list by alternating star contractions.
 
 Every round is two grouped minima and two joins over the edges that are left; nothing is
-gathered on the driver but the number of changed edges.
+gathered on the driver but the number of edges and a sum of their hashes, taken as they are written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut_counted, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,16 +36,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ids are 64-bit integers.  A hub's join rows can be split by adaptive execution, because each
     join shuffles both sides afresh.
     """
-    now = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-              .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seal = (F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")))
-    before = now.agg(*seal).first()
+    now, before = cut_counted(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+                              .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), *seal)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = cut(_small_star(_large_star(now)))
-        after = now.agg(*seal).first()
-        if tuple(after) == tuple(before):
+        last = now
+        now, after = cut_counted(_small_star(_large_star(last)), *seal)
+        discard(last)
+        if after == before:
             break
         before = after
     else:

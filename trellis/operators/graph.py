@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 
 from trellis.operators.components import connected_components
 from trellis.operators.query import mirrored, shared_counts
-from trellis.plans.lineage import cut
-
-
-def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 1_000_000) -> DataFrame:
-    """``id, hop`` of all that is within ``max_hops`` of ``seeds`` (id) along ``src, dst``."""
-    steps = edges.select("src", "dst").distinct()
-    done = cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
-    edge = done
-    for hop in range(1, max_hops + 1):
-        near = edge.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        edge = cut(near.join(done, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if edge.isEmpty():
-            break
-        done = cut(done.unionByName(edge))
-    return done
+from trellis.plans.lineage import Pile, cut, cut_counted, discard
+
+
+def distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``id, hop`` of all that ``seeds`` (id) reach along ``src, dst``, or within ``max_hops``."""
+    steps = cut(edges.select("src", "dst").distinct())
+    done = Pile(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    hop = 0
+    while done.count and (max_hops is None or hop < max_hops):
+        hop += 1
+        near = done.last.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        done.add(near.join(done.all(), "id", "left_anti").withColumn("hop", F.lit(hop)))
+    discard(steps)
+    return done.all()
 
 
 def as_directed(undirected: DataFrame) -> DataFrame:
@@ -37,17 +36,15 @@ def k_hop(pairs: DataFrame, seeds: DataFrame, hops: int, least_shared: int = 1,
 
     Neighbours of the frontier are found from its own nodes; the relation's full dual graph is not built.
     """
-    done = cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
-    edge = done
+    done = Pile(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, hops + 1):
-        own = pairs.join(edge.select(F.col("id").alias("elem")), "elem", "left_semi").select(F.col("elem").alias("from"), "node")
+        if not done.count:
+            break
+        own = pairs.join(done.last.select(F.col("id").alias("elem")), "elem", "left_semi").select(F.col("elem").alias("from"), "node")
         met = pairs.join(own, "node").where("elem <> from").groupBy("from", "elem").agg(F.count("*").alias("shared"))
         near = met.where(F.col("shared") >= least_shared).select(F.col("elem").alias("id")).distinct()
-        edge = cut(near.join(done, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if edge.isEmpty():
-            break
-        done = cut(done.unionByName(edge))
-    return done if include_seeds else done.where("hop > 0")
+        done.add(near.join(done.all(), "id", "left_anti").withColumn("hop", F.lit(hop)))
+    return done.all() if include_seeds else done.all().where("hop > 0")
 
 
 def components(pairs: DataFrame, least_shared: int = 1) -> DataFrame:
@@ -78,31 +75,37 @@ def shortest_paths(edges: DataFrame, source: int, weight: Column | str = "weight
     steps = cut(steps.withColumn("w", F.when(F.col("w") >= 0, F.col("w")).otherwise(F.raise_error(F.lit("negative weight")).cast("double"))))
     spark = edges.sparkSession
     done = cut(spark.createDataFrame([(source, 0.0, -1)], "id long, dist double, pred long"))
-    edge = done
+    edge, fallen = done, 1
     for _ in range(max_rounds):
         tried = edge.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
         best = tried.groupBy("id").agg(F.min(F.struct("dist", "pred")).alias("n"))
         old = done.select("id", F.col("dist").alias("d0"), F.col("pred").alias("p0"))
         fell = best.join(old, "id", "left").where("d0 is null or n.dist < d0 or (n.dist = d0 and p0 >= 0 and n.pred < p0)").select("id", "n.dist", "n.pred")
-        edge = cut(fell)
-        if edge.isEmpty():
+        before = (edge, done) if edge is not done else (done,)
+        edge, (fallen,) = cut_counted(fell, F.count(F.lit(1)))
+        if not fallen:
             return done
         done = cut(done.join(edge.select("id"), "id", "left_anti").unionByName(edge))
+        discard(*before)
     raise RuntimeError("distances did not settle")
 
 
 def paths(tree: DataFrame, targets: DataFrame, max_length: int = 100_000) -> DataFrame:
-    """``target, nth, id``: the way from the source to each of ``targets`` (id) in a tree of ``id, pred``."""
-    step = tree.select("id", "pred")
-    now = cut(targets.select(F.col("id").alias("target"), "id").join(step.select("id"), "id", "left_semi").select("target", "id").withColumn("back", F.lit(0)))
-    out = now
-    for back in range(1, max_length):
-        now = cut(now.join(step, "id").where("pred >= 0").select("target", F.col("pred").alias("id"), F.lit(back).alias("back")))
-        if now.isEmpty():
+    """``target, nth, id``: the way from the source to each of ``targets`` (id) in a tree of ``id, pred``.
+
+    An error if a way is longer than ``max_length``, as it is where predecessors run in a circle.
+    """
+    step = cut(tree.select("id", "pred"))
+    out = Pile(targets.select(F.col("id").alias("target"), "id").distinct().join(step.select("id"), "id", "left_semi").withColumn("back", F.lit(0)))
+    for back in range(1, max_length + 1):
+        out.add(out.last.join(step, "id").where("pred >= 0").select("target", F.col("pred").alias("id"), F.lit(back).alias("back")))
+        if not out.count:
             break
-        out = cut(out.unionByName(now))
+    else:
+        raise RuntimeError(f"a way has more than {max_length} ids")
+    discard(step)
     order = Window.partitionBy("target").orderBy(F.col("back").desc())
-    return out.select("target", (F.row_number().over(order) - 1).alias("nth"), "id")
+    return out.all().select("target", (F.row_number().over(order) - 1).alias("nth"), "id")
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, bool]:
@@ -112,15 +115,16 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100
     """
     steps = cut(edges.select("src", "dst").distinct())
     left = cut(nodes.select("id").distinct())
-    done = cut(left.limit(0).withColumn("level", F.lit(0)))
+    done = Pile(left.limit(0).withColumn("level", F.lit(0)))
     for level in range(max_rounds):
-        free = cut(left.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if free.isEmpty():
-            break
-        done = cut(done.unionByName(free.withColumn("level", F.lit(level))))
+        free = done.add(left.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)))
+        if not done.count:
+            return done.all(), left.isEmpty()
+        before = left, steps
         left = cut(left.join(free, "id", "left_anti"))
-        steps = cut(steps.join(free, F.col("src") == F.col("id"), "left_anti"))
-    return done, left.isEmpty()
+        steps = cut(steps.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        discard(*before)
+    raise RuntimeError(f"more than {max_rounds} levels")
 
 
 def colouring(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -131,21 +135,38 @@ def colouring(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100_000) ->
     """
     down = cut(edges.select(F.greatest("e1", "e2").alias("id"), F.least("e1", "e2").alias("low")).where("id <> low").distinct())
     waiting = cut(nodes.select("id").distinct())
-    done = None
+    done = Pile(waiting.join(down.select("id").distinct(), "id", "left_anti").withColumn("colour", F.lit(0)))
     for _ in range(max_rounds):
-        if done is None:
-            free = cut(waiting.join(down.select("id").distinct(), "id", "left_anti").withColumn("colour", F.lit(0)))
-        else:
-            open_ = down.join(waiting.select(F.col("id").alias("low")), "low", "left_semi").select("id").distinct()
-            ready = waiting.join(open_, "id", "left_anti")
-            taken = down.join(ready, "id").join(done.select(F.col("id").alias("low"), "colour"), "low").groupBy("id").agg(F.collect_set("colour").alias("cs"))
-            gap = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("cs")), F.col("cs")))
-            free = cut(taken.select("id", gap.alias("colour")))
-        if free.isEmpty():
-            break
-        done = free if done is None else cut(done.unionByName(free))
-        waiting = cut(waiting.join(free, "id", "left_anti"))
-    return done
+        if not done.count:
+            discard(down, waiting)
+            return done.all()
+        last = waiting
+        waiting = cut(last.join(done.last, "id", "left_anti"))
+        discard(last)
+        open_ = down.join(waiting.select(F.col("id").alias("low")), "low", "left_semi").select("id").distinct()
+        ready = waiting.join(open_, "id", "left_anti")
+        taken = down.join(ready, "id").join(done.all().select(F.col("id").alias("low"), "colour"), "low").groupBy("id").agg(F.collect_set("colour").alias("cs"))
+        gap = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("cs")), F.col("cs")))
+        done.add(taken.select("id", gap.alias("colour")))
+    raise RuntimeError(f"colouring did not end in {max_rounds} rounds")
+
+
+def colouring_statistics(coloured: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: ids, colours, the largest and smallest class, and edges whose ends have one colour."""
+    sizes = coloured.groupBy("colour").agg(F.count("*").alias("n"))
+    one, two = (coloured.select(F.col("id").alias(e), F.col("colour").alias("c" + e)) for e in ("e1", "e2"))
+    clashes = edges.join(one, "e1").join(two, "e2").where("ce1 = ce2 and e1 <> e2")
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.count("*").alias("colours"), F.max("n").alias("most"), F.min("n").alias("least")).join(
+        clashes.agg(F.count("*").alias("clashes")), F.lit(True))
+
+
+def typed_distances(typed: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``type, id, hop``: how many steps of the typed incidences (etype, ntype, elem, node), taken either way,
+    lead from ``seeds`` (type, id) to each entity."""
+    e, n = F.struct(F.col("etype").alias("type"), F.col("elem").alias("id")), F.struct(F.col("ntype").alias("type"), F.col("node").alias("id"))
+    both = typed.select(e.alias("src"), n.alias("dst")).unionAll(typed.select(n.alias("src"), e.alias("dst")))
+    found = distances(both, seeds.select(F.struct("type", "id").alias("id")), max_hops)
+    return found.select("id.type", F.col("id.id").alias("id"), "hop")
 
 
 def eccentricity_bound(edges: DataFrame, start: int) -> int:
