@@ -102,11 +102,11 @@ def _(spark, d):
     return rel.duplicates(as_rows(orders_to_suppliers(spark, d)))
 
 
-_ROWWISE = """SELECT elem, array_to_string(list_sort({}), ',') AS nodes FROM r {} JOIN (SELECT elem, nodes AS other FROM rs WHERE elem % 3 <> 0) USING (elem)"""
+_ROWWISE = """SELECT elem, array_to_string(list_sort({}), ',') AS nodes FROM r {} JOIN (SELECT elem, nodes AS other FROM rs) USING (elem)"""
 
 
 def _two(spark, d):
-    return as_rows(orders_to_parts(spark, d)), as_rows(orders_to_suppliers(spark, d)).where("elem % 3 <> 0")
+    return as_rows(orders_to_parts(spark, d)), as_rows(orders_to_suppliers(spark, d))
 
 
 @query("row_union", _ROWWISE.format("list_distinct(list_concat(coalesce(nodes, []), coalesce(other, [])))", "FULL"))
@@ -129,9 +129,9 @@ def _(spark, d):
     return rel.symmetric_difference(*_two(spark, d)).select("elem", said("nodes"))
 
 
-@query("boolean_product", ", t AS (SELECT DISTINCT node, elem FROM s WHERE elem % 50 = 0) SELECT DISTINCT a.node AS elem, b.node AS node FROM t a JOIN i b ON a.elem = b.elem")
+@query("boolean_product", ", t AS (SELECT DISTINCT node, elem FROM s) SELECT DISTINCT a.node AS elem, b.node AS node FROM t a JOIN i b ON a.elem = b.elem")
 def _(spark, d):
-    turned = orders_to_suppliers(spark, d).where("elem % 50 = 0").select(F.col("node").alias("elem"), F.col("elem").alias("node"))
+    turned = orders_to_suppliers(spark, d).select(F.col("node").alias("elem"), F.col("elem").alias("node"))
     return rel.product(turned, orders_to_parts(spark, d))
 
 
@@ -155,9 +155,10 @@ def _(spark, d):
     return rel.node_positions(rel.numbered(orders_to_parts(spark, d))).select("node", "elem", F.col("pos").cast("long"), F.col("nth").cast("long"))
 
 
-@query("boolean_rows", "SELECT elem, array_to_string(list_transform(range(10), lambda k: CASE WHEN list_contains(nodes, k) THEN 1 ELSE 0 END), '') AS flags FROM rs")
+@query("boolean_rows", "SELECT elem, array_to_string(list_transform(range((SELECT max(node) + 1 FROM s)), lambda k: CASE WHEN list_contains(nodes, k) THEN 1 ELSE 0 END), '') AS flags FROM rs")
 def _(spark, d):
-    flags = rel.to_boolean(as_rows(orders_to_suppliers(spark, d)), 10)
+    pairs = orders_to_suppliers(spark, d)
+    flags = rel.to_boolean(as_rows(pairs), pairs.agg(F.max("node") + 1).first()[0])
     return flags.select("elem", F.array_join(F.transform("flags", lambda f: f.cast("int").cast("string")), "").alias("flags"))
 
 
@@ -192,11 +193,11 @@ def _(spark, d):
     return q.containing_any_but(orders_to_suppliers(spark, d), _PROBE, [2, 3])
 
 
-@query("batch_containing_all", """, pr AS (SELECT elem AS probe, node, count(*) OVER (PARTITION BY elem) AS size FROM s WHERE elem % 40 = 0)
+@query("batch_containing_all", """, pr AS (SELECT elem AS probe, node, count(*) OVER (PARTITION BY elem) AS size FROM s WHERE elem % 100 = 0)
 SELECT probe, s.elem FROM pr JOIN s USING (node) GROUP BY probe, s.elem, size HAVING count(*) = size""")
 def _(spark, d):
     pairs = orders_to_suppliers(spark, d)
-    return q.batch_containing_all(pairs, pairs.where("elem % 40 = 0").select(F.col("elem").alias("probe"), "node"))
+    return q.batch_containing_all(pairs, pairs.where("elem % 100 = 0").select(F.col("elem").alias("probe"), "node"))
 
 
 @query("dual_graph", "SELECT e1, e2, shared FROM dual WHERE shared >= 2")
@@ -242,12 +243,14 @@ def _(spark, d):
 
 # Symmetry and topology
 
-_TRIPLES = """, t AS (SELECT elem, [nodes[2], nodes[3], nodes[1]] AS nodes FROM rs WHERE len(nodes) >= 3)"""
+#: Every three consecutive nodes of a row are a triangle.
+_TRIPLES = """, t AS (SELECT elem * 1000 + k AS elem, [nodes[k + 1], nodes[k + 2], nodes[k]] AS nodes FROM (SELECT elem, nodes, unnest(range(1, len(nodes) - 1)) AS k FROM rs WHERE len(nodes) >= 3))"""
 
 
 def _triples(spark, d):
     rows = as_rows(orders_to_suppliers(spark, d)).where("size(nodes) >= 3")
-    return rows.select("elem", F.expr("array(nodes[1], nodes[2], nodes[0])").alias("nodes"))
+    every = rows.select("elem", F.posexplode(F.expr("transform(sequence(0, size(nodes) - 3), k -> array(nodes[k + 1], nodes[k + 2], nodes[k]))")).alias("k", "nodes"))
+    return every.select((F.col("elem") * 1000 + F.col("k") + 1).alias("elem"), "nodes")
 
 
 @query("canonical_cyclic", _TRIPLES + "SELECT elem, array_to_string(list_min([nodes, [nodes[2], nodes[3], nodes[1]], [nodes[3], nodes[1], nodes[2]]]), ',') AS nodes FROM t")
@@ -315,12 +318,12 @@ def _(spark, d):
     return out.where("etype = 'order'").select("elem", "node")
 
 
-@query("extracted", """, k AS (SELECT elem, node FROM i WHERE elem % 7 = 0),
+@query("extracted", """, k AS (SELECT elem, node FROM i WHERE elem IN (SELECT elem FROM i WHERE node < 100)),
 es AS (SELECT elem, row_number() OVER (ORDER BY elem) - 1 AS e FROM (SELECT DISTINCT elem FROM k)), ns AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT DISTINCT node FROM k))
 SELECT e AS elem, n AS node FROM k JOIN es USING (elem) JOIN ns USING (node)""")
 def _(spark, d):
     pairs = orders_to_parts(spark, d)
-    return topology.extract(rel.numbered(pairs), pairs.where("elem % 7 = 0").select("elem"))[0].select("elem", "node")
+    return topology.extract(rel.numbered(pairs), pairs.where("node < 100").select("elem"))[0].select("elem", "node")
 
 
 # Graphs
@@ -334,11 +337,11 @@ def _(spark, d):
 
 
 @query("k_hop", """, b AS (SELECT e1, e2 FROM dual WHERE shared >= 2 UNION ALL SELECT e2, e1 FROM dual WHERE shared >= 2),
-h1 AS (SELECT DISTINCT e2 AS id FROM b WHERE e1 < 40 AND e2 >= 40), h2 AS (SELECT DISTINCT e2 AS id FROM b JOIN h1 ON e1 = id WHERE e2 >= 40 AND e2 NOT IN (SELECT id FROM h1))
+h1 AS (SELECT DISTINCT e2 AS id FROM b WHERE e1 % 100 = 0 AND e2 % 100 <> 0), h2 AS (SELECT DISTINCT e2 AS id FROM b JOIN h1 ON e1 = id WHERE e2 % 100 <> 0 AND e2 NOT IN (SELECT id FROM h1))
 SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2""")
 def _(spark, d):
-    seeds = spark.range(40).select("id")
-    return graph.k_hop(orders_to_parts(spark, d), seeds, 2, least_shared=2)
+    pairs = orders_to_parts(spark, d)
+    return graph.k_hop(pairs, pairs.where("elem % 100 = 0").select(F.col("elem").alias("id")), 2, least_shared=2)
 
 
 def _network(spark, d):
@@ -347,18 +350,20 @@ def _network(spark, d):
     return both.select(F.col("e1").alias("src"), F.col("e2").alias("dst"), (1.0 / F.col("shared")).alias("weight"))
 
 
-@query("shortest_paths")
+@query("shortest_paths", """, b AS MATERIALIZED (SELECT e1, e2, 1.0 / shared AS w FROM dual WHERE shared >= 2 UNION ALL SELECT e2, e1, 1.0 / shared FROM dual WHERE shared >= 2),
+w(id, dist) USING KEY (id) AS (SELECT min(e1), 0.0::double FROM b UNION SELECT t.e2, t.d FROM (SELECT e2, min(dist + b.w) AS d FROM w JOIN b ON id = e1 GROUP BY e2) t LEFT JOIN recurring.w AS old ON old.id = t.e2 WHERE old.id IS NULL OR t.d < old.dist - 1e-12)
+SELECT id, round(dist, 6) AS dist FROM w""")
 def _(spark, d):
     edges = _network(spark, d)
     start = edges.agg(F.min("src")).first()[0]
-    return graph.shortest_paths(edges, start).select("id", F.round("dist", 6).alias("dist"), "pred")
+    return graph.shortest_paths(edges, start).select("id", F.round("dist", 6).alias("dist"))
 
 
 @query("hop_distances", """, b AS (SELECT e1, e2 FROM dual WHERE shared >= 2 UNION ALL SELECT e2, e1 FROM dual WHERE shared >= 2),
-w(id, hop) AS (SELECT min(e1), 0 FROM b UNION SELECT e2, hop + 1 FROM w JOIN b ON id = e1 WHERE hop < 4) SELECT id, min(hop) AS hop FROM w GROUP BY id""")
+w(id, hop) AS (SELECT min(e1), 0 FROM b UNION SELECT e2, hop + 1 FROM w JOIN b ON id = e1 WHERE hop < 60) SELECT id, min(hop) AS hop FROM w GROUP BY id""")
 def _(spark, d):
     edges = _network(spark, d)
-    return graph.distances(edges, edges.agg(F.min("src").alias("id")), max_hops=4)
+    return graph.distances(edges, edges.agg(F.min("src").alias("id")))
 
 
 @query("topological_levels", """, b AS (SELECT DISTINCT n_nationkey AS x FROM nation)
@@ -393,17 +398,17 @@ def _(spark, d):
     return m.apply(x).select("i", F.round("v", 6).alias("v"))
 
 
-@query("gram_matrix", ", k AS (SELECT * FROM m WHERE i % 20 = 0) SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM k a JOIN k b ON a.i = b.i GROUP BY 1, 2")
+@query("gram_matrix", "SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2")
 def _(spark, d):
     m = quantities(spark, d)
-    part = sparse.Matrix(m.cells.where("i % 20 = 0"), m.rows, m.columns)
-    return part.transpose().times(part).cells
+    return m.transpose().times(m).cells
 
 
-@query("matrix_sum", ", k AS (SELECT * FROM m WHERE i % 2 = 0) SELECT i, j, sum(v) AS v FROM (SELECT * FROM m UNION ALL SELECT i, j, -0.5 * v FROM k) GROUP BY i, j")
+@query("matrix_sum", ", k AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT i, j, round(sum(v), 6) AS v FROM (SELECT * FROM m UNION ALL SELECT i, j, -0.5 * v FROM k) GROUP BY i, j")
 def _(spark, d):
     m = quantities(spark, d)
-    return m.add(sparse.Matrix(m.cells.where("i % 2 = 0"), m.rows, m.columns), -0.5).cells
+    other = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_discount").alias("v"))
+    return m.add(sparse.from_cells(other, m.rows, m.columns), -0.5).cells.withColumn("v", F.round("v", 6))
 
 
 @query("matrix_hadamard", "SELECT i, j, m.v * k.v AS v FROM m JOIN (SELECT * FROM m WHERE v > 20) k USING (i, j)")
@@ -423,11 +428,11 @@ def _(spark, d):
     return quantities(spark, d).triangle(upper=False, strict=True).cells
 
 
-@query("matrix_kronecker", ", k AS (SELECT * FROM m WHERE i < 20), t(a, b, w) AS (VALUES (0, 0, 2.0), (1, 0, -1.0)) SELECT i * 2 + a AS i, j * 2 + b AS j, (v * w)::double AS v FROM k, t")
+@query("matrix_kronecker", ", t(a, b, w) AS (VALUES (0, 0, 2.0), (1, 0, -1.0)) SELECT i * 2 + a AS i, j * 2 + b AS j, (v * w)::double AS v FROM m, t")
 def _(spark, d):
     m = quantities(spark, d)
     small = sparse.Matrix(spark.createDataFrame([(0, 0, 2.0), (1, 0, -1.0)], "i long, j long, v double"), 2, 2)
-    return sparse.Matrix(m.cells.where("i < 20"), m.rows, m.columns).kronecker(small).cells
+    return m.kronecker(small).cells
 
 
 @query("assembled_system", """SELECT a.node AS i, b.node AS j, sum(CASE WHEN a.node = b.node THEN 2.0 ELSE -1.0 END)::double AS v FROM s a JOIN s b ON a.elem = b.elem GROUP BY 1, 2""")
@@ -437,13 +442,16 @@ def _(spark, d):
     return sparse.assemble(conn, k)[0]
 
 
-@query("sparse_solve")
+@query("sparse_solve", "SELECT DISTINCT node AS i, true AS solved FROM s")
 def _(spark, d):
     conn = rel.numbered(orders_to_suppliers(spark, d)).select("elem", F.col("pos").alias("li"), F.col("node").alias("dof"))
     k = conn.select("elem", "li").join(conn.select("elem", F.col("li").alias("lj")), "elem").withColumn("v", F.when(F.col("li") == F.col("lj"), 20.0).otherwise(-1.0))
     cells, load = sparse.assemble(conn, k, conn.select("elem", "li", F.lit(1.0).alias("v")))
     n = load.agg(F.max("i") + 1).first()[0]
-    return sparse.solve(sparse.Matrix(cells, n, n), load).select("i", F.round("v", 8).alias("v"))
+    system = sparse.Matrix(cells, n, n)
+    # The product with the solution is the load again.
+    left = system.apply(sparse.solve(system, load)).join(load.select("i", F.col("v").alias("b")), "i")
+    return left.select("i", (F.abs(F.col("v") - F.col("b")) <= 1e-6 * F.col("b")).alias("solved"))
 
 
 # Vectors
@@ -509,10 +517,13 @@ def _(spark, d):
     return mesh.signed_area(loops)
 
 
-@query("points_in_polygons")
+@query("points_in_polygons", """, o AS (SELECT elem, pos, (node * 37 % 101)::double AS x, (node * 53 % 103)::double AS y FROM (SELECT elem, node, row_number() OVER (PARTITION BY elem ORDER BY node) - 1 AS pos FROM s)),
+n AS (SELECT elem, x, y, coalesce(lead(x) OVER w, first(x) OVER w2) AS bx, coalesce(lead(y) OVER w, first(y) OVER w2) AS by_ FROM o WINDOW w AS (PARTITION BY elem ORDER BY pos), w2 AS (PARTITION BY elem ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+q AS (SELECT p_partkey AS point, (p_partkey * 7 % 101)::double AS px, (p_partkey * 11 % 103)::double AS py FROM part)
+SELECT point, elem AS loop FROM q JOIN n ON (y > py) <> (by_ > py) AND px < (bx - x) * (py - y) / (by_ - y) + x GROUP BY point, elem HAVING count(*) % 2 = 1""")
 def _(spark, d):
     points = table(spark, d, "part").select(F.col("p_partkey").alias("point"), (F.col("p_partkey") * 7 % 101).cast("double").alias("x"), (F.col("p_partkey") * 11 % 103).cast("double").alias("y"))
-    loops = rel.numbered(orders_to_suppliers(spark, d)).where("elem % 50 = 0").select(F.col("elem").alias("loop"), F.col("pos").alias("seq"), (F.col("node") * 37 % 101).cast("double").alias("x"), (F.col("node") * 53 % 103).cast("double").alias("y"))
+    loops = rel.numbered(orders_to_suppliers(spark, d)).select(F.col("elem").alias("loop"), F.col("pos").alias("seq"), (F.col("node") * 37 % 101).cast("double").alias("x"), (F.col("node") * 53 % 103).cast("double").alias("y"))
     return mesh.points_in_polygons(points, loops, cell=8.0)
 
 
@@ -535,3 +546,6 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_size", F.lit(0.0).alias("low"), F.lit(60.0).alias("high"))
     return solvers.roots(rows, lambda x: x * x - F.col("p_size")).select("p_partkey", F.round("root", 6).alias("root"))
+
+
+from trellis import catalog_more  # noqa: E402, F401  (registers the rest)

@@ -130,3 +130,38 @@ def rotated(p: Point, around: Point, radians: Column | float) -> Point:
 def edge_crosses_ray(p: Point, a: Point, b: Point) -> Column:
     """Whether the ray from p to the right crosses the edge a-b; an odd count means inside."""
     return ((a.y > p.y) != (b.y > p.y)) & (p.x < a.x + F.try_divide((p.y - a.y) * (b.x - a.x), b.y - a.y))
+
+
+def orientation(a: Point, b: Point, c: Point) -> Column:
+    """1 where a, b, c turn counter-clockwise, -1 clockwise, 0 on a line (in the plane)."""
+    return F.signum(jacobian_2d(a, b, c)).cast("int")
+
+
+def signed_angle(a: Point, b: Point) -> Column:
+    """The angle from a to b in the plane, in (-pi, pi]."""
+    return F.atan2(a.x * b.y - a.y * b.x, a.x * b.x + a.y * b.y)
+
+
+def quad_area(a: Point, b: Point, c: Point, d: Point) -> Column:
+    """Area of a plane quadrilateral that does not cross itself."""
+    p, q = c - a, d - b
+    return F.abs(p.x * q.y - p.y * q.x) / 2
+
+
+def quad_is_convex(a: Point, b: Point, c: Point, d: Point) -> Column:
+    """Whether all four corners turn the same way."""
+    turns = [orientation(*t) for t in ((a, b, c), (b, c, d), (c, d, a), (d, a, b))]
+    return F.abs(sum(turns[1:], turns[0])) == 4
+
+
+def on_segment(p: Point, a: Point, b: Point, tolerance: float = 1e-12) -> Column:
+    """Whether p lies on the segment from a to b."""
+    return distance_to_segment(p, a, b) <= tolerance
+
+
+def middle(*points: Point) -> Point:
+    """The mean of some points."""
+    total = points[0]
+    for p in points[1:]:
+        total = total + p
+    return total.times(1.0 / len(points))

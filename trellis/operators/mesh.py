@@ -57,6 +57,18 @@ def located(rows: DataFrame, coords: DataFrame, size: int) -> DataFrame:
     return placed.groupBy("elem").agg(*(corner(k, c) for k in range(size) for c in "xyz"))
 
 
+def boxes(rows: DataFrame, coords: DataFrame) -> DataFrame:
+    """``elem``, the corners ``x0, y0, z0, x1, y1, z1`` of its box, and its middle ``cx, cy, cz``, the mean of its nodes."""
+    placed = incidences(rows).join(coords.select("node", "x", "y", "z"), "node")
+    return placed.groupBy("elem").agg(*(F.min(c).alias(c + "0") for c in "xyz"), *(F.max(c).alias(c + "1") for c in "xyz"), *(F.avg(c).alias("c" + c) for c in "xyz"))
+
+
+def edge_lengths(rows: DataFrame, coords: DataFrame) -> DataFrame:
+    """``a, b, length`` of the different edges."""
+    one, two = (coords.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in "xyz")) for k in "ab")
+    return edges(rows).join(one, "a").join(two, "b").select("a", "b", g.distance(g.point("a"), g.point("b")).alias("length"))
+
+
 def triangle_quality(rows: DataFrame, coords: DataFrame) -> DataFrame:
     a, b, c = (g.point(f"p{k}") for k in range(3))
     return located(rows, coords, 3).select("elem", g.triangle_area(a, b, c).alias("area"), g.triangle_aspect(a, b, c).alias("aspect"), g.smallest_angle(a, b, c).alias("min_angle"))
@@ -137,7 +149,10 @@ def refine(rows: DataFrame, coords: DataFrame, marks: DataFrame | None = None) -
     children = None
     for mask, shapes in table.items():
         picked = F.array(*(F.array(*(F.col("all")[i] for i in s)) for s in shapes))
-        children = F.when(F.col("mask") == mask, picked) if children is None else children.when(F.col("mask") == mask, picked)
+        whole = (F.col("mask") == mask) & (F.size("nodes") == size)
+        children = F.when(whole, picked) if children is None else children.when(whole, picked)
+    said = F.concat(F.lit(f"no split of an element of {size} nodes for "), F.size("nodes").cast("string"), F.lit(" nodes and edges "), F.col("mask").cast("string"))
+    children = children.otherwise(F.raise_error(said).cast("array<array<bigint>>"))
     born = both.withColumn("all", every).select(F.col("elem").alias("parent"), F.posexplode(children).alias("k", "nodes"))
     numbered = cut(born.select(F.struct("parent", "k").alias("pk"), "nodes"))
     named = renumber(numbered, "pk").select(F.col("old").alias("pk"), F.col("new").alias("elem"))

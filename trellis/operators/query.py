@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.plans.lineage import cut
+
 #: Probe nodes that are sent to all tasks at most; larger probes are joined by shuffling.
 MAX_BROADCAST = 100_000
 
@@ -51,12 +53,23 @@ def batch_containing_all(pairs: DataFrame, probes: DataFrame) -> DataFrame:
 def shared_counts(pairs: DataFrame, least: int = 1) -> DataFrame:
     """``e1, e2, shared`` for e1 < e2: how many nodes both hold, if ``least`` or more.
 
-    Pairs meet per node, and each is emitted once.  Nodes of a single element meet nothing, so they
-    are dropped first.
+    Elements with fewer than ``least`` nodes cannot qualify and are left out.  For ``least`` above one,
+    an element's nodes are ordered by how many elements hold them; two elements that share ``least`` nodes
+    meet in the first n - least + 1 of each, so only those meet, and nodes that most elements hold seldom do.
+    Candidates are then counted over all their nodes.
     """
-    met = pairs.select("node", F.col("elem").alias("e1")).join(pairs.select("node", F.col("elem").alias("e2")), "node")
-    counted = met.where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= least)
+    if least <= 1:
+        met = pairs.select("node", F.col("elem").alias("e1")).join(pairs.select("node", F.col("elem").alias("e2")), "node")
+        return met.where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("shared"))
+    held = pairs.groupBy("node").agg(F.count("*").alias("often")).where("often > 1")  # a node of one element meets nothing
+    order = Window.partitionBy("elem").orderBy("often", "node")
+    ranked = pairs.join(held, "node").select("elem", "node", F.row_number().over(order).alias("nth"), F.count("*").over(Window.partitionBy("elem")).alias("n"))
+    ranked = cut(ranked.where(F.col("n") >= least))
+    first = ranked.where(F.col("nth") <= F.col("n") - (least - 1))
+    met = first.select("node", F.col("elem").alias("e1")).join(first.select("node", F.col("elem").alias("e2")), "node").where("e1 < e2").select("e1", "e2").distinct()
+    one, two = (ranked.groupBy(F.col("elem").alias(e)).agg(F.collect_list("node").alias("n" + e)) for e in ("e1", "e2"))  # an element's own nodes
+    shared = F.size(F.array_intersect("ne1", "ne2")).cast("long")
+    return met.join(one, "e1").join(two, "e2").select("e1", "e2", shared.alias("shared")).where(F.col("shared") >= least)
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -115,3 +128,10 @@ def profile(edges: DataFrame) -> DataFrame:
     """One row: the sum over ids of the distance to the smallest neighbour not above them."""
     low = mirrored(edges.select("e1", "e2")).groupBy("e1").agg(F.min("e2").alias("m"))
     return low.agg(F.coalesce(F.sum(F.col("e1") - F.least("e1", "m")), F.lit(0)).alias("profile"))
+
+
+def connectivity_statistics(pairs: DataFrame) -> DataFrame:
+    """One row: elements, nodes, incidences, and the largest and mean number of nodes of an element and of elements of a node."""
+    per = pairs.groupBy("elem").agg(F.count("*").alias("n")).agg(F.count("*").alias("elements"), F.sum("n").alias("incidences"), F.max("n").alias("most_nodes"), F.avg("n").alias("mean_nodes"))
+    at = node_valence(pairs).agg(F.count("*").alias("nodes"), F.max("elements").alias("most_elements"), F.avg("elements").alias("mean_elements"))
+    return per.join(at, F.lit(True))  # one row each

@@ -227,3 +227,14 @@ def elements_at(pairs_: DataFrame, nodes: DataFrame) -> DataFrame:
 def dangling(incidence: DataFrame, nodes: DataFrame) -> DataFrame:
     """Places whose node is not among ``nodes`` (node)."""
     return incidence.join(nodes.select("node"), "node", "left_anti").select("elem", "pos", "node")
+
+
+def membership(pairs_: DataFrame, probes: DataFrame) -> DataFrame:
+    """``elem, node, found`` for ``probes`` (elem, node): whether the element exists and holds the node."""
+    return probes.join(pairs_.select("elem", "node").distinct().withColumn("found", F.lit(True)), ["elem", "node"], "left").select("elem", "node", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def local_index(incidence: DataFrame, probes: DataFrame) -> DataFrame:
+    """``elem, node, pos`` for ``probes`` (elem, node): the first place of the node in the element, or -1."""
+    first = incidence.groupBy("elem", "node").agg(F.min("pos").alias("pos"))
+    return probes.join(first, ["elem", "node"], "left").select("elem", "node", F.coalesce("pos", F.lit(-1)).cast("long").alias("pos"))

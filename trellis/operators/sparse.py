@@ -102,12 +102,22 @@ class Matrix:
     def diagonal(self) -> DataFrame:
         return self.cells.where("i = j").select("i", "v")
 
-    def kronecker(self, other: Matrix) -> Matrix:
-        """The Kronecker product; every cell of one meets every cell of the other, as it must."""
-        b = F.broadcast(other.cells.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("v").alias("w"))) if other.cells.count() <= 100_000 else other.cells.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("v").alias("w"))
-        met = self.cells.join(b, F.lit(True))
+    def kronecker(self, other: Matrix, block: int = 100_000) -> Matrix:
+        """The Kronecker product; every cell of one meets every cell of the other, as it must.
+
+        The other's cells are dealt into blocks of about ``block``, and this one's meet each block by an equi-join.
+        """
+        blocks = max(1, -(-other.cells.count() // block))
+        b = other.cells.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("v").alias("w"), F.pmod(F.xxhash64("i", "j"), F.lit(blocks)).alias("block"))
+        a = self.cells.select("i", "j", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        met = a.join(F.broadcast(b) if blocks == 1 else b, "block")
         return self._with(met.select((F.col("i") * other.rows + F.col("k")).alias("i"), (F.col("j") * other.columns + F.col("l")).alias("j"), (F.col("v") * F.col("w")).alias("v")), self.rows * other.rows, self.columns * other.columns)
 
+    def row_extremes(self) -> DataFrame:
+        """``i, arg_max, arg_min``: the columns of each row's largest and smallest value, the smaller one of equals."""
+        return self.cells.where("v is not null").groupBy("i").agg(
+            F.max_by("j", F.struct("v", (-F.col("j")).alias("c"))).alias("arg_max"), F.min_by("j", F.struct("v", F.col("j").alias("c"))).alias("arg_min"))
+
     def summary(self) -> DataFrame:
         """One row: cells, trace, sum, and the one-, infinity-, Frobenius- and largest-value norms."""
         rows = self.cells.groupBy("i").agg(F.sum(F.abs("v")).alias("s")).agg(F.max("s").alias("norm_inf"))
@@ -121,6 +131,12 @@ class Matrix:
             raise ValueError("sizes differ")
 
 
+def outer(x: DataFrame, y: DataFrame, rows: int, columns: int) -> Matrix:
+    """The outer product of two vectors ``i, v``."""
+    column = Matrix(x.select("i", F.lit(0).cast("long").alias("j"), "v"), rows, 1)
+    return column.kronecker(Matrix(y.select(F.lit(0).cast("long").alias("i"), F.col("i").alias("j"), "v"), 1, columns))
+
+
 def from_cells(cells: DataFrame, rows: int, columns: int, sum_repeated: bool = True) -> Matrix:
     """A matrix from ``i, j, v``; repeated cells are summed, or an error."""
     grouped = cells.groupBy("i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("n"))

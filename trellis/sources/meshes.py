@@ -74,14 +74,35 @@ def _said(spark: SparkSession, *said: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(said)), "nth long, line string")
 
 
-def write_tagged(rows: DataFrame, coords: DataFrame, path: str, tag: str = "0") -> None:
-    """``elem, kind, nodes`` and coordinates in the sectioned format 2.2, ids from 1, as ordered part files."""
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """``dim, tag, name`` of the named groups of a sectioned file."""
+    listed = _between(cut(lines(spark, path)), "$PhysicalNames", "$EndPhysicalNames").where("k > 0")
+    return listed.select(F.get("w", F.lit(0)).try_cast("int").alias("dim"), F.get("w", F.lit(1)).try_cast("int").alias("tag"), F.trim(F.lit('"'), F.array_join(F.slice("w", 3, 1000), " ")).alias("name"))
+
+
+def write_plain(rows: DataFrame, coords: DataFrame, path: str) -> None:
+    """Plain text: the numbers of nodes and elements, a line of coordinates a node, a line of node numbers (from 0) an element."""
+    spark = rows.sparkSession
+    nodes = coords.select(F.col("node").alias("nth"), F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz")).alias("line"))
+    cells = rows.select(F.col("elem").alias("nth"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), " ").alias("line"))
+    _written([_said(spark, f"{coords.count()} {rows.count()}"), nodes, cells], path)
+
+
+def write_tagged(rows: DataFrame, coords: DataFrame, path: str, tag: str = "0", names: DataFrame | None = None) -> None:
+    """``elem, kind, nodes`` and coordinates in the sectioned format 2.2, ids from 1, as ordered part files.
+
+    ``tag`` is a number or a column; ``names`` (dim, tag, name) become the named groups.
+    """
     spark = rows.sparkSession
     number = lambda c: F.col(c).cast("string")
     nodes = coords.select(F.col("node").alias("nth"), F.concat_ws(" ", (F.col("node") + 1).cast("string"), *(number(c) for c in "xyz")).alias("line"))
     tagged = F.lit(tag) if tag.isdigit() else F.col(tag).cast("string")
     cells = rows.select(F.col("elem").alias("nth"), F.concat_ws(" ", (F.col("elem") + 1).cast("string"), number("kind"), F.lit("2"), tagged, tagged, F.array_join(F.transform("nodes", lambda n: (n + 1).cast("string")), " ")).alias("line"))
-    _written([_said(spark, "$MeshFormat", "2.2 0 8", "$EndMeshFormat", "$Nodes", str(coords.count())), nodes,
+    groups = []
+    if names is not None:
+        said = names.select(F.col("tag").alias("nth"), F.concat(F.col("dim").cast("string"), F.lit(" "), F.col("tag").cast("string"), F.lit(' "'), F.col("name"), F.lit('"')).alias("line"))
+        groups = [_said(spark, "$PhysicalNames", str(names.count())), said, _said(spark, "$EndPhysicalNames")]
+    _written([_said(spark, "$MeshFormat", "2.2 0 8", "$EndMeshFormat"), *groups, _said(spark, "$Nodes", str(coords.count())), nodes,
               _said(spark, "$EndNodes", "$Elements", str(rows.count())), cells, _said(spark, "$EndElements")], path)
 
 
@@ -108,8 +129,11 @@ def write_blocks(rows: DataFrame, coords: DataFrame, path: str, kind: str = "Tri
     _written([_said(spark, f"MESH dimension 3 ElemType {kind} Nnode {size}", "Coordinates"), nodes, _said(spark, "End Coordinates", "Elements"), cells, _said(spark, "End Elements")], path)
 
 
-def write_steps(rows: DataFrame, coords: DataFrame, path: str, name: str, times: list[float], kind: str = "tria3") -> None:
-    """A case folder of numbered geometry, one for each time: text parts beside a ``.case`` listing."""
+def write_steps(rows: DataFrame, coords: DataFrame, path: str, name: str, times: list[float], kind: str = "tria3", variables: dict[str, str] | None = None) -> None:
+    """A case folder of numbered geometry, one for each time: text parts beside a ``.case`` listing.
+
+    ``variables`` name the files that ``write_values`` writes beside it, and whether each is ``scalar`` or ``vector``.
+    """
     spark = rows.sparkSession
     spaced = lambda c: F.format_string("%12.5e", F.col(c))
     ids = coords.select(F.col("node").alias("nth"), F.format_string("%8d", F.col("node") + 1).alias("line"))
@@ -118,7 +142,7 @@ def write_steps(rows: DataFrame, coords: DataFrame, path: str, name: str, times:
     for step, _ in enumerate(times, 1):
         _written([_said(spark, name, "geometry", "node id given", "element id given", "coordinates", f"{coords.count():8d}"), ids, places,
                   _said(spark, "part 1", name, kind, f"{rows.count():8d}"), cells], f"{path}/{name}_{step:04d}.geo")
-    said = ["FORMAT", "type: ensight", "GEOMETRY", f"model: 1 {name}_****.geo", "TIME", "time set: 1", f"number of steps: {len(times)}", "filename start number: 1", "filename increment: 1", "time values: " + " ".join(map(str, times))]
+    said = ["FORMAT", "type: ensight", "GEOMETRY", f"model: 1 {name}_****.geo", *(["VARIABLE"] if variables else []), *(f"{k} per node: 1 {v} {v}_****.txt" for v, k in (variables or {}).items()), "TIME", "time set: 1", f"number of steps: {len(times)}", "filename start number: 1", "filename increment: 1", "time values: " + " ".join(map(str, times))]
     _written([_said(spark, *said)], f"{path}/{name}.case")
 
 
