@@ -22,7 +22,7 @@ from trellis.llm.rows import forget_kept, grown, small_batches
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
-ORDER = 6
+ORDER = 5
 BITS = 9  # of a byte in a key: 1 to 256, and 0 before a text begins
 MAX_BROADCAST = 4_000_000  # n-grams and contexts of a model that travels to the tasks, and ids likewise
 
