@@ -12,7 +12,8 @@ is linked below the limit (but for equal 64-bit hashes).
 
 Many texts that meet in a shingle are not paired with each other.  In a few rounds, all are compared
 with the one that has fewest rarer shingles, which is nearest to what they share.  After that only
-texts outside of a shingle's largest group are compared with the others there.
+texts outside of a shingle's largest group are compared with the others there.  Pairs whose sizes, places
+or parity maps show that they cannot be similar enough are left out where they would be made.
 """
 
 from __future__ import annotations
@@ -103,6 +104,30 @@ def _postings(keyed: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray
     return keyed.mapInArrow(run, "key long, node long, n int, at int")
 
 
+#: Bits of a text's parity map, in columns of 64.
+MAP = 256
+_MAPS = [f"m{i}" for i in range(MAP // 64)]
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """For each of ``MAP`` classes of shingles, whether a text holds an odd number, as 64-bit integers.
+
+    Two maps differ in at most as many bits as there are shingles that only one of the texts holds.
+    """
+    return np.packbits(np.bincount(h & (MAP - 1), minlength=MAP).astype(np.uint8) & 1).view(np.int64)
+
+
+def _maps(keyed: DataFrame, width: int) -> DataFrame:
+    """``node`` and its parity map of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = np.array([parity(shingles(t, width)) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(_MAPS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T)], names=["node", *_MAPS])
+
+    return keyed.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in _MAPS)).distinct()
+
+
 def _confirmed(keyed: DataFrame, pairs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are similar enough."""
     nodes = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
@@ -144,6 +169,17 @@ def _alike(keyed: DataFrame, width: int, max_broadcast: int) -> DataFrame:
     return cut(_confirmed(keyed, cut(pairs), width, max_broadcast))
 
 
+def _labels(found: DataFrame, hops: int = 4) -> DataFrame:
+    """``node, component``: the smallest text within some links.  Texts with one label are of one group, which is
+    enough to leave pairs out, and cheap; those of one group may have several."""
+    both = cut(mirrored(found.select(F.col("a").alias("e1"), F.col("b").alias("e2"))).distinct())
+    label = both.groupBy(F.col("e1").alias("node")).agg(F.min(F.least("e1", "e2")).alias("component"))
+    for _ in range(hops - 1):
+        passed = both.join(label.withColumnRenamed("node", "e2"), "e2").select(F.col("e1").alias("node"), "component")
+        label = cut(passed.unionAll(label).groupBy("node").agg(F.min("component").alias("component")))
+    return label
+
+
 def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcast: int = 4_000_000, sample: int = SAMPLE,
            few_pairs: int = FEW_PAIRS, rounds: int = ROUNDS) -> DataFrame:
     """``(node, component)`` of texts, by hash, that are linked to another one; the smallest of the group.
@@ -161,9 +197,12 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
     size = lambda a, b: F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
     # If it is the first shingle that two texts share, no more than the rest of each can be common.
     reach = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("ahead")) * sum(SIMILAR)) >= (F.col("n") + F.col("m")) * SIMILAR[0]
-    for step in range(rounds + 1):
-        # Texts with the same smallest neighbour are of one group; that is enough to leave pairs out, and cheap.
-        group = mirrored(found.select(F.col("a").alias("e1"), F.col("b").alias("e2"))).groupBy(F.col("e1").alias("node")).agg(F.min(F.least("e1", "e2")).alias("component"))
+    maps = cut(_maps(keyed, width))
+    # So many shingles at least are in one of two texts alone.
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"a_{m}"))) for m in _MAPS[1:]), F.bit_count(F.col(_MAPS[0]).bitwiseXOR(F.col(f"a_{_MAPS[0]}"))))
+    near = (F.col("n") + F.col("m") - apart) * sum(SIMILAR) >= (F.col("n") + F.col("m")) * (2 * SIMILAR[0])
+    for step in range(max(1, rounds) + 1):
+        group = _labels(found)
         now = met.join(group, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
         now = now if tried is None else now.join(tried, ["key", "node"], "left_anti")
         parts = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "node")).alias("p"))
@@ -172,17 +211,19 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
         pairs = keys.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("major.c")))).first()[0] or 0
         if not pairs:
             return connected_components(found)
-        last = step == rounds or pairs <= most or 2 * pairs > before
+        # The first round always is one against typical texts, so that a group of copies is a star and not all its pairs.
+        last = step > 0 and (step >= rounds or pairs <= most or 2 * pairs > before)
         before = pairs
-        now = cut(now.join(keys.select("key", F.col("major.component").alias("major")), "key"))
+        now = cut(now.join(keys.select("key", F.col("major.component").alias("major")), "key").join(maps, "node"))
         if last:
-            left = now.where("component <> major").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("ahead"), F.col("component").alias("other"))
+            left = now.where("component <> major").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("ahead"), F.col("component").alias("other"), *(F.col(m).alias(f"a_{m}") for m in _MAPS))
             # Both of a pair may be outside of the largest group: it is taken once.
             once = (F.col("component") == F.col("major")) | (F.col("a") < F.col("node"))
         else:
             left = keys.select("key", F.col("typical.p.node").alias("a"), F.col("typical.p.n").alias("m"), F.col("typical.p.at").alias("ahead"), F.col("typical.component").alias("other"))
+            left = left.join(maps.select(F.col("node").alias("a"), *(F.col(m).alias(f"a_{m}") for m in _MAPS)), "a")
             once = F.lit(True)
-        meet = left.join(now, "key").where(once & (F.col("other") != F.col("component")) & size("m", "n") & reach)
+        meet = left.join(now, "key").where(once & (F.col("other") != F.col("component")) & size("m", "n") & reach & near)
         meet = cut(meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
         found = cut(found.unionAll(_confirmed(keyed, meet, width, max_broadcast)))
         if last:
