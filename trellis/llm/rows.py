@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
@@ -28,16 +30,22 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, f"{most}b")
 
 
-_KEPT: dict = {}
+def _store() -> dict:
+    """What this worker process keeps between tasks.
+
+    It is looked up as the task runs: a task's functions may come pickled with their globals, which are then new for each task.
+    """
+    return sys.modules.setdefault("_trellis_kept", types.ModuleType("_trellis_kept")).__dict__.setdefault("kept", {})
 
 
 def kept(key: Hashable, make: Callable[[], T_]) -> T_:
     """What ``make`` gave when this worker process first asked for ``key``."""
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+    store = _store()
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 def forget_kept() -> None:
     """Free what tasks before left in this worker process for their successors."""
-    _KEPT.clear()
+    _store().clear()
