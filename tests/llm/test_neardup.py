@@ -67,3 +67,18 @@ def test_stage_takes_edited_copies(spark):
     texts = [text, *(edited(r, text, 2) for _ in range(10)), edited(r, text, 40)]
     rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [0, 11]
+
+
+def test_sketches_never_tell_more_than_differs():
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    for n, m, shared in ((1, 1, 0), (1, 1, 1), (3, 900, 2), (500, 620, 480), (4000, 4100, 3700), (200, 5000, 0)):
+        both, one, two = (r.integers(-(2**63), 2**63 - 1, k) for k in (shared, n - shared, m - shared))
+        x, y = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, two]))
+        apart = neardup.differing(neardup.sketch(x), neardup.sketch(y))
+        assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+        assert neardup.differing(neardup.sketch(x), neardup.sketch(x)) == 0
+    # Long texts without a common shingle are told apart, which a map of 256 bits cannot do.
+    x, y = (r.integers(-(2**63), 2**63 - 1, 4000) for _ in range(2))
+    assert (8000 - neardup.differing(neardup.sketch(x), neardup.sketch(y))) * 9 < 8000 * 8

@@ -31,7 +31,7 @@ from trellis.llm.simhash import links as close_fingerprints
 from trellis.llm.text import text_hash
 from trellis.operators.components import connected_components
 from trellis.operators.query import mirrored
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut, discard
 
 WIDTH = 5
 #: The least similarity as a fraction.
@@ -117,21 +117,57 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(h & (MAP - 1), minlength=MAP).astype(np.uint8) & 1).view(np.int64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A parity map as ``parity``'s, of two to four classes a shingle, as bytes: long texts fill no map of one size."""
+    bits = max(MAP, 1 << (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount(h & (bits - 1), minlength=bits).astype(np.uint8) & 1)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    short = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, short)) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _maps(keyed: DataFrame, width: int) -> DataFrame:
-    """``node`` and its parity map of every text."""
+    """``node``, its parity map, its number ``size`` of shingles and its sketch of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = np.array([parity(shingles(t, width)) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(_MAPS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T)], names=["node", *_MAPS])
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            maps = np.array([parity(h) for h in sets], np.int64).reshape(-1, len(_MAPS))
+            more = [pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h).tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T), *more], names=["node", *_MAPS, "size", "sketch"])
+
+    return keyed.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in _MAPS) + ", size int, sketch binary").dropDuplicates(["node"])
+
+
+def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches leave open that the texts are similar enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for both, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                apart = differing(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y)))
+                near.append((both - apart) * sum(SIMILAR) >= both * 2 * SIMILAR[0])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return keyed.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in _MAPS)).distinct()
+    side = lambda of, n, s: maps.select(F.col("node").alias(of), F.col("size").alias(n), F.col("sketch").alias(s))
+    held = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a")
+    return held.select("a", "b", F.col("n").cast("long") + F.col("m"), "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _confirmed(keyed: DataFrame, pairs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough."""
+def _confirmed(keyed: DataFrame, maps: DataFrame, pairs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar enough, as a written table; ``pairs`` is discarded.
+
+    Whole sets of shingles are sent for the pairs alone that sketches, some twentieth of the bytes, leave open.
+    """
+    tried, pairs = pairs, cut(_possible(pairs, maps))
+    discard(tried)
     nodes = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
-    nodes = F.broadcast(nodes) if nodes.count() <= max_broadcast else nodes.hint("merge")
+    wanted = F.broadcast(nodes) if nodes.count() <= max_broadcast else nodes.hint("merge")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -152,12 +188,14 @@ def _confirmed(keyed: DataFrame, pairs: DataFrame, width: int, max_broadcast: in
                 near.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    held = cut(keyed.join(nodes, "node", "left_semi").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
+    held = cut(keyed.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
     one, two = held.select(F.col("node").alias("a"), F.col("s").alias("x")), held.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    similar = cut(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    discard(pairs, nodes, held)
+    return similar
 
 
-def _alike(keyed: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+def _alike(keyed: DataFrame, maps: DataFrame, width: int, max_broadcast: int) -> DataFrame:
     """Links (a, b) of texts whose SimHash fingerprints are equal or close, and that are similar enough."""
     fps = cut(fingerprints(keyed, "__t", ("node",), width).distinct())
     first = fps.groupBy("fp").agg(F.min("node").alias("a"))
@@ -166,7 +204,7 @@ def _alike(keyed: DataFrame, width: int, max_broadcast: int) -> DataFrame:
     # Each fingerprint is tried with the smallest one near it; what that leaves apart, the join by prefixes links.
     near = close_fingerprints(fps, MAX_BITS).groupBy(F.col("b").alias("fp_y")).agg(F.min("a").alias("fp_x")).join(name("x"), "fp_x").join(name("y"), "fp_y")
     pairs = same.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return cut(_confirmed(keyed, cut(pairs), width, max_broadcast))
+    return _confirmed(keyed, maps, cut(pairs), width, max_broadcast)
 
 
 def _labels(found: DataFrame, hops: int = 4) -> DataFrame:
@@ -189,7 +227,8 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(text_hash(text).alias("node"), F.col(text).alias("__t"))
-    found = _alike(keyed, width, max_broadcast)
+    maps = cut(_maps(keyed, width))
+    found = _alike(keyed, maps, width, max_broadcast)
     w = Window.partitionBy("key")
     met = _postings(keyed, width, _common(keyed, width, sample)).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo < hi")
     met = cut(met.select("key", "node", "n", "at").distinct())
@@ -197,7 +236,6 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
     size = lambda a, b: F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
     # If it is the first shingle that two texts share, no more than the rest of each can be common.
     reach = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("ahead")) * sum(SIMILAR)) >= (F.col("n") + F.col("m")) * SIMILAR[0]
-    maps = cut(_maps(keyed, width))
     # So many shingles at least are in one of two texts alone.
     apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"a_{m}"))) for m in _MAPS[1:]), F.bit_count(F.col(_MAPS[0]).bitwiseXOR(F.col(f"a_{_MAPS[0]}"))))
     near = (F.col("n") + F.col("m") - apart) * sum(SIMILAR) >= (F.col("n") + F.col("m")) * (2 * SIMILAR[0])
@@ -214,7 +252,7 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
         # The first round always is one against typical texts, so that a group of copies is a star and not all its pairs.
         last = step > 0 and (step >= rounds or pairs <= most or 2 * pairs > before)
         before = pairs
-        now = cut(now.join(keys.select("key", F.col("major.component").alias("major")), "key").join(maps, "node"))
+        now = cut(now.join(keys.select("key", F.col("major.component").alias("major")), "key").join(maps.select("node", *_MAPS), "node"))
         if last:
             left = now.where("component <> major").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("ahead"), F.col("component").alias("other"), *(F.col(m).alias(f"a_{m}") for m in _MAPS))
             # Both of a pair may be outside of the largest group: it is taken once.
@@ -225,7 +263,8 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
             once = F.lit(True)
         meet = left.join(now, "key").where(once & (F.col("other") != F.col("component")) & size("m", "n") & reach & near)
         meet = cut(meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        found = cut(found.unionAll(_confirmed(keyed, meet, width, max_broadcast)))
+        discard(now)
+        found = cut(found.unionAll(_confirmed(keyed, maps, meet, width, max_broadcast)))
         if last:
             return connected_components(found)
         done = keys.select("key", F.col("typical.p.node").alias("node"))
