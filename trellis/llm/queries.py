@@ -148,7 +148,7 @@ FROM d LEFT JOIN per USING (r)"""
 def _secret_oracle() -> str:
     kinds = secrets.BASE + secrets.MORE
     parts = " UNION ALL ".join(
-        f"SELECT r, {i} AS nth, {_sql(k.name)} AS kind, {k.least} AS least, string_split_regex(t, {_sql(k.regex)}) AS s, "
+        f"SELECT r, {i} AS nth, {_sql(k.name)} AS kind, {k.least} AS least, {_sql(k.check or '')} AS looks, string_split_regex(t, {_sql(k.regex)}) AS s, "
         f"regexp_extract_all(t, {_sql(k.regex)}) AS m, regexp_extract_all(t, {_sql(k.regex)}, {k.group}) AS g FROM d" for i, k in enumerate(kinds))
     counts = ", ".join(f"coalesce(count(*) FILTER (kind = {_sql(k.name)}), 0)::bigint AS n_{k.name}" for k in secrets.BASE)
     return f"""
@@ -156,7 +156,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 cut AS ({parts}),
 one AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0),
 span AS (SELECT r, nth, kind, (list_sum(list_transform(s[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))::bigint AS a,
-                len(m[i]) AS n FROM one WHERE len(g[i]) >= least),
+                len(m[i]) AS n FROM one WHERE len(g[i]) >= least AND regexp_matches(m[i], looks)),
 per AS (SELECT r, {counts},
                string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) FILTER (nth < {len(secrets.BASE)}) AS base,
                string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) AS spans FROM span GROUP BY r)

@@ -20,7 +20,11 @@ VERSION = 1
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of secret: expression, prefilter, and how long a group must be."""
+    """A kind of secret: expression, prefilter, how long a group must be, and what the whole match must look like.
+
+    No expression may repeat a group (the JVM takes a call for each repetition) or begin again inside what it has passed
+    over in vain: a kind whose parts could be long runs matches the whole run, and ``check`` judges it once.
+    """
 
     name: str
     regex: str
@@ -28,6 +32,7 @@ class Kind:
     group: int = 0
     least: int = 1
     base: bool = False
+    check: str = ""
 
 
 #: The kinds that are always reported, in the order of ties.
@@ -40,12 +45,12 @@ BASE = [
 
 #: Kinds of this module's own.
 MORE = [
-    Kind("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("private key-----",)),
+    Kind("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key-----",)),
     Kind("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Kind("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", ("xox",)),
     Kind("cloud_key", "AIza[0-9A-Za-z_-]{35}", ("aiza",)),
     Kind("payment_key", "[sr]k_live_[0-9A-Za-z]{16,}", ("k_live_",)),
-    Kind("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
+    Kind("web_token", r"[A-Za-z0-9_.-]{29,}", ("eyj",), check=r"^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.?$"),
 ]
 
 
@@ -65,17 +70,28 @@ def _gate(low: Column, text: Column, kinds: list[Kind]) -> Column:
     return out
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _spans(kind: Kind, nth: int) -> str:
-    """SQL for the spans of one kind in ``text``: leftmost, not overlapping, code points from 0."""
-    regex = "'" + kind.regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """SQL for the spans of one kind in ``text``: leftmost, not overlapping, code points from 0.
+
+    Matches are added up in blocks of about the square root of their number: an array that grows by one is copied each time.
+    """
+    regex = _quoted(kind.regex)
     gate = " or ".join(f"contains(low, '{w}')" for w in kind.keywords) or "true"
+    span = "struct<start:int,nth:int,stop:int,len:int>"
+    held = f"if(x.m[i] rlike {_quoted(kind.check)}, length(x.g[i]), 0)" if kind.check else "length(x.g[i])"
     return f"""case when {gate} then transform(array(named_struct('s', split(text, {regex}, -1),
-        'm', regexp_extract_all(text, {regex}, 0), 'g', regexp_extract_all(text, {regex}, {kind.group}))), x -> filter(
-      aggregate(sequence(0, size(x.s) - 1), named_struct('upto', 0, 'out', cast(array() as array<struct<start:int,nth:int,stop:int,len:int>>)),
-        (a, i) -> case when i >= size(x.m) then a else named_struct('upto', a.upto + length(x.s[i]) + length(x.m[i]),
-          'out', concat(a.out, array(named_struct('start', a.upto + length(x.s[i]), 'nth', {nth},
-                 'stop', a.upto + length(x.s[i]) + length(x.m[i]), 'len', length(x.g[i]))))) end,
-        a -> a.out), y -> y.len >= {kind.least}))[0] end"""
+        'm', regexp_extract_all(text, {regex}, 0), 'g', regexp_extract_all(text, {regex}, {kind.group}))), x -> case when size(x.m) = 0 then null else filter(flatten(
+      aggregate(sequence(0, cast(sqrt(size(x.m) - 1) as int)), named_struct('upto', 0, 'out', cast(array() as array<array<{span}>>)),
+        (a, b) -> aggregate(filter(sequence(b * cast(ceil(sqrt(size(x.m))) as int), (b + 1) * cast(ceil(sqrt(size(x.m))) as int) - 1), i -> i < size(x.m)),
+          named_struct('upto', a.upto, 'out', cast(array() as array<{span}>)),
+          (c, i) -> named_struct('upto', c.upto + length(x.s[i]) + length(x.m[i]),
+            'out', concat(c.out, array(named_struct('start', c.upto + length(x.s[i]), 'nth', {nth}, 'stop', c.upto + length(x.s[i]) + length(x.m[i]), 'len', {held})))),
+          c -> named_struct('upto', c.upto, 'out', concat(a.out, array(c.out)))),
+        a -> a.out)), y -> y.len >= {kind.least}) end)[0] end"""
 
 
 def scan_blobs(blobs: DataFrame, kinds: list[Kind]) -> DataFrame:
