@@ -48,8 +48,9 @@ def test_a_large_mean_costs_no_digits(spark):
 def test_an_element_of_another_size_is_not_lost(spark):
     rows, coords = mesh.rectangle(spark, 1, 1)
     mixed = rows.unionAll(spark.createDataFrame([(9, [0, 1, 2, 3])], "elem long, nodes array<long>"))
+    assert mesh.refine(mixed, coords)[0].groupBy("parent").count().where("parent = 9 and count = 8").count() == 1
     with pytest.raises(Exception, match="no split"):
-        mesh.refine(mixed, coords)[0].collect()
+        mesh.refine(rows.unionAll(spark.createDataFrame([(9, [0, 1, 2, 3, 4])], "elem long, nodes array<long>")), coords)[0].collect()
 
 
 def test_shared_counts_by_prefixes(spark):

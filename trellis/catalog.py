@@ -527,25 +527,10 @@ def _(spark, d):
     return mesh.points_in_polygons(points, loops, cell=8.0)
 
 
-@query("mesh_refinement", "SELECT 3200 AS elements, 1681 AS nodes, 1.0::double AS area", shared=False)
-def _(spark, d):
-    rows, coords = mesh.rectangle(spark, 20, 20)
-    fine, where, _ = mesh.refine(rows, coords)
-    total = mesh.triangle_quality(fine, where).agg(F.count("*").cast("int").alias("elements"), F.round(F.sum("area"), 9).alias("area"))
-    return total.join(where.agg(F.count("*").cast("int").alias("nodes")), F.lit(True)).select("elements", "nodes", "area")
-
-
-@query("tetra_box", "SELECT 384 AS elements, 1.0::double AS volume, 192 AS boundary", shared=False)
-def _(spark, d):
-    rows, coords = mesh.box(spark, 4, 4, 4)
-    total = mesh.tetra_quality(rows, coords).agg(F.count("*").cast("int").alias("elements"), F.round(F.sum("volume"), 9).alias("volume"))
-    return total.join(topology.boundary_facets(rows, 3).agg(F.count("*").cast("int").alias("boundary")), F.lit(True))
-
-
 @query("scalar_roots", "SELECT p_partkey, round(sqrt(p_size), 6) AS root FROM part", shared=False)
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_size", F.lit(0.0).alias("low"), F.lit(60.0).alias("high"))
     return solvers.roots(rows, lambda x: x * x - F.col("p_size")).select("p_partkey", F.round("root", 6).alias("root"))
 
 
-from trellis import catalog_more  # noqa: E402, F401  (registers the rest)
+from trellis import catalog_meshes, catalog_more  # noqa: E402, F401  (register the rest)

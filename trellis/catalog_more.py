@@ -248,14 +248,6 @@ def _(spark, d):
     return rows.select("l_partkey", F.round(g.quad_area(a, b, c, e), 6).alias("area"), g.quad_is_convex(a, b, c, e).alias("convex"), g.orientation(a, b, c).alias("turn"), F.round(g.signed_angle(a, b), 6).alias("angle"))
 
 
-@query("refined_triangles", "SELECT elem, array_to_string([4 * elem, 4 * elem + 1, 4 * elem + 2, 4 * elem + 3], ',') AS children, 0.000156::double AS area FROM range(1600) x(elem)", shared=False)
-def _(spark, d):
-    rows, coords = mesh.rectangle(spark, 40, 20)
-    fine, where, _ = mesh.refine(rows, coords)
-    sized = fine.join(mesh.triangle_quality(fine, where).select("elem", "area"), "elem")
-    return sized.groupBy(F.col("parent").alias("elem")).agg(F.array_join(F.array_sort(F.collect_list("elem")).cast("array<string>"), ",").alias("children"), F.round(F.max("area"), 6).alias("area"))
-
-
 # Files: what is written is read again.
 
 

@@ -12,8 +12,10 @@ from trellis.functions import geometry as g
 from trellis.operators.components import connected_components
 from trellis.operators.query import node_neighbours
 from trellis.operators.relation import incidences, pairs, renumber
-from trellis.operators.topology import boundary_nodes
-from trellis.plans.lineage import cut
+from trellis.operators.relation import rows as listed
+from trellis.operators.splits import LOCAL_EDGES, closed_marks, sides, split
+from trellis.operators.topology import boundary_nodes, facets
+from trellis.plans.lineage import cut, discard
 
 
 def rectangle(spark: SparkSession, nx: int, ny: int, width: float = 1.0, height: float = 1.0, quads: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -90,73 +92,22 @@ def without_degenerate(rows: DataFrame, coords: DataFrame, tolerance: float = 1e
     return rows.join(flat, "elem", "left_anti")
 
 
-#: Children of a triangle and a tetrahedron whose edges are all split (fixed values): corners, then edge middles.
-TRIANGLE_EDGES, TETRA_EDGES = [(0, 1), (1, 2), (2, 0)], [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-TRIANGLE_CHILDREN = [(0, 3, 5), (3, 1, 4), (5, 4, 2), (3, 4, 5)]
-TETRA_CHILDREN = [(0, 4, 5, 6), (4, 1, 7, 8), (5, 7, 2, 9), (6, 8, 9, 3), (4, 5, 6, 8), (4, 5, 8, 7), (5, 6, 8, 9), (5, 8, 7, 9)]
-#: Children of a triangle by which of its edges (01, 12, 20) are split (fixed values).
-TRIANGLE_SPLITS = {
-    0: [(0, 1, 2)], 1: [(0, 3, 2), (3, 1, 2)], 2: [(0, 1, 4), (0, 4, 2)], 4: [(0, 1, 5), (5, 1, 2)],
-    3: [(3, 1, 4), (0, 3, 4), (0, 4, 2)], 6: [(5, 4, 2), (0, 1, 4), (0, 4, 5)], 5: [(0, 3, 5), (3, 1, 2), (3, 2, 5)], 7: TRIANGLE_CHILDREN,
-}
+def refine(rows: DataFrame, coords: DataFrame, marks: DataFrame | None = None, close: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split marked edges (``a, b``; all without marks) of bars, triangles and tetrahedra, which may be mixed.
 
-
-def _middles(rows: DataFrame, local: list[tuple[int, int]]) -> DataFrame:
-    """``elem, k, a, b``: the ends (a < b) of each element's k-th edge."""
-    ends = F.array(*(F.array_sort(F.array(F.col("nodes")[i], F.col("nodes")[j])) for i, j in local))
-    return rows.select("elem", F.posexplode(ends).alias("k", "e")).select("elem", "k", F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
-
-
-def _marked(rows: DataFrame, local: list[tuple[int, int]], marks: DataFrame) -> DataFrame:
-    return _middles(rows, local).join(marks.select("a", "b"), ["a", "b"], "left_semi")
-
-
-def closed_marks(rows: DataFrame, marks: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``a, b``: marks of tetrahedra's edges, widened until each element has none or all six."""
-    marks = cut(marks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for _ in range(max_rounds):
-        some = _marked(rows, TETRA_EDGES, marks).groupBy("elem").agg(F.count("*").alias("n")).where("n < 6")
-        more = cut(_middles(rows.join(some, "elem", "left_semi"), TETRA_EDGES).select("a", "b").distinct().join(marks, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            return marks
-        marks = cut(marks.unionByName(more))
-    raise RuntimeError("marks did not settle")
-
-
-def refine(rows: DataFrame, coords: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Split marked edges (``a, b``; all without marks) of triangles, or of tetrahedra after closure.
-
-    Results: child rows ``elem, nodes, parent``, coordinates with the new middles, and the middles'
+    Neighbours agree on what they share, whichever edges are marked (``splits``).  With ``close``, tetrahedra of one or two marked edges
+    have all six split.  Results: child rows ``elem, nodes, parent``, coordinates with the new middles, and the middles'
     ``node, parent1, parent2``.  New nodes follow the largest old one, in order of their ends.
     """
-    size = rows.select(F.size("nodes")).first()[0]
-    local = TRIANGLE_EDGES if size == 3 else TETRA_EDGES
-    if marks is None:
-        marks = _middles(rows, local).select("a", "b").distinct()
-    elif size == 4:
-        marks = closed_marks(rows, marks)
-    else:
-        marks = marks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    used = _marked(rows, local, marks)
-    ends = cut(used.select(F.struct("a", "b").alias("ab")).distinct())
+    every = sides(rows).select("a", "b").distinct()
+    if marks is not None:
+        wanted = closed_marks(rows, marks) if close else marks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        every = every.join(wanted, ["a", "b"], "left_semi")
+    ends = cut(every.select(F.struct("a", "b").alias("ab")))
     top = coords.agg(F.max("node")).first()[0]
     middles = cut(renumber(ends, "ab").select((F.col("new") + top + 1).alias("node"), F.col("old.a").alias("parent1"), F.col("old.b").alias("parent2")))
-    split = used.join(middles.select(F.col("node").alias("m"), F.col("parent1").alias("a"), F.col("parent2").alias("b")), ["a", "b"])
-    per = split.groupBy("elem").agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("ms"), F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("mask"))
-    both = rows.join(per, "elem", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
-    every = F.concat(F.col("nodes"), F.array(*(F.try_element_at("ms", F.lit(k)) for k in range(len(local)))))
-    table = TRIANGLE_SPLITS if size == 3 else {0: [(0, 1, 2, 3)], 63: TETRA_CHILDREN}
-    children = None
-    for mask, shapes in table.items():
-        picked = F.array(*(F.array(*(F.col("all")[i] for i in s)) for s in shapes))
-        whole = (F.col("mask") == mask) & (F.size("nodes") == size)
-        children = F.when(whole, picked) if children is None else children.when(whole, picked)
-    said = F.concat(F.lit(f"no split of an element of {size} nodes for "), F.size("nodes").cast("string"), F.lit(" nodes and edges "), F.col("mask").cast("string"))
-    children = children.otherwise(F.raise_error(said).cast("array<array<bigint>>"))
-    born = both.withColumn("all", every).select(F.col("elem").alias("parent"), F.posexplode(children).alias("k", "nodes"))
-    numbered = cut(born.select(F.struct("parent", "k").alias("pk"), "nodes"))
-    named = renumber(numbered, "pk").select(F.col("old").alias("pk"), F.col("new").alias("elem"))
-    out = numbered.join(named, "pk").select("elem", "nodes", F.col("pk.parent").alias("parent"))
+    discard(ends)
+    out = split(rows, middles.select("node", F.col("parent1").alias("a"), F.col("parent2").alias("b")))
     return out, coords.select("node", "x", "y", "z").unionByName(interpolate(middles, coords)), middles
 
 
@@ -177,24 +128,72 @@ def smooth(rows: DataFrame, coords: DataFrame, rounds: int = 1, weight: float =
     return coords
 
 
-def cracked(rows: DataFrame, coords: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
-    """The mesh split where a level set (an SQL expression of x, y, z) is zero.
+def opened(rows: DataFrame, coords: DataFrame, level: str, where: str | None = None, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A mesh of triangles, or of tetrahedra, cut and opened along the zeros of a field: an SQL expression of ``coords``' columns, linear on edges.
+
+    Edges whose ends have opposite signs get a node at their root, and elements are split so that each child lies on
+    one side.  A facet whose nodes are all zeros, between a child above and children below, is opened; with ``where``, a condition on columns of
+    ``coords`` (at a new node, those of x, y and z), only if it holds at all its nodes.  A node of an opened facet is copied once for each further
+    set of elements around it that hang together by facets that are not opened: so lips part, and the ends of a crack stay one.
 
-    Nodes on it (within 1e-12) that have elements on both sides are doubled; elements whose mean
-    level is positive take the copies, which are numbered after the largest node.
+    Results: ``elem, nodes, parent``; coordinates of all nodes; and ``node, root, a, b``, the new nodes, where ``root`` is the
+    node that a copy lies on (itself for one on the edge a, b; a and b are null for copies).  Values within ``tolerance`` are zeros; a null one is an error.
     """
-    at = coords.select("node", F.expr(level).alias("level"))
-    cells = incidences(rows).join(at, "node")
-    side = cells.groupBy("elem").agg((F.avg("level") > 0).alias("above"))
-    on = cells.where(F.abs("level") <= 1e-12).join(side, "elem")
-    both = cut(on.groupBy("node").agg(F.countDistinct("above").alias("n")).where("n = 2").select("node"))
-    top = coords.agg(F.max("node")).first()[0]
-    copies = cut(renumber(both, "node").select(F.col("old").alias("node"), (F.col("new") + top + 1).alias("copy")))
-    moved = cells.join(side, "elem").join(copies, "node", "left").select("elem", "pos", F.when(F.col("above") & F.col("copy").isNotNull(), F.col("copy")).otherwise(F.col("node")).alias("node"))
-    from trellis.operators.relation import rows as listed
+    sizes = [r[0] for r in rows.select(F.size("nodes")).distinct().limit(3).collect()]
+    if len(sizes) > 1 or sizes and sizes[0] not in (3, 4):
+        raise ValueError("only meshes of triangles alone or of tetrahedra alone can be cut")
+    size = sizes[0] if sizes else 3
+    known = F.coalesce(F.expr(level).cast("double"), F.raise_error(F.lit("a node without a value")).cast("double"))
+    at = coords.select("node", "x", "y", "z", known.alias("v")).withColumn("v", F.when(F.abs("v") <= tolerance, 0.0).otherwise(F.col("v")))
+    one, two = (at.select(F.col("node").alias(k), *(F.col(c).alias(c + k) for c in "xyzv")) for k in "ab")
+    crossed = sides(rows).select("a", "b").distinct().join(one, "a").join(two, "b").where("va * vb < 0")
+    crossed = cut(crossed.select(F.struct("a", "b").alias("ab"), *((F.col(c + "a") + F.col("va") / (F.col("va") - F.col("vb")) * (F.col(c + "b") - F.col(c + "a"))).alias(c) for c in "xyz")))
+    top = coords.agg(F.coalesce(F.max("node"), F.lit(-1))).first()[0]
+    numbered = renumber(crossed, "ab").select(F.col("old").alias("ab"), (F.col("new") + top + 1).alias("node"))
+    roots = cut(crossed.join(numbered, "ab").select("node", "ab.a", "ab.b", "x", "y", "z"))
+    discard(crossed)
+    children = cut(split(rows, roots))
+
+    places = coords.select("node", "x", "y", "z").unionByName(roots.select("node", "x", "y", "z"))
+    inside = F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False))
+    zeros = at.where("v = 0").select("node").join(coords, "node").select("node", inside.alias("open")).unionByName(roots.select("node", inside.alias("open")))
+    values = at.select("node", "v").unionByName(roots.select("node", F.lit(0.0).alias("v")))
+    above = incidences(children).join(values, "node").groupBy("elem").agg((F.sum("v") > 0).alias("above"))
+    shared = facets(children, size - 1).join(above, "elem")
+    # Facets that hold a zero, with their elements; only those can be opened, or hold elements around a zero together.
+    near = shared.select("elem", "above", "facet", F.explode("facet").alias("node")).join(zeros, "node")
+    parted = near.groupBy("facet").agg((F.count_distinct("node") == size - 1).alias("zero"), F.bool_and("open").alias("open"), (F.min("above") != F.max("above")).alias("both"))
+    parted = cut(parted.where("zero and open and both").select("facet"))
+    lips = cut(parted.select(F.explode("facet").alias("node")).distinct())
+
+    around = cut(incidences(children).select("node", "elem").join(lips, "node", "left_semi").join(above, "elem").select(F.struct("node", "elem").alias("ne"), "above"))
+    ids = cut(renumber(around, "ne").select(F.col("old").alias("ne"), F.col("new").alias("id")))
+    held = facets(children, size - 1).join(parted, "facet", "left_anti").select("facet", "elem", F.explode("facet").alias("node")).join(lips, "node", "left_semi")
+    hub = held.groupBy("facet", "node").agg(F.min("elem").alias("first"))
+    links = held.join(hub, ["facet", "node"]).where("elem <> first").select(F.struct("node", "elem").alias("ne"), F.struct("node", F.col("first").alias("elem")).alias("mf"))
+    links = links.join(ids, "ne").select(F.col("id").alias("a"), "mf").join(ids.select(F.col("ne").alias("mf"), F.col("id").alias("b")), "mf").select("a", "b")
+    sets = connected_components(links)
+    named = ids.join(sets, F.col("id") == F.col("node"), "left").select("ne", F.coalesce("component", "id").alias("set")).join(around, "ne")
+    # The first set below, or else the first of all, keeps the node.
+    named = cut(named.select("ne.node", "ne.elem", "set", "above"))
+    first = named.groupBy("node", "set").agg(F.bool_and("above").alias("up"), F.min("elem").alias("elem"))
+    ranked = first.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("up", "elem"))).where("nth > 1")
+    copied = cut(ranked.select(F.struct("node", "nth").alias("nn"), "set"))
+    tip = top + 1 + roots.count()
+    fresh = renumber(copied, "nn").select(F.col("old").alias("nn"), (F.col("new") + tip).alias("copy"))
+    copies = cut(copied.join(fresh, "nn").select("nn.node", "set", "copy"))
+    moved = named.join(copies, ["node", "set"]).select("elem", "node", "copy")
+    whole = incidences(children).join(moved, ["elem", "node"], "left").select("elem", "pos", F.coalesce("copy", "node").alias("node"))
+    out = cut(listed(whole).join(children.select("elem", "parent"), "elem").select("elem", "nodes", "parent"))
+    more = copies.join(places, "node").select(F.col("copy").alias("node"), "x", "y", "z")
+    made = roots.select("node", F.col("node").alias("root"), "a", "b").unionByName(copies.select(F.col("copy").alias("node"), F.col("node").alias("root")), allowMissingColumns=True)
+    discard(children, parted, lips, around, ids, named, copied)
+    return out, places.unionByName(more), made
+
 
-    more = copies.join(coords, "node").select(F.col("copy").alias("node"), "x", "y", "z")
-    return listed(moved), coords.select("node", "x", "y", "z").unionByName(more)
+def cracked(rows: DataFrame, coords: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
+    """The mesh and coordinates of ``opened`` along a whole level set."""
+    return opened(rows, coords, level)[:2]
 
 
 def signed_area(loops: DataFrame) -> DataFrame:
@@ -239,7 +238,7 @@ def boundary_loops(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
     named by its smallest node, from which ``seq`` counts.  Places are found by doubling: each round
     every node learns where the next 2^k steps lead, so long curves need few rounds.
     """
-    local = F.array(*(F.array(F.col("nodes")[i], F.col("nodes")[j]) for i, j in TRIANGLE_EDGES))
+    local = F.array(*(F.array(F.col("nodes")[i], F.col("nodes")[j]) for i, j in LOCAL_EDGES[3]))
     directed = rows.where("size(nodes) = 3").select(F.explode(local).alias("e")).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
     back = directed.select(F.col("b").alias("a"), F.col("a").alias("b"))
     step = cut(directed.join(back, ["a", "b"], "left_anti"))
