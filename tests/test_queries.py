@@ -52,7 +52,7 @@ def float_(x):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).columns
+    assert entry.queries()[name](spark, SF).collect() is not None
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -1,6 +1,6 @@
 from trellis.operators import mesh
 from trellis.operators.relation import incidences
-from trellis.sources import meshes
+from trellis.sources import meshes, store
 from trellis.streaming import incidence
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ def test_streams(spark, tmp_path):
     events.withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id long, event_type string, ts timestamp").parquet(str(tmp_path / "in"))
     incidence.maintain(incidence.new_pairs(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, store.relation_store(spark, str(tmp_path / "out"), schema="elem long, node string").read().collect())) == [(1, "a"), (2, "b")]
     query = incidence.windowed_degrees(stream).writeStream.format("memory").queryName("degrees").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("degrees").agg(F.sum("incidences")).first()[0] == 3

@@ -533,4 +533,4 @@ def _(spark, d):
     return solvers.roots(rows, lambda x: x * x - F.col("p_size")).select("p_partkey", F.round("root", 6).alias("root"))
 
 
-from trellis import catalog_meshes, catalog_more  # noqa: E402, F401  (register the rest)
+from trellis import catalog_meshes, catalog_more, catalog_stores  # noqa: E402, F401  (register the rest)

@@ -6,6 +6,8 @@ the driver sees only whether anything was added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,58 @@ def shortest_paths(edges: DataFrame, source: int, weight: Column | str = "weight
     raise RuntimeError("distances did not settle")
 
 
+def typed_shortest_paths(edges: DataFrame, sources: DataFrame, width: float | None = None) -> DataFrame:
+    """``type, id, dist, pred_type, pred`` of all that ``sources`` (type, id) reach along ``src_type, src, dst_type, dst, weight``.
+
+    Distances are settled in buckets of ``width`` (by default the mean weight).  Within a bucket, edges whose ends both lie in it are relaxed in rounds,
+    over this bucket's rows alone; then all its edges that lead further are relaxed once, and its rows are written for good.  Each is written
+    once; later rounds read of them no more than which ids are settled.  What waits for later buckets is one row for each id.
+
+    Sources have a null pred.  Of equal distances the smallest predecessor (type, id) stays, behind one over an edge of weight zero any other.
+    A negative or null weight is an error.
+    """
+    weight = F.col("weight").cast("double")
+    checked = F.when(weight >= 0, weight).otherwise(F.raise_error(F.concat(F.lit("no way over a weight of "), F.coalesce(F.col("weight").cast("string"), F.lit("null")))).cast("double"))
+    steps, (mean,) = cut_counted(edges.select("src_type", "src", "dst_type", "dst", checked.alias("w")), F.avg("w"))
+    width = width or mean or 1.0
+    rank = lambda: F.min(F.struct("dist", "zero", "pred_type", "pred")).alias("n")
+    flat = ("type", "id", "n.dist", "n.zero", "n.pred_type", "n.pred")
+
+    def relaxed(rows: DataFrame) -> DataFrame:
+        met = rows.select("type", "id", "dist").join(steps, (F.col("type") == F.col("src_type")) & (F.col("id") == F.col("src")))
+        return met.select(F.col("dst_type").alias("type"), F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.when(F.col("w") == 0, 1).otherwise(0).alias("zero"),
+                          F.col("src_type").alias("pred_type"), F.col("src").alias("pred"))
+
+    lowest = (F.min("dist"),)
+    waiting, (low,) = cut_counted(sources.select("type", F.col("id").cast("long").alias("id")).distinct().select(
+        "type", "id", F.lit(0.0).alias("dist"), F.lit(-1).alias("zero"), F.lit(None).cast("string").alias("pred_type"), F.lit(None).cast("long").alias("pred")), *lowest)
+    settled = Pile(waiting.limit(0).select("type", "id", "dist", "pred_type", "pred"))
+    while low is not None:
+        end = max((low // width + 1) * width, math.nextafter(low, math.inf))
+        inside, (some,) = cut_counted(waiting.where(F.col("dist") < end).join(settled.all().select("type", "id"), ["type", "id"], "left_anti"), F.count(F.lit(1)))
+        active = inside
+        while some:
+            near = relaxed(active).where(F.col("dist") < end).groupBy("type", "id").agg(rank()).select(*flat)
+            near = near.join(settled.all().select("type", "id"), ["type", "id"], "left_anti")
+            old = inside.select("type", "id", F.col("dist").alias("d0"), F.col("zero").alias("z0"), F.struct("pred_type", "pred").alias("p0"))
+            tie = (F.col("dist") == F.col("d0")) & (F.col("zero") == 0) & ((F.col("z0") > 0) | (F.col("z0") == 0) & (F.struct("pred_type", "pred") < F.col("p0")))
+            fell = near.join(old, ["type", "id"], "left").where(F.col("d0").isNull() | (F.col("dist") < F.col("d0")) | tie).drop("d0", "z0", "p0")
+            better, (some,) = cut_counted(fell, F.count(F.lit(1)))
+            if some:
+                wider = cut(inside.join(better.select("type", "id"), ["type", "id"], "left_anti").unionByName(better))
+                discard(inside, *([active] if active is not inside else []))
+                inside, active = wider, better
+            else:
+                discard(better)
+        settled.add(inside)
+        beyond = waiting.where(F.col("dist") >= end).unionByName(relaxed(inside).where(F.col("dist") >= end)).groupBy("type", "id").agg(rank()).select(*flat)
+        later, (low,) = cut_counted(beyond, *lowest)
+        discard(waiting, inside, *([active] if active is not inside else []))
+        waiting = later
+    discard(steps, waiting)
+    return settled.all()
+
+
 def paths(tree: DataFrame, targets: DataFrame, max_length: int = 100_000) -> DataFrame:
     """``target, nth, id``: the way from the source to each of ``targets`` (id) in a tree of ``id, pred``.
 

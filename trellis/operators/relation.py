@@ -238,3 +238,43 @@ def local_index(incidence: DataFrame, probes: DataFrame) -> DataFrame:
     """``elem, node, pos`` for ``probes`` (elem, node): the first place of the node in the element, or -1."""
     first = incidence.groupBy("elem", "node").agg(F.min("pos").alias("pos"))
     return probes.join(first, ["elem", "node"], "left").select("elem", "node", F.coalesce("pos", F.lit(-1)).cast("long").alias("pos"))
+
+
+def _signed(*columns: str) -> tuple[Column, Column, Column]:
+    """The number of rows and 128 bits of them, whatever their order: two hashes, each combined by exclusive or."""
+    return F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("s1"), F.bit_xor(F.xxhash64(F.lit("trellis"), *reversed(columns))).alias("s2")
+
+
+def signatures(typed: DataFrame) -> DataFrame:
+    """``etype, elem, n, s1, s2``: a signature of each entity's different (ntype, node), free of their order.
+
+    Rows that are added or taken away change it by their own hashes, so it can be kept up by differences.
+    """
+    return typed.select("etype", "elem", "ntype", "node").distinct().groupBy("etype", "elem").agg(*_signed("ntype", "node"))
+
+
+def relation_signature(typed: DataFrame) -> DataFrame:
+    """One row ``n, s1, s2`` for the different rows of a whole relation; of an empty one 0, 0, 0."""
+    n, one, two = _signed("etype", "elem", "ntype", "node")
+    rows_ = typed.select("etype", "elem", "ntype", "node").distinct().agg(n, one, two)
+    return rows_.select("n", F.coalesce("s1", F.lit(0)).cast("long").alias("s1"), F.coalesce("s2", F.lit(0)).cast("long").alias("s2"))
+
+
+def changed_signature(signature: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The signature after rows are ``added`` that were not there and ``removed`` that were."""
+    plus, minus = (relation_signature(x).select(F.col("n").alias("n" + k), F.col("s1").alias("s1" + k), F.col("s2").alias("s2" + k)) for x, k in ((added, "a"), (removed, "r")))
+    xor = lambda c: F.col(c).bitwiseXOR(F.col(c + "a")).bitwiseXOR(F.col(c + "r")).alias(c)
+    return signature.join(plus).join(minus).select((F.col("n") + F.col("na") - F.col("nr")).alias("n"), xor("s1"), xor("s2"))
+
+
+def composite_duplicates(typed: DataFrame) -> DataFrame:
+    """``etype, elem, first``: entities with the same nodes of every type as an earlier one of their own type, and the smallest that has them.
+
+    Only entities whose signatures meet are compared, in full.
+    """
+    signed = signatures(typed)
+    met = signed.groupBy("etype", "n", "s1", "s2").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    again = signed.join(met, ["etype", "n", "s1", "s2"]).select("etype", "elem", "s1", "s2")
+    full = typed.select("etype", "elem", "ntype", "node").distinct().join(again, ["etype", "elem"]).groupBy("etype", "s1", "s2", "elem").agg(F.array_sort(F.collect_list(F.struct("ntype", "node"))).alias("all"))
+    first = full.groupBy("etype", "s1", "s2", "all").agg(F.min("elem").alias("first"))
+    return full.join(first, ["etype", "s1", "s2", "all"]).where("elem <> first").select("etype", "elem", "first")

@@ -6,13 +6,16 @@ expressions alone.  Linear second-order systems are stepped with sparse solves.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.sparse import Matrix, _dot, _line, solve
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut, discard
 
 
 def roots(rows: DataFrame, f: Callable[[Column], Column], low: str = "low", high: str = "high", rounds: int = 60) -> DataFrame:
@@ -128,3 +131,96 @@ def smallest_eigenvalue(a: Matrix, start: DataFrame, tolerance: float = 1e-10, m
         if abs(value - old) <= tolerance * abs(value):
             return value, x
     raise ArithmeticError(f"no eigenvalue within {max_rounds} rounds")
+
+
+def _block(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Array columns of one width each, side by side."""
+    return np.hstack([batch.column(batch.schema.get_field_index(n)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for n in names])
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _moments(state: DataFrame, left: list[str], right: list[str], values: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S'S and S'AS of the columns ``left`` and their products ``right``, and the squared residuals of x; summed by parts in Spark."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            s, t = _block(batch, left), _block(batch, right)
+            r = t[:, :k] - s[:, :k] * values if values is not None else np.zeros((1, k))
+            own = np.concatenate([(s.T @ s).ravel(), (s.T @ t).ravel(), (r * r).sum(axis=0)])
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "v"])
+
+    sums = state.mapInArrow(parts, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
+    n = k * len(left)
+    return sums[: n * n].reshape(n, n), sums[n * n : 2 * n * n].reshape(n, n), sums[2 * n * n :]
+
+
+def _projected(g: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest values of the small problem h c = value g c, and their vectors; directions that others hold already are left out."""
+    size = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    size[np.diag(g) <= 1e-280] = np.inf
+    weight, turn = np.linalg.eigh(g / np.outer(size, size))
+    some = weight > 1e-13 * weight[-1]
+    base = turn[:, some] / np.sqrt(weight[some]) / size[:, None]
+    values, vectors = np.linalg.eigh(base.T @ ((h + h.T) / 2) @ base)
+    return values[:k], base @ vectors[:, :k]
+
+
+def smallest_eigenpairs(a: Matrix, m: int, tolerance: float = 1e-7, max_rounds: int = 300, guard: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``nth, value, residual`` of the ``m`` smallest eigenvalues of a symmetric matrix, ascending from 1, and their vectors ``i, nth, v``.
+
+    A block of ``m + guard`` vectors, a row of the table for each index that has a cell, is improved in rounds: its residuals, scaled by the diagonal, and
+    the last step join it, and the small problem projected on all three is solved (the locally optimal block method).  A round has one
+    product with the matrix, for all vectors at once, and one sum of small matrices; the block itself never leaves the tasks.  It ends when the
+    residuals |A x - value x| of all ``m`` unit vectors are below ``tolerance`` times the largest of the values or 1; values are then right to about its square.
+    More values than indices, or no end within ``max_rounds``, are errors.
+    """
+    cells = cut(a.cells.select("i", "j", "v"))
+    every = cells.select("i").union(cells.select("j")).distinct()
+    n = every.count()
+    if m > n:
+        raise ValueError(f"{m} eigenvalues of a matrix of {n} rows")
+    k = min(m + guard, n)
+    scale = cells.where("i = j").groupBy("i").agg(F.sum("v").alias("d"))
+    start = F.array(*((F.pmod(F.xxhash64("i", F.lit(c)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias("x") for c in range(k)))
+    zero = F.array_repeat(F.lit(0.0), k)
+    state = cut(every.join(scale, "i", "left").select("i", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0).alias("d"), start.alias("x")))
+
+    def with_product(table: DataFrame, of: str) -> DataFrame:
+        met = cells.join(table.select(F.col("i").alias("j"), of), "j").groupBy("i").agg(*(F.sum(F.col("v") * F.get(of, F.lit(c))).alias(f"s{c}") for c in range(k)))
+        made = cut(table.join(met, "i", "left").select(*table.columns, F.array(*(F.coalesce(f"s{c}", F.lit(0.0)) for c in range(k))).alias("a" + of)))
+        discard(table)
+        return made
+
+    state = with_product(state, "x")
+    values, c = _projected(*_moments(state, ["x"], ["ax"], None, k)[:2], k)
+    whole = state.select("*", *(zero.alias(name) for name in ("w", "aw", "p", "ap")))
+    c = np.vstack([c, np.zeros((2 * k, k))])
+    shape = "i long, d double, x array<double>, ax array<double>, p array<double>, ap array<double>, w array<double>"
+    for _ in range(max_rounds):
+
+        def step(batches: Iterator[pa.RecordBatch], c: np.ndarray = c, values: np.ndarray = values) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s, t = _block(batch, ["x", "w", "p"]), _block(batch, ["ax", "aw", "ap"])
+                d = batch.column(batch.schema.get_field_index("d")).to_numpy(zero_copy_only=False)
+                x, ax, move, amove = s @ c, t @ c, s[:, k:] @ c[k:], t[:, k:] @ c[k:]
+                columns = [batch.column(batch.schema.get_field_index("i")), pa.array(d), *map(_lists, (x, ax, move, amove, d[:, None] * (ax - x * values)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "d", "x", "ax", "p", "ap", "w"])
+
+        moved = cut(whole.mapInArrow(step, shape))
+        discard(state)
+        state = whole = with_product(moved, "w")
+        g, h, left = _moments(whole, ["x", "w", "p"], ["ax", "aw", "ap"], values, k)
+        left = np.sqrt(np.maximum(left, 0))
+        if (left[:m] <= tolerance * max(1.0, np.abs(values[:m]).max())).all():
+            said = [(nth + 1, float(values[nth]), float(left[nth])) for nth in range(m)]
+            vectors = state.select("i", F.posexplode(F.slice("x", 1, m)).alias("pos", "v")).select("i", (F.col("pos") + 1).alias("nth"), "v")
+            discard(cells)
+            return a.cells.sparkSession.createDataFrame(said, "nth int, value double, residual double"), vectors
+        values, c = _projected(g, h, k)
+    raise ArithmeticError(f"no {m} eigenvalues within {max_rounds} rounds")

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut, cut_counted
 
 
 @dataclass(frozen=True)
@@ -46,12 +46,28 @@ class Matrix:
         self._same(other)
         return self._with(self.cells.join(other.cells.select("i", "j", F.col("v").alias("w")), ["i", "j"]).select("i", "j", (F.col("v") * F.col("w")).alias("v")))
 
-    def times(self, other: Matrix) -> Matrix:
+    def times(self, other: Matrix, block: int = 1024) -> Matrix:
+        """The product, by a join on the inner index.
+
+        An inner index that a cells of this and b of the other share gives a times b products.  Where these are more than ``block`` squared, both lists
+        are dealt into parts of about ``block`` cells by their outer index, and each pair of parts is one block: so no key of the join has more
+        products than a block, and a cell is sent once for each part of the other side.  Sums are combined within tasks before they are dealt by cell.
+        """
         if self.columns != other.rows:
             raise ValueError("inner sizes differ")
-        right = other.cells.select(F.col("i").alias("k"), F.col("j").alias("j2"), F.col("v").alias("w"))
-        met = self.cells.join(right, self.cells.j == right.k)
-        return self._with(met.groupBy("i", F.col("j2").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v")), self.rows, other.columns)
+        left = self.cells.select("i", F.col("j").alias("k"), "v")
+        right = other.cells.select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
+        hot = left.groupBy("k").agg(F.count("*").alias("a")).join(right.groupBy("k").agg(F.count("*").alias("b")), "k")
+        parts = lambda c: F.ceil(F.col(c) / block).cast("int").alias("p" + c)
+        hot, (some,) = cut_counted(hot.where(F.col("a") * F.col("b") > F.lit(block * block)).select("k", parts("a"), parts("b")), F.count(F.lit(1)))
+        keys = ["k"]
+        if some:
+            dealt = lambda outer, own: F.when(F.col(own).isNull(), 0).otherwise(F.pmod(F.xxhash64(outer), F.col(own)).cast("int"))
+            every = lambda own: F.explode(F.when(F.col(own).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(own) - 1)))
+            left = left.join(hot, "k", "left").select("i", "k", "v", dealt("i", "pa").alias("ra"), every("pb").alias("rb"))
+            right = right.join(hot, "k", "left").select("k", "j", "w", every("pa").alias("ra"), dealt("j", "pb").alias("rb"))
+            keys = ["k", "ra", "rb"]
+        return self._with(left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v")), self.rows, other.columns)
 
     def apply(self, vector: DataFrame) -> DataFrame:
         """``i, v``: the product with a vector ``i, v``; rows that meet nothing are left out."""

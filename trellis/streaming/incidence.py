@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.sources.store import relation_store
+
 
 def new_pairs(events: DataFrame, elem: str = "user_id", node: str = "event_type", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """``elem, node, ts`` the first time each pair is seen within the watermark."""
@@ -18,23 +20,15 @@ def windowed_degrees(events: DataFrame, node: str = "event_type", elem: str = "u
     return seen.agg(F.count("*").alias("incidences"), F.approx_count_distinct(elem).alias("elements")).select(F.col("w.start").alias("start"), "node", "incidences", "elements")
 
 
-def maintain(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that appends each micro-batch's pairs that the stored relation at ``path`` lacks."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select("elem", "node").distinct()
-        stored = spark.read.schema(fresh.schema).option("ignoreMissingFiles", True).parquet(path) if _exists(spark, path) else None
-        (fresh if stored is None else fresh.join(stored, ["elem", "node"], "left_anti")).write.mode("append").parquet(path)
+def maintain(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Start a query that brings each micro-batch's pairs into the stored relation (``relation_store``) at ``path``.
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch reads and writes the buckets of its own elements alone, and counts once however often it is replayed.
+    """
+    schema = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in ("elem", "node"))
+    store = relation_store(stream.sparkSession, path, buckets, schema=schema)
 
+    def merge(batch: DataFrame, number: int) -> None:
+        store.apply(batch.select("elem", "node"), batch=(checkpoint, number))
 
-def _exists(spark, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
