@@ -524,7 +524,7 @@ SELECT point, elem AS loop FROM q JOIN n ON (y > py) <> (by_ > py) AND px < (bx
 def _(spark, d):
     points = table(spark, d, "part").select(F.col("p_partkey").alias("point"), (F.col("p_partkey") * 7 % 101).cast("double").alias("x"), (F.col("p_partkey") * 11 % 103).cast("double").alias("y"))
     loops = rel.numbered(orders_to_suppliers(spark, d)).select(F.col("elem").alias("loop"), F.col("pos").alias("seq"), (F.col("node") * 37 % 101).cast("double").alias("x"), (F.col("node") * 53 % 103).cast("double").alias("y"))
-    return mesh.points_in_polygons(points, loops, cell=8.0)
+    return mesh.points_in_polygons(points, loops)
 
 
 @query("scalar_roots", "SELECT p_partkey, round(sqrt(p_size), 6) AS root FROM part", shared=False)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as g
+from trellis.operators.cells import points_in_polygons  # noqa: F401  (part of this module's interface)
 from trellis.operators.components import connected_components
 from trellis.operators.query import node_neighbours
 from trellis.operators.relation import incidences, pairs, renumber
@@ -213,24 +214,6 @@ def arc_length(curves: DataFrame) -> DataFrame:
     return walked.select("curve", "seq", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """``point, loop``: which points (point, x, y) lie inside which polygons (loop, seq, x, y).
-
-    A point meets only the edges whose range of y covers its own: both are put into strips of
-    height ``cell``, joined on the strip, and crossings to the right are counted.
-    """
-    order = Window.partitionBy("loop").orderBy("seq")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
-    sides = polygons.select("loop", F.col("x").alias("ax"), F.col("y").alias("ay"), nxt("x").alias("bx"), nxt("y").alias("by"))
-    strip = lambda c: F.floor(c / cell).cast("long")
-    sides = sides.withColumn("strip", F.explode(F.sequence(strip(F.least("ay", "by")), strip(F.greatest("ay", "by")))))
-    met = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"), strip(F.col("y")).alias("strip")).join(sides, "strip")
-    p, a, b = (g.point(k, space=False) for k in ("p", "a", "b"))
-    crossed = met.where(g.edge_crosses_ray(p, a, b)).groupBy("point", "loop").agg(F.count("*").alias("n"))
-    return crossed.where("n % 2 = 1").select("point", "loop")
-
-
 def boundary_loops(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``loop, seq, node``: the closed boundary curves of consistently turned triangles.
 

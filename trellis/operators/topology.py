@@ -144,8 +144,13 @@ def in_box(pairs: DataFrame, coords: DataFrame, low: tuple[float, ...], high: tu
     inside = F.lit(True)
     for axis, a, b in zip("xyz", low, high):
         inside = inside & F.col(axis).between(a, b)
-    met = pairs.join(coords.select("node", inside.alias("inside")), "node")
-    return met.groupBy("elem").agg((F.bool_and if every else F.bool_or)("inside").alias("in")).where("in").select("elem")
+    # The box is a filter of the coordinates' scan; only what lies in it is joined.
+    within = coords.where(inside).select("node")
+    met = pairs.join(within, "node", "left_semi").select("elem").distinct()
+    if not every:
+        return met
+    out = pairs.join(met, "elem", "left_semi").join(within, "node", "left_anti").join(coords.select("node"), "node", "left_semi")
+    return met.join(out.select("elem"), "elem", "left_anti")
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
