@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from trellis.catalog import _TRIPLES, _triples, orders_to_parts, orders_to_suppliers, query, table
-from trellis.operators import graph, relation as rel, solvers, sparse, symmetry
+from trellis.operators import graph, model, relation as rel, solvers, sparse, symmetry
 from trellis.plans.lineage import shared_dir
+from trellis.sources import meshes
 from trellis.sources.store import CanonicalIndex, refresh_transpose, relation_store
 
 #: Orders, suppliers and nations by weighted ways, both ways each.
@@ -101,3 +102,42 @@ def _(spark, d):
     index = CanonicalIndex(spark, _fresh(spark), symmetry.full(3), 16)
     index.store.apply(index._canonical(rows.join(early, F.expr("elem div 1000") == F.col("o_orderkey"), "left_semi")))
     return index.add(rows)
+
+
+def _order_model(spark, d):
+    """Orders of parts, with prices and sizes; an order's parts may stand in any order."""
+    typed = rel.numbered(orders_to_parts(spark, d)).select(F.lit("order").alias("etype"), F.lit("part").alias("ntype"), "elem", "pos", "node")
+    prices = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus")
+    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"), "p_name")
+    return model.Model(typed, {"order": prices, "part": sizes}, {"order": symmetry.full(2)})
+
+
+def _model_rows(made):
+    orders = made.attributes["order"].select(F.col("id").alias("elem"), "price", "o_orderstatus")
+    return made.typed.join(orders, "elem").join(made.attributes["part"].select(F.col("id").alias("node"), "size"), "node").select("elem", F.col("pos").cast("long").alias("pos"), "node", "price", "o_orderstatus", "size")
+
+
+@query("clone_where", """, k AS (SELECT o_orderkey AS elem, o_totalprice::double AS price, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000),
+e AS (SELECT *, row_number() OVER (ORDER BY elem) - 1 AS e FROM k), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT DISTINCT node FROM p JOIN k USING (elem)))
+SELECT e AS elem, pos, n AS node, price, o_orderstatus, p_size::bigint AS size FROM p JOIN e USING (elem) JOIN n USING (node) JOIN part ON p_partkey = p.node""")
+def _(spark, d):
+    return _model_rows(model.clone_where(_order_model(spark, d), "order", "part", "o_orderstatus = 'F' and price > 100000")[0])
+
+
+@query("compressed_attributes", """, gone AS (SELECT DISTINCT elem FROM i JOIN part ON p_partkey = node WHERE p_size > 45),
+e AS (SELECT o_orderkey AS elem, o_totalprice::double AS price, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders WHERE o_orderkey NOT IN (SELECT elem FROM gone)),
+n AS (SELECT p_partkey AS node, p_size::bigint AS size, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_size <= 45)
+SELECT e AS elem, pos, n AS node, price, o_orderstatus, size FROM p JOIN e USING (elem) JOIN n USING (node)""")
+def _(spark, d):
+    gone = table(spark, d, "part").where("p_size > 45").select(F.lit("part").alias("type"), F.col("p_partkey").alias("id"))
+    return _model_rows(model.compress(_order_model(spark, d), gone)[0])
+
+
+@query("model_without_doubles", """, f AS (SELECT nodes, min(elem) AS first FROM r GROUP BY nodes), e AS (SELECT o_orderkey AS elem, o_totalprice::double AS price, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS e
+  FROM orders WHERE o_orderkey NOT IN (SELECT elem FROM r JOIN f USING (nodes) WHERE elem <> first)), n AS (SELECT p_partkey AS node, p_size::bigint AS size, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)
+SELECT e AS elem, pos, n AS node, price, o_orderstatus, size FROM p JOIN e USING (elem) JOIN n USING (node)""")
+def _(spark, d):
+    """Written to files and read again, then with one order for each set of parts."""
+    path = _fresh(spark)
+    meshes.write_model(_order_model(spark, d), path)
+    return _model_rows(model.without_duplicates(meshes.read_model(spark, path), "order", "part")[0])

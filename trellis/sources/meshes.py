@@ -6,10 +6,13 @@ that sections are found by joins of places, whatever the partitions.
 
 from __future__ import annotations
 
+import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.operators.relation import renumber
+from trellis.operators.model import Model, canonical_rows
 from trellis.plans.lineage import cut
 
 
@@ -185,3 +188,25 @@ def write_relation(typed: DataFrame, path: str) -> None:
 def read_relation(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.schema("etype string, ntype string, elem long, nodes array<long>").json(path)
     return read.select("etype", "ntype", "elem", F.posexplode("nodes").alias("pos", "node"))
+
+
+def write_model(model: Model, path: str) -> None:
+    """A model as JSON lines in a folder: ``relation`` as ``write_relation`` has it, ``attributes/k`` and ``canonical/k`` for the k-th type, and one line ``model``
+    with the names of types, the symmetries, and the schemas of attributes.  ``canonical`` holds the rows of each type that has symmetries, in their least order."""
+    spark, types = model.typed.sparkSession, model.types()
+    write_relation(model.typed, f"{path}/relation")
+    for kind, table in model.attributes.items():
+        table.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/attributes/{types.index(kind)}")
+    pairs = {(r[0], r[1]) for r in model.typed.select("etype", "ntype").distinct().collect()}  # few, as types are
+    for kind in model.symmetries:
+        for _, ntype in sorted(p for p in pairs if p[0] == kind):
+            canonical_rows(model, kind, ntype).select(F.lit(ntype).alias("ntype"), "elem", "nodes").write.mode("overwrite").json(f"{path}/canonical/{types.index(kind)}-{types.index(ntype)}")
+    said = {"types": types, "symmetries": model.symmetries, "attributes": {k: t.schema.json() for k, t in model.attributes.items()}}
+    spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    """The model that ``write_model`` wrote to ``path``."""
+    said = json.loads(spark.read.text(f"{path}/model").first()[0])
+    tables = {k: spark.read.schema(T.StructType.fromJson(json.loads(s))).json(f"{path}/attributes/{said['types'].index(k)}") for k, s in said["attributes"].items()}
+    return Model(read_relation(spark, f"{path}/relation"), tables, {k: [tuple(p) for p in g] for k, g in said["symmetries"].items()})
