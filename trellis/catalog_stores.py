@@ -141,3 +141,34 @@ def _(spark, d):
     path = _fresh(spark)
     meshes.write_model(_order_model(spark, d), path)
     return _model_rows(model.without_duplicates(meshes.read_model(spark, path), "order", "part")[0])
+
+
+@query("matrix_transposed_positions", "SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS at, row_number() OVER (ORDER BY j, i) - 1 AS \"to\" FROM m")
+def _(spark, d):
+    from trellis.catalog import quantities
+
+    return sparse.transposed_positions(quantities(spark, d))
+
+
+@query("type_order", "SELECT unnest(['region', 'nation', 'part', 'supplier', 'customer', 'order']) AS id, unnest([0, 1, 0, 2, 2, 3])::bigint AS level", shared=False)
+def _(spark, d):
+    """Which types refer to which, from the keys of all tables."""
+    refers = lambda name, e, key, n, other: table(spark, d, name).select(F.lit(e).alias("etype"), F.lit(n).alias("ntype"), F.col(key).cast("long").alias("elem"), F.col(other).cast("long").alias("node"))
+    typed = refers("nation", "nation", "n_nationkey", "region", "n_regionkey")
+    for more in (refers("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"), refers("customer", "customer", "c_custkey", "nation", "c_nationkey"), refers("orders", "order", "o_orderkey", "customer", "o_custkey"),
+                 refers("lineitem", "order", "l_orderkey", "part", "l_partkey"), refers("lineitem", "order", "l_orderkey", "supplier", "l_suppkey")):
+        typed = typed.unionByName(more)
+    return graph.type_order(typed)[0].select("id", F.col("level").cast("long").alias("level"))
+
+
+@query("tree_paths", """WITH t AS (SELECT s_suppkey AS target, s_nationkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT 1000 + target AS target, 0::bigint AS nth, 0::bigint AS id FROM t UNION ALL SELECT 1000 + target, 1, 1 + n_regionkey FROM t UNION ALL SELECT 1000 + target, 2, 100 + s_nationkey FROM t UNION ALL SELECT 1000 + target, 3, 1000 + target FROM t""", shared=False)
+def _(spark, d):
+    """The ways from a root through regions and nations to every supplier."""
+    long = lambda c: F.col(c).cast("long")
+    tree = table(spark, d, "region").select((1 + long("r_regionkey")).alias("id"), F.lit(0).cast("long").alias("pred")).unionByName(
+        table(spark, d, "nation").select((100 + long("n_nationkey")).alias("id"), (1 + long("n_regionkey")).alias("pred"))).unionByName(
+        table(spark, d, "supplier").select((1000 + long("s_suppkey")).alias("id"), (100 + long("s_nationkey")).alias("pred")))
+    root = spark.createDataFrame([(0, -1)], "id long, pred long")
+    ways = graph.paths(tree.unionByName(root), table(spark, d, "supplier").select((1000 + long("s_suppkey")).alias("id")))
+    return ways.select("target", F.col("nth").cast("long").alias("nth"), "id")

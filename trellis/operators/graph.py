@@ -229,3 +229,13 @@ def eccentricity_bound(edges: DataFrame, start: int) -> int:
     steps = as_directed(edges)
     far = distances(steps, spark.createDataFrame([(start,)], "id long")).orderBy(F.col("hop").desc(), "id").first()
     return distances(steps, spark.createDataFrame([(far.id,)], "id long")).agg(F.max("hop")).first()[0]
+
+
+def type_order(typed: DataFrame) -> tuple[DataFrame, bool]:
+    """``id, level`` of the types of typed incidences, those that refer to no other first, and whether no cycle holds any back.
+
+    A type whose entities name entities of their own type is no cycle for that.
+    """
+    steps = typed.select(F.col("ntype").alias("src"), F.col("etype").alias("dst")).distinct()
+    kinds = steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct()
+    return topological_levels(steps.where("src <> dst"), kinds)

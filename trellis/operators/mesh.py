@@ -229,9 +229,11 @@ def boundary_loops(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
     # Distance to the loop's smallest node along the edges, with that node as the end.
     now = cut(step.join(named.select(F.col("node").alias("a"), F.col("component").alias("loop")), "a").select(
         "a", "loop", F.when(F.col("a") == F.col("loop"), F.col("a")).otherwise(F.col("b")).alias("to"), F.when(F.col("a") == F.col("loop"), 0).otherwise(1).cast("long").alias("d")))
-    for _ in range(max_rounds):
+    for step in range(max_rounds + 1):
         if now.where("to <> loop").isEmpty():
             break
+        if step == max_rounds:
+            raise RuntimeError(f"a border of more than 2^{max_rounds} edges, or one that does not close")
         far = now.select(F.col("a").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
         now = cut(now.join(far, "to").select("a", "loop", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d")))
     size = now.groupBy("loop").agg(F.count("*").alias("n"))

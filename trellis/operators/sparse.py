@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators.relation import renumber
 from trellis.plans.lineage import cut, cut_counted
 
 
@@ -187,6 +188,17 @@ def _line(a: DataFrame, *more: tuple[float, DataFrame]) -> DataFrame:
     return cut(out.groupBy("i").agg(F.sum("v").alias("v")))
 
 
+def transposed_positions(m: Matrix) -> DataFrame:
+    """``i, j, at, to``: the place of each stored cell among all in order of rows, and among all in order of columns, from 0.
+
+    With it, values that are kept in one order are dealt into the other without sorting again.  Cells are different.
+    """
+    both = m.cells.select(F.struct("i", "j").alias("ij"), F.struct("j", "i").alias("ji"))
+    at = renumber(both, "ij").select("old.i", "old.j", F.col("new").alias("at"))
+    to = renumber(both, "ji").select("old.i", "old.j", F.col("new").alias("to"))
+    return at.join(to, ["i", "j"])
+
+
 def solve(a: Matrix, b: DataFrame, tolerance: float = 1e-10, max_rounds: int = 1000) -> DataFrame:
     """``i, v`` with a x = b by stabilised bi-conjugate gradients, scaled by the diagonal.
 
