@@ -125,14 +125,32 @@ def _tried(rule: Rule, nth: int, line: str, met: str) -> str:
             f"'m', regexp_extract_all({line}, {re}, 0)) end")
 
 
-#: The matches of the struct r as an array of (start, stop) in words, from 0.
-_PLACES = """aggregate(sequence(0, size(r.m) - 1), named_struct('upto', 0L, 'out', cast(array() as array<struct<start:int,stop:int>>)),
-    (a, i) -> named_struct(
-      'upto', a.upto + length(regexp_replace(r.s[i], '[^ ]', '')) div 2 + length(regexp_replace(r.m[i], '[^ ]', '')) div 2,
-      'out', concat(a.out, array(named_struct(
-        'start', cast(a.upto + length(regexp_replace(r.s[i], '[^ ]', '')) div 2 as int),
-        'stop', cast(a.upto + length(regexp_replace(r.s[i], '[^ ]', '')) div 2 + length(regexp_replace(r.m[i], '[^ ]', '')) div 2 as int))))),
-    a -> a.out)"""
+#: Words in a piece of the line, which has two spaces between words.
+_COUNT = "transform({}, x -> length(regexp_replace(x, '[^ ]', '')) div 2)"
+_PLACE = "struct<start:int,stop:int>"
+#: The matches of the struct r as an array of (start, stop) in words, from 0; added up in blocks of about the square root of their number,
+#: as an array that grows by one is copied each time.
+_PLACES = f"""transform(array(named_struct('s', {_COUNT.format('r.s')}, 'm', {_COUNT.format('r.m')})), q -> flatten(
+    aggregate(sequence(0, cast(sqrt(size(q.m) - 1) as int)), named_struct('upto', 0L, 'out', cast(array() as array<array<{_PLACE}>>)),
+      (a, b) -> aggregate(filter(sequence(b * cast(ceil(sqrt(size(q.m))) as int), (b + 1) * cast(ceil(sqrt(size(q.m))) as int) - 1), i -> i < size(q.m)),
+        named_struct('upto', a.upto, 'out', cast(array() as array<{_PLACE}>)),
+        (c, i) -> named_struct('upto', c.upto + q.s[i] + q.m[i],
+          'out', concat(c.out, array(named_struct('start', cast(c.upto + q.s[i] as int), 'stop', cast(c.upto + q.s[i] + q.m[i] as int))))),
+        c -> named_struct('upto', c.upto, 'out', concat(a.out, array(c.out)))),
+      a -> a.out)))[0]"""
+
+
+def _not_contained(every: str) -> str:
+    """SQL for the detections of ``every``, sorted by start, that none of higher rank contains.
+
+    They are taken in blocks of about the square root of their number; what may contain one of a block begins at most the longest detection before it.
+    """
+    block = f"cast(ceil(sqrt(size({every}))) as int)"
+    return f"""case when size({every}) = 0 then {every} else flatten(transform(sequence(0, cast(sqrt(size({every}) - 1) as int)), k ->
+      transform(array(named_struct('own', slice({every}, k * {block} + 1, {block}), 'longest', array_max(transform({every}, e -> e.stop - e.start)))), z ->
+        transform(array(filter({every}, e -> e.start > get(z.own, 0).start - z.longest and e.start <= get(z.own, size(z.own) - 1).start)), near ->
+          filter(z.own, d -> d.base or not exists(near, e -> e.start <= d.start and e.stop >= d.stop and
+            (e.priority > d.priority or e.priority = d.priority and (e.stop - e.start > d.stop - d.start or e.stop - e.start = d.stop - d.start and e.nth < d.nth)))))[0])[0])) end"""
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
@@ -159,8 +177,7 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
     found = f"""flatten(transform({tried}, r -> transform({_PLACES}, p -> named_struct('start', p.start, 'stop', p.stop, 'nth', r.nth,
         'label', {known}[r.nth].label, 'priority', {known}[r.nth].priority, 'conf', {known}[r.nth].conf, 'base', {known}[r.nth].base))))"""
     rows = held(rows, every, F.expr(f"case when {line} is not null then array_sort({found}) end"))
-    kept = f"""filter({every}, d -> d.base or not exists({every}, e -> e.start <= d.start and e.stop >= d.stop and
-        (e.priority > d.priority or e.priority = d.priority and (e.stop - e.start > d.stop - d.start or e.stop - e.start = d.stop - d.start and e.nth < d.nth))))"""
+    kept = _not_contained(every)
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "detections")), F.size(own).cast("long").alias("n_words"),
                        F.expr(f"coalesce({kept}, filter({every}, d -> false))").alias("detections"))
 
