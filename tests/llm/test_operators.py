@@ -463,11 +463,38 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
-def test_substring_index_is_exact_within_radius():
+def test_substrings_retrieve_all_within_radius_once():
     r = np.random.default_rng(1)
-    codes = r.integers(0, 256, (500, 8))
-    index = neighbours.SubstringIndex(codes, 8)
-    for q in r.integers(0, 256, (10, 8)):
+    codes = r.integers(0, 256, (500, 8)).astype(np.uint16)
+    codes[100:400, 3] = 7  # a value of more rows than a cell holds
+    counts = [(p, int(v), int((codes[:, p] == v).sum())) for p in range(8) for v in np.unique(codes[:, p])]
+    cells = neighbours.Cells.dealt(counts, 8, 8, 50)
+    own = cells.of_rows(codes, np.arange(500))
+    assert np.bincount(own.ravel()).max() <= 100 and (cells.part[own] == np.arange(8)).all()
+    for q in r.integers(0, 256, (10, 8)).astype(np.uint16):
         far = np.bitwise_count(codes ^ q).sum(1)
-        for radius in (0, 9, 20, 27, 31):
-            assert index.within(q, radius).tolist() == np.flatnonzero(far <= radius).tolist()
+        for radius in (0, 9, 20, 27, 31, 64):
+            times = np.zeros(500, int)
+            near = cells.near(q, radius // 8)
+            assert len(set(near.tolist())) == len(near)
+            for cell in near.tolist():
+                p = cells.part[cell]
+                rows = np.flatnonzero(own[:, p] == cell)
+                times[rows] += neighbours.retrieved(p, radius // 8, radius, codes[rows], q[None])[:, 0]
+            assert times.tolist() == (far <= radius).astype(int).tolist()
+
+
+def test_neighbours_search_again_with_wider_radius(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    fit = neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a, **k: neighbours.Coder(fit(*a, **k).turn, 2, 0))
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), k=5, data_block=40).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert len(got) == 30
+    for q in range(0, 300, 50):
+        s = u @ u[q]
+        s[q] = -9
+        own = [g for g in got if g.query_id == q]
+        assert sorted(g.rank for g in own) == [1, 2, 3, 4, 5] and sum(g.vec_id in np.argsort(-s)[:5] for g in own) >= 4
