@@ -3,28 +3,31 @@
 The model is interpolated modified Kneser-Ney over the last ``ORDER`` bytes.  Its counts
 come from all trusted documents.  Tables of n-grams, contexts and lower orders are keyed by
 integers, sharded by key, and joined to give each n-gram's probability.  Documents are scored in
-the tasks that read them while the model is within a checked size; a larger model is met by
-joining the documents' n-gram counts with it.  A document is kept if its perplexity lies between
+the tasks that read them while the model is within a checked size.  A larger model stays sharded: the
+different n-grams of each chunk of documents are joined with it by key, and each chunk gets its own answers back.  A document is kept if its perplexity lies between
 quantiles of the trusted documents of its language.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.rows import forget_kept, grown, small_batches
 from trellis.llm.text import whole
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut, discard
 
-ORDER = 5
+ORDER = 6
 BITS = 9  # of a byte in a key: 1 to 256, and 0 before a text begins
 MAX_BROADCAST = 4_000_000  # n-grams and contexts of a model that travels to the tasks, and ids likewise
+CHUNK = 8 << 20  # bytes of text whose n-grams are looked up together in a sharded model
 
 
 def keys_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +123,11 @@ class Model:
     grams: list[DataFrame]
     contexts: list[DataFrame]
     floor: float
+    written: list[DataFrame]
+
+    def discard(self) -> None:
+        """Delete its tables, once all that was scored with it is."""
+        discard(*self.written)
 
 
 def train(docs: DataFrame, order: int = ORDER) -> Model:
@@ -130,7 +138,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     tables.reverse()
     known = tables[0].count()
     floor = -float(np.log(known + 1))
-    lower, grams, contexts = None, [], []
+    lower, grams, contexts, written = None, [], [], []
     for k, table in enumerate(tables, 1):
         d1, d2, d3 = _discounts(table)
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -145,55 +153,41 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         lower = cut(joined.select("g", F.log((F.col("c") - F.col("off")) / F.col("total") + F.col("left") * below).alias("lp")))
         grams.append(lower)
         contexts.append(per.select("h", F.log("left").alias("ll")))
-    return Model(order, grams, contexts, floor)
+        written += [lower, per]
+    discard(*tables)
+    return Model(order, grams, contexts, floor, written)
 
 
 class Lookup:
-    """A map from integers to numbers for whole arrays: open addressing with linear probing."""
+    """A map from integers to numbers for whole arrays, as sorted keys: no more memory than the entries."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
-        self.reach = 0
-        left = np.arange(len(keys))
-        at = self._slot(keys)
-        while len(left):
-            free = self.keys[at[left]] == -1
-            _, first = np.unique(at[left[free]], return_index=True)
-            put = left[free][first]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            left = np.setdiff1d(left, put, assume_unique=True)
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            self.reach += 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.keys, self.values = keys, values
+
+    @staticmethod
+    def of(table: DataFrame) -> Lookup:
+        """From the two columns of a table within the broadcast bound."""
+        keys, values = (c.to_numpy() for c in table.toArrow().columns)
+        order = np.argsort(keys)
+        return Lookup(keys[order], values[order])
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys are known."""
-        at = self._slot(keys)
+        """Values (0 where unknown), and which keys are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = self.keys[at] == keys
-        out = np.where(hit, self.values[at], 0.0)
-        left = np.flatnonzero(~hit)
-        for _ in range(1, self.reach):
-            left = left[self.keys[at[left]] != -1]
-            if not len(left):
-                break
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            found = left[self.keys[at[left]] == keys[left]]
-            out[found], hit[found] = self.values[at[found]], True
-            left = left[~hit[left]]
-        return out, hit
+        return np.where(hit, self.values[at], 0.0), hit
 
 
 class Scorer:
     """The model in arrays, for the tasks."""
 
-    def __init__(self, order: int, floor: float, grams: list, contexts: list):
-        self.order, self.floor = order, floor
-        self.grams, self.contexts = [Lookup(*x) for x in grams], [Lookup(*x) for x in contexts]
+    def __init__(self, order: int, floor: float, grams: list[Lookup], contexts: list[Lookup]):
+        self.order, self.floor, self.grams, self.contexts = order, floor, grams, contexts
 
     def log_probs(self, keys: np.ndarray) -> np.ndarray:
+        keys, places = np.unique(keys, return_inverse=True)  # each n-gram once, and in the order of the tables
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for k in range(self.order, 0, -1):
@@ -202,10 +196,10 @@ class Scorer:
             out[left[hit]] += value[hit]
             left, now = left[~hit], now[~hit]
             if not len(left):
-                return out
+                return out[places]
             out[left] += self.contexts[k - 1](now >> BITS)[0]
         out[left] += self.floor
-        return out
+        return out[places]
 
 
 def _fits(model: Model, max_broadcast: int) -> bool:
@@ -220,50 +214,100 @@ def score(rows: DataFrame, model: Model, max_broadcast: int = MAX_BROADCAST) ->
         return _score_by_join(rows, model)
     spark = rows.sparkSession
     small_batches(spark)
-    arrays = lambda t: tuple(c.to_numpy() for c in t.toArrow().columns)
-    sent = spark.sparkContext.broadcast(([arrays(t) for t in model.grams], [arrays(t) for t in model.contexts]))
-    order, floor = model.order, model.floor
+    sent = spark.sparkContext.broadcast(Scorer(model.order, model.floor, [Lookup.of(t) for t in model.grams], [Lookup.of(t) for t in model.contexts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
-        scorer = Scorer(order, floor, *sent.value)
         for batch in batches:
-            texts = batch.column(1)
-            n, lp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for at, lengths, keys in key_runs(texts, order):
-                sums, ends = np.concatenate([[0.0], np.cumsum(scorer.log_probs(keys))]), np.cumsum(lengths)
-                n[at] += lengths
-                lp[at] += sums[ends] - sums[ends - lengths]
+            n, lp = _sums(batch.column(1), sent.value.order, sent.value.log_probs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(lp)], names=["kept", "n", "lp"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
-    """As ``score``, by joining each row's n-gram counts with the sharded tables of the model."""
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    order = model.order
+def _sums(texts: pa.Array, order: int, log_probs: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of bytes and log probability."""
+    n, lp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for at, lengths, keys in key_runs(texts, order):
+        sums, ends = np.concatenate([[0.0], np.cumsum(log_probs(keys))]), np.cumsum(lengths)
+        n[at] += lengths
+        lp[at] += sums[ends] - sums[ends - lengths]
+    return n, lp
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_by_join(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
+    """As ``score``, with the model left in its shards.
+
+    Texts in the order they are read form chunks of about ``chunk`` bytes.  A chunk asks for each of its
+    n-grams once; the answers meet its texts in one task, which holds those of one chunk at a time.
+    """
+    small_batches(rows.sparkSession)
+    order, schema = model.order, rows.schema
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, size = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for i, row in enumerate(batch.column(0).to_pylist()):
-                for _, _, keys in key_runs(batch.column(1).slice(i, 1), order):  # a long text in runs
-                    g, c = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), row)), pa.array(g), pa.array(c)], names=["row", "g", "c"])
+            ends = size + np.cumsum(pc.binary_length(batch.column(1).cast(pa.large_binary())).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.int64(part) << 33) + at + ends // chunk)], names=["kept", "text", "chunk"])
+            at, size = at + int(ends[-1]) // chunk, int(ends[-1]) % chunk
 
-    grams = cut(rows.select("row", "text").mapInArrow(count, "row long, g long, c long"))
-    open_, done = grams.select("g").distinct().select("g", F.lit(0.0).alias("lp")), []
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(0, np.int64)
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now, np.int64)), pa.array(held)], names=["chunk", "g"])
+        for batch in batches:
+            chunks = batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo and chunks[lo] != now:
+                    if len(held):
+                        yield give()
+                    now, held = int(chunks[lo]), np.zeros(0, np.int64)
+                for _, _, keys in key_runs(batch.column(0).slice(lo, hi - lo), order):
+                    held = np.union1d(held, keys)
+        if len(held):
+            yield give()
+
+    rows = cut(rows.mapInArrow(dealt, grown(schema, "chunk long")))
+    grams = cut(rows.select("text", "chunk").mapInArrow(asked, "chunk long, g long"))
+    open_, done, rounds = grams.select("g").distinct().select("g", F.lit(0.0).alias("lp")), [], []
     for k in range(order, 0, -1):
         own = open_.withColumn("m", F.expr(f"g & {(1 << BITS * k) - 1}L"))
         both = cut(own.join(model.grams[k - 1].select(F.col("g").alias("m"), F.col("lp").alias("p")), "m", "left"))
+        rounds.append(both)
         done.append(both.where("p is not null").select("g", F.expr("lp + p").alias("lp")))
         rest = both.where("p is null").select("g", "lp", F.expr(f"shiftright(m, {BITS})").alias("h"))
         open_ = rest.join(model.contexts[k - 1], "h", "left").select("g", F.expr("lp + coalesce(ll, 0D)").alias("lp"))
     every = open_.select("g", (F.col("lp") + model.floor).alias("lp"))
     for part in done:
         every = every.unionAll(part)
-    sums = grams.join(cut(every), "g").groupBy("row").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("lp")).alias("lp"))
-    return rows.join(sums, "row", "left").select("kept", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("lp", F.lit(0.0)).alias("lp"))
+    known = cut(every)
+    discard(*rounds)
+    nothing = lambda name: F.lit(None).cast(schema[name].dataType).alias(name)
+    answers = grams.join(known, "g").select("chunk", F.lit(0).alias("asks"), "g", "lp", nothing("kept"), nothing("text"))
+    texts = rows.select("chunk", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("lp"), "kept", "text")
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        for batch in batches:
+            chunks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(asks) != 0)) + 1).tolist(), len(chunks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo and chunks[lo] != now:
+                    now, held, table = chunks[lo], [], None
+                some = batch.slice(lo, hi - lo)
+                if hi > lo and not asks[lo]:
+                    held.append((some.column(2).to_numpy(), some.column(3).to_numpy()))
+                elif hi > lo:
+                    if table is None:
+                        g, lp = map(np.concatenate, zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0))
+                        sort = np.argsort(g)
+                        held, table = [], Lookup(g[sort], lp[sort])
+                    n, lp = _sums(some.column(5), order, lambda keys: table(keys)[0])
+                    yield pa.RecordBatch.from_arrays([some.column(4), pa.array(n), pa.array(lp)], names=["kept", "n", "lp"])
+
+    # A chunk's answers and texts have their bounds; a chunk whose answers came twice from parts of a file is asked once.
+    both = answers.dropDuplicates(["chunk", "g"]).unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "asks")
+    return both.mapInArrow(answered, grown(rows.select("kept").schema, "n long, lp double"))
 
 
 #: Bytes at its language's usual rate that are added to every document, so that a few
@@ -318,6 +362,7 @@ def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], max_broadcast:
     low = _by_lang(calm, "low", _limit(LOW))
     own = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("own")
     out = score(docs.select(F.struct(own, tag[0]).alias("kept"), "text"), model, max_broadcast).withColumn("lang", F.col("kept.lang"))
+    model.discard()  # the tasks have it, or its answers are written
     for table, name in ((usual, "usual"), (low, "low"), (high, "high")):
         out = _with(out, table, name)
     out = out.withColumn("s", F.coalesce(_surprise(F.col("usual")), F.lit(0.0)))
