@@ -11,7 +11,7 @@ from trellis.catalog import _GONE, _TRIPLES, _corner, _triples, _typed, as_rows,
 from trellis.functions import geometry as g
 from trellis.operators import graph, mesh, query as q, relation as rel, sparse, symmetry, topology
 from trellis.plans.lineage import shared_dir
-from trellis.sources import meshes
+from trellis.sources import meshes, meshfiles
 
 #: Places of parts, for both sides.
 _XY = ", xy AS (SELECT p_partkey AS node, (p_partkey * 7 % 101)::double AS x, (p_partkey * 11 % 103)::double AS y, (p_partkey % 13)::double AS z FROM part)"
@@ -277,6 +277,17 @@ def _(spark, d):
     return meshes.read_tagged(spark, path)[0].select("elem", "kind", "tag", said("nodes"))
 
 
+@query("mesh_file_source", _DENSE + """SELECT elem, 2 AS kind, (elem % 3 + 1)::int AS entity, CASE elem % 3 WHEN 0 THEN 'left part' WHEN 1 THEN 'right' ELSE 'rest' END AS part, nodes FROM dn""")
+def _(spark, d):
+    rows, where = _dense_triangles(spark, d)
+    path = _fresh(spark)
+    names = spark.createDataFrame([(2, 1, "left part"), (2, 2, "right"), (2, 3, "rest")], "dim int, tag int, name string")
+    meshes.write_tagged(rows.select("elem", F.lit(2).alias("kind"), "nodes", (F.col("elem") % 3 + 1).alias("part")), where, path, "part", names)
+    read = meshfiles.read_sections(spark, path, one=True)
+    named = read["elements"].join(read["names"].select("tag", F.col("name").alias("part")), "tag")
+    return named.select((F.col("id") - 1).alias("elem"), "kind", "entity", "part", F.transform("nodes", lambda n: n - 1).alias("nodes")).withColumn("nodes", said("nodes"))
+
+
 @query("block_file_round_trip", _DENSE + "SELECT elem, 7 AS tag, nodes FROM dn")
 def _(spark, d):
     rows, where = _dense_triangles(spark, d)
