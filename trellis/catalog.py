@@ -376,7 +376,12 @@ def _(spark, d):
     return graph.topological_levels(edges, nodes)[0]
 
 
-@query("greedy_colouring")
+@query("greedy_colouring", """, lows AS (SELECT greatest(e1, e2) AS id, list(least(e1, e2)) AS low FROM dual WHERE shared >= 2 GROUP BY 1),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT e1 AS id FROM dual WHERE shared >= 2 UNION SELECT e2 FROM dual WHERE shared >= 2)),
+nb AS MATERIALIZED (SELECT ids.k, coalesce(list(x.k) FILTER (x.k IS NOT NULL), []) AS low FROM ids LEFT JOIN (SELECT id, unnest(low) AS other FROM lows) l USING (id) LEFT JOIN ids x ON x.id = l.other GROUP BY ids.k),
+g AS (SELECT 0::bigint AS k, []::int[] AS cs
+  UNION ALL SELECT g.k + 1, list_append(cs, list_min(list_filter(range(0, len(low) + 1), lambda c: NOT list_contains(list_transform(low, lambda l: cs[l]), c::int)))::int) FROM g JOIN nb ON nb.k = g.k + 1)
+SELECT id, cs[k]::int AS colour FROM ids, (SELECT cs FROM g ORDER BY k DESC LIMIT 1)""")
 def _(spark, d):
     edges = q.dual_graph(orders_to_parts(spark, d), 2)
     nodes = q.mirrored(edges).select(F.col("e1").alias("id")).distinct()
