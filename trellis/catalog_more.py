@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trellis.catalog import _GONE, _TRIPLES, _corner, _triples, _typed, as_rows, orders_to_parts, orders_to_suppliers, quantities, query, said, table
 from trellis.functions import geometry as g
-from trellis.operators import graph, mesh, query as q, relation as rel, sparse, symmetry, topology
+from trellis.operators import curves, graph, mesh, query as q, relation as rel, sparse, symmetry, topology
 from trellis.plans.lineage import shared_dir
 from trellis.sources import meshes, meshfiles
 
@@ -320,3 +320,35 @@ def _(spark, d):
     path = _fresh(spark)
     meshes.write_relation(_typed(spark, d), path)
     return meshes.read_relation(spark, path)
+
+
+#: Suppliers of an order as the corners of a polygon, and its edges.
+_LOOPS = """, o AS (SELECT elem AS loop, pos AS seq, (node * 37 % 101)::double AS x, (node * 53 % 103)::double AS y FROM (SELECT elem, node, row_number() OVER (PARTITION BY elem ORDER BY node) - 1 AS pos FROM s)),
+n AS (SELECT *, sqrt((bx - x) ** 2 + (by_ - y) ** 2) AS len FROM (SELECT loop, seq, x, y, coalesce(lead(x) OVER w, first(x) OVER w2) AS bx, coalesce(lead(y) OVER w, first(y) OVER w2) AS by_
+  FROM o WINDOW w AS (PARTITION BY loop ORDER BY seq), w2 AS (PARTITION BY loop ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
+a AS (SELECT loop, count(*) AS points, sum(len) AS around, avg(len) AS mean_edge, min(len) FILTER (len > 1e-12) AS shortest, min(x) AS x_low, min(y) AS y_low, max(x) AS x_high, max(y) AS y_high,
+  avg(x) AS cx, avg(y) AS cy, sum(x * by_ - bx * y) / 2 AS area FROM n GROUP BY loop)"""
+
+
+def _loops(spark, d):
+    rows = rel.numbered(orders_to_suppliers(spark, d))
+    return rows.select(F.col("elem").alias("loop"), F.col("pos").alias("seq"), (F.col("node") * 37 % 101).cast("double").alias("x"), (F.col("node") * 53 % 103).cast("double").alias("y"))
+
+
+@query("polygon_measures", _LOOPS + "SELECT loop, points, round(around, 6) AS around, round(mean_edge, 6) AS mean_edge, x_low, y_low, x_high, y_high, round(cx, 6) AS cx, round(cy, 6) AS cy, area FROM a")
+def _(spark, d):
+    rounded = [F.round(c, 6).alias(c) for c in ("around", "mean_edge", "cx", "cy")]
+    found = curves.measures(_loops(spark, d))
+    return found.select(*(c for c in found.columns if c not in ("around", "mean_edge", "cx", "cy")), *rounded)
+
+
+@query("oriented_polygons", _LOOPS + "SELECT loop, (CASE WHEN area < 0 THEN points - 1 - seq ELSE seq END)::bigint AS seq, x, y FROM o JOIN a USING (loop)")
+def _(spark, d):
+    return curves.oriented(_loops(spark, d))
+
+
+@query("refined_polygons", _LOOPS + """, t AS (SELECT *, CASE WHEN points >= 3 AND len >= 1e-12 AND len > 1.01 * least(around / 12, 2 * shortest) THEN greatest(1, round_even(len / least(around / 12, 2 * shortest), 0)::bigint) ELSE 1 END AS parts FROM n JOIN a USING (loop)),
+u AS (SELECT *, coalesce(sum(parts) OVER (PARTITION BY loop ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t)
+SELECT loop, (start + k)::bigint AS seq, round(x + k / parts * (bx - x), 6) AS x, round(y + k / parts * (by_ - y), 6) AS y FROM u, unnest(range(0, parts)) v(k)""")
+def _(spark, d):
+    return curves.refined(_loops(spark, d), least=12).select("loop", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
