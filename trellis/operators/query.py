@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut_counted
 
 #: Probe nodes that are sent to all tasks at most; larger probes are joined by shuffling.
 MAX_BROADCAST = 100_000
+#: Nodes of an element that travel with it at most; what wider ones share is counted from the pairs that meet.
+NARROW = 64
 
 
 def _probe(pairs: DataFrame, nodes: DataFrame | list[int]) -> DataFrame:
@@ -56,26 +58,35 @@ def shared_counts(pairs: DataFrame, least: int = 1) -> DataFrame:
     Elements with fewer than ``least`` nodes cannot qualify and are left out.  For ``least`` above one,
     an element's nodes are ordered by how many elements hold them; two elements that share ``least`` nodes
     meet in the first n - least + 1 of each, so only those meet, and nodes that most elements hold seldom do.
-    Candidates are then counted over all their nodes.
+    Elements bring their nodes along, so that candidates are counted where they meet and only those that
+    qualify go on; pairs with an element of more than ``NARROW`` nodes are counted afterwards.
     """
     if least <= 1:
         met = pairs.select("node", F.col("elem").alias("e1")).join(pairs.select("node", F.col("elem").alias("e2")), "node")
         return met.where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("shared"))
     held = pairs.groupBy("node").agg(F.count("*").alias("often")).where("often > 1")  # a node of one element meets nothing
-    order = Window.partitionBy("elem").orderBy("often", "node")
-    ranked = pairs.join(held, "node").select("elem", "node", F.row_number().over(order).alias("nth"), F.count("*").over(Window.partitionBy("elem")).alias("n"))
-    ranked = cut(ranked.where(F.col("n") >= least))
+    own = Window.partitionBy("elem")
+    ranked = pairs.join(held, "node").select("elem", "node", F.row_number().over(own.orderBy("often", "node")).alias("nth"), F.count("*").over(own).alias("n"))
+    ranked = ranked.where(F.col("n") >= least).withColumn("nodes", F.collect_list(F.when(F.col("n") <= NARROW, F.col("node"))).over(own))
+    ranked, (widest,) = cut_counted(ranked, F.max("n"))
     first = ranked.where(F.col("nth") <= F.col("n") - (least - 1))
-    met = first.select("node", F.col("elem").alias("e1")).join(first.select("node", F.col("elem").alias("e2")), "node").where("e1 < e2").select("e1", "e2").distinct()
+    shared = F.size(F.array_intersect("ne1", "ne2")).cast("long").alias("shared")
+    one, two = (first.where(F.col("n") <= NARROW).select("node", F.col("elem").alias(e), F.col("nodes").alias("n" + e)) for e in ("e1", "e2"))
+    found = one.join(two, "node").where("e1 < e2").select("e1", "e2", shared).where(F.col("shared") >= least).distinct()
+    if (widest or 0) <= NARROW:
+        return found
+    wide = first.where(F.col("n") > NARROW).select("node", F.col("elem").alias("w"))
+    met = wide.join(first.select("node", "elem", "n"), "node").where((F.col("n") <= NARROW) | (F.col("w") < F.col("elem")))
+    met = met.select(F.least("w", "elem").alias("e1"), F.greatest("w", "elem").alias("e2")).distinct()
     one, two = (ranked.groupBy(F.col("elem").alias(e)).agg(F.collect_list("node").alias("n" + e)) for e in ("e1", "e2"))  # an element's own nodes
-    shared = F.size(F.array_intersect("ne1", "ne2")).cast("long")
-    return met.join(one, "e1").join(two, "e2").select("e1", "e2", shared.alias("shared")).where(F.col("shared") >= least)
+    return found.unionByName(met.join(one, "e1").join(two, "e2").select("e1", "e2", shared).where(F.col("shared") >= least))
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
     """Both directions of undirected edges ``e1, e2, ...``."""
-    rest = [c for c in edges.columns if c not in ("e1", "e2")]
-    return edges.unionByName(edges.select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), *rest))
+    turned = {"e1": "e2", "e2": "e1"}
+    both = F.array(F.struct(*edges.columns), F.struct(*(F.col(turned.get(c, c)).alias(c) for c in edges.columns)))
+    return edges.select(F.explode(both).alias("x")).select("x.*")  # in one pass: what makes the edges runs once
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
