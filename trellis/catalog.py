@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trellis.functions import geometry as g
 from trellis.operators import dense, graph, mesh, query as q, relation as rel, solvers, sparse, symmetry, topology
 from trellis.operators.components import connected_components
+from trellis.plans.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -346,7 +347,7 @@ def _(spark, d):
 
 def _network(spark, d):
     """Links of the dual graph, weighted by how few nodes are shared."""
-    both = q.mirrored(q.dual_graph(orders_to_parts(spark, d), 2))
+    both = q.mirrored(cut(q.dual_graph(orders_to_parts(spark, d), 2)))
     return both.select(F.col("e1").alias("src"), F.col("e2").alias("dst"), (1.0 / F.col("shared")).alias("weight"))
 
 
@@ -383,7 +384,7 @@ g AS (SELECT 0::bigint AS k, []::int[] AS cs
   UNION ALL SELECT g.k + 1, list_append(cs, list_min(list_filter(range(0, len(low) + 1), lambda c: NOT list_contains(list_transform(low, lambda l: cs[l]), c::int)))::int) FROM g JOIN nb ON nb.k = g.k + 1)
 SELECT id, cs[k]::int AS colour FROM ids, (SELECT cs FROM g ORDER BY k DESC LIMIT 1)""")
 def _(spark, d):
-    edges = q.dual_graph(orders_to_parts(spark, d), 2)
+    edges = cut(q.dual_graph(orders_to_parts(spark, d), 2))
     nodes = q.mirrored(edges).select(F.col("e1").alias("id")).distinct()
     return graph.colouring(edges, nodes)
 
