@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from trellis.operators import query
+from trellis.operators import mesh, query
 
 
 def plan(df):
@@ -31,3 +31,8 @@ def test_candidates_of_the_dual_graph_meet_once(spark):
     edges = spark.createDataFrame([(0, 1, 2)], "e1 long, e2 long, shared long")
     assert plan(query.degrees(edges)).count("Union") == 0
     assert sorted(map(tuple, query.mirrored(edges).collect())) == [(0, 1, 2), (1, 0, 2)]
+
+
+def test_resampled_curve_that_begins_twice_at_one_place(spark):
+    curve = spark.createDataFrame([(1, k, x, 0.0, 0.0) for k, x in enumerate([0.0, 0.0, 4.0, 4.0])], "curve long, seq int, x double, y double, z double")
+    assert sorted((r.k, r.x) for r in mesh.resample(curve, 5).collect()) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]

@@ -245,11 +245,13 @@ def resample(curves: DataFrame, points: int) -> DataFrame:
     along = curves.join(arc_length(curves), ["curve", "seq"])
     order = Window.partitionBy("curve").orderBy("seq")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    legs = along.select("curve", "s", F.lead("s").over(order).alias("s2"), F.last("s").over(whole).alias("total"), *(c for c in "xyz"), *(F.lead(c).over(order).alias(c + "2") for c in "xyz"), (F.row_number().over(order) == 1).alias("first"))
-    step = F.col("total") / (points - 1)
-    # A leg carries the places in (s, s2], the first one also its start.
-    low = F.when(F.col("first"), F.lit(0)).otherwise(F.floor(F.col("s") / step + 1e-9) + 1)
-    high = F.least(F.floor(F.col("s2") / step + 1e-9), F.lit(points - 1))
+    legs = along.select("curve", "s", F.lead("s").over(order).alias("s2"), F.last("s").over(whole).alias("total"), *(c for c in "xyz"), *(F.lead(c).over(order).alias(c + "2") for c in "xyz"))
+    upto = lambda s: F.floor(F.col(s) / (F.col("total") / (points - 1)) + 1e-9 * (points - 1))
+    # A leg carries the places in (s, s2], the first one with a length also the start: points may repeat there.
+    low = F.when(F.col("s") <= 0, F.lit(0)).otherwise(upto("s") + 1)
+    high = F.least(upto("s2"), F.lit(points - 1))
     legs = legs.where("s2 > s and total > 0").withColumn("k", F.explode(F.when(high >= low, F.sequence(low.cast("int"), high.cast("int")))))
-    t = (F.col("k") * step - F.col("s")) / (F.col("s2") - F.col("s"))
+    # A leg's own length, not the difference of two sums: places that are exact in decimals stay so.
+    d = F.sqrt((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2 + (F.col("z2") - F.col("z")) ** 2)
+    t = (F.col("k") * F.col("total") / (points - 1) - F.col("s2") + d) / d
     return legs.select("curve", "k", *((F.col(c) + t * (F.col(c + "2") - F.col(c))).alias(c) for c in "xyz"))
