@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -36,3 +37,15 @@ def test_candidates_of_the_dual_graph_meet_once(spark):
 def test_resampled_curve_that_begins_twice_at_one_place(spark):
     curve = spark.createDataFrame([(1, k, x, 0.0, 0.0) for k, x in enumerate([0.0, 0.0, 4.0, 4.0])], "curve long, seq int, x double, y double, z double")
     assert sorted((r.k, r.x) for r in mesh.resample(curve, 5).collect()) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
+
+
+@pytest.mark.parametrize("paired", [2, 16])
+def test_probes_meet_elements_by_two_nodes(spark, monkeypatch, paired):
+    monkeypatch.setattr(query, "PAIRED", paired)
+    draw = random.Random(paired)
+    held = {e: set(draw.sample(range(12), draw.randint(1, 8))) for e in range(60)}
+    asked = {p: set(draw.sample(range(14), draw.randint(1, 4))) for p in range(50)}
+    table = lambda d, k: spark.createDataFrame([(e, n) for e, ns in d.items() for n in ns], f"{k} long, node long")
+    found = query.batch_containing_all(table(held, "elem"), table(asked, "probe"))
+    assert sorted(map(tuple, found.collect())) == sorted((p, e) for p in asked for e in held if asked[p] <= held[e])
+    assert re.search(r"\(a#\d+L = a#\d+L\) AND \(b#\d+L = b#\d+L\)", plan(found))  # by two nodes at once

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.plans.lineage import cut_counted
+from trellis.plans.lineage import cut, cut_counted
 
 #: Probe nodes that are sent to all tasks at most; larger probes are joined by shuffling.
 MAX_BROADCAST = 100_000
 #: Nodes of an element that travel with it at most; what wider ones share is counted from the pairs that meet.
 NARROW = 64
+#: Nodes asked for of an element that are paired with each other at most.
+PAIRED = 16
 
 
 def _probe(pairs: DataFrame, nodes: DataFrame | list[int]) -> DataFrame:
@@ -45,11 +47,29 @@ def containing_any_but(pairs: DataFrame, include: DataFrame | list[int], exclude
 
 
 def batch_containing_all(pairs: DataFrame, probes: DataFrame) -> DataFrame:
-    """``probe, elem`` for ``probes`` (probe, node): division for many probes at once."""
+    """``probe, elem`` for ``probes`` (probe, node): division for many probes at once.
+
+    A probe of several nodes is looked up by its two rarest among the pairs of nodes of each element, so that only elements
+    with both meet it; the rest of its nodes are compared there.  Elements with more than ``PAIRED`` of the
+    nodes asked for meet probes node by node, and are counted.
+    """
     probes = probes.select("probe", "node").distinct()
-    sizes = probes.groupBy("probe").agg(F.count("*").alias("size"))
-    met = pairs.join(probes, "node").groupBy("probe", "elem").agg(F.count("*").alias("n"))
-    return met.join(sizes, "probe").where("n = size").select("probe", "elem")
+    asked = cut(pairs.select("elem", "node").join(probes.select("node").distinct(), "node", "left_semi"))
+    often = asked.groupBy("node").agg(F.count("*").alias("often"))
+    wanted = probes.join(often, "node", "left").groupBy("probe").agg(
+        F.count("*").alias("size"), F.count("often").alias("known"), F.array_sort(F.collect_list(F.struct("often", "node"))).alias("rare"))
+    wanted = wanted.where("size = known").select("probe", "size", F.transform("rare", lambda r: r["node"]).alias("nodes"))
+    alone = wanted.where("size = 1").select("probe", F.get("nodes", F.lit(0)).alias("node")).join(asked, "node").select("probe", "elem")
+    rows = asked.groupBy("elem").agg(F.array_sort(F.collect_list("node")).alias("held"))
+    wide = rows.where(F.size("held") > PAIRED).select("elem", F.explode("held").alias("node"))
+    met = wide.join(probes, "node").groupBy("probe", "elem").agg(F.count("*").alias("n"))
+    counted = met.join(wanted.where("size > 1").select("probe", "size"), "probe").where("n = size").select("probe", "elem")
+    two = "case when size(held) > 1 then flatten(transform(sequence(1, size(held) - 1), i -> transform(slice(held, i + 1, size(held) - i), n -> struct(held[i - 1] as a, n as b)))) end"
+    paired = rows.where(F.size("held").between(2, PAIRED)).select("elem", "held", F.explode(F.expr(two)).alias("p")).select("elem", "held", "p.a", "p.b")
+    first, second = F.get("nodes", F.lit(0)), F.get("nodes", F.lit(1))
+    keyed = wanted.where("size > 1").select("probe", "nodes", F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))
+    found = paired.join(keyed, ["a", "b"]).where((F.size("nodes") == 2) | (F.size(F.array_intersect("nodes", "held")) == F.size("nodes")))
+    return alone.unionByName(counted).unionByName(found.select("probe", "elem"))
 
 
 def shared_counts(pairs: DataFrame, least: int = 1) -> DataFrame:
