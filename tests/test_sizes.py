@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from trellis.operators import mesh, query
+from trellis.operators import cells, mesh, query
 
 
 def plan(df):
@@ -49,3 +49,22 @@ def test_probes_meet_elements_by_two_nodes(spark, monkeypatch, paired):
     found = query.batch_containing_all(table(held, "elem"), table(asked, "probe"))
     assert sorted(map(tuple, found.collect())) == sorted((p, e) for p in asked for e in held if asked[p] <= held[e])
     assert re.search(r"\(a#\d+L = a#\d+L\) AND \(b#\d+L = b#\d+L\)", plan(found))  # by two nodes at once
+
+
+@pytest.mark.parametrize("carried", [1, 64])
+def test_points_and_edges_meet_in_cells_alone(spark, monkeypatch, carried):
+    monkeypatch.setattr(cells, "CARRIED", carried)
+    draw = random.Random(carried)
+    loops = {k: [(draw.randint(0, 50), draw.randint(0, 50)) for _ in range(draw.randint(3, 9))] for k in range(25)}
+    corners = spark.createDataFrame([(k, i, float(x), float(y)) for k, ps in loops.items() for i, (x, y) in enumerate(ps)], "loop long, seq int, x double, y double")
+    spots = [(i, float(draw.randint(0, 50)), float(draw.randint(0, 50))) for i in range(300)] + [(300 + i, 20.0, 25.0) for i in range(3)]
+
+    def crossed(x, y, ps):
+        sides = zip(ps, ps[1:] + ps[:1])
+        return sum((ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay) for (ax, ay), (bx, by) in sides) % 2
+
+    want = sorted((i, k) for i, x, y in spots for k, ps in loops.items() if crossed(x, y, ps))
+    found = cells.points_in_polygons(spark.createDataFrame(spots, "point long, x double, y double"), corners)
+    assert sorted(map(tuple, found.select("point", "loop").collect())) == want
+    if carried == 64:  # nothing is joined or grouped once points have met cells
+        assert plan(found).count("Join ") == 1 and plan(found).index("Generate explode(points") < plan(found).index("Join ") < plan(found).index("Aggregate")
