@@ -68,3 +68,12 @@ def test_points_and_edges_meet_in_cells_alone(spark, monkeypatch, carried):
     assert sorted(map(tuple, found.select("point", "loop").collect())) == want
     if carried == 64:  # nothing is joined or grouped once points have met cells
         assert plan(found).count("Join ") == 1 and plan(found).index("Generate explode(points") < plan(found).index("Join ") < plan(found).index("Aggregate")
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corners_never_pass_through_the_driver(spark):
+    assert "Broadcast" not in executed(mesh.tetra_quality(*mesh.box(spark, 3, 2, 2)))

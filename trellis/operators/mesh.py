@@ -55,7 +55,8 @@ def edges(rows: DataFrame) -> DataFrame:
 
 def located(rows: DataFrame, coords: DataFrame, size: int) -> DataFrame:
     """Elements of ``size`` nodes with their corners' columns ``p0x`` and so on: one join and one grouping."""
-    placed = incidences(rows.where(F.size("nodes") == size)).join(coords.select("node", "x", "y", "z"), "node")
+    # Never by broadcast: what comes of arrays is many times what plans expect.
+    placed = incidences(rows.where(F.size("nodes") == size)).join(coords.select("node", "x", "y", "z").hint("merge"), "node")
     corner = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"p{k}{c}")
     return placed.groupBy("elem").agg(*(corner(k, c) for k in range(size) for c in "xyz"))
 
