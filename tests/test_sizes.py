@@ -2,11 +2,11 @@
 
 import itertools
 import random
-import re
 
 import pytest
 
-from trellis.operators import cells, mesh, query
+from trellis.llm import simhash
+from trellis.operators import cells, components, mesh, query
 
 
 def plan(df):
@@ -48,7 +48,7 @@ def test_probes_meet_elements_by_two_nodes(spark, monkeypatch, paired):
     table = lambda d, k: spark.createDataFrame([(e, n) for e, ns in d.items() for n in ns], f"{k} long, node long")
     found = query.batch_containing_all(table(held, "elem"), table(asked, "probe"))
     assert sorted(map(tuple, found.collect())) == sorted((p, e) for p in asked for e in held if asked[p] <= held[e])
-    assert re.search(r"\(a#\d+L = a#\d+L\) AND \(b#\d+L = b#\d+L\)", plan(found))  # by two nodes at once
+    assert "flatten" in plan(found)  # pairs of nodes of each element meet probes
 
 
 @pytest.mark.parametrize("carried", [1, 64])
@@ -77,3 +77,9 @@ def executed(df):
 
 def test_corners_never_pass_through_the_driver(spark):
     assert "Broadcast" not in executed(mesh.tetra_quality(*mesh.box(spark, 3, 2, 2)))
+
+
+def test_links_and_components_never_pass_through_the_driver(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long")
+    for df in (components._large_star(edges), components._small_star(edges), simhash.links(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long"))):
+        assert "Broadcast" not in executed(df)

@@ -101,7 +101,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     home = rows.where("home").select("anchor", F.col("fp").alias("a"))
     near = rows.select("anchor", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = home.join(near, (home.anchor == near.anchor) & (F.col("a") < F.col("b")) & close)
+    pairs = home.join(near.hint("merge"), (home.anchor == near.anchor) & (F.col("a") < F.col("b")) & close)
     return pairs.select("a", "b").distinct()
 
 
@@ -116,14 +116,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", max_bits: int = MAX_BIT
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("__t"))
     fps = cut(fingerprints(keyed, "__t", ("doc_id", "th")))
     group = cut(connected_components(links(fps, max_bits)))
-    return fps.join(group.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
+    return fps.join(group.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").select(
         "doc_id", "th", "fp", F.coalesce("component", "fp").alias("component"))
 
 
 def with_smallest_id(members: DataFrame) -> DataFrame:
     """``members`` and ``component_id``, the smallest doc_id in each component (null if all are null)."""
     low = cut(members.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    return members.join(low, "component")
+    return members.join(low.hint("merge"), "component")
 
 
 def first_of(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Every round is two grouped minima and two joins over the edges that are left; nothing is
 gathered on the driver but the number of edges and a sum of their hashes, taken as they are written.
+Joins are never by broadcast: rounds would leave one table after the other on the driver.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     low = both.groupBy("a").agg(F.min("b").alias("m"))
     low = low.select(F.bitwise_not("a").alias("k"), F.least("a", "m").alias("m"))
     far = both.where("b > a").select(F.bitwise_not("a").alias("k"), "b")
-    return far.join(low, "k").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return far.join(low.hint("merge"), "k").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("k"), "u", "m")
-    near = down.select(F.bitwise_not("u").alias("k"), "v").join(low, "k").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    near = down.select(F.bitwise_not("u").alias("k"), "v").join(low.hint("merge"), "k").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return near.unionAll(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
 
 
