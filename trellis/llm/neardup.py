@@ -155,7 +155,7 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     side = lambda of, n, s: maps.select(F.col("node").alias(of), F.col("size").alias(n), F.col("sketch").alias(s))
-    held = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a")
+    held = pairs.join(side("b", "m", "y").hint("merge"), "b").join(side("a", "n", "x").hint("merge"), "a")
     return held.select("a", "b", F.col("n").cast("long") + F.col("m"), "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -190,7 +190,7 @@ def _confirmed(keyed: DataFrame, maps: DataFrame, pairs: DataFrame, width: int,
 
     held = cut(keyed.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
     one, two = held.select(F.col("node").alias("a"), F.col("s").alias("x")), held.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    similar = cut(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    similar = cut(pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
     discard(pairs, nodes, held)
     return similar
 
@@ -199,10 +199,10 @@ def _alike(keyed: DataFrame, maps: DataFrame, width: int, max_broadcast: int) ->
     """Links (a, b) of texts whose SimHash fingerprints are equal or close, and that are similar enough."""
     fps = cut(fingerprints(keyed, "__t", ("node",), width).distinct())
     first = fps.groupBy("fp").agg(F.min("node").alias("a"))
-    same = fps.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    same = fps.join(first.hint("merge"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
     name = lambda side: first.select(F.col("fp").alias(f"fp_{side}"), F.col("a").alias(side))
     # Each fingerprint is tried with the smallest one near it; what that leaves apart, the join by prefixes links.
-    near = close_fingerprints(fps, MAX_BITS).groupBy(F.col("b").alias("fp_y")).agg(F.min("a").alias("fp_x")).join(name("x"), "fp_x").join(name("y"), "fp_y")
+    near = close_fingerprints(fps, MAX_BITS).groupBy(F.col("b").alias("fp_y")).agg(F.min("a").alias("fp_x")).join(name("x").hint("merge"), "fp_x").join(name("y").hint("merge"), "fp_y")
     pairs = same.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     return _confirmed(keyed, maps, cut(pairs), width, max_broadcast)
 
@@ -213,7 +213,7 @@ def _labels(found: DataFrame, hops: int = 4) -> DataFrame:
     both = cut(mirrored(found.select(F.col("a").alias("e1"), F.col("b").alias("e2"))).distinct())
     label = both.groupBy(F.col("e1").alias("node")).agg(F.min(F.least("e1", "e2")).alias("component"))
     for _ in range(hops - 1):
-        passed = both.join(label.withColumnRenamed("node", "e2"), "e2").select(F.col("e1").alias("node"), "component")
+        passed = both.join(label.withColumnRenamed("node", "e2").hint("merge"), "e2").select(F.col("e1").alias("node"), "component")
         label = cut(passed.unionAll(label).groupBy("node").agg(F.min("component").alias("component")))
     return label
 
@@ -241,8 +241,8 @@ def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, max_broadcas
     near = (F.col("n") + F.col("m") - apart) * sum(SIMILAR) >= (F.col("n") + F.col("m")) * (2 * SIMILAR[0])
     for step in range(max(1, rounds) + 1):
         group = _labels(found)
-        now = met.join(group, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-        now = now if tried is None else now.join(tried, ["key", "node"], "left_anti")
+        now = met.join(group.hint("merge"), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+        now = now if tried is None else now.join(tried.hint("merge"), ["key", "node"], "left_anti")
         parts = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "node")).alias("p"))
         keys = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("major"), F.min(F.struct("p", "component")).alias("typical"), F.count("*").alias("parts"))
         keys = cut(keys.where("parts > 1"))
