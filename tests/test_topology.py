@@ -108,3 +108,16 @@ def test_walks(spark):
     assert not graph.topological_levels(spark.createDataFrame([(0, 0)], "src long, dst long"), nodes)[1]
     ring = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)], "e1 long, e2 long")
     assert dict(map(tuple, graph.colouring(ring, nodes).collect())) == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
+def test_components_with_settled_stars_apart(spark):
+    """Stars, chains, circles and clusters at once: the same as all in every round."""
+    import random
+
+    rng = random.Random(7)
+    edges = [(10 * k, 10 * k + i) for k in range(30) for i in range(1, 5)] + [(1000 + i + 1, 1000 + i) for i in range(70)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)]
+    edges += [(3000 + rng.randrange(80), 3000 + rng.randrange(80)) for _ in range(70)] + [(5, 5), (7, None), (-4, 4000), (-4, 4000)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    got, want = (sorted(map(tuple, connected_components(table, apart=way).collect())) for way in (True, False))
+    assert got == want and len({n for n, _ in got}) == len(got)
+    assert connected_components(table.limit(0), apart=True).count() == 0

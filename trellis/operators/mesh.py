@@ -174,7 +174,7 @@ def opened(rows: DataFrame, coords: DataFrame, level: str, where: str | None = N
     hub = held.groupBy("facet", "node").agg(F.min("elem").alias("first"))
     links = held.join(hub, ["facet", "node"]).where("elem <> first").select(F.struct("node", "elem").alias("ne"), F.struct("node", F.col("first").alias("elem")).alias("mf"))
     links = links.join(ids, "ne").select(F.col("id").alias("a"), "mf").join(ids.select(F.col("ne").alias("mf"), F.col("id").alias("b")), "mf").select("a", "b")
-    sets = connected_components(links)
+    sets = connected_components(links, apart=True)
     named = ids.join(sets, F.col("id") == F.col("node"), "left").select("ne", F.coalesce("component", "id").alias("set")).join(around, "ne")
     # The first set below, or else the first of all, keeps the node.
     named = cut(named.select("ne.node", "ne.elem", "set", "above"))
