@@ -95,3 +95,13 @@ def test_cliques_lookups_and_find(spark):
     assert rel.dangling(rel.incidences(rows), spark.createDataFrame([(5,), (6,)], "node long")).collect() == [(1, 1, 7)]
     probes = spark.createDataFrame([(0, [6, 5]), (1, [5, 7])], "probe long, nodes array<long>")
     assert dict(map(tuple, symmetry.find(rows, probes, symmetry.full(2)).collect())) == {0: 0, 1: None}
+
+
+def test_rows_as_flags_of_text(spark):
+    rows = spark.createDataFrame([(0, [4, 1, 1]), (1, []), (2, [7]), (3, [0, 1, 2, 3, 4, 5, 6, 7]), (4, [0, 9, -2])], "elem long, nodes array<long>")
+    flags = rel.to_flags(rows, 8)
+    assert {r.elem: r.flags for r in flags.collect()} == {0: "01001000", 1: "00000000", 2: "00000001", 3: "11111111", 4: "10000000"}
+    assert read(rel.from_flags(flags)) == {0: [1, 4], 1: [], 2: [7], 3: list(range(8)), 4: [0]}
+    wide = 40_000  # a step of a plan for each flag would take minutes here
+    many = spark.range(20_000).select(F.col("id").alias("elem"), F.array(F.col("id"), F.col("id") + 19_999).alias("nodes"))
+    assert rel.from_flags(rel.to_flags(many, wide)).exceptAll(many).isEmpty()
