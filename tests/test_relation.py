@@ -105,3 +105,16 @@ def test_rows_as_flags_of_text(spark):
     wide = 40_000  # a step of a plan for each flag would take minutes here
     many = spark.range(20_000).select(F.col("id").alias("elem"), F.array(F.col("id"), F.col("id") + 19_999).alias("nodes"))
     assert rel.from_flags(rel.to_flags(many, wide)).exceptAll(many).isEmpty()
+
+
+@pytest.mark.parametrize("carried", [0, 2, 64])
+def test_product_makes_each_pair_once(spark, carried):
+    """Whatever travels with the pairs; repeated pairs and null nodes change nothing."""
+    import random
+
+    rng = random.Random(carried)
+    a = [(rng.randrange(12), rng.randrange(9)) for _ in range(50)] + [(1, 1), (1, 1), (20, None), (21, 77)]
+    b = [(rng.randrange(9), rng.randrange(15)) for _ in range(50)] + [(1, 3), (1, 3), (None, 4), (78, 5)]
+    schema = "elem long, node long"
+    made = [tuple(r) for r in rel.product(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), carried).collect()]
+    assert len(made) == len(set(made)) and set(made) == {(e, n) for e, v in a for w, n in b if v == w and v is not None}

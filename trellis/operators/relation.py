@@ -101,10 +101,39 @@ def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return _both(left, right, "full").select("elem", F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a))).alias("nodes"))
 
 
-def product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct ``elem, node``: the nodes that b has for the nodes that a has (pairs in, pairs out)."""
-    step = b.select(F.col("elem").alias("via"), "node")
-    return a.select("elem", F.col("node").alias("via")).join(step, "via").select("elem", "node").distinct()
+#: Places that travel with a pair at most (``product``).
+CARRIED = 64
+
+
+def _carried(pairs_: DataFrame, key: str, below: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``key, via`` of keys with ``most`` vias or less, each with the smaller vias of its key (``below``), and of all other keys."""
+    counted = pairs_.withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    listed = counted.where(F.col("n") <= most).groupBy(key).agg(F.array_sort(F.collect_set("via")).alias("l"))
+    few = listed.select(key, F.posexplode("l").alias("pos", "via"), "l").select(key, "via", F.slice("l", F.lit(1), F.col("pos")).alias(below))
+    return few, counted.where(F.col("n") > most).select(key, "via")
+
+
+def _different(made: DataFrame) -> DataFrame:
+    """Distinct ``elem, node``, dealt first and into a set number of parts: a task that makes many of few rows would hold them all, and parts that are put together are large."""
+    return made.repartition(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), "elem", "node").distinct()
+
+
+def product(a: DataFrame, b: DataFrame, carried: int = CARRIED) -> DataFrame:
+    """Distinct ``elem, node``: the nodes that b has for the nodes that a has (pairs in, pairs out).
+
+    An element and a node of up to ``carried`` vias each bring them along, and make their pair where the smallest via that they share
+    meets: so these pairs are different as they are made.  All others are made at every via, dealt, and made different then.
+    """
+    left = a.select("elem", F.col("node").alias("via")).where("via is not null")
+    right = b.select(F.col("elem").alias("via"), "node").where("via is not null")
+    # Where one side has no such keys, nothing travels.
+    if any(side.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") <= carried).isEmpty() for side, key in ((left, "elem"), (right, "node"))):
+        return _different(left.join(right.hint("merge"), "via").select("elem", "node"))
+    few, many = _carried(left, "elem", "low", carried)
+    short, long = _carried(right, "node", "least", carried)
+    once = few.join(short.hint("merge"), "via").where(~F.arrays_overlap("low", "least")).select("elem", "node")
+    rest = few.select("elem", "via").join(long.hint("merge"), "via").select("elem", "node").unionAll(many.join(right.hint("merge"), "via").select("elem", "node"))
+    return once.unionAll(_different(rest))
 
 
 def same(left: DataFrame, right: DataFrame) -> bool:
