@@ -139,3 +139,11 @@ def test_newton_and_inverse_iteration(spark):
     assert np.allclose([r.v for r in solvers.newton(residual, jacobian, start, 1e-2, radius=0.3).orderBy("i").collect()], [2, 3], atol=1e-2)
     value, _ = solvers.smallest_eigenvalue(matrix(spark, [[2.0, 1.0], [1.0, 3.0]]), start, 0.1)
     assert abs(value - np.linalg.eigvalsh([[2.0, 1.0], [1.0, 3.0]])[0]) < 0.1
+
+
+def test_roots_of_one_partition_are_dealt(spark):
+    """A small file of many rows is read by one task; its roots are not found by that one alone."""
+    rows = spark.range(1, 401, numPartitions=1).select("id", F.lit(0.0).alias("low"), F.lit(30.0).alias("high"))
+    found = solvers.roots(rows, lambda x: x * x - F.col("id"))
+    assert found.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(abs(r.root - r.id**0.5) < 1e-9 for r in found.collect())

@@ -23,8 +23,10 @@ def roots(rows: DataFrame, f: Callable[[Column], Column], low: str = "low", high
 
     Interpolate, truncate, project: the secant's guess is pulled towards the middle and kept within
     the range that bisection would allow, so every round at least keeps up with bisection.  Null
-    where the ends have the same sign.  ``f`` may read the row's other columns.
+    where the ends have the same sign.  ``f`` may read the row's other columns.  Rows are dealt first:
+    a root costs far more than reading its row, and small files would leave them all to a few tasks.
     """
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     start = F.struct(F.col(low).cast("double").alias("a"), F.col(high).cast("double").alias("b"), f(F.col(low).cast("double")).cast("double").alias("fa"), f(F.col(high).cast("double")).cast("double").alias("fb"))
 
     def step(s: Column, k: Column) -> Column:
