@@ -147,3 +147,14 @@ def test_roots_of_one_partition_are_dealt(spark):
     found = solvers.roots(rows, lambda x: x * x - F.col("id"))
     assert found.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert all(abs(r.root - r.id**0.5) < 1e-9 for r in found.collect())
+
+
+def test_products_are_made_in_a_set_number_of_tasks(spark):
+    a = np.random.default_rng(5).integers(-3, 4, (9, 7))
+    made = matrix(spark, a.T).times(matrix(spark, a)).cells
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "BroadcastHashJoin" not in plan
+    got = np.zeros((7, 7))
+    for r in made.collect():
+        got[r.i, r.j] = r.v
+    assert np.allclose(got, a.T @ a)

@@ -68,6 +68,9 @@ class Matrix:
             left = left.join(hot, "k", "left").select("i", "k", "v", dealt("i", "pa").alias("ra"), every("pb").alias("rb"))
             right = right.join(hot, "k", "left").select("k", "j", "w", every("pa").alias("ra"), dealt("j", "pb").alias("rb"))
             keys = ["k", "ra", "rb"]
+        # A set number of parts: tasks that make many products of few cells would hold the sums of all of them.
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys).hint("merge")
         return self._with(left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v")), self.rows, other.columns)
 
     def apply(self, vector: DataFrame) -> DataFrame:
