@@ -1,7 +1,9 @@
 """Refinement by partial marks and cracks along fields, on boxes with random marks and against exact measures."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,19 @@ def test_cracks_at_the_edges(spark):
         mesh.opened(rows.unionByName(spark.createDataFrame([(99, [0, 1])], "elem long, nodes array<long>")), coords, "x")
     with pytest.raises(Exception, match="a node without a value"):
         mesh.opened(rows, coords, "cast(null as double)")[0].collect()
+
+
+def test_children_are_numbered_where_they_are_made(spark):
+    """No child is dealt or joined again for its number; all orders of an element's nodes are in the table of splits."""
+    orders = [list(p) for p in itertools.permutations((3, 5, 8, 9))]
+    rows = spark.createDataFrame(list(enumerate(orders)), "elem long, nodes array<long>")
+    cuts = spark.createDataFrame([(20, 3, 5), (21, 5, 9)], "node long, a long, b long")
+    fine = splits.split(rows, cuts)
+    assert fine._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the offsets of partitions
+    got = [tuple(r) for r in fine.orderBy("elem").select("elem", "parent", "nodes").collect()]
+    assert [r[0] for r in got] == list(range(len(got))) and [r[1] for r in got] == sorted(r[1] for r in got)
+    place = {3: (0, 0, 0), 5: (2, 0, 0), 8: (0, 2, 0), 9: (0, 0, 2), 20: (1, 0, 0), 21: (1, 0, 1)}
+    turn = lambda ns: np.linalg.det([[*place[n], 1] for n in ns])
+    for elem, nodes in enumerate(orders):
+        turns = [turn(r[2]) / turn(nodes) for r in got if r[1] == elem]
+        assert min(turns) > 0 and abs(sum(turns) - 1) < 1e-9

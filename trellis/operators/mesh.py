@@ -12,11 +12,11 @@ from trellis.functions import geometry as g
 from trellis.operators.cells import points_in_polygons  # noqa: F401  (part of this module's interface)
 from trellis.operators.components import connected_components
 from trellis.operators.query import node_neighbours
-from trellis.operators.relation import incidences, pairs, renumber
+from trellis.operators.relation import dealt_in_order, incidences, numbered_in_order, pairs, renumber
 from trellis.operators.relation import rows as listed
 from trellis.operators.splits import LOCAL_EDGES, closed_marks, sides, split
 from trellis.operators.topology import boundary_nodes, facets
-from trellis.plans.lineage import cut, discard
+from trellis.plans.lineage import cut, discard, written
 
 
 def rectangle(spark: SparkSession, nx: int, ny: int, width: float = 1.0, height: float = 1.0, quads: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -101,13 +101,14 @@ def refine(rows: DataFrame, coords: DataFrame, marks: DataFrame | None = None, c
     have all six split.  Results: child rows ``elem, nodes, parent``, coordinates with the new middles, and the middles'
     ``node, parent1, parent2``.  New nodes follow the largest old one, in order of their ends.
     """
+    rows = written(rows)  # read three times
     every = sides(rows).select("a", "b").distinct()
     if marks is not None:
         wanted = closed_marks(rows, marks) if close else marks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         every = every.join(wanted, ["a", "b"], "left_semi")
-    ends = cut(every.select(F.struct("a", "b").alias("ab")))
+    ends = cut(every)
     top = coords.agg(F.max("node")).first()[0]
-    middles = cut(renumber(ends, "ab").select((F.col("new") + top + 1).alias("node"), F.col("old.a").alias("parent1"), F.col("old.b").alias("parent2")))
+    middles = numbered_in_order(dealt_in_order(ends, "a", "b")).select((F.col("new") + top + 1).alias("node"), F.col("a").alias("parent1"), F.col("b").alias("parent2"))
     discard(ends)
     out = split(rows, middles.select("node", F.col("parent1").alias("a"), F.col("parent2").alias("b")))
     return out, coords.select("node", "x", "y", "z").unionByName(interpolate(middles, coords)), middles

@@ -10,13 +10,13 @@ starts at the lower-numbered corner.
 from __future__ import annotations
 
 from functools import cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.operators.relation import renumber
+from trellis.operators.relation import dealt_in_order, numbered_in_order
 from trellis.plans.lineage import cut, discard
 
 #: Heights of corners in their order, and of nodes on edges in the order of edges: any that rise, and that no two diagonals share.
@@ -61,50 +61,55 @@ WHOLE = {
 
 def sides(rows: DataFrame) -> DataFrame:
     """``elem, k, a, b``: the edges (a < b) of every simplex, by number among its nodes in global order."""
-    pairs = "transform(filter(flatten(transform(sequence(0, size(s) - 1), i -> transform(sequence(0, size(s) - 1), j -> struct(i, j)))), p -> p.i < p.j), p -> struct(s[p.i] as a, s[p.j] as b))"
-    sorted_ = rows.where("size(nodes) between 2 and 4").select("elem", F.array_sort("nodes").alias("s"))
-    return sorted_.select("elem", F.posexplode(F.expr(pairs)).alias("k", "e")).select("elem", "k", "e.a", "e.b")
+    ends = lambda size: F.array(*(F.struct(F.col("s")[i].alias("a"), F.col("s")[j].alias("b")) for i, j in combinations(range(size), 2)))
+    sorted_ = rows.where("size(nodes) between 2 and 4").select("elem", F.sort_array("nodes").alias("s"))
+    every = F.when(F.size("s") == 2, ends(2)).when(F.size("s") == 3, ends(3)).otherwise(ends(4))
+    return sorted_.select("elem", F.posexplode(every).alias("k", "e")).select("elem", "k", "e.a", "e.b")
 
 
-def _odd(nodes: str) -> Column:
-    """Whether sorting the nodes turns the element over."""
-    return F.expr(f"aggregate(sequence(0, size({nodes}) - 1), 0, (n, i) -> n + size(filter(slice({nodes}, i + 1, size({nodes}) - i), x -> x < {nodes}[i]))) % 2 = 1")
-
-
-def _picked(children: Column, points: Column) -> Column:
-    """Arrays of nodes from arrays of their places in ``points``."""
-    return F.transform(children, lambda c: F.transform(c, lambda i: F.get(points, i)))
+@cache
+def _plans() -> list[tuple[int, int, int, list[list[int]]]]:
+    """Children of every size, mask and order of nodes, by their places among the sorted nodes and the nodes on their edges."""
+    out = []
+    for size in (1, 2, 3, 4):
+        edges = list(combinations(range(size), 2))
+        full = (1 << len(edges)) - 1
+        out.append((size, 0, 0, [list(range(size))]))
+        for order in permutations(range(size)):
+            code = sum(1 << n for n, (i, j) in enumerate(combinations(range(4), 2)) if j < size and order[i] > order[j])
+            local = [*order, *(size + edges.index((min(order[i], order[j]), max(order[i], order[j]))) for i, j in LOCAL_EDGES.get(size, []))]
+            for mask in range(1, full + 1):
+                if mask == full:
+                    children = [[local[c] for c in child] for child in WHOLE[size]]
+                else:  # sorting an odd order turns the element over
+                    children = [c[1::-1] + c[2:] if code.bit_count() % 2 else list(c) for c in template(size, mask)]
+                out.append((size, mask, code, children))
+    return out
 
 
 def split(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """``elem, nodes, parent``: elements of one to four nodes, which may be mixed, split at ``cuts`` (node, a, b).
 
     A cut is a node on the edge between a < b; each edge has at most one.  Elements without any stay whole.  Children are numbered
-    densely by parent and place, and turned as their parents.  An element of more nodes is an error.
+    densely by parent and place, and turned as their parents.  An element of more nodes is an error.  Parents meet the table of
+    all splits, are dealt by range and sorted, so that children are numbered where they are made.
     """
     met = sides(rows).join(cuts.select("a", "b", F.col("node").alias("m")), ["a", "b"])
-    per = met.groupBy("elem").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b").alias("ab"), "m"))).alias("ms"), F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("mask"))
-    both = rows.select("elem", "nodes").join(per, "elem", "left").withColumn("mask", F.coalesce("mask", F.lit(0))).withColumn("s", F.array_sort("nodes"))
-    found = "try_element_at(ms, struct({0} as a, {1} as b))"
-    children = None
-    for size in (1, 2, 3, 4):
-        edges = list(combinations(range(size), 2))
-        full, own = (1 << len(edges)) - 1, F.size("nodes") == size
-        if size == 1:
-            children = F.when(own, F.array("nodes"))
-            continue
-        known = F.lit([template(size, m) for m in range(full)])
-        points = F.concat(F.col("s"), F.array(*(F.expr(found.format(f"s[{i}]", f"s[{j}]")) for i, j in edges)))
-        local = F.concat(F.col("nodes"), F.array(*(F.expr(found.format(f"least(nodes[{i}], nodes[{j}])", f"greatest(nodes[{i}], nodes[{j}])")) for i, j in LOCAL_EDGES[size])))
-        some = _picked(F.get(known, F.col("mask")), points)
-        turned = F.transform(some, lambda c: F.concat(F.array(F.get(c, F.lit(1)), F.get(c, F.lit(0))), F.slice(c, 3, 2)))
-        whole = _picked(F.lit(WHOLE[size]), local)
-        children = children.when(own & (F.col("mask") == 0), F.array("nodes")).when(own & (F.col("mask") == full), whole).when(own, F.when(_odd("nodes"), turned).otherwise(some))
-    said = F.concat(F.lit("no split of an element of "), F.size("nodes").cast("string"), F.lit(" nodes"))
-    born = both.select(F.col("elem").alias("parent"), F.posexplode(children.otherwise(F.raise_error(said).cast("array<array<bigint>>"))).alias("k", "nodes"))
-    numbered = cut(born.select(F.struct("parent", "k").alias("pk"), "nodes"))
-    named = renumber(numbered, "pk").select(F.col("old").alias("pk"), F.col("new").alias("elem"))
-    return numbered.join(named, "pk").select("elem", "nodes", F.col("pk.parent").alias("parent"))
+    per = met.groupBy("elem").agg(*(F.max(F.when(F.col("k") == k, F.col("m"))).alias(f"m{k}") for k in range(6)), F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("mask"))
+    both = rows.select("elem", "nodes").join(per, "elem", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    # Which nodes stand behind smaller ones, null being the smallest: the order of the nodes, of which whole elements need none.
+    behind = lambda i, j: (F.get("nodes", F.lit(i)) > F.get("nodes", F.lit(j))) | (F.get("nodes", F.lit(j)).isNull() & (F.size("nodes") > j) & F.get("nodes", F.lit(i)).isNotNull())
+    code = sum((F.when(behind(i, j), 1 << n).otherwise(0) for n, (i, j) in enumerate(combinations(range(4), 2))), F.lit(0))
+    whole = F.col("mask") == 0
+    points = F.when(whole, F.col("nodes")).otherwise(F.concat(F.sort_array("nodes"), F.array(*(F.col(f"m{k}") for k in range(6)))))
+    asked = both.select(F.col("elem").alias("parent"), points.alias("points"), F.size("nodes").alias("size"), "mask", F.when(whole, 0).otherwise(code).alias("code"))
+    plans = rows.sparkSession.createDataFrame(_plans(), "size int, mask int, code int, plan array<array<int>>")
+    # Dealt after the join, below which a sort would be left out.
+    found = dealt_in_order(asked.join(F.broadcast(plans), ["size", "mask", "code"], "left"), "parent")
+    said = F.concat(F.lit("no split of an element of "), F.col("size").cast("string"), F.lit(" nodes"))
+    born = found.select("parent", "points", F.explode(F.coalesce("plan", F.raise_error(said).cast("array<array<int>>"))).alias("c"))
+    corners = [F.get("points", F.get("c", F.lit(i))) for i in range(4)]
+    return numbered_in_order(born.select("parent", F.slice(F.array(*corners), F.lit(1), F.size("c")).alias("nodes"))).select(F.col("new").alias("elem"), "nodes", "parent")
 
 
 def closed_marks(rows: DataFrame, marks: DataFrame, max_rounds: int = 100) -> DataFrame:
