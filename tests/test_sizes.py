@@ -6,7 +6,7 @@ import random
 import pytest
 
 from trellis.llm import simhash
-from trellis.operators import cells, components, mesh, query
+from trellis.operators import cells, components, mesh, query, relation
 
 
 def plan(df):
@@ -83,3 +83,9 @@ def test_links_and_components_never_pass_through_the_driver(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long")
     for df in (components._large_star(edges), components._small_star(edges), simhash.links(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long"))):
         assert "Broadcast" not in executed(df)
+
+
+def test_signatures_of_relations_are_made_in_a_set_number_of_parts(spark):
+    typed = spark.createDataFrame([("a", 1, "b", 2), ("a", 1, "b", 2), ("a", 1, "b", 3)], "etype string, elem long, ntype string, node long")
+    found = relation.relation_signature(typed)
+    assert found.first().n == 2 and "RepartitionByExpression" in plan(found)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trellis.catalog import _TRIPLES, _triples, orders_to_parts, orders_to_suppliers, query, table
 from trellis.operators import graph, model, relation as rel, solvers, sparse, symmetry
-from trellis.plans.lineage import shared_dir
+from trellis.plans.lineage import cut, shared_dir
 from trellis.sources import meshes
 from trellis.sources.store import CanonicalIndex, refresh_transpose, relation_store
 
@@ -71,9 +71,11 @@ def _(spark, d):
 @query("changed_signature", "SELECT count(*) AS n, true AS same FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R')")
 def _(spark, d):
     """Orders and parts of lines that were not returned: the signature by differences is that of the rows."""
-    lines = table(spark, d, "lineitem").select(F.lit("order").alias("etype"), F.col("l_orderkey").alias("elem"), F.lit("part").alias("ntype"), F.col("l_partkey").alias("node"), "l_returnflag")
-    every, left = lines.drop("l_returnflag").distinct(), lines.where("l_returnflag <> 'R'").drop("l_returnflag").distinct()
-    kept = rel.changed_signature(rel.relation_signature(every), every.limit(0), every.exceptAll(left))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("elem"), F.col("l_partkey").alias("node"), (F.col("l_returnflag") != "R").alias("left"))
+    pairs = cut(rel.dealt(lines, "elem", "node").groupBy("elem", "node").agg(F.coalesce(F.bool_or("left"), F.lit(False)).alias("left")))
+    typed = lambda some: some.select(F.lit("order").alias("etype"), "elem", F.lit("part").alias("ntype"), "node")
+    every, left = typed(pairs), typed(pairs.where("left"))
+    kept = rel.changed_signature(rel.relation_signature(every), every.limit(0), typed(pairs.where("not left")))
     own = rel.relation_signature(left).select(F.col("s1").alias("o1"), F.col("s2").alias("o2"))
     return kept.join(own).select("n", ((F.col("s1") == F.col("o1")) & (F.col("s2") == F.col("o2"))).alias("same"))
 

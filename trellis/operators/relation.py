@@ -113,9 +113,14 @@ def _carried(pairs_: DataFrame, key: str, below: str, most: int) -> tuple[DataFr
     return few, counted.where(F.col("n") > most).select(key, "via")
 
 
+def dealt(made: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by some columns into a set number of parts, which are not put together."""
+    return made.repartition(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _different(made: DataFrame) -> DataFrame:
     """Distinct ``elem, node``, dealt first and into a set number of parts: a task that makes many of few rows would hold them all, and parts that are put together are large."""
-    return made.repartition(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), "elem", "node").distinct()
+    return dealt(made, "elem", "node").distinct()
 
 
 def product(a: DataFrame, b: DataFrame, carried: int = CARRIED) -> DataFrame:
@@ -318,7 +323,8 @@ def signatures(typed: DataFrame) -> DataFrame:
 def relation_signature(typed: DataFrame) -> DataFrame:
     """One row ``n, s1, s2`` for the different rows of a whole relation; of an empty one 0, 0, 0."""
     n, one, two = _signed("etype", "elem", "ntype", "node")
-    rows_ = typed.select("etype", "elem", "ntype", "node").distinct().agg(n, one, two)
+    # A set number of parts: rows of small numbers shrink so well that parts which are put together are large.
+    rows_ = dealt(typed.select("etype", "elem", "ntype", "node"), "etype", "elem", "ntype", "node").distinct().agg(n, one, two)
     return rows_.select("n", F.coalesce("s1", F.lit(0)).cast("long").alias("s1"), F.coalesce("s2", F.lit(0)).cast("long").alias("s2"))
 
 
