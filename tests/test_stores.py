@@ -148,3 +148,19 @@ def test_eigenpairs_of_the_query(spark):
                 x[keys.index(a), keys.index(b)] -= a != b
     x -= np.diag(x.sum(axis=1) - 1 - np.abs(ground[keys].to_numpy()) / 100)
     assert np.allclose([r.value for r in got], np.linalg.eigvalsh(x)[:5], rtol=1e-8) and [r.nth for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_a_batch_meets_its_buckets_once(spark, tmp_path):
+    """Removed, kept and added rows of a key meet in one grouping; both sides of changes in another."""
+    store = relation_store(spark, str(tmp_path / "met"), 2, schema="elem long, node long, w long")
+    table = lambda *rows: spark.createDataFrame(list(rows), "elem long, node long, w long")
+    keys = lambda *rows: spark.createDataFrame(list(rows), "elem long, node long")
+    first = store.apply(table((1, 1, 5), (1, 1, 4), (2, 2, None), (3, 3, 3))).number
+    assert sorted(map(tuple, store.read().na.fill(-1).collect())) == [(1, 1, 4), (2, 2, -1), (3, 3, 3)]
+    second = store.apply(table((1, 1, 1), (2, 2, 7), (4, 4, 4)), keys((2, 2), (3, 3), (9, 9))).number
+    assert sorted(map(tuple, store.read().collect())) == [(1, 1, 4), (2, 2, 7), (4, 4, 4)]
+    added, removed = store.changes(first, second)
+    assert sorted(map(tuple, added.collect())) == [(2, 2, 7), (4, 4, 4)]
+    assert sorted(map(tuple, removed.na.fill(-1).collect())) == [(2, 2, -1), (3, 3, 3)]
+    for df in (added, removed):  # written once, not made twice
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()

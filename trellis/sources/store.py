@@ -102,25 +102,22 @@ class Store:
         if batch is not None and now.batches.get(batch[0], -1) >= batch[1]:
             return now
         rest = [c for c in self.schema.names if c not in self.key]
-        fresh = self._bucketed(added)
-        if rest:
-            fresh = fresh.groupBy("bucket", *self.key).agg(F.min(F.struct(*rest)).alias("_rest")).select(*(c if c in self.key else F.col(f"_rest.{c}") for c in self.schema.names), "bucket")
-        fresh = cut(fresh.distinct())
+        fresh = cut(self._bucketed(added))
         gone = cut(self._bucketed_keys(removed)) if removed is not None else None
         met = fresh.select("bucket") if gone is None else fresh.select("bucket").union(gone.select("bucket"))
         touched = [r[0] for r in met.distinct().collect()]  # one number a bucket at most
-        kept = self._read(now, touched)
+        every = self._bucketed(self._read(now, touched)).withColumn("_rank", F.lit(0)).unionByName(fresh.withColumn("_rank", F.lit(1)))
         if gone is not None:
-            kept = kept.join(gone.drop("bucket"), self.key, "left_anti")
-        kept = cut(kept)
-        new = fresh.join(kept.select(*self.key), self.key, "left_anti").select(*self.schema.names)
+            every = every.unionByName(gone.withColumn("_rank", F.lit(-1)), allowMissingColumns=True)
         folder = uuid.uuid4().hex
-        whole = kept.unionByName(new).withColumn("bucket", F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int"))
-        # One task a bucket and its share: a large bucket is dealt by key, so that no task holds one whole.
-        whole.repartition("bucket", *self.key).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        # All that has a key meets once, in one of the many shares of its bucket: so no task holds a large bucket whole.
+        least = lambda rank: F.min(F.when(F.col("_rank") == rank, F.struct(F.lit(0), *rest) if rest else F.lit(0)))
+        per = every.groupBy("bucket", *self.key).agg(F.min("_rank").alias("_first"), least(0).alias("_old"), least(1).alias("_new"))
+        whole = per.withColumn("_row", F.when((F.col("_first") >= 0) & F.col("_old").isNotNull(), F.col("_old")).otherwise(F.col("_new"))).where("_row is not null")
+        whole.select(*(c if c in self.key else F.col(f"_row.{c}") for c in self.schema.names), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         written = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/data/{folder}")
         counts = {r[0]: r[1] for r in written.groupBy("bucket").count().collect()}
-        discard(fresh, kept, *([gone] if gone is not None else []))
+        discard(fresh, *([gone] if gone is not None else []))
         before = {b: now.buckets[b][1] for b in touched if b in now.buckets}
         if counts == before and gone is None and batch is None:
             return now  # nothing was new
@@ -134,7 +131,12 @@ class Store:
         old, new = self.version(since), self.version(until)
         moved = [b for b in {*old.buckets, *new.buckets} if old.buckets.get(b) != new.buckets.get(b)]
         before, after = self._read(old, moved), self._read(new, moved)
-        return after.exceptAll(before), before.exceptAll(after)
+        if not {*moved} & {*old.buckets}:
+            return after, before
+        # Keys, and so rows, are different within a version: what is left of both sides together is on one alone.
+        sides = before.withColumn("_side", F.lit(-1)).unionByName(after.withColumn("_side", F.lit(1))).groupBy(*self.schema.names).agg(F.sum("_side").alias("_side"))
+        changed = cut(sides.where("_side <> 0"))
+        return changed.where("_side > 0").drop("_side"), changed.where("_side < 0").drop("_side")
 
     def vacuum(self, keep: int = 2) -> list[int]:
         """Forget all but the last ``keep`` versions, with the folders that no other version names; the forgotten numbers."""
