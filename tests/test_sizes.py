@@ -89,3 +89,13 @@ def test_signatures_of_relations_are_made_in_a_set_number_of_parts(spark):
     typed = spark.createDataFrame([("a", 1, "b", 2), ("a", 1, "b", 2), ("a", 1, "b", 3)], "etype string, elem long, ntype string, node long")
     found = relation.relation_signature(typed)
     assert found.first().n == 2 and "RepartitionByExpression" in plan(found)
+
+
+def test_mesh_writers_read_what_they_write_from_tables(spark, monkeypatch):
+    from trellis.sources import meshes
+    parts = []
+    monkeypatch.setattr(meshes, "_written", lambda blocks, path: parts.extend(blocks))
+    rows = spark.createDataFrame([(0, [0, 1, 2])], "elem long, nodes array<long>").groupBy("elem").agg({"nodes": "max"}).toDF("elem", "nodes")
+    coords = spark.createDataFrame([(n, 0.0, 1.0, 2.0) for n in range(3)], "node long, x double, y double, z double").distinct()
+    meshes.write_blocks(rows, coords, "unused")
+    assert parts and not any("Aggregate" in plan(p) for p in parts)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trellis.operators.relation import renumber
 from trellis.operators.model import Model, canonical_rows
-from trellis.plans.lineage import cut
+from trellis.plans.lineage import cut, written
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +86,7 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 def write_plain(rows: DataFrame, coords: DataFrame, path: str) -> None:
     """Plain text: the numbers of nodes and elements, a line of coordinates a node, a line of node numbers (from 0) an element."""
     spark = rows.sparkSession
+    rows, coords = written(rows), written(coords)  # counted, then dealt by samples
     nodes = coords.select(F.col("node").alias("nth"), F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz")).alias("line"))
     cells = rows.select(F.col("elem").alias("nth"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), " ").alias("line"))
     _written([_said(spark, f"{coords.count()} {rows.count()}"), nodes, cells], path)
@@ -97,6 +98,7 @@ def write_tagged(rows: DataFrame, coords: DataFrame, path: str, tag: str = "0",
     ``tag`` is a number or a column; ``names`` (dim, tag, name) become the named groups.
     """
     spark = rows.sparkSession
+    rows, coords = written(rows), written(coords)  # counted, then dealt by samples
     number = lambda c: F.col(c).cast("string")
     nodes = coords.select(F.col("node").alias("nth"), F.concat_ws(" ", (F.col("node") + 1).cast("string"), *(number(c) for c in "xyz")).alias("line"))
     tagged = F.lit(tag) if tag.isdigit() else F.col(tag).cast("string")
@@ -126,6 +128,7 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def write_blocks(rows: DataFrame, coords: DataFrame, path: str, kind: str = "Triangle", tag: int = 1) -> None:
     """Rows of one size in the block format, ids from 1, as ordered part files."""
     spark = rows.sparkSession
+    rows, coords = written(rows), written(coords)  # counted, then dealt by samples
     size = rows.select(F.size("nodes")).first()[0]
     nodes = coords.select(F.col("node").alias("nth"), F.concat_ws(" ", (F.col("node") + 1).cast("string"), *(F.col(c).cast("string") for c in "xyz")).alias("line"))
     cells = rows.select(F.col("elem").alias("nth"), F.concat_ws(" ", (F.col("elem") + 1).cast("string"), F.array_join(F.transform("nodes", lambda n: (n + 1).cast("string")), " "), F.lit(str(tag))).alias("line"))
@@ -138,6 +141,7 @@ def write_steps(rows: DataFrame, coords: DataFrame, path: str, name: str, times:
     ``variables`` name the files that ``write_values`` writes beside it, and whether each is ``scalar`` or ``vector``.
     """
     spark = rows.sparkSession
+    rows, coords = written(rows), written(coords)  # counted, then dealt by samples
     spaced = lambda c: F.format_string("%12.5e", F.col(c))
     ids = coords.select(F.col("node").alias("nth"), F.format_string("%8d", F.col("node") + 1).alias("line"))
     places = coords.select(F.col("node").alias("nth"), F.concat(*(spaced(c) for c in "xyz")).alias("line"))
