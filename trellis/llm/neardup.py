@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import forget_kept, small_batches
+from trellis.llm.rows import forget_kept, small_batches, trimmed
 from trellis.llm.simhash import MAX_BITS, SEED, fingerprints, first_of
 from trellis.llm.simhash import links as close_fingerprints
 from trellis.llm.text import text_hash
@@ -70,7 +70,7 @@ def _common(keyed: DataFrame, width: int, sample: int) -> tuple[np.ndarray, np.n
             parts = [shingles(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], names=["h"])
 
-    each = keyed.where(F.pmod("node", F.lit(step)) == 0).mapInArrow(run, "h long")
+    each = keyed.where(F.pmod("node", F.lit(step)) == 0).mapInArrow(trimmed(run), "h long")
     top = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     pairs = np.array(sorted((r[0], r[1]) for r in top), np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
@@ -101,7 +101,7 @@ def _postings(keyed: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray
             key, node, n, at = map(np.concatenate, (keys, nodes, sizes, places))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n, pa.int32()), pa.array(at, pa.int32())], names=["key", "node", "n", "at"])
 
-    return keyed.mapInArrow(run, "key long, node long, n int, at int")
+    return keyed.mapInArrow(trimmed(run), "key long, node long, n int, at int")
 
 
 #: Bits of a text's parity map, in columns of 64.
@@ -140,7 +140,7 @@ def _maps(keyed: DataFrame, width: int) -> DataFrame:
             more = [pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h).tobytes() for h in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T), *more], names=["node", *_MAPS, "size", "sketch"])
 
-    return keyed.mapInArrow(run, "node long, " + ", ".join(f"{m} long" for m in _MAPS) + ", size int, sketch binary").dropDuplicates(["node"])
+    return keyed.mapInArrow(trimmed(run), "node long, " + ", ".join(f"{m} long" for m in _MAPS) + ", size int, sketch binary").dropDuplicates(["node"])
 
 
 def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
     side = lambda of, n, s: maps.select(F.col("node").alias(of), F.col("size").alias(n), F.col("sketch").alias(s))
     held = pairs.join(side("b", "m", "y").hint("merge"), "b").join(side("a", "n", "x").hint("merge"), "a")
-    return held.select("a", "b", F.col("n").cast("long") + F.col("m"), "x", "y").mapInArrow(compare, "a long, b long")
+    return held.select("a", "b", F.col("n").cast("long") + F.col("m"), "x", "y").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def _confirmed(keyed: DataFrame, maps: DataFrame, pairs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
@@ -188,9 +188,9 @@ def _confirmed(keyed: DataFrame, maps: DataFrame, pairs: DataFrame, width: int,
                 near.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    held = cut(keyed.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
+    held = cut(keyed.join(wanted, "node", "left_semi").mapInArrow(trimmed(sets), "node long, s binary").dropDuplicates(["node"]))
     one, two = held.select(F.col("node").alias("a"), F.col("s").alias("x")), held.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    similar = cut(pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    similar = cut(pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(trimmed(compare), "a long, b long"))
     discard(pairs, nodes, held)
     return similar
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import grown, kept, small_batches
+from trellis.llm.rows import grown, kept, small_batches, trim, trimmed
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut
 
@@ -127,7 +127,7 @@ def _encoder(path: str) -> Encoder:
     return kept(("encoder", path), lambda: Encoder(path))
 
 
-def _slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together, or of one longer text."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0
@@ -154,8 +154,10 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
         for batch in batches:
             at, out = [], []
             for first, last in _slices(batch.column(1)):
+                trim()  # what coding a slice takes is many times the slice
                 every, bounds = encode(batch.column(1)[first:last])
                 held = every.tobytes()
+                del every
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), first):
                     ids = held[4 * a : 4 * b] + end
                     for k, lo in enumerate(range(0, len(ids), full)):
@@ -165,7 +167,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 # One packing is an array that gives each item's bin.
@@ -271,7 +273,7 @@ def _epoch(state: DataFrame, room: int, epoch: int, population: int, generations
                 out.append((block, island, sizes.astype(np.int32), packings, int(bins), -(-int(sizes.sum()) // room)))
             yield pd.DataFrame(out, columns=["block", "island", "sizes", "packings", "bins", "bound"])
 
-    return state.mapInPandas(run, _STATE)
+    return state.mapInPandas(trimmed(run), _STATE)
 
 
 def _migrate(state: DataFrame, islands: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import forget_kept, grown, small_batches
+from trellis.llm.rows import forget_kept, grown, small_batches, trimmed
 from trellis.llm.text import whole
 from trellis.plans.lineage import cut, discard
 
@@ -99,7 +99,7 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
 
     small_batches(docs.sparkSession)
-    return docs.select(whole("text").alias("text")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return docs.select(whole("text").alias("text")).mapInArrow(trimmed(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -222,7 +222,7 @@ def score(rows: DataFrame, model: Model, max_broadcast: int = MAX_BROADCAST) ->
             n, lp = _sums(batch.column(1), sent.value.order, sent.value.log_probs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(lp)], names=["kept", "n", "lp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _sums(texts: pa.Array, order: int, log_probs: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +267,8 @@ def _score_by_join(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFra
         if len(held):
             yield give()
 
-    rows = cut(rows.mapInArrow(dealt, grown(schema, "chunk long")))
-    grams = cut(rows.select("text", "chunk").mapInArrow(asked, "chunk long, g long"))
+    rows = cut(rows.mapInArrow(trimmed(dealt), grown(schema, "chunk long")))
+    grams = cut(rows.select("text", "chunk").mapInArrow(trimmed(asked), "chunk long, g long"))
     open_, done, rounds = grams.select("g").distinct().select("g", F.lit(0.0).alias("lp")), [], []
     for k in range(order, 0, -1):
         own = open_.withColumn("m", F.expr(f"g & {(1 << BITS * k) - 1}L"))
@@ -307,7 +307,7 @@ def _score_by_join(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFra
 
     # A chunk's answers and texts have their bounds; a chunk whose answers came twice from parts of a file is asked once.
     both = answers.dropDuplicates(["chunk", "g"]).unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "asks")
-    return both.mapInArrow(answered, grown(rows.select("kept").schema, "n long, lp double"))
+    return both.mapInArrow(trimmed(answered), grown(rows.select("kept").schema, "n long, lp double"))
 
 
 #: Bytes at its language's usual rate that are added to every document, so that a few

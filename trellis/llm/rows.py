@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import SparkSession
@@ -49,3 +50,25 @@ def kept(key: Hashable, make: Callable[[], T_]) -> T_:
 def forget_kept() -> None:
     """Free what tasks before left in this worker process for their successors."""
     _store().clear()
+
+
+def trim() -> None:
+    """Give memory that is free, but still held by this worker process, back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if give is not None:
+        give(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, after which its worker process, which waits for more tasks, holds no free memory."""
+
+    def lean(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean

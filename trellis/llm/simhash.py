@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.rows import forget_kept, grown, small_batches
+from trellis.llm.rows import forget_kept, grown, small_batches, trimmed
 from trellis.llm.text import free_name, row_key
 from trellis.operators.components import connected_components
 from trellis.plans.lineage import cut
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             fps = pa.array([fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fps], names=[*keep, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 #: Column i holds, for syndrome i + 1, the masks that lead to the anchors within distance two.
