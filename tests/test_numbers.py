@@ -158,3 +158,25 @@ def test_products_are_made_in_a_set_number_of_tasks(spark):
     for r in made.collect():
         got[r.i, r.j] = r.v
     assert np.allclose(got, a.T @ a)
+
+
+def test_solve_with_long_vectors_and_gaps_between_places(spark, monkeypatch):
+    """Vectors too large for all tasks give the same solution; places may have gaps."""
+    conn = [(0, 3, 0), (0, 9, 1), (1, 3, 1), (1, 9, 2), (2, 4, 2), (2, 5, 0), (2, 6, 3)]
+    of = {}
+    for e, li, dof in conn:
+        of.setdefault(e, []).append((li, dof))
+    k = [(e, p, q, 9.0 if p == q else -1.0 - p / 7) for e, own in of.items() for p, _ in own for q, _ in own] + [(0, 3, 4, 5.0), (2, 7, 4, 5.0)]
+    dense = np.zeros((4, 4))
+    for e, p, q, v in k:
+        if p in dict(of[e]) and q in dict(of[e]):
+            dense[dict(of[e])[p], dict(of[e])[q]] += v
+    loads = [(e, li, 1.0) for e, li, _ in conn] + [(1, 4, 7.0)]
+    cells, b = sparse.assemble(spark.createDataFrame(conn, "elem long, li int, dof long"), spark.createDataFrame(k, "elem long, li int, lj int, v double"), spark.createDataFrame(loads, "elem long, li int, v double"))
+    assert {(r.i, r.j): round(r.v, 9) for r in cells.collect()} == {(i, j): round(dense[i, j], 9) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(dense)))}
+    want = np.linalg.solve(dense, [r[1] for r in sorted(map(tuple, b.collect()))])
+    for most in (sparse.SENT, 0):
+        monkeypatch.setattr(sparse, "SENT", most)
+        assert sparse.may_be_sent(4) == (most > 0)
+        got = sparse.solve(sparse.Matrix(cells, 4, 4), b).orderBy("i").collect()
+        assert np.allclose([r.v for r in got], want, atol=1e-7)

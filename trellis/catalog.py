@@ -452,6 +452,7 @@ def _(spark, d):
     conn = rel.numbered(orders_to_suppliers(spark, d)).select("elem", F.col("pos").alias("li"), F.col("node").alias("dof"))
     k = conn.select("elem", "li").join(conn.select("elem", F.col("li").alias("lj")), "elem").withColumn("v", F.when(F.col("li") == F.col("lj"), 20.0).otherwise(-1.0))
     cells, load = sparse.assemble(conn, k, conn.select("elem", "li", F.lit(1.0).alias("v")))
+    cells, load = cut(cells), cut(load)  # both are read several times
     n = load.agg(F.max("i") + 1).first()[0]
     system = sparse.Matrix(cells, n, n)
     # The product with the solution is the load again.

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.relation import renumber
-from trellis.plans.lineage import cut, cut_counted
+from trellis.plans.lineage import cut, cut_counted, discard, written
+
+#: Vectors of up to this many bytes together are sent to all tasks; larger ones meet the cells by merging.
+SENT = 40_000_000
 
 
 @dataclass(frozen=True)
@@ -73,10 +76,13 @@ class Matrix:
         left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys).hint("merge")
         return self._with(left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v")), self.rows, other.columns)
 
-    def apply(self, vector: DataFrame) -> DataFrame:
-        """``i, v``: the product with a vector ``i, v``; rows that meet nothing are left out."""
+    def apply(self, vector: DataFrame, sent: bool = False) -> DataFrame:
+        """``i, v``: the product with a vector ``i, v``; rows that meet nothing are left out.
+
+        With ``sent`` the vector goes to all tasks and the cells stay where they are.
+        """
         x = vector.select(F.col("i").alias("j"), F.col("v").alias("x"))
-        return self.cells.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+        return self.cells.join(F.broadcast(x) if sent else x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
     def scale_rows(self, by: DataFrame) -> Matrix:
         return self._with(self.cells.join(by.select("i", F.col("v").alias("w")), "i").select("i", "j", (F.col("v") * F.col("w")).alias("v")))
@@ -165,18 +171,39 @@ def from_cells(cells: DataFrame, rows: int, columns: int, sum_repeated: bool = T
     return Matrix(grouped.select("i", "j", "v"), rows, columns)
 
 
+def by_rows(cells: DataFrame) -> DataFrame:
+    """``i, j, v`` as a written table whose tasks read whole rows, but for very long ones: so products are summed before they are dealt."""
+    return cut(cells.select("i", "j", "v").hint("rebalance", "i"))
+
+
+def may_be_sent(n: int, width: int = 1) -> bool:
+    """Whether ``width`` vectors of ``n`` entries are small enough for all tasks."""
+    return n * (32 + 8 * width) <= SENT
+
+
 def assemble(connectivity: DataFrame, stiffness: DataFrame, loads: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Sum element matrices and loads into ``i, j, v`` and ``i, v``.
 
     ``connectivity`` is ``elem, li, dof``, ``stiffness`` ``elem, li, lj, v``, ``loads`` ``elem, li, v``.  An
     element that names a degree of freedom twice is an error.
+
+    An element's degrees of freedom come as one row, so that its matrix is dealt by element alone, if it is not already.
     """
-    unique = connectivity.groupBy("elem", "dof").agg(F.min("li").alias("li"), F.count("*").alias("n"))
-    conn = unique.select("elem", "dof", F.when(F.col("n") == 1, F.col("li")).otherwise(F.raise_error(F.lit("an element names a degree of freedom twice")).cast("int")).alias("li"))
-    rows = conn.select("elem", "li", F.col("dof").alias("i"))
-    columns = conn.select("elem", F.col("li").alias("lj"), F.col("dof").alias("j"))
-    cells = stiffness.join(rows, ["elem", "li"]).join(columns, ["elem", "lj"]).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return cells, None if loads is None else loads.join(rows, ["elem", "li"]).groupBy("i").agg(F.sum("v").alias("v"))
+    listed = connectivity.groupBy("elem").agg(F.array_sort(F.collect_list(F.struct("li", "dof"))).alias("own"))
+    size, different = F.size("own"), lambda of: F.size(F.array_distinct(F.transform("own", lambda x: x[of])))
+    checked = F.when(different("dof") == size, F.col("own")).otherwise(F.raise_error(F.lit("an element names a degree of freedom twice")).cast(listed.schema["own"].dataType))
+    # Where places are numbered without gaps, from any number, one is found by its number.
+    base, last = F.col("own")[0]["li"], F.element_at("own", -1)["li"]
+    listed = listed.select("elem", checked.alias("own"), F.when((different("li") == size) & (last - base + 1 == size), base).alias("base"))
+
+    def at(li: str) -> Column:
+        far = F.col(li) - F.col("base")
+        near = F.when((far >= 0) & (far < F.size("own")), F.array(F.get("own", far.cast("int"))["dof"]))
+        return F.when(F.col("base").isNotNull(), near).otherwise(F.transform(F.filter("own", lambda x: x["li"] == F.col(li)), lambda x: x["dof"]))
+
+    rows = stiffness.join(listed, "elem").select(F.explode(at("li")).alias("i"), at("lj").alias("to"), "v")
+    cells = rows.select("i", F.explode("to").alias("j"), "v").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return cells, None if loads is None else loads.join(listed, "elem").select(F.explode(at("li")).alias("i"), "v").groupBy("i").agg(F.sum("v").alias("v"))
 
 
 def _dot(a: DataFrame, b: DataFrame) -> float:
@@ -209,15 +236,18 @@ def solve(a: Matrix, b: DataFrame, tolerance: float = 1e-10, max_rounds: int = 1
     to the shared folder; a round's inner products are two aggregates.  A right side of (nearly) zero
     gives no lines.
     """
-    scale = a.diagonal().select("i", F.when(F.abs("v") > 1e-300, 1.0 / F.col("v")).otherwise(1.0).alias("w"))
-    m = Matrix(cut(a.cells.join(scale, "i", "left").select("i", "j", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("v"))), a.rows, a.columns)
+    given = written(a.cells)
+    scale = replace(a, cells=given).diagonal().select("i", F.when(F.abs("v") > 1e-300, 1.0 / F.col("v")).otherwise(1.0).alias("w"))
+    m = Matrix(by_rows(given.join(scale, "i", "left").select("i", "j", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("v"))), a.rows, a.columns)
     every = m.cells.select("i").union(m.cells.select("j")).union(b.select("i")).distinct()
     right = b.join(scale, "i", "left").select("i", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("b"))
-    state = cut(every.join(right, "i", "left").select("i", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r")))
-    state = state.select("i", "x", "r", F.col("r").alias("hat"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"))
+    state, (n,) = cut_counted(every.join(right, "i", "left").select("i", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r")), F.count(F.lit(1)))
+    if given is not a.cells:
+        discard(given)
+    state, sent = state.select("i", "x", "r", F.col("r").alias("hat"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v")), may_be_sent(n)
 
     def with_product(of: str, name: str) -> DataFrame:
-        made = m.apply(state.select("i", F.col(of).alias("v"))).withColumnRenamed("v", "made")
+        made = m.apply(state.select("i", F.col(of).alias("v")), sent).withColumnRenamed("v", "made")
         return cut(state.join(made, "i", "left").withColumn(name, F.coalesce("made", F.lit(0.0))).drop("made"))
 
     def sums(*pairs: str) -> list[float]:
