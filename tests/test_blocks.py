@@ -54,3 +54,12 @@ def test_no_key_of_a_blocked_product_is_hot(spark):
     cells = a.times(b, block=50).cells
     assert cells.count() == 120_000 and cells.where("v <> 2").count() == 0
     assert sparse.Matrix(cells.limit(0), 300, 400).times(Matrix(cells.limit(0), 400, 2)).cells.count() == 0
+
+
+@pytest.mark.parametrize("most", [40_000_000, 0])
+def test_eigenpairs_of_blocks_sent_and_not_sent(spark, monkeypatch, most):
+    monkeypatch.setattr(sparse, "SENT", most)
+    x = np.diag(np.arange(1.0, 13.0)) + np.diag(np.full(11, 0.25), 1) + np.diag(np.full(11, 0.25), -1)
+    assert solvers.may_be_sent(12, 5) == (most > 0)
+    found, _ = solvers.smallest_eigenpairs(as_matrix(spark, x), 2)
+    assert np.allclose([r.value for r in found.orderBy("nth").collect()], np.linalg.eigvalsh(x)[:2], atol=1e-9)

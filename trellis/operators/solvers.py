@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.operators.sparse import Matrix, _dot, _line, solve
+from trellis.operators.sparse import Matrix, _dot, _line, by_rows, may_be_sent, solve
 from trellis.plans.lineage import cut, discard
 
 
@@ -178,23 +178,25 @@ def smallest_eigenpairs(a: Matrix, m: int, tolerance: float = 1e-7, max_rounds:
 
     A block of ``m + guard`` vectors, a row of the table for each index that has a cell, is improved in rounds: its residuals, scaled by the diagonal, and
     the last step join it, and the small problem projected on all three is solved (the locally optimal block method).  A round has one
-    product with the matrix, for all vectors at once, and one sum of small matrices; the block itself never leaves the tasks.  It ends when the
+    product with the matrix, for all vectors at once, and one sum of small matrices; a small block is sent to the cells for its product, a larger one never leaves the tasks.  It ends when the
     residuals |A x - value x| of all ``m`` unit vectors are below ``tolerance`` times the largest of the values or 1; values are then right to about its square.
     More values than indices, or no end within ``max_rounds``, are errors.
     """
-    cells = cut(a.cells.select("i", "j", "v"))
+    cells = by_rows(a.cells)
     every = cells.select("i").union(cells.select("j")).distinct()
     n = every.count()
     if m > n:
         raise ValueError(f"{m} eigenvalues of a matrix of {n} rows")
     k = min(m + guard, n)
+    sent = may_be_sent(n, k)
     scale = cells.where("i = j").groupBy("i").agg(F.sum("v").alias("d"))
     start = F.array(*((F.pmod(F.xxhash64("i", F.lit(c)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias("x") for c in range(k)))
     zero = F.array_repeat(F.lit(0.0), k)
     state = cut(every.join(scale, "i", "left").select("i", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0).alias("d"), start.alias("x")))
 
     def with_product(table: DataFrame, of: str) -> DataFrame:
-        met = cells.join(table.select(F.col("i").alias("j"), of), "j").groupBy("i").agg(*(F.sum(F.col("v") * F.get(of, F.lit(c))).alias(f"s{c}") for c in range(k)))
+        x = table.select(F.col("i").alias("j"), of)
+        met = cells.join(F.broadcast(x) if sent else x, "j").groupBy("i").agg(*(F.sum(F.col("v") * F.get(of, F.lit(c))).alias(f"s{c}") for c in range(k)))
         made = cut(table.join(met, "i", "left").select(*table.columns, F.array(*(F.coalesce(f"s{c}", F.lit(0.0)) for c in range(k))).alias("a" + of)))
         discard(table)
         return made
