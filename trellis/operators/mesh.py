@@ -5,17 +5,16 @@ Elements are rows ``elem, nodes``; coordinates ``node, x, y, z``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as g
 from trellis.operators.cells import points_in_polygons  # noqa: F401  (part of this module's interface)
 from trellis.operators.components import connected_components
 from trellis.operators.query import node_neighbours
-from trellis.operators.relation import dealt_in_order, incidences, numbered_in_order, pairs, renumber
-from trellis.operators.relation import rows as listed
+from trellis.operators.relation import dealt_in_order, incidences, numbered_in_order, pairs
 from trellis.operators.splits import LOCAL_EDGES, closed_marks, sides, split
-from trellis.operators.topology import boundary_nodes, facets
+from trellis.operators.topology import boundary_nodes
 from trellis.plans.lineage import cut, discard, written
 
 
@@ -152,45 +151,54 @@ def opened(rows: DataFrame, coords: DataFrame, level: str, where: str | None = N
     crossed = sides(rows).select("a", "b").distinct().join(one, "a").join(two, "b").where("va * vb < 0")
     crossed = cut(crossed.select(F.struct("a", "b").alias("ab"), *((F.col(c + "a") + F.col("va") / (F.col("va") - F.col("vb")) * (F.col(c + "b") - F.col(c + "a"))).alias(c) for c in "xyz")))
     top = coords.agg(F.coalesce(F.max("node"), F.lit(-1))).first()[0]
-    numbered = renumber(crossed, "ab").select(F.col("old").alias("ab"), (F.col("new") + top + 1).alias("node"))
-    roots = cut(crossed.join(numbered, "ab").select("node", "ab.a", "ab.b", "x", "y", "z"))
+    numbered = numbered_in_order(dealt_in_order(crossed, "ab"))
+    roots = numbered.select((F.col("new") + top + 1).alias("node"), "ab.a", "ab.b", "x", "y", "z")
+    children = split(rows, roots)
     discard(crossed)
-    children = cut(split(rows, roots))
 
     places = coords.select("node", "x", "y", "z").unionByName(roots.select("node", "x", "y", "z"))
     inside = F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False))
-    zeros = at.where("v = 0").select("node").join(coords, "node").select("node", inside.alias("open")).unionByName(roots.select("node", inside.alias("open")))
-    values = at.select("node", "v").unionByName(roots.select("node", F.lit(0.0).alias("v")))
-    above = incidences(children).join(values, "node").groupBy("elem").agg((F.sum("v") > 0).alias("above"))
-    shared = facets(children, size - 1).join(above, "elem")
-    # Facets that hold a zero, with their elements; only those can be opened, or hold elements around a zero together.
-    near = shared.select("elem", "above", "facet", F.explode("facet").alias("node")).join(zeros, "node")
-    parted = near.groupBy("facet").agg((F.count_distinct("node") == size - 1).alias("zero"), F.bool_and("open").alias("open"), (F.min("above") != F.max("above")).alias("both"))
-    parted = cut(parted.where("zero and open and both").select("facet"))
+    level_at = F.when(F.abs(known) <= tolerance, 0.0).otherwise(known)
+    values = coords.select("node", level_at.alias("v"), F.when(level_at == 0, inside).otherwise(False).alias("open")).unionByName(roots.select("node", F.lit(0.0).alias("v"), inside.alias("open")))
+    met = incidences(children).join(values, "node").groupBy("elem").agg((F.sum("v") > 0).alias("above"), F.array_sort(F.collect_list(F.struct("pos", "node", (F.col("v") == 0).alias("zero"), "open"))).alias("p"))
+    # Children that hold a zero, with what is known of their nodes: only their facets can be opened, or hold elements around a zero together.
+    kids = cut(met.where(F.exists("p", lambda q: q["zero"])))
+    # A node's place in a child has a number of its own, the first if it stands there twice.
+    own = lambda k: (F.col("elem") * size + F.array_position(F.transform("p", lambda q: q["node"]), F.col("p")[k]["node"]) - 1).alias("id")
+    zero = lambda some: F.filter(F.array(*(F.struct(F.col("p")[k]["node"].alias("node"), own(k), F.col("p")[k]["zero"].alias("zero")) for k in some)), lambda q: q["zero"])
+
+    def side(without: int) -> Column:
+        some = [k for k in range(size) if k != without]
+        facet = F.array_sort(F.array(*(F.col("p")[k]["node"] for k in some)))
+        ready = F.size(F.array_distinct(facet)) == size - 1
+        for k in some:
+            ready = ready & F.col("p")[k]["zero"] & F.col("p")[k]["open"]
+        return F.struct(facet.alias("facet"), ready.alias("ready"), zero(some).alias("zeros"))
+
+    shared = kids.select("above", F.explode(F.array(*map(side, range(size)))).alias("s")).select("above", "s.*").where("size(zeros) > 0")
+    parted = cut(shared.where("ready").groupBy("facet").agg((F.min("above") != F.max("above")).alias("both")).where("both").select("facet"))
     lips = cut(parted.select(F.explode("facet").alias("node")).distinct())
 
-    around = cut(incidences(children).select("node", "elem").join(lips, "node", "left_semi").join(above, "elem").select(F.struct("node", "elem").alias("ne"), "above"))
-    ids = cut(renumber(around, "ne").select(F.col("old").alias("ne"), F.col("new").alias("id")))
-    held = facets(children, size - 1).join(parted, "facet", "left_anti").select("facet", "elem", F.explode("facet").alias("node")).join(lips, "node", "left_semi")
-    hub = held.groupBy("facet", "node").agg(F.min("elem").alias("first"))
-    links = held.join(hub, ["facet", "node"]).where("elem <> first").select(F.struct("node", "elem").alias("ne"), F.struct("node", F.col("first").alias("elem")).alias("mf"))
-    links = links.join(ids, "ne").select(F.col("id").alias("a"), "mf").join(ids.select(F.col("ne").alias("mf"), F.col("id").alias("b")), "mf").select("a", "b")
+    around = kids.select("elem", "above", F.explode(zero(range(size))).alias("z")).select("z.node", "z.id", "elem", "above").join(lips, "node", "left_semi")
+    kept = shared.where("not ready").select("facet", "zeros").unionByName(shared.where("ready").select("facet", "zeros").join(parted, "facet", "left_anti"))
+    held = cut(kept.select("facet", F.explode("zeros").alias("z")).select("facet", "z.node", "z.id").join(lips, "node", "left_semi"))
+    hub = held.groupBy("facet", "node").agg(F.min("id").alias("first"))
+    links = held.join(hub, ["facet", "node"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     sets = connected_components(links, apart=True)
-    named = ids.join(sets, F.col("id") == F.col("node"), "left").select("ne", F.coalesce("component", "id").alias("set")).join(around, "ne")
     # The first set below, or else the first of all, keeps the node.
-    named = cut(named.select("ne.node", "ne.elem", "set", "above"))
+    named = cut(around.join(sets.withColumnRenamed("node", "id"), "id", "left").select("node", "elem", F.coalesce("component", "id").alias("set"), "above"))
+    discard(held, parted, lips, kids)
     first = named.groupBy("node", "set").agg(F.bool_and("above").alias("up"), F.min("elem").alias("elem"))
     ranked = first.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("up", "elem"))).where("nth > 1")
-    copied = cut(ranked.select(F.struct("node", "nth").alias("nn"), "set"))
+    copied = cut(ranked.select("node", "nth", "set"))
     tip = top + 1 + roots.count()
-    fresh = renumber(copied, "nn").select(F.col("old").alias("nn"), (F.col("new") + tip).alias("copy"))
-    copies = cut(copied.join(fresh, "nn").select("nn.node", "set", "copy"))
-    moved = named.join(copies, ["node", "set"]).select("elem", "node", "copy")
-    whole = incidences(children).join(moved, ["elem", "node"], "left").select("elem", "pos", F.coalesce("copy", "node").alias("node"))
-    out = cut(listed(whole).join(children.select("elem", "parent"), "elem").select("elem", "nodes", "parent"))
+    copies = numbered_in_order(dealt_in_order(copied, "node", "nth")).select("node", "set", (F.col("new") + tip).alias("copy"))
+    moved = named.join(copies, ["node", "set"]).groupBy("elem").agg(F.collect_list(F.struct("node", "copy")).alias("m"))
+    renamed = F.transform("nodes", lambda n: F.coalesce(F.get(F.filter("m", lambda c: c["node"] == n), F.lit(0))["copy"], n))
+    out = cut(children.join(moved, "elem", "left").select("elem", F.when(F.col("m").isNull(), F.col("nodes")).otherwise(renamed).alias("nodes"), "parent"))
     more = copies.join(places, "node").select(F.col("copy").alias("node"), "x", "y", "z")
     made = roots.select("node", F.col("node").alias("root"), "a", "b").unionByName(copies.select(F.col("copy").alias("node"), F.col("node").alias("root")), allowMissingColumns=True)
-    discard(children, parted, lips, around, ids, named, copied)
+    discard(named, copied)
     return out, places.unionByName(more), made
 
 
