@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from trellis.operators import relation as rel
 from trellis.plans.lineage import _CLEANUP, Pile, cut
 
 
@@ -22,3 +23,23 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not _shuffle_files(spark) - before
     assert made.count() == 1000 and pile.all().count() == 7 and spark.conf.get(_CLEANUP, None) == kept
+
+
+def test_clique_indices_send_each_place_once(spark):
+    rows = spark.createDataFrame([(e, [0, *((e * k) % 37 + 1 for k in range(1, 6))]) for e in range(60)] + [(60, [5, None, 7])], "elem long, nodes array<long>")
+    every = rel.incidences(rows)
+    slots, meetings, by = {}, {}, {}
+    for r in every.collect():
+        if r.node is not None:
+            by.setdefault(r.elem, []).append((r.pos, r.node))
+    for e in sorted(by):
+        for i, n1 in sorted(by[e]):
+            for j, n2 in sorted(by[e]):
+                met = meetings.setdefault(n1, {})
+                slots[e, i, j] = met.setdefault(n2, len(met))
+    few, hot = rel.clique_indices(every), rel.clique_indices(every, together=10)
+    for found in (few, hot):
+        assert {(r.elem, r.i, r.j): r.slot for r in found.collect()} == slots
+        assert found.count() == len(slots)
+    plan = rel.clique_indices(every)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join " in line]

@@ -267,18 +267,35 @@ def random_relation(spark: SparkSession, elements: int, nodes: int, degree: int,
     return spark.range(elements).select(F.col("id").alias("elem"), F.array_sort(F.array_distinct(drawn)).alias("nodes"))
 
 
-def clique_indices(incidence: DataFrame) -> DataFrame:
+#: Places of a node up to which its meetings are numbered in one task (``clique_indices``).
+TOGETHER = 1 << 16
+
+
+def clique_indices(incidence: DataFrame, together: int = TOGETHER) -> DataFrame:
     """``elem, i, j, slot``: for each ordered pair of places of an element, where the second place's node
     stands among the different nodes that the first one's node meets, in order of first meeting.
 
-    A node's meetings are ordered by element and place; this is the cell order of an assembled row.
+    A node's meetings are ordered by element and place; this is the cell order of an assembled row.  Each place is sent to its
+    node once, with the element's row, and pairs are made there; those of nodes of more than ``together`` places are met by joins.
     """
-    one = incidence.select("elem", F.col("pos").alias("i"), F.col("node").alias("n1"))
-    met = one.join(incidence.select("elem", F.col("pos").alias("j"), F.col("node").alias("n2")), "elem")
-    first = met.groupBy("n1", "n2").agg(F.min(F.struct("elem", "i", "j")).alias("first"))
+    from trellis.plans.lineage import cut_counted
+
+    at = incidence.select("elem", "pos", "node").where("elem is not null and node is not null")
+    placed = at.groupBy("elem").agg(F.collect_list(F.struct("pos", "node")).alias("p")).select("elem", "p", F.explode("p").alias("x"))
+    placed = placed.select("elem", F.col("x.pos").alias("i"), F.col("x.node").alias("n1"), "p")
+    hot, (some,) = cut_counted(at.groupBy(F.col("node").alias("n1")).agg(F.count("*").alias("n")).where(F.col("n") > together).select("n1"), F.count(F.lit(1)))
+    few = placed.join(hot, "n1", "left_anti") if some else placed
+    # A set number of parts: what is made of a place is many times its size.
+    pairs_ = dealt(few, "n1").select("n1", "elem", "i", F.explode("p").alias("y")).select("n1", "elem", "i", F.col("y.pos").alias("j"), F.col("y.node").alias("n2"))
+    first = F.min(F.struct("elem", "i", "j")).over(Window.partitionBy("n1", "n2"))
     order = Window.partitionBy("n1").orderBy("first")
-    slots = first.select("n1", "n2", (F.row_number().over(order) - 1).cast("long").alias("slot"))
-    return met.join(slots, ["n1", "n2"]).select("elem", "i", "j", "slot")
+    out = pairs_.withColumn("first", first).select("elem", "i", "j", (F.dense_rank().over(order) - 1).cast("long").alias("slot"))
+    if not some:
+        return out
+    met = placed.join(hot, "n1", "left_semi").select("n1", "elem", "i", F.explode("p").alias("y")).select("n1", "elem", "i", F.col("y.pos").alias("j"), F.col("y.node").alias("n2"))
+    firsts = met.groupBy("n1", "n2").agg(F.min(F.struct("elem", "i", "j")).alias("first"))
+    slots = firsts.select("n1", "n2", (F.row_number().over(order) - 1).cast("long").alias("slot"))
+    return out.unionByName(met.join(slots, ["n1", "n2"]).select("elem", "i", "j", "slot"))
 
 
 def nodes_of(rows_: DataFrame, elements: DataFrame) -> DataFrame:
