@@ -25,6 +25,20 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert made.count() == 1000 and pile.all().count() == 7 and spark.conf.get(_CLEANUP, None) == kept
 
 
+def test_flags_by_runs(spark):
+    some = [(0, [0, 1, 2, 7]), (1, []), (2, [9]), (3, [5, 3, 3, 4, -1, 12]), (4, list(range(10))), (5, [0, 9]), (6, [8, 9])]
+    rows = spark.createDataFrame(some, "elem long, nodes array<long>")
+    runs = {r.elem: r.runs for r in rel.to_runs(rows, 10).collect()}
+    flags = {r.elem: r.flags for r in rel.to_flags(rows, 10).collect()}
+    assert {e: "".join("01"[k % 2] * n for k, n in enumerate(found)) for e, found in runs.items()} == flags
+    back = {r.elem: r.nodes for r in rel.from_runs(rel.to_runs(rows, 10)).collect()}
+    assert back == {e: sorted({n for n in nodes if 0 <= n < 10}) for e, nodes in some}
+    # As texts these would be 2 GB a row.
+    wide = spark.createDataFrame([(0, [1, 2_000_000_000])], "elem long, nodes array<long>")
+    assert rel.from_runs(rel.to_runs(wide, 2_000_000_001)).first().nodes == [1, 2_000_000_000]
+    assert rel.to_runs(wide, 1 << 40).first().runs == [1, 1, 1_999_999_998, 1, (1 << 40) - 2_000_000_001]
+
+
 def test_clique_indices_send_each_place_once(spark):
     rows = spark.createDataFrame([(e, [0, *((e * k) % 37 + 1 for k in range(1, 6))]) for e in range(60)] + [(60, [5, None, 7])], "elem long, nodes array<long>")
     every = rel.incidences(rows)

@@ -255,6 +255,29 @@ def from_flags(flags: DataFrame) -> DataFrame:
     return flags.select("elem", ends.alias("nodes"))
 
 
+def to_runs(rows_: DataFrame, columns: int) -> DataFrame:
+    """``elem, runs``: the flags of ``to_flags`` as lengths of runs, zeros and ones in turn, from zeros on; they add up to ``columns``.
+
+    The same flags, whose size follows the nodes and not the columns.
+    """
+    held = F.array_sort(F.array_distinct(F.filter("nodes", lambda n: (n >= 0) & (n < columns))))
+    first = F.filter(held, lambda n, k: (k == 0) | (F.get(held, k - 1) != n - 1))
+    last = F.filter(held, lambda n, k: (k == F.size(held) - 1) | (F.get(held, k + 1) != n + 1))
+    ends = rows_.select("elem", first.alias("first"), last.alias("last"))
+    ones = F.transform("first", lambda n, k: F.array(n - F.coalesce(F.get("last", k - 1), F.lit(-1)) - 1, F.get("last", k) - n + 1))
+    tail = F.lit(columns - 1).cast("long") - F.coalesce(F.get("last", F.size("last") - 1), F.lit(-1).cast("long"))
+    return ends.select("elem", F.concat(F.flatten(ones), F.array(tail)).alias("runs"))
+
+
+def from_runs(runs: DataFrame) -> DataFrame:
+    """Rows of ``to_runs``: sorted different nodes."""
+    none = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
+    # Runs at odd places are ones.
+    step = lambda s, r: F.struct((s["at"] + r["n"]).alias("at"), F.when((r["k"] % 2 == 1) & (r["n"] > 0), F.concat(s["out"], F.sequence(s["at"], s["at"] + r["n"] - 1))).otherwise(s["out"]).alias("out"))
+    each = F.transform("runs", lambda n, k: F.struct(n.alias("n"), k.alias("k")))
+    return runs.select("elem", F.aggregate(each, none, step, lambda s: s["out"]).alias("nodes"))
+
+
 def node_positions(incidence: DataFrame) -> DataFrame:
     """``node, elem, pos, nth``: where each node stands in its elements, and which of its elements that is."""
     order = Window.partitionBy("node").orderBy("elem", "pos")
