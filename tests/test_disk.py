@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from trellis.operators import relation as rel
+from trellis.operators import cells, relation as rel
 from trellis.plans.lineage import _CLEANUP, Pile, cut
 
 
@@ -57,3 +57,15 @@ def test_clique_indices_send_each_place_once(spark):
         assert found.count() == len(slots)
     plan = rel.clique_indices(every)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join " in line]
+
+
+def test_boxes_are_sent_to_eight_cells_at_most(spark, monkeypatch):
+    sent, spread = [], cells._spread
+    monkeypatch.setattr(cells, "_spread", lambda kept: sent.append(spread(kept)) or sent[-1])
+    corners = [(b, *(float(b * k % 50 - 20) + 0.25 * (b % 3) for k in (7, 11, 13)), float(b % 17)) for b in range(200)]
+    boxes = spark.createDataFrame([(b, x, y, z, x + s, y + s / 2, z + s) for b, x, y, z, s in corners], "box long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    spots = [(p, float(p * 3 % 60 - 20), float(p * 7 % 60 - 20), float(p * 11 % 60 - 20)) for p in range(300)]
+    found = cells.points_in_boxes(spark.createDataFrame(spots, "point long, x double, y double, z double"), boxes).collect()
+    want = {(p, b) for p, x, y, z in spots for b, a, c, e, s in corners if a <= x <= a + s and c <= y <= c + s / 2 and e <= z <= e + s}
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 0
+    assert sent[0].groupBy("box").count().agg(F.max("count")).first()[0] <= 8
