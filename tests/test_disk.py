@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from trellis import catalog
 from trellis.operators import cells, relation as rel
 from trellis.plans.lineage import _CLEANUP, Pile, cut
 
@@ -69,3 +70,8 @@ def test_boxes_are_sent_to_eight_cells_at_most(spark, monkeypatch):
     want = {(p, b) for p, x, y, z in spots for b, a, c, e, s in corners if a <= x <= a + s and c <= y <= c + s / 2 and e <= z <= e + s}
     assert {tuple(r) for r in found} == want and len(found) == len(want) > 0
     assert sent[0].groupBy("box").count().agg(F.max("count")).first()[0] <= 8
+
+
+def test_refined_boundary_is_known_by_parent_without_a_join(spark):
+    plan = catalog.QUERIES["refined_boundary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Join " not in plan.split("Union")[0]
